@@ -189,3 +189,257 @@ def q_retrieve_best_per_pack(spark, sf):
     return best.select(big("item_id").alias("item_id"), big("doc_id").alias("doc_id"),
                        big("pack_id").alias("pack_id"), big("para_idx").alias("para_idx"),
                        r6("score").alias("score"))
+
+
+# ----------------------------------------------------------------- dense ----
+
+def dense_questions(spark, sf) -> DataFrame:
+    """Question vectors: the stored vector of each question id stands in for
+    the embedding model (newlines become spaces first; missing ones are
+    skipped, P9)."""
+    from answerlake.sources.tables import table
+    q = C.questions(spark, sf).withColumn("text", F.translate("text", "\n", " "))
+    emb = table(spark, sf, "embeddings").filter(F.col("embedding").isNotNull())
+    return q.join(emb.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("qvec")), "item_id")
+
+
+def _dense(spark, sf, farthest: bool) -> DataFrame:
+    from answerlake.sources.tables import table
+    emb = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    d = R.dense_distances(dense_questions(spark, sf), emb, q_key="item_id", q_vec="qvec")
+    top = R.dense_topk(d, C.TOP_K, q_key="item_id", farthest=farthest)
+    return top.select(big("item_id").alias("item_id"), big("vec_id").alias("vec_id"),
+                      big("rank").alias("rank"), r6("distance").alias("distance"))
+
+
+@query("dense_topk_nearest")
+def q_dense_topk_nearest(spark, sf):
+    return _dense(spark, sf, farthest=False)
+
+
+@query("dense_topk_farthest")
+def q_dense_topk_farthest(spark, sf):
+    return _dense(spark, sf, farthest=True)
+
+
+@query("embed_join_filter")
+def q_embed_join_filter(spark, sf):
+    q = dense_questions(spark, sf)
+    return q.select(big("item_id").alias("item_id"), big(F.length("text")).alias("n_chars"),
+                    big(F.size("qvec")).alias("dim"))
+
+
+# ----------------------------------------------------------------- votes ----
+
+def order_votes(spark, sf) -> DataFrame:
+    """Test role: ``orders`` as vote records; priority = category, status F/O =
+    the two candidates, P = no vote."""
+    from answerlake.sources.inline import CANDIDATES
+    from answerlake.sources.tables import table
+    o = table(spark, sf, "orders").select("o_orderpriority", "o_orderstatus")
+    vote = (F.when(F.col("o_orderstatus") == "F", F.lit(CANDIDATES[0]))
+            .when(F.col("o_orderstatus") == "O", F.lit(CANDIDATES[1])))
+    return o.select(F.col("o_orderpriority").alias("category"), vote.alias("vote"))
+
+
+@query("vote_counts")
+def q_vote_counts(spark, sf):
+    from answerlake.operators.votes import vote_counts
+    return vote_counts(order_votes(spark, sf))
+
+
+@query("vote_pivot")
+def q_vote_pivot(spark, sf):
+    from answerlake.operators.votes import vote_pivot
+    return vote_pivot(order_votes(spark, sf))
+
+
+@query("vote_percent")
+def q_vote_percent(spark, sf):
+    from answerlake.operators.votes import vote_percent, vote_pivot
+    from answerlake.sources.inline import CANDIDATES
+    p = vote_percent(vote_pivot(order_votes(spark, sf)))
+    return p.select("category", *[f"{c}_pct" for c in CANDIDATES])
+
+
+@query("top_categories")
+def q_top_categories(spark, sf):
+    from answerlake.operators.votes import total_label, vote_pivot
+    p = vote_pivot(order_votes(spark, sf))
+    return p.select("category", "total", total_label("total").alias("label")).orderBy("total", "category")
+
+
+# ------------------------------------------------------------ engagement ----
+
+def _events(spark, sf) -> DataFrame:
+    from answerlake.operators.engagement import engagement_events
+    from answerlake.sources.tables import table
+    return engagement_events(table(spark, sf, "events"))
+
+
+def _milestones(spark, sf) -> DataFrame:
+    from answerlake.operators.engagement import milestone_events, milestones
+    from answerlake.sources.inline import badge_rules
+    return milestones(milestone_events(_events(spark, sf)), badge_rules(spark))
+
+
+@query("milestones")
+def q_milestones(spark, sf):
+    m = _milestones(spark, sf)
+    return m.select(big("user_id").alias("user_id"), big("badge_id").alias("badge_id"),
+                    big("event_id").alias("event_id"))
+
+
+def _badges_earned(spark, sf) -> DataFrame:
+    from answerlake.operators.engagement import award_once, streak_badges, streaks, vote_days
+    m = _milestones(spark, sf).select("user_id", "badge_id", F.to_date("ts").alias("earned_day"))
+    votes = _events(spark, sf).filter(F.col("kind") == "vote")
+    s = streak_badges(streaks(vote_days(votes))).select("user_id", "badge_id", "earned_day")
+    return award_once(m.unionByName(s), "earned_day")
+
+
+@query("badges_earned")
+def q_badges_earned(spark, sf):
+    b = _badges_earned(spark, sf)
+    return b.select(big("user_id").alias("user_id"), big("badge_id").alias("badge_id"),
+                    F.date_format("earned_day", "yyyy-MM-dd").alias("earned_day"))
+
+
+@query("badge_names")
+def q_badge_names(spark, sf):
+    from pyspark.sql import Window
+    from answerlake.sources.inline import badges
+    b = _badges_earned(spark, sf).join(F.broadcast(badges(spark)), "badge_id")
+    pos = F.row_number().over(Window.partitionBy("user_id").orderBy("earned_day", "badge_id")) - 1
+    return b.select(big("user_id").alias("user_id"), big("badge_id").alias("badge_id"), "name",
+                    F.when(pos % 2 == 0, F.lit("left")).otherwise(F.lit("right")).alias("list_side"))
+
+
+@query("vote_streaks")
+def q_vote_streaks(spark, sf):
+    from answerlake.operators.engagement import streaks, vote_days
+    votes = _events(spark, sf).filter(F.col("kind") == "vote")
+    s = streaks(vote_days(votes))
+    return s.select(big("user_id").alias("user_id"),
+                    F.date_format("start_day", "yyyy-MM-dd").alias("start_day"),
+                    F.date_format("end_day", "yyyy-MM-dd").alias("end_day"), big("length").alias("length"))
+
+
+@query("session_counters")
+def q_session_counters(spark, sf):
+    from answerlake.operators.engagement import quiz_correct
+    from answerlake.sources.tables import table
+    ev = table(spark, sf, "events")
+    e = _events(spark, sf)
+    corr = quiz_correct(F.col("answer"), F.col("answer_key"))
+    per = e.groupBy("user_id").agg(
+        F.count_if(F.col("kind") == "question").alias("n_questions"),
+        F.count_if(F.col("kind") == "vote").alias("n_votes"),
+        F.count_if(F.col("kind") == "topic_click").alias("n_topic_clicks"),
+        F.count_if((F.col("kind") == "quiz_answer") & corr).alias("n_correct"),
+        F.count_if((F.col("kind") == "quiz_answer") & ~corr).alias("n_incorrect"))
+    errors = ev.groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("n_failed_asks"))
+    return (errors.join(per, "user_id", "left")
+            .select(big("user_id").alias("user_id"),
+                    *[big(F.coalesce(c, F.lit(0))).alias(c) for c in
+                      ["n_questions", "n_votes", "n_topic_clicks", "n_correct", "n_incorrect"]],
+                    big("n_failed_asks").alias("n_failed_asks")))
+
+
+@query("quiz_score")
+def q_quiz_score(spark, sf):
+    from answerlake.operators.engagement import quiz_correct
+    e = _events(spark, sf).filter(F.col("kind") == "quiz_answer")
+    corr = quiz_correct(F.col("answer"), F.col("answer_key"))
+    return e.groupBy("user_id").agg(big(F.count_if(corr)).alias("correct"),
+                                    big(F.count_if(~corr)).alias("incorrect")) \
+        .select(big("user_id").alias("user_id"), "correct", "incorrect")
+
+
+def first_votes(spark, sf) -> DataFrame:
+    """Votes matched to the voter's latest question; the first vote per
+    question counts (later ones are ignored, as the disabled buttons do)."""
+    from answerlake.operators.engagement import latest_before, props_k, slot_a_candidate
+    from answerlake.operators.votes import first_per_key
+    from answerlake.sources.inline import CANDIDATES
+    e = _events(spark, sf)
+    qs = e.filter(F.col("kind") == "question").select("user_id", "ts", "event_id")
+    votes = e.filter(F.col("kind") == "vote").select("user_id", "ts", "event_id", "k")
+    matched = latest_before(qs, votes.select("user_id", "ts", "event_id"), "user_id", "event_id",
+                            out="question_id").filter(F.col("question_id").isNotNull())
+    matched = matched.join(votes.select("event_id", "k"), "event_id")
+    first = first_per_key(matched, ["question_id"], ["ts", "event_id"])
+    slot = F.when(F.pmod(F.col("k"), F.lit(2)) == 0, F.lit("A")).otherwise(F.lit("B"))
+    a = slot_a_candidate("question_id")
+    other = F.when(a == F.lit(CANDIDATES[0]), F.lit(CANDIDATES[1])).otherwise(F.lit(CANDIDATES[0]))
+    return first.select("question_id", "user_id", F.col("event_id").alias("vote_id"), slot.alias("slot"),
+                        F.when(slot == "A", a).otherwise(other).alias("candidate"))
+
+
+@query("first_vote_per_question")
+def q_first_vote_per_question(spark, sf):
+    f = first_votes(spark, sf)
+    return f.select(big("question_id").alias("question_id"), big("user_id").alias("user_id"),
+                    big("vote_id").alias("vote_id"), "slot", "candidate")
+
+
+@query("vote_tally_winner")
+def q_vote_tally_winner(spark, sf):
+    from answerlake.operators.votes import winner
+    from answerlake.sources.inline import CANDIDATES, DISPLAY_NAMES
+    a, b = CANDIDATES
+    f = first_votes(spark, sf)
+    t = f.groupBy("user_id").agg(F.count_if(F.col("candidate") == a).alias(a),
+                                 F.count_if(F.col("candidate") == b).alias(b))
+    return t.select(big("user_id").alias("user_id"), big(a).alias(a), big(b).alias(b),
+                    winner(F.col(a), F.col(b), DISPLAY_NAMES[a], DISPLAY_NAMES[b]).alias("winner"))
+
+
+@query("answer_summary")
+def q_answer_summary(spark, sf):
+    from answerlake.operators.votes import display_name
+    e = _events(spark, sf).filter(F.col("kind") == "question")
+    f = first_votes(spark, sf).select("question_id", F.col("candidate").alias("picked"))
+    out = e.select(F.col("event_id").alias("question_id"), "user_id").join(f, "question_id", "left")
+    return out.select(big("question_id").alias("question_id"), big("user_id").alias("user_id"), "picked",
+                      display_name(F.col("picked")).alias("picked_name"))
+
+
+@query("blind_assignment")
+def q_blind_assignment(spark, sf):
+    from answerlake.operators.engagement import blind_assignment
+    a = blind_assignment(C.questions(spark, sf), "item_id")
+    return a.select(big("item_id").alias("item_id"), "slot", "candidate")
+
+
+SAMPLE_SEED = "debate"
+
+
+@query("sample_questions")
+def q_sample_questions(spark, sf):
+    from answerlake.operators.engagement import sample_n
+    s = sample_n(C.questions(spark, sf), 3, SAMPLE_SEED, "item_id")
+    return s.select(big("item_id").alias("item_id"), "text")
+
+
+@query("candidate_prompts")
+def q_candidate_prompts(spark, sf):
+    from answerlake.operators.engagement import blind_assignment
+    from answerlake.operators.prompts import candidate_prompts
+    from answerlake.sources.inline import templates
+    qs = C.questions(spark, sf)
+    p = candidate_prompts(qs, blind_assignment(qs, "item_id"), templates(spark), "item_id")
+    return p.select(big("item_id").alias("item_id"), "slot", "candidate", "prompt")
+
+
+@query("debate_day_first")
+def q_debate_day_first(spark, sf):
+    """Declared only: one eligible debate per day, the day resetting at 13:00."""
+    e = _events(spark, sf).filter(F.col("kind") == "vote")
+    day = F.window(F.col("ts").cast("timestamp"), "1 day", "1 day", "13 hours").getField("start")
+    first = e.groupBy("user_id", day.alias("day_start")).agg(
+        F.min(F.struct("ts", "event_id")).getField("event_id").alias("first_vote_id"),
+        F.count("*").alias("n_votes"))
+    return first.select(big("user_id").alias("user_id"),
+                        F.date_format("day_start", "yyyy-MM-dd HH:mm:ss").alias("day_start"),
+                        big("first_vote_id").alias("first_vote_id"), big("n_votes").alias("n_votes"))

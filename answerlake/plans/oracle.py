@@ -248,3 +248,234 @@ SELECT CAST(item_id AS BIGINT) AS item_id, CAST(doc_id AS BIGINT) AS doc_id,
        CAST(pack_id AS BIGINT) AS pack_id, CAST(para_idx AS BIGINT) AS para_idx,
        round(score, 6) AS score
 FROM ranked WHERE rn = 1""")
+
+# --- dense --------------------------------------------------------------------
+
+DENSE_BASE = """
+q AS (SELECT b.item_id, CAST(e.embedding AS DOUBLE[]) AS qv
+      FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id WHERE e.embedding IS NOT NULL),
+v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS ev FROM embeddings),
+d AS (SELECT q.item_id, v.vec_id,
+             1.0 - list_dot_product(q.qv, v.ev)
+                   / (sqrt(list_dot_product(q.qv, q.qv)) * sqrt(list_dot_product(v.ev, v.ev))) AS distance
+      FROM q CROSS JOIN v)"""
+
+oracle("dense_topk_nearest", f"""
+WITH {DENSE_BASE},
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(distance, 9), vec_id) AS rn
+      FROM d WHERE distance IS NOT NULL)
+SELECT CAST(item_id AS BIGINT) AS item_id, CAST(vec_id AS BIGINT) AS vec_id, CAST(rn AS BIGINT) AS rank,
+       round(distance, 6) + 0.0 AS distance
+FROM r WHERE rn <= {TOP_K}""")
+
+oracle("dense_topk_farthest", f"""
+WITH {DENSE_BASE},
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(distance, 9) DESC, vec_id) AS rn
+      FROM d WHERE distance > 0)
+SELECT CAST(item_id AS BIGINT) AS item_id, CAST(vec_id AS BIGINT) AS vec_id, CAST(rn AS BIGINT) AS rank,
+       round(distance, 6) + 0.0 AS distance
+FROM r WHERE rn <= {TOP_K}""")
+
+oracle("embed_join_filter", """
+SELECT CAST(b.item_id AS BIGINT) AS item_id, CAST(length(b.text) AS BIGINT) AS n_chars,
+       CAST(len(e.embedding) AS BIGINT) AS dim
+FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id WHERE e.embedding IS NOT NULL""")
+
+# --- votes --------------------------------------------------------------------
+
+VOTES = """
+votes AS (
+  SELECT o_orderpriority AS category,
+         CASE o_orderstatus WHEN 'F' THEN 'trump' WHEN 'O' THEN 'biden' END AS vote
+  FROM orders),
+piv AS (
+  SELECT category, count(*) FILTER (WHERE vote = 'trump') AS trump,
+         count(*) FILTER (WHERE vote = 'biden') AS biden
+  FROM votes WHERE vote IS NOT NULL AND category IS NOT NULL GROUP BY category)"""
+
+oracle("vote_counts", f"""
+WITH {VOTES}
+SELECT vote, count(*) AS n FROM votes WHERE vote IS NOT NULL GROUP BY vote""")
+
+oracle("vote_pivot", f"""
+WITH {VOTES}
+SELECT category, trump, biden, trump + biden AS total FROM piv""")
+
+oracle("vote_percent", f"""
+WITH {VOTES}
+SELECT category, round_even(100.0 * trump / (trump + biden), 2) AS trump_pct,
+       round_even(100.0 * biden / (trump + biden), 2) AS biden_pct
+FROM piv""")
+
+oracle("top_categories", f"""
+WITH {VOTES}
+SELECT category, trump + biden AS total, printf('%.0f', CAST(trump + biden AS DOUBLE)) AS label
+FROM piv ORDER BY total, category""")
+
+# --- engagement ---------------------------------------------------------------
+
+EVENTS = """
+ev AS (
+  SELECT event_id, user_id, ts, event_type, value,
+         CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+         CASE event_type WHEN 'view' THEN 'question' WHEN 'purchase' THEN 'vote'
+                         WHEN 'click' THEN 'topic_click' WHEN 'signup' THEN 'quiz_answer' END AS kind
+  FROM events),
+quiz AS (
+  SELECT *, CASE WHEN k % 2 = 0 THEN 'trump' ELSE 'biden' END AS answer,
+            CASE WHEN CAST(floor(value) AS BIGINT) % 2 = 0 THEN 'trump' ELSE 'biden' END AS answer_key
+  FROM ev WHERE kind = 'quiz_answer'),
+mev AS (
+  SELECT user_id, kind, ts, event_id FROM ev WHERE kind IN ('question', 'vote', 'topic_click')
+  UNION ALL
+  SELECT user_id, 'correct', ts, event_id FROM quiz WHERE lower(answer) = lower(answer_key)),
+nth AS (SELECT *, row_number() OVER (PARTITION BY user_id, kind ORDER BY ts, event_id) AS n FROM mev),
+rules(kind, n, badge_id) AS (VALUES
+  ('question', 1, 1), ('question', 10, 4), ('question', 20, 9), ('question', 50, 14),
+  ('vote', 1, 2), ('vote', 10, 5), ('vote', 20, 10), ('vote', 50, 15),
+  ('correct', 1, 16), ('correct', 10, 17), ('correct', 20, 18), ('topic_click', 1, 20)),
+ms AS (SELECT nth.user_id, rules.badge_id, nth.event_id, nth.ts FROM nth JOIN rules USING (kind, n)),
+vdays AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM ev WHERE kind = 'vote'),
+isl AS (SELECT user_id, day, day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS INTEGER) AS g
+        FROM vdays),
+runs AS (SELECT user_id, min(day) AS start_day, max(day) AS end_day, count(*) AS length
+         FROM isl GROUP BY user_id, g),
+streak_rules(days, badge_id) AS (VALUES (7, 3), (30, 8), (90, 13)),
+sb AS (SELECT r.user_id, s.badge_id, r.start_day + (s.days - 1) AS earned_day
+       FROM runs r JOIN streak_rules s ON r.length >= s.days),
+earned AS (
+  SELECT user_id, badge_id, min(earned_day) AS earned_day FROM (
+    SELECT user_id, badge_id, CAST(ts AS DATE) AS earned_day FROM ms
+    UNION ALL SELECT user_id, badge_id, earned_day FROM sb) GROUP BY ALL)"""
+
+oracle("milestones", f"""
+WITH {EVENTS}
+SELECT CAST(user_id AS BIGINT) AS user_id, CAST(badge_id AS BIGINT) AS badge_id,
+       CAST(event_id AS BIGINT) AS event_id FROM ms""")
+
+oracle("badges_earned", f"""
+WITH {EVENTS}
+SELECT CAST(user_id AS BIGINT) AS user_id, CAST(badge_id AS BIGINT) AS badge_id,
+       strftime(earned_day, '%Y-%m-%d') AS earned_day FROM earned""")
+
+BADGE_VALUES = ", ".join(f"({i}, '{n.replace(chr(39), chr(39) * 2)}')"
+                         for i, n, _ in __import__("answerlake.sources.inline", fromlist=["BADGES"]).BADGES)
+
+oracle("badge_names", f"""
+WITH {EVENTS},
+cat(badge_id, name) AS (VALUES {BADGE_VALUES})
+SELECT CAST(e.user_id AS BIGINT) AS user_id, CAST(e.badge_id AS BIGINT) AS badge_id, c.name,
+       CASE WHEN (row_number() OVER (PARTITION BY e.user_id ORDER BY e.earned_day, e.badge_id) - 1) % 2 = 0
+            THEN 'left' ELSE 'right' END AS list_side
+FROM earned e JOIN cat c USING (badge_id)""")
+
+oracle("vote_streaks", f"""
+WITH {EVENTS}
+SELECT CAST(user_id AS BIGINT) AS user_id, strftime(start_day, '%Y-%m-%d') AS start_day,
+       strftime(end_day, '%Y-%m-%d') AS end_day, CAST(length AS BIGINT) AS length FROM runs""")
+
+oracle("session_counters", f"""
+WITH {EVENTS},
+per AS (
+  SELECT user_id,
+         count(*) FILTER (WHERE kind = 'question') AS n_questions,
+         count(*) FILTER (WHERE kind = 'vote') AS n_votes,
+         count(*) FILTER (WHERE kind = 'topic_click') AS n_topic_clicks
+  FROM ev GROUP BY user_id),
+qz AS (
+  SELECT user_id, count(*) FILTER (WHERE lower(answer) = lower(answer_key)) AS n_correct,
+         count(*) FILTER (WHERE lower(answer) <> lower(answer_key)) AS n_incorrect
+  FROM quiz GROUP BY user_id),
+err AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS n_failed_asks FROM events GROUP BY user_id)
+SELECT CAST(err.user_id AS BIGINT) AS user_id,
+       CAST(coalesce(per.n_questions, 0) AS BIGINT) AS n_questions,
+       CAST(coalesce(per.n_votes, 0) AS BIGINT) AS n_votes,
+       CAST(coalesce(per.n_topic_clicks, 0) AS BIGINT) AS n_topic_clicks,
+       CAST(coalesce(qz.n_correct, 0) AS BIGINT) AS n_correct,
+       CAST(coalesce(qz.n_incorrect, 0) AS BIGINT) AS n_incorrect,
+       CAST(err.n_failed_asks AS BIGINT) AS n_failed_asks
+FROM err LEFT JOIN per USING (user_id) LEFT JOIN qz USING (user_id)""")
+
+oracle("quiz_score", f"""
+WITH {EVENTS}
+SELECT CAST(user_id AS BIGINT) AS user_id,
+       CAST(count(*) FILTER (WHERE lower(answer) = lower(answer_key)) AS BIGINT) AS correct,
+       CAST(count(*) FILTER (WHERE lower(answer) <> lower(answer_key)) AS BIGINT) AS incorrect
+FROM quiz GROUP BY user_id""")
+
+FIRST_VOTES = EVENTS + """,
+qs AS (SELECT user_id, ts, event_id FROM ev WHERE kind = 'question'),
+vs AS (SELECT user_id, ts, event_id, k FROM ev WHERE kind = 'vote'),
+matched AS (
+  SELECT v.*, (SELECT q.event_id FROM qs q
+               WHERE q.user_id = v.user_id AND (q.ts < v.ts OR (q.ts = v.ts AND q.event_id < v.event_id))
+               ORDER BY q.ts DESC, q.event_id DESC LIMIT 1) AS question_id
+  FROM vs v),
+firstv AS (
+  SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY ts, event_id) AS rn
+  FROM matched WHERE question_id IS NOT NULL),
+fv AS (
+  SELECT question_id, user_id, event_id AS vote_id,
+         CASE WHEN k % 2 = 0 THEN 'A' ELSE 'B' END AS slot,
+         CASE WHEN substr(md5(CAST(question_id AS VARCHAR)), 32, 1) IN ('0','2','4','6','8','a','c','e')
+              THEN 'trump' ELSE 'biden' END AS a_cand
+  FROM firstv WHERE rn = 1),
+fvc AS (
+  SELECT *, CASE WHEN slot = 'A' THEN a_cand WHEN a_cand = 'trump' THEN 'biden' ELSE 'trump' END AS candidate
+  FROM fv)"""
+
+oracle("first_vote_per_question", f"""
+WITH {FIRST_VOTES}
+SELECT CAST(question_id AS BIGINT) AS question_id, CAST(user_id AS BIGINT) AS user_id,
+       CAST(vote_id AS BIGINT) AS vote_id, slot, candidate FROM fvc""")
+
+oracle("vote_tally_winner", f"""
+WITH {FIRST_VOTES},
+t AS (SELECT user_id, count(*) FILTER (WHERE candidate = 'trump') AS trump,
+             count(*) FILTER (WHERE candidate = 'biden') AS biden FROM fvc GROUP BY user_id)
+SELECT CAST(user_id AS BIGINT) AS user_id, CAST(trump AS BIGINT) AS trump, CAST(biden AS BIGINT) AS biden,
+       CASE WHEN trump > biden THEN 'Donald Trump' WHEN biden > trump THEN 'Joe Biden' ELSE 'Tie' END AS winner
+FROM t""")
+
+oracle("answer_summary", f"""
+WITH {FIRST_VOTES}
+SELECT CAST(q.event_id AS BIGINT) AS question_id, CAST(q.user_id AS BIGINT) AS user_id,
+       f.candidate AS picked,
+       CASE f.candidate WHEN 'trump' THEN 'Donald Trump' WHEN 'biden' THEN 'Joe Biden' END AS picked_name
+FROM qs q LEFT JOIN fvc f ON f.question_id = q.event_id""")
+
+oracle("blind_assignment", """
+WITH a AS (
+  SELECT item_id, CASE WHEN substr(md5(CAST(item_id AS VARCHAR)), 32, 1) IN ('0','2','4','6','8','a','c','e')
+                       THEN 'trump' ELSE 'biden' END AS a_cand FROM benchmark)
+SELECT CAST(item_id AS BIGINT) AS item_id, 'A' AS slot, a_cand AS candidate FROM a
+UNION ALL
+SELECT CAST(item_id AS BIGINT), 'B', CASE WHEN a_cand = 'trump' THEN 'biden' ELSE 'trump' END FROM a""")
+
+oracle("sample_questions", """
+SELECT CAST(item_id AS BIGINT) AS item_id, text FROM benchmark
+ORDER BY md5('debate' || CAST(item_id AS VARCHAR)), item_id LIMIT 3""")
+
+_T = __import__("answerlake.sources.inline", fromlist=["CANDIDATE_TEMPLATES"]).CANDIDATE_TEMPLATES
+TEMPLATE_VALUES = ", ".join(f"('{c}', '{t.replace(chr(39), chr(39) * 2)}')" for c, t in _T.items())
+
+oracle("candidate_prompts", f"""
+WITH a AS (
+  SELECT item_id, text, CASE WHEN substr(md5(CAST(item_id AS VARCHAR)), 32, 1) IN ('0','2','4','6','8','a','c','e')
+                             THEN 'trump' ELSE 'biden' END AS a_cand FROM benchmark),
+s AS (
+  SELECT item_id, text, 'A' AS slot, a_cand AS candidate FROM a
+  UNION ALL
+  SELECT item_id, text, 'B', CASE WHEN a_cand = 'trump' THEN 'biden' ELSE 'trump' END FROM a),
+tpl(candidate, template) AS (VALUES {TEMPLATE_VALUES})
+SELECT CAST(item_id AS BIGINT) AS item_id, slot, candidate, template || text AS prompt
+FROM s JOIN tpl USING (candidate)""")
+
+oracle("debate_day_first", f"""
+WITH {EVENTS},
+d AS (SELECT user_id, event_id, ts,
+             date_trunc('day', ts - INTERVAL 13 HOUR) + INTERVAL 13 HOUR AS day_start
+      FROM ev WHERE kind = 'vote')
+SELECT CAST(user_id AS BIGINT) AS user_id, strftime(day_start, '%Y-%m-%d %H:%M:%S') AS day_start,
+       CAST(arg_min(event_id, (ts, event_id)) AS BIGINT) AS first_vote_id, count(*) AS n_votes
+FROM d GROUP BY user_id, day_start""")
