@@ -127,7 +127,7 @@ def extract_reference(text: Column) -> tuple[Column, Column]:
     """
     from answerlake.sources.inline import NO_REFERENCE
     url = F.regexp_extract(text, URL_PATTERN, 0)
-    pos = F.locate(url, text)  # 1-based position of the first occurrence
+    pos = F.position(url, text)  # 1-based position of the first occurrence
     head = F.when(pos > 1, text.substr(F.lit(1), pos - 1)).otherwise(F.lit(""))
     tail = text.substr(pos + F.length(url), F.length(text) + 1)
     cleaned = F.when(url == "", js_trim(text)).otherwise(js_trim(F.concat(head, tail)))

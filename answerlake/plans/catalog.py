@@ -443,3 +443,216 @@ def q_debate_day_first(spark, sf):
     return first.select(big("user_id").alias("user_id"),
                         F.date_format("day_start", "yyyy-MM-dd HH:mm:ss").alias("day_start"),
                         big("first_vote_id").alias("first_vote_id"), big("n_votes").alias("n_votes"))
+
+
+# --------------------------------------------------------------- prompts ----
+
+def chunk_hits_with_text(spark, sf) -> DataFrame:
+    """Threshold hits with their chunk text and file name."""
+    hits = threshold_hits(spark, sf)
+    chunks = C.filename(C.char_chunks(spark, sf)).select(*C.CHUNK_KEYS, "text", "filename")
+    return hits.join(chunks, list(C.CHUNK_KEYS))
+
+
+def _context_prompts(spark, sf) -> DataFrame:
+    from answerlake.operators.prompts import assemble_prompts, collect_contexts
+    ctx = collect_contexts(chunk_hits_with_text(spark, sf), "item_id", list(C.CHUNK_KEYS))
+    return assemble_prompts(C.questions(spark, sf), ctx, "item_id")
+
+
+@query("context_prompts")
+def q_context_prompts(spark, sf):
+    p = _context_prompts(spark, sf)
+    return p.select(big("item_id").alias("item_id"),
+                    big(F.coalesce(F.size("contexts"), F.lit(0))).alias("n_contexts"),
+                    big("prompt_tokens").alias("prompt_tokens"), big("truncated").alias("truncated"),
+                    "prompt", "response")
+
+
+@query("prompt_budget")
+def q_prompt_budget(spark, sf):
+    """Endpoint variant: the single top-1 paragraph as context, budget 2000."""
+    from answerlake.functions.text import token_count
+    from answerlake.operators.prompts import assemble_prompts
+    top = _top1(spark, sf, allow_zero=False).filter(F.col("response").isNull())
+    ctx = top.select("item_id", F.array("retrieved_text").alias("contexts"), F.array("filename").alias("filenames"))
+    p = assemble_prompts(C.questions(spark, sf), ctx, "item_id")
+    return p.select(big("item_id").alias("item_id"), big("prompt_tokens").alias("prompt_tokens"),
+                    big("truncated").alias("truncated"), big(token_count("prompt")).alias("final_tokens"),
+                    "response")
+
+
+@query("contexts_json")
+def q_contexts_json(spark, sf):
+    """contexts/filenames as JSON text at the sink; checked by parsing back."""
+    from answerlake.operators.prompts import collect_contexts
+    ctx = collect_contexts(chunk_hits_with_text(spark, sf), "item_id", list(C.CHUNK_KEYS))
+    j = ctx.select("item_id", F.to_json("contexts").alias("contexts_json"),
+                   F.to_json("filenames").alias("filenames_json"))
+    back = F.from_json("contexts_json", "array<string>")
+    files = F.from_json("filenames_json", "array<string>")
+    return j.select(big("item_id").alias("item_id"), big(F.size(back)).alias("n_contexts"),
+                    F.element_at(back, 1).alias("first_context"), F.element_at(files, -1).alias("last_filename"))
+
+
+# -------------------------------------------------------------- payloads ----
+
+def _turns(spark, sf) -> DataFrame:
+    from answerlake.sources.tables import table
+    return table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+
+
+@query("chat_requests")
+def q_chat_requests(spark, sf):
+    from answerlake.functions.payloads import chat_request, parse_chat_request
+    from answerlake.sources.inline import SYSTEM_CHAT
+    u = _turns(spark, sf).filter(F.col("role") == "user")
+    body = chat_request(F.lit(SYSTEM_CHAT), F.col("text"))
+    back = parse_chat_request(body)
+    return u.select(big("conv_id").alias("conv_id"), big("turn").alias("turn"),
+                    back.getField("model").alias("model"),
+                    big(F.size(back.getField("messages"))).alias("n_messages"),
+                    F.element_at(back.getField("messages"), 2).getField("content").alias("user_content"),
+                    big(back.getField("max_tokens")).alias("max_tokens"),
+                    back.getField("temperature").alias("temperature"))
+
+
+@query("chat_response_parse")
+def q_chat_response_parse(spark, sf):
+    """F8 + P25: assistant turns wrapped as completion responses (padded
+    content); system turns stand in for malformed bodies."""
+    from answerlake.functions.payloads import chat_response_body, response_content
+    t = _turns(spark, sf).filter(F.col("role").isin("assistant", "system"))
+    padded = F.concat(F.lit("  "), F.col("text"), F.lit("\n"))
+    body = F.when(F.col("role") == "assistant",
+                  chat_response_body(padded, F.concat(F.lit("resp-"), F.col("conv_id").cast("string"))))\
+        .otherwise(F.col("text"))
+    content = response_content(body)
+    return t.select(big("conv_id").alias("conv_id"), big("turn").alias("turn"), content.alias("content"),
+                    F.when(content.isNull(), F.lit("unparseable")).otherwise(F.lit("ok")).alias("status"))
+
+
+@query("embedding_parse")
+def q_embedding_parse(spark, sf):
+    from answerlake.functions.payloads import embedding_body, embedding_vector
+    from answerlake.sources.tables import table
+    e = table(spark, sf, "embeddings").filter(F.col("embedding").isNotNull())
+    v = embedding_vector(embedding_body(F.col("embedding")))
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
+    return e.select(big("vec_id").alias("vec_id"), big(F.size(v)).alias("dim"),
+                    r6(norm).alias("norm"), r6(F.element_at(v, 1)).alias("first"))
+
+
+def page_messages(spark, sf) -> DataFrame:
+    """Answer texts with a cited link, built from ``pages``: the page title,
+    then its URL twice (only the first occurrence is the reference)."""
+    from answerlake.sources.tables import table
+    p = table(spark, sf, "pages").select("page_id", "url", "html")
+    title = F.regexp_extract("html", r"<title>([^<]*)</title>", 1)
+    msg = F.concat(title, F.lit(" "), F.col("url"), F.lit(" see also "), F.col("url"), F.lit(" "))
+    return p.select("page_id", "url", msg.alias("message"))
+
+
+@query("reference_extract")
+def q_reference_extract(spark, sf):
+    from answerlake.functions.payloads import extract_reference
+    m = page_messages(spark, sf)
+    text, ref = extract_reference(F.col("message"))
+    return m.select(big("page_id").alias("page_id"), text.alias("text"), ref.alias("reference"))
+
+
+@query("source_basename")
+def q_source_basename(spark, sf):
+    """Base name of a source path, and the full path kept as is."""
+    from answerlake.sources.tables import table
+    p = table(spark, sf, "pages").select("page_id", "url")
+    return p.select(big("page_id").alias("page_id"), F.element_at(F.split("url", "/"), -1).alias("basename"),
+                    F.col("url").alias("source"))
+
+
+def quiz_messages(spark, sf) -> DataFrame:
+    """Trivia generator output stand-ins from user turns: question text and an
+    answer that may or may not be one of the candidates."""
+    u = _turns(spark, sf).filter(F.col("role") == "user")
+    n = F.length("text") % 3
+    ans = F.when(n == 0, F.lit("Trump")).when(n == 1, F.lit("biden")).otherwise(F.lit("nobody"))
+    return u.select("conv_id", "turn", F.concat(F.lit("Question: "), F.col("text"), F.lit(" Answer: "), ans)
+                    .alias("message"))
+
+
+QUIZ_FALLBACK = ("Generating Question, Please Wait", "trump")  # fixed values
+
+
+@query("quiz_parse")
+def q_quiz_parse(spark, sf):
+    from answerlake.functions.payloads import parse_quiz
+    from answerlake.sources.inline import CANDIDATES
+    m = quiz_messages(spark, sf)
+    q, a = parse_quiz(F.col("message"), CANDIDATES)
+    ok = q.isNotNull()
+    return m.select(big("conv_id").alias("conv_id"), big("turn").alias("turn"),
+                    F.coalesce(q, F.lit(QUIZ_FALLBACK[0])).alias("question"),
+                    F.coalesce(a, F.lit(QUIZ_FALLBACK[1])).alias("answer"),
+                    big(ok.cast("int")).alias("parsed"))
+
+
+# ------------------------------------------------------------------ logs ----
+
+def qa_pairs(spark, sf) -> DataFrame:
+    """Each user turn with the assistant turn that follows it."""
+    t = _turns(spark, sf)
+    q = t.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("query"))
+    a = t.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response"))
+    sys_ = t.filter(F.col("role") == "system").groupBy("conv_id").agg(
+        F.min_by("text", "turn").alias("context"))
+    return q.join(a, ["conv_id", "turn"], "left").join(sys_, "conv_id", "left")
+
+
+@query("log_rows")
+def q_log_rows(spark, sf):
+    """K1 columns (Query, Retrieved Text, Response, Filename)."""
+    from answerlake.operators.retrieval import NO_HIT_FILENAME
+    p = qa_pairs(spark, sf)
+    return p.select(big("conv_id").alias("conv_id"), big("turn").alias("turn"),
+                    F.col("query").alias("Query"), F.col("context").alias("Retrieved Text"),
+                    F.col("response").alias("Response"),
+                    F.when(F.col("context").isNull(), F.lit(NO_HIT_FILENAME))
+                    .otherwise(F.concat(F.lit("conversation/"), F.col("conv_id").cast("string")))
+                    .alias("Filename"))
+
+
+@query("latest_question")
+def q_latest_question(spark, sf):
+    """Latest question by id, per conversation (not global)."""
+    u = _turns(spark, sf).filter(F.col("role") == "user")
+    last = u.groupBy("conv_id").agg(F.max_by(F.struct("turn", "text"), "turn").alias("_l"))
+    return last.select(big("conv_id").alias("conv_id"), big("_l.turn").alias("turn"),
+                       F.col("_l.text").alias("query"))
+
+
+@query("response_rows")
+def q_response_rows(spark, sf):
+    """K4 + P17: response records with the fixed candidate id and vote flag;
+    the faithfulness column carries the offline support proxy."""
+    from answerlake.operators.evaluate import context_support
+    p = qa_pairs(spark, sf).filter(F.col("response").isNotNull()) \
+        .withColumn("answer_id", F.col("conv_id") * 1000 + F.col("turn"))
+    sup = context_support(p.select("answer_id", F.col("response").alias("answer")),
+                          p.select("answer_id", F.col("query").alias("context")), "answer_id")
+    out = p.join(sup, "answer_id")
+    return out.select(big("conv_id").alias("query_id"), big("turn").alias("turn"),
+                      F.lit(1).cast("bigint").alias("candidate_id"), F.col("response"),
+                      F.lit(0).cast("bigint").alias("user_voted"),
+                      F.lit(None).cast("double").alias("answer_relevancy"),
+                      r6(F.col("support").cast("double")).alias("faithfulness"))
+
+
+@query("sentinel_filter")
+def q_sentinel_filter(spark, sf):
+    """Drop sentinel and empty questions, and empty responses."""
+    from answerlake.sources.inline import SENTINELS
+    p = qa_pairs(spark, sf)
+    keep = (~F.lower("query").isin(*SENTINELS)) & (F.col("query") != "") \
+        & (F.coalesce(F.col("response"), F.lit("")) != "")
+    return p.filter(keep).select(big("conv_id").alias("conv_id"), big("turn").alias("turn"))

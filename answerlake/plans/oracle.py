@@ -479,3 +479,164 @@ d AS (SELECT user_id, event_id, ts,
 SELECT CAST(user_id AS BIGINT) AS user_id, strftime(day_start, '%Y-%m-%d %H:%M:%S') AS day_start,
        CAST(arg_min(event_id, (ts, event_id)) AS BIGINT) AS first_vote_id, count(*) AS n_votes
 FROM d GROUP BY user_id, day_start""")
+
+# --- prompts ------------------------------------------------------------------
+
+from answerlake.functions.payloads import QUIZ_QUESTION, URL_PATTERN, quiz_answer_pattern  # noqa: E402
+from answerlake.functions.text import PIECE_PATTERN  # noqa: E402
+
+NL2 = "chr(10) || chr(10)"
+
+
+def _tok(expr: str) -> str:
+    return f"len(regexp_extract_all({expr}, '{TOKEN_PATTERN}'))"
+
+
+def _truncate(expr: str, n: str) -> str:
+    return (f"CASE WHEN {_tok(expr)} <= {n} THEN {expr} WHEN {n} > 0 "
+            f"THEN array_to_string(regexp_extract_all({expr}, '{PIECE_PATTERN}')[1:{n}], '') ELSE '' END")
+
+
+def _prompt(ctx: str, q: str) -> str:
+    return f"'Context: ' || {ctx} || {NL2} || 'Question: ' || {q} || {NL2} || 'Answer:'"
+
+
+def prompt_ctes(ctx_cte: str) -> str:
+    """From ``{ctx_cte}(item_id, n, context)`` build ``pr`` with the budget rule."""
+    return f""",
+pr0 AS (
+  SELECT b.item_id, b.text AS q, c.n, c.context, {_prompt('c.context', 'b.text')} AS full_prompt,
+         2000 - {_tok(f"'Question: ' || b.text || {NL2} || 'Answer:'")} AS budget
+  FROM benchmark b LEFT JOIN {ctx_cte} c USING (item_id)),
+pr1 AS (SELECT *, {_tok('full_prompt')} AS ptok FROM pr0),
+pr AS (
+  SELECT item_id, n, ptok,
+         CASE WHEN n IS NULL THEN NULL WHEN ptok > 2000 THEN 1 ELSE 0 END AS truncated,
+         CASE WHEN n IS NULL THEN NULL WHEN ptok > 2000 THEN {_prompt(_truncate('context', 'budget'), 'q')}
+              ELSE full_prompt END AS prompt,
+         CASE WHEN n IS NULL THEN 'No suitable chunk found.' END AS response
+  FROM pr1)"""
+
+
+CHUNK_HITS = CHUNK_TFIDF + question_ctes("c") + scores_cte("c", CHUNK_KEYS) + f""",
+hits AS (
+  SELECT s.item_id, s.doc_id, s.para_idx, s.piece_idx, c.text,
+         c.source || '/' || CAST(c.doc_id AS VARCHAR) || '.txt' AS filename
+  FROM scores s JOIN chunks c USING (doc_id, para_idx, piece_idx) WHERE s.score > {THRESHOLD}),
+ctx AS (
+  SELECT item_id, count(*) AS n,
+         string_agg(text, ', ' ORDER BY doc_id, para_idx, piece_idx) AS context,
+         first(text ORDER BY doc_id, para_idx, piece_idx) AS first_context,
+         last(filename ORDER BY doc_id, para_idx, piece_idx) AS last_filename
+  FROM hits GROUP BY item_id)"""
+
+oracle("context_prompts", f"""
+WITH {CHUNK_HITS}{prompt_ctes('ctx')}
+SELECT CAST(item_id AS BIGINT) AS item_id, CAST(coalesce(n, 0) AS BIGINT) AS n_contexts,
+       CAST(ptok AS BIGINT) AS prompt_tokens, CAST(truncated AS BIGINT) AS truncated, prompt, response
+FROM pr""")
+
+oracle("contexts_json", f"""
+WITH {CHUNK_HITS}
+SELECT CAST(item_id AS BIGINT) AS item_id, CAST(n AS BIGINT) AS n_contexts, first_context, last_filename
+FROM ctx""")
+
+oracle("prompt_budget", f"""
+WITH {TOP1_BASE},
+hits AS (
+  SELECT b.item_id, 1 AS n, p.text AS context
+  FROM best b JOIN paras p USING (doc_id, para_idx)){prompt_ctes('hits')}
+SELECT CAST(item_id AS BIGINT) AS item_id, CAST(ptok AS BIGINT) AS prompt_tokens,
+       CAST(truncated AS BIGINT) AS truncated, CAST({_tok('prompt')} AS BIGINT) AS final_tokens, response
+FROM pr""")
+
+# --- payloads -----------------------------------------------------------------
+
+oracle("chat_requests", """
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, 'gpt-4o-mini' AS model,
+       CAST(2 AS BIGINT) AS n_messages, text AS user_content, CAST(100 AS BIGINT) AS max_tokens,
+       CAST(0.1 AS DOUBLE) AS temperature
+FROM conversations WHERE role = 'user'""")
+
+oracle("chat_response_parse", f"""
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn,
+       CASE WHEN role = 'assistant' THEN {_strip("'  ' || text || chr(10)")} END AS content,
+       CASE WHEN role = 'assistant' THEN 'ok' ELSE 'unparseable' END AS status
+FROM conversations WHERE role IN ('assistant', 'system')""")
+
+oracle("embedding_parse", """
+SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(len(embedding) AS BIGINT) AS dim,
+       round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm,
+       round(CAST(embedding[1] AS DOUBLE), 6) AS first
+FROM embeddings WHERE embedding IS NOT NULL""")
+
+PAGE_MSG = """
+m AS (
+  SELECT page_id, url,
+         regexp_extract(html, '<title>([^<]*)</title>', 1) || ' ' || url || ' see also ' || url || ' ' AS message
+  FROM pages)"""
+
+oracle("reference_extract", f"""
+WITH {PAGE_MSG}
+SELECT CAST(page_id AS BIGINT) AS page_id,
+       {_strip(f"regexp_replace(message, '{URL_PATTERN}', '')", JS_WS)} AS text,
+       CASE WHEN regexp_extract(message, '{URL_PATTERN}', 0) = '' THEN 'No reference provided'
+            ELSE regexp_extract(message, '{URL_PATTERN}', 0) END AS reference
+FROM m""")
+
+oracle("source_basename", """
+SELECT CAST(page_id AS BIGINT) AS page_id, string_split(url, '/')[-1] AS basename, url AS source FROM pages""")
+
+_ANS = quiz_answer_pattern(["trump", "biden"])
+
+oracle("quiz_parse", f"""
+WITH m AS (
+  SELECT conv_id, turn,
+         'Question: ' || text || ' Answer: ' ||
+         CASE length(text) % 3 WHEN 0 THEN 'Trump' WHEN 1 THEN 'biden' ELSE 'nobody' END AS message
+  FROM conversations WHERE role = 'user'),
+p AS (SELECT *, regexp_matches(message, '{QUIZ_QUESTION}') AND regexp_matches(message, '{_ANS}') AS ok FROM m)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn,
+       CASE WHEN ok THEN {_strip(f"regexp_extract(message, '{QUIZ_QUESTION}', 1)", JS_WS)}
+            ELSE 'Generating Question, Please Wait' END AS question,
+       CASE WHEN ok THEN {_strip(f"regexp_extract(message, '{_ANS}', 1)", JS_WS)} ELSE 'trump' END AS answer,
+       CAST(CASE WHEN ok THEN 1 ELSE 0 END AS BIGINT) AS parsed
+FROM p""")
+
+# --- logs ---------------------------------------------------------------------
+
+QA = """
+qq AS (SELECT conv_id, turn, text AS query FROM conversations WHERE role = 'user'),
+aa AS (SELECT conv_id, turn - 1 AS turn, text AS response FROM conversations WHERE role = 'assistant'),
+ss AS (SELECT conv_id, arg_min(text, turn) AS context FROM conversations WHERE role = 'system' GROUP BY conv_id),
+qa AS (SELECT * FROM qq LEFT JOIN aa USING (conv_id, turn) LEFT JOIN ss USING (conv_id))"""
+
+oracle("log_rows", f"""
+WITH {QA}
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, query AS "Query",
+       context AS "Retrieved Text", response AS "Response",
+       CASE WHEN context IS NULL THEN 'N/A' ELSE 'conversation/' || CAST(conv_id AS VARCHAR) END AS "Filename"
+FROM qa""")
+
+oracle("latest_question", """
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(max(turn) AS BIGINT) AS turn, arg_max(text, turn) AS query
+FROM conversations WHERE role = 'user' GROUP BY conv_id""")
+
+oracle("response_rows", f"""
+WITH {QA},
+p AS (SELECT * FROM qa WHERE response IS NOT NULL),
+ans_t AS (SELECT DISTINCT conv_id, turn, term FROM (
+         SELECT conv_id, turn, unnest(regexp_extract_all(lower(response), '{TERM_PATTERN}')) AS term FROM p)),
+ctx_t AS (SELECT DISTINCT conv_id, turn, term FROM (
+         SELECT conv_id, turn, unnest(regexp_extract_all(lower(query), '{TERM_PATTERN}')) AS term FROM p)),
+sup AS (SELECT a.conv_id, a.turn, count(*) AS n_terms, count(c.term) AS n_sup
+        FROM ans_t a LEFT JOIN ctx_t c USING (conv_id, turn, term) GROUP BY ALL)
+SELECT CAST(p.conv_id AS BIGINT) AS query_id, CAST(p.turn AS BIGINT) AS turn, CAST(1 AS BIGINT) AS candidate_id,
+       p.response, CAST(0 AS BIGINT) AS user_voted, CAST(NULL AS DOUBLE) AS answer_relevancy,
+       round(CAST(s.n_sup AS DOUBLE) / s.n_terms, 6) AS faithfulness
+FROM p LEFT JOIN sup s USING (conv_id, turn)""")
+
+oracle("sentinel_filter", f"""
+WITH {QA}
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn FROM qa
+WHERE lower(query) NOT IN ('exit', 'quit') AND query <> '' AND coalesce(response, '') <> ''""")
