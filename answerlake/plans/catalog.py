@@ -656,3 +656,131 @@ def q_sentinel_filter(spark, sf):
     keep = (~F.lower("query").isin(*SENTINELS)) & (F.col("query") != "") \
         & (F.coalesce(F.col("response"), F.lit("")) != "")
     return p.filter(keep).select(big("conv_id").alias("conv_id"), big("turn").alias("turn"))
+
+
+# -------------------------------------------------------- classification ----
+
+CENTROID_MIN_SCORE = 0.2
+
+
+@query("classify_centroid")
+def q_classify_centroid(spark, sf):
+    from answerlake.operators.classify import centroids, classify_centroid
+    from answerlake.sources.tables import table
+    e = table(spark, sf, "embeddings").filter(F.col("embedding").isNotNull()).select("vec_id", "embedding", "label")
+    out = classify_centroid(e, centroids(e), min_score=CENTROID_MIN_SCORE)
+    return out.select(big("vec_id").alias("vec_id"), "category", r6("score").alias("score"))
+
+
+@query("classify_terms")
+def q_classify_terms(spark, sf):
+    from answerlake.operators.classify import classify_terms
+    from answerlake.sources.inline import taxonomy
+    out = classify_terms(C.questions(spark, sf), taxonomy(spark, with_other=False), "item_id")
+    return out.select(big("item_id").alias("item_id"), "category", r6("score").alias("score"))
+
+
+def model_labels(spark, sf) -> DataFrame:
+    """Stand-in for model-assigned labels: the first word of each assistant
+    turn, capitalised (free text, so some fall outside the taxonomy)."""
+    t = _turns(spark, sf).filter(F.col("role") == "assistant")
+    w = F.regexp_extract("text", r"\p{L}+", 0)
+    label = F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 20)))
+    return t.select("conv_id", "turn", label.alias("category"))
+
+
+@query("offtaxonomy_labels")
+def q_offtaxonomy_labels(spark, sf):
+    from answerlake.operators.classify import offtaxonomy
+    from answerlake.sources.inline import taxonomy
+    out = offtaxonomy(model_labels(spark, sf), taxonomy(spark))
+    return out.select("category", big("n").alias("n"))
+
+
+@query("stub_category")
+def q_stub_category(spark, sf):
+    from answerlake.operators.classify import stub_category
+    out = stub_category(C.questions(spark, sf))
+    return out.select(big("item_id").alias("item_id"), F.col("text").alias("Questions"), "Category")
+
+
+# ------------------------------------------------------------ evaluation ----
+
+@query("context_support")
+def q_context_support(spark, sf):
+    """Offline proxy: share of answer terms found in the question's context."""
+    from answerlake.operators.evaluate import context_support
+    p = qa_pairs(spark, sf).filter(F.col("response").isNotNull() & F.col("context").isNotNull()) \
+        .withColumn("answer_id", F.col("conv_id") * 1000 + F.col("turn"))
+    s = context_support(p.select("answer_id", F.col("response").alias("answer")),
+                        p.select("answer_id", "context"), "answer_id")
+    return s.select(big("answer_id").alias("answer_id"), big("n_terms").alias("n_terms"),
+                    big("n_supported").alias("n_supported"), r6("support").alias("support"))
+
+
+@query("faithfulness_avg")
+def q_faithfulness_avg(spark, sf):
+    """Judge verdicts (``labels.quality`` as supported) averaged per source."""
+    from answerlake.operators.evaluate import faithfulness
+    from answerlake.sources.tables import table
+    v = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("supported")) \
+        .join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    f = faithfulness(v, ["source"])
+    return f.select("source", big("n_claims").alias("n_claims"), r6("faithfulness").alias("faithfulness"))
+
+
+@query("relevancy_avg")
+def q_relevancy_avg(spark, sf):
+    """Mean cosine of each label's vectors to the label centroid."""
+    from answerlake.operators.classify import centroids
+    from answerlake.operators.evaluate import answer_relevancy
+    from answerlake.sources.tables import table
+    e = table(spark, sf, "embeddings").filter(F.col("embedding").isNotNull()).select("vec_id", "embedding", "label")
+    cents = centroids(e)
+    d = R.dense_distances(cents.select("label", "centroid"), e.select("vec_id", "embedding", F.col("label").alias("_vl")),
+                          q_key="label", q_vec="centroid")
+    own = d.join(e.select("vec_id", F.col("label").alias("_own")), "vec_id").filter(F.col("label") == F.col("_own"))
+    r = answer_relevancy(own, "label")
+    return r.select(big("label").alias("label"), big("n_generated").alias("n_generated"),
+                    r6("answer_relevancy").alias("answer_relevancy"))
+
+
+@query("score_by_day")
+def q_score_by_day(spark, sf):
+    from answerlake.operators.evaluate import score_by_day
+    from answerlake.sources.tables import table
+    s = score_by_day(table(spark, sf, "events"), "ts", ["value"])
+    return s.select("day", big("n").alias("n"), r6("avg_value").alias("avg_value"))
+
+
+EVAL_WEIGHTS = {"simple": 0.5, "reasoning": 0.25, "multi_context": 0.25}  # fixed values
+
+
+@query("eval_set_mix")
+def q_eval_set_mix(spark, sf):
+    from answerlake.operators.evaluate import eval_mix
+    p = C.paragraphs(spark, sf).filter(~is_blank("text"))
+    m = eval_mix(p, 10, EVAL_WEIGHTS, SAMPLE_SEED, ["doc_id", "para_idx"])
+    return m.select(big("doc_id").alias("doc_id"), big("para_idx").alias("para_idx"),
+                    big("rank").alias("rank"), "evolution")
+
+
+@query("eval_multi_context_pairs")
+def q_eval_multi_context_pairs(spark, sf):
+    from answerlake.operators.evaluate import rare_term_pairs
+    post, idf = C.chunk_index(spark, sf)
+    p = rare_term_pairs(post, idf, list(C.CHUNK_KEYS))
+    return p.select(*[big(F.col(f"{s}.{k}")).alias(f"{s}_{k}") for s in ("a", "b") for k in C.CHUNK_KEYS],
+                    big("n_shared").alias("n_shared"))
+
+
+@query("suggested_sample")
+def q_suggested_sample(spark, sf):
+    """S5 + G9: questions as a quoted list (one per line, trailing commas),
+    parsed back and sampled three at a time."""
+    from answerlake.operators.engagement import sample_n
+    from answerlake.sources.files import QUOTED_LINE
+    lines = C.questions(spark, sf).select(
+        "item_id", F.concat(F.lit('"'), F.translate("text", "\n", " "), F.lit('",')).alias("value"))
+    parsed = lines.select("item_id", F.regexp_extract("value", QUOTED_LINE, 1).alias("text"))
+    return sample_n(parsed, 3, SAMPLE_SEED, "item_id").select(big("item_id").alias("item_id"), "text")

@@ -640,3 +640,118 @@ oracle("sentinel_filter", f"""
 WITH {QA}
 SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn FROM qa
 WHERE lower(query) NOT IN ('exit', 'quit') AND query <> '' AND coalesce(response, '') <> ''""")
+
+# --- classification -----------------------------------------------------------
+
+from answerlake.sources.inline import TAXONOMY  # noqa: E402
+from answerlake.sources.files import QUOTED_LINE  # noqa: E402
+
+TAX_LIST = "[" + ", ".join(f"'{t}'" for t in TAXONOMY) + "]"
+TAX_VALUES = ", ".join(f"({i}, '{t}')" for i, t in enumerate(TAXONOMY))
+
+CENTROIDS = """
+e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL),
+cells AS (SELECT label, unnest(range(len(v))) AS d, unnest(v) AS x FROM e),
+mm AS (SELECT label, d, avg(x) AS m FROM cells GROUP BY ALL),
+cen AS (SELECT label, list(m ORDER BY d) AS c FROM mm GROUP BY label),
+sims AS (
+  SELECT e.vec_id, e.label AS own, cen.label,
+         list_dot_product(e.v, cen.c) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(cen.c, cen.c))) AS score
+  FROM e CROSS JOIN cen)"""
+
+oracle("classify_centroid", f"""
+WITH {CENTROIDS},
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(score, 9) DESC, label) AS rn
+      FROM sims WHERE score IS NOT NULL),
+b AS (SELECT * FROM r WHERE rn = 1)
+SELECT CAST(e.vec_id AS BIGINT) AS vec_id,
+       CASE WHEN b.score >= 0.2 AND b.label BETWEEN 0 AND {len(TAXONOMY) - 1}
+            THEN {TAX_LIST}[b.label + 1] ELSE 'Other' END AS category,
+       round(b.score, 6) AS score
+FROM e LEFT JOIN b USING (vec_id)""")
+
+oracle("relevancy_avg", f"""
+WITH {CENTROIDS}
+SELECT CAST(label AS BIGINT) AS label, count(score) AS n_generated, round(avg(score), 6) AS answer_relevancy
+FROM sims WHERE own = label GROUP BY label""")
+
+oracle("classify_terms", f"""
+WITH tax(label_id, text) AS (VALUES {TAX_VALUES}){tfidf_ctes("tax", ["label_id"], "t")}{question_ctes("t")}{scores_cte("t", ["label_id"])},
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, label_id) AS rn FROM scores)
+SELECT CAST(b.item_id AS BIGINT) AS item_id, coalesce(t.text, 'Other') AS category, round(r.score, 6) AS score
+FROM benchmark b LEFT JOIN r ON r.item_id = b.item_id AND r.rn = 1 LEFT JOIN tax t ON t.label_id = r.label_id""")
+
+oracle("offtaxonomy_labels", f"""
+WITH w AS (SELECT regexp_extract(text, '\\p{{L}}+', 0) AS w FROM conversations WHERE role = 'assistant'),
+l AS (SELECT upper(substring(w, 1, 1)) || lower(substring(w, 2, 1048576)) AS category FROM w)
+SELECT category, count(*) AS n FROM l
+WHERE category NOT IN (SELECT unnest({TAX_LIST[:-1]}, 'Other']))
+GROUP BY category""")
+
+oracle("stub_category", """
+SELECT CAST(item_id AS BIGINT) AS item_id, text AS "Questions", 'Test' AS "Category" FROM benchmark""")
+
+# --- evaluation ---------------------------------------------------------------
+
+oracle("context_support", f"""
+WITH {QA},
+p AS (SELECT conv_id * 1000 + turn AS answer_id, response, context FROM qa
+      WHERE response IS NOT NULL AND context IS NOT NULL),
+ans_t AS (SELECT DISTINCT answer_id, term FROM (
+            SELECT answer_id, unnest(regexp_extract_all(lower(response), '{TERM_PATTERN}')) AS term FROM p)),
+ctx_t AS (SELECT DISTINCT answer_id, term FROM (
+            SELECT answer_id, unnest(regexp_extract_all(lower(context), '{TERM_PATTERN}')) AS term FROM p)),
+sup AS (SELECT a.answer_id, count(*) AS n_terms, count(c.term) AS n_sup
+        FROM ans_t a LEFT JOIN ctx_t c USING (answer_id, term) GROUP BY ALL)
+SELECT CAST(p.answer_id AS BIGINT) AS answer_id, CAST(coalesce(s.n_terms, 0) AS BIGINT) AS n_terms,
+       CAST(coalesce(s.n_sup, 0) AS BIGINT) AS n_supported,
+       round(CAST(s.n_sup AS DOUBLE) / s.n_terms, 6) AS support
+FROM p LEFT JOIN sup s USING (answer_id)""")
+
+oracle("faithfulness_avg", """
+SELECT d.source, count(*) AS n_claims, round(avg(CAST(l.quality AS DOUBLE)), 6) AS faithfulness
+FROM labels l JOIN documents d USING (doc_id) GROUP BY d.source""")
+
+oracle("score_by_day", """
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS n, round(avg(value), 6) AS avg_value
+FROM events GROUP BY 1""")
+
+
+def _mix_case() -> str:
+    from answerlake.operators.evaluate import quotas
+    from answerlake.plans.catalog import EVAL_WEIGHTS
+    parts, upto = [], 0
+    for k, c in quotas(10, EVAL_WEIGHTS).items():
+        upto += c
+        parts.append(f"WHEN rank <= {upto} THEN '{k}'")
+    return "CASE " + " ".join(parts) + " END"
+
+
+oracle("eval_set_mix", f"""
+WITH {PARAS},
+t AS (SELECT doc_id, para_idx FROM paras WHERE {_strip('text')} <> ''
+      ORDER BY md5(concat_ws('|', 'debate', CAST(doc_id AS VARCHAR), CAST(para_idx AS VARCHAR))), doc_id, para_idx
+      LIMIT 10),
+r AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', 'debate', CAST(doc_id AS VARCHAR),
+                                                        CAST(para_idx AS VARCHAR))), doc_id, para_idx) AS rank FROM t)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(para_idx AS BIGINT) AS para_idx, CAST(rank AS BIGINT) AS rank,
+       {_mix_case()} AS evolution
+FROM r""")
+
+oracle("eval_multi_context_pairs", f"""
+WITH {CHUNK_TFIDF},
+p AS (SELECT doc_id, para_idx, piece_idx, term FROM c_post WHERE term IN (SELECT term FROM c_idf WHERE df = 2))
+SELECT CAST(a.doc_id AS BIGINT) AS a_doc_id, CAST(a.para_idx AS BIGINT) AS a_para_idx,
+       CAST(a.piece_idx AS BIGINT) AS a_piece_idx, CAST(b.doc_id AS BIGINT) AS b_doc_id,
+       CAST(b.para_idx AS BIGINT) AS b_para_idx, CAST(b.piece_idx AS BIGINT) AS b_piece_idx,
+       count(*) AS n_shared
+FROM p a JOIN p b ON a.term = b.term
+WHERE a.doc_id < b.doc_id OR (a.doc_id = b.doc_id AND (a.para_idx < b.para_idx
+      OR (a.para_idx = b.para_idx AND a.piece_idx < b.piece_idx)))
+GROUP BY ALL""")
+
+oracle("suggested_sample", f"""
+WITH l AS (SELECT item_id, '"' || replace(text, chr(10), ' ') || '",' AS value FROM benchmark),
+p AS (SELECT item_id, regexp_extract(value, '{QUOTED_LINE}', 1) AS text FROM l)
+SELECT CAST(item_id AS BIGINT) AS item_id, text FROM p
+ORDER BY md5('debate' || CAST(item_id AS VARCHAR)), item_id LIMIT 3""")
