@@ -784,3 +784,133 @@ def q_suggested_sample(spark, sf):
         "item_id", F.concat(F.lit('"'), F.translate("text", "\n", " "), F.lit('",')).alias("value"))
     parsed = lines.select("item_id", F.regexp_extract("value", QUOTED_LINE, 1).alias("text"))
     return sample_n(parsed, 3, SAMPLE_SEED, "item_id").select(big("item_id").alias("item_id"), "text")
+
+
+# ------------------------------------------------- sinks and round trips ----
+
+@query("index_roundtrip")
+def q_index_roundtrip(spark, sf):
+    """K5 + S7: the chunk index is written, read back and served."""
+    from answerlake.session import shared_path
+    from answerlake.sinks.writers import write_index
+    from answerlake.sources.tables import read_index
+    post, _ = C.chunk_index(spark, sf)
+    path = shared_path(spark, "index")
+    write_index(post, path)
+    back = read_index(spark, path)
+    return back.select(big("doc_id").alias("doc_id"), big("para_idx").alias("para_idx"),
+                       big("piece_idx").alias("piece_idx"), "term", big("tf").alias("tf"),
+                       r6("weight").alias("weight"))
+
+
+@query("roundtrip_tsv")
+def q_roundtrip_tsv(spark, sf):
+    """K1: log rows appended as TSV with a header, read back."""
+    from answerlake.session import shared_path
+    from answerlake.sinks.writers import append_log_tsv, read_log_tsv
+    rows = q_log_rows(spark, sf)
+    path = shared_path(spark, "log-tsv")
+    append_log_tsv(rows, path)
+    back = read_log_tsv(spark, path)
+    return back.select(big("conv_id").alias("conv_id"), big("turn").alias("turn"),
+                       *[F.col(f"`{c}`") for c in ("Query", "Retrieved Text", "Response", "Filename")])
+
+
+def quoted_votes(spark, sf) -> DataFrame:
+    """Vote records whose prompt holds doubled quotes and a comma, as in the
+    original mock vote file."""
+    from answerlake.operators.engagement import slot_a_candidate
+    qs = C.questions(spark, sf)
+    return qs.select("item_id", F.concat(F.lit('"'), F.col("text"), F.lit('",')).alias("prompt"),
+                     slot_a_candidate("item_id").alias("vote"))
+
+
+@query("roundtrip_csv_quotes")
+def q_roundtrip_csv_quotes(spark, sf):
+    """K2/K6 + S3/S4 + F17: CSV rewritten with an extra column, read back."""
+    from answerlake.session import shared_path
+    from answerlake.sinks.writers import out_name, rewrite_csv
+    from answerlake.sources.files import read_csv_first_column
+    src = quoted_votes(spark, sf).select("prompt", "item_id", "vote")
+    path = out_name(shared_path(spark, "votes") + ".csv")
+    rewrite_csv(src.withColumn("Category", F.lit("Test")), path)
+    back = read_csv_first_column(spark, path, out="prompt")
+    return back.select(big("item_id").alias("item_id"), "prompt", "vote", "Category")
+
+
+@query("scan_txt_dir")
+def q_scan_txt_dir(spark, sf):
+    """Documents written as .txt files per source folder, scanned back
+    whole-file; checked by characters and files' line totals per source."""
+    from answerlake.session import shared_path
+    from answerlake.sources.files import scan_text_dir
+    path = shared_path(spark, "corpus")
+    C.documents(spark, sf).select("source", "text").write.partitionBy("source").text(path)
+    files = scan_text_dir(spark, path).withColumn("source", F.regexp_extract("path", r"source=([^/]+)/", 1))
+    return files.groupBy("source").agg(big(F.sum(F.length("text"))).alias("n_chars"),
+                                       big(F.sum(F.size(F.split("text", "\n")) - 1)).alias("n_lines"))
+
+
+# ------------------------------------------------------------- streaming ----
+
+def _vote_candidate(ev: DataFrame) -> DataFrame:
+    """Candidate of a vote event: slot from ``props.k`` parity, slot A's
+    candidate from the blind draw on the event id."""
+    from answerlake.operators.engagement import props_k, slot_a_candidate
+    from answerlake.sources.inline import CANDIDATES
+    slot_a = (F.pmod(props_k(), F.lit(2)) == 0)
+    a = slot_a_candidate("event_id")
+    other = F.when(a == F.lit(CANDIDATES[0]), F.lit(CANDIDATES[1])).otherwise(F.lit(CANDIDATES[0]))
+    return ev.withColumn("candidate", F.when(slot_a, a).otherwise(other))
+
+
+@query("stream_scoreboard")
+def q_stream_scoreboard(spark, sf):
+    from answerlake.streaming.live import overwrite_batch, run_to_table, scoreboard, stream_table
+    ev = stream_table(spark, sf, "events").filter(F.col("event_type") == "purchase")
+    out = run_to_table(spark, scoreboard(_vote_candidate(ev)), "scoreboard", mode="complete",
+                       batch_fn=overwrite_batch)
+    return out.select("candidate", big("votes").alias("votes"))
+
+
+@query("stream_first_vote")
+def q_stream_first_vote(spark, sf):
+    from answerlake.operators.engagement import props_k
+    from answerlake.streaming.live import first_per_key_stream, run_to_table, stream_table
+    ev = stream_table(spark, sf, "events").filter(F.col("event_type") == "purchase") \
+        .select("user_id", "ts", props_k().alias("question_k"))
+    out = run_to_table(spark, first_per_key_stream(ev, ["user_id", "question_k"]), "first-vote")
+    return out.select(big("user_id").alias("user_id"), big("question_k").alias("question_k"))
+
+
+@query("stream_milestones")
+def q_stream_milestones(spark, sf):
+    from answerlake.operators.engagement import engagement_events, milestone_events
+    from answerlake.sources.inline import BADGE_RULES, badge_rules
+    from answerlake.streaming.live import milestones_stream, run_to_table, stream_table
+    rules: dict[str, list[int]] = {}
+    for kind, n, _ in BADGE_RULES:
+        rules.setdefault(kind, []).append(n)
+    ev = milestone_events(engagement_events(stream_table(spark, sf, "events")))
+    out = run_to_table(spark, milestones_stream(ev, rules), "milestones")
+    named = out.join(F.broadcast(badge_rules(spark)), ["kind", "n"])
+    return named.select(big("user_id").alias("user_id"), big("badge_id").alias("badge_id"),
+                        big("event_id").alias("event_id"))
+
+
+@query("stream_answer")
+def q_stream_answer(spark, sf):
+    """ST4: questions arrive as a stream and are answered against the static
+    paragraph index inside each micro-batch (stream-static join, top-1)."""
+    from answerlake.operators.tfidf import vectorize
+    from answerlake.streaming.live import append_batch, run_to_table, stream_table
+    post, idf = C.paragraph_index(spark, sf)
+
+    def answer(batch: DataFrame, epoch: int, out: str) -> None:
+        qv = vectorize(batch.select("item_id", "text"), idf, ("item_id",))
+        best = R.top1(R.sparse_scores(qv, post, ["item_id"], C.PARA_KEYS), ["item_id"], C.PARA_KEYS)
+        append_batch(best, epoch, out)
+
+    out = run_to_table(spark, stream_table(spark, sf, "benchmark"), "answers", batch_fn=answer)
+    return out.select(big("item_id").alias("item_id"), big("doc_id").alias("doc_id"),
+                      big("para_idx").alias("para_idx"), r6("score").alias("score"))

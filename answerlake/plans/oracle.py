@@ -755,3 +755,44 @@ WITH l AS (SELECT item_id, '"' || replace(text, chr(10), ' ') || '",' AS value F
 p AS (SELECT item_id, regexp_extract(value, '{QUOTED_LINE}', 1) AS text FROM l)
 SELECT CAST(item_id AS BIGINT) AS item_id, text FROM p
 ORDER BY md5('debate' || CAST(item_id AS VARCHAR)), item_id LIMIT 3""")
+
+# --- sinks and round trips ----------------------------------------------------
+
+oracle("index_roundtrip", ORACLE["tfidf_postings"])
+oracle("roundtrip_tsv", ORACLE["log_rows"])
+
+oracle("roundtrip_csv_quotes", """
+SELECT CAST(item_id AS BIGINT) AS item_id, '"' || text || '",' AS prompt,
+       CASE WHEN substr(md5(CAST(item_id AS VARCHAR)), 32, 1) IN ('0','2','4','6','8','a','c','e')
+            THEN 'trump' ELSE 'biden' END AS vote, 'Test' AS "Category"
+FROM benchmark""")
+
+oracle("scan_txt_dir", """
+SELECT source, CAST(sum(length(text) + 1) AS BIGINT) AS n_chars,
+       CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS n_lines
+FROM documents GROUP BY source""")
+
+# --- streaming (same answers as the batch twins) --------------------------------
+
+oracle("stream_scoreboard", """
+WITH v AS (
+  SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) % 2 = 0 AS slot_a,
+         CASE WHEN substr(md5(CAST(event_id AS VARCHAR)), 32, 1) IN ('0','2','4','6','8','a','c','e')
+              THEN 'trump' ELSE 'biden' END AS a_cand
+  FROM events WHERE event_type = 'purchase')
+SELECT CASE WHEN slot_a THEN a_cand WHEN a_cand = 'trump' THEN 'biden' ELSE 'trump' END AS candidate,
+       count(*) AS votes
+FROM v GROUP BY 1""")
+
+oracle("stream_first_vote", """
+SELECT DISTINCT CAST(user_id AS BIGINT) AS user_id,
+       CAST(json_extract_string(props, '$.k') AS BIGINT) AS question_k
+FROM events WHERE event_type = 'purchase'""")
+
+oracle("stream_milestones", ORACLE["milestones"])
+
+oracle("stream_answer", f"""
+WITH {TOP1_BASE}
+SELECT CAST(item_id AS BIGINT) AS item_id, CAST(doc_id AS BIGINT) AS doc_id,
+       CAST(para_idx AS BIGINT) AS para_idx, round(score, 6) AS score
+FROM best""")

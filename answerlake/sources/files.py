@@ -15,12 +15,12 @@ def scan_text_dir(spark: SparkSession, path: str, suffix: str = "*.txt", recursi
     ``suffix`` is a case-sensitive glob on the file name (S1); ``recursive``
     walks sub-folders without a suffix filter (S2).
     """
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if recursive:
         reader = reader.option("recursiveFileLookup", True)
     elif suffix:
         reader = reader.option("pathGlobFilter", suffix)
-    df = reader.text(path)
+    df = reader.text(path, wholetext=True)
     return df.select(F.col("_metadata.file_name").alias("filename"),
                      F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
