@@ -57,7 +57,8 @@ def classify_centroid(vectors: DataFrame, cents: DataFrame, id_col: str = "vec_i
 def classify_terms(questions: DataFrame, labels: DataFrame, q_key: str, text_col: str = "text",
                    label_key: str = "label_id", label_text: str = "label") -> DataFrame:
     """Best-matching taxonomy label by TF-IDF cosine; no shared term -> ``Other``."""
-    post, idf = build_index(labels.select(label_key, F.col(label_text).alias("text")), [label_key])
+    ix = build_index(labels.select(label_key, F.col(label_text).alias("text")), [label_key])
+    post, idf = ix.postings, ix.idf
     qv = vectorize(questions.select(q_key, F.col(text_col).alias("text")), idf, [q_key])
     best = R.top1(R.sparse_scores(qv, post, [q_key], [label_key]), [q_key], [label_key])
     named = best.join(F.broadcast(labels), label_key)

@@ -15,6 +15,7 @@ proved small at runtime, sort-merge with skew splitting otherwise).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,13 +23,16 @@ from pyspark.sql import functions as F
 from answerlake.functions.text import is_blank, terms
 
 
-def term_frequencies(units: DataFrame, keys: Sequence[str], text_col: str = "text") -> DataFrame:
-    """``keys..., term, tf`` rows, one per distinct term of each text.
+class Index(NamedTuple):
+    """A fitted TF-IDF index: postings, vocabulary with IDF, the indexed texts
+    (keys, kept columns, text) and the number of fitted (non-blank) texts."""
+    postings: DataFrame
+    idf: DataFrame
+    units: DataFrame
+    n_fit: int
 
-    The sorted term array is materialised in its own projection, then run
-    starts are found and their lengths are the counts; each step references
-    the array column, so the regex and the sort run once per text.
-    """
+
+def _term_count_parts():
     s, st = F.col("_s"), F.col("_st")
     n = F.size(s)
     run_start = F.filter(
@@ -39,12 +43,40 @@ def term_frequencies(units: DataFrame, keys: Sequence[str], text_col: str = "tex
         lambda p, j: F.struct(
             F.try_element_at(s, p).alias("term"),
             (F.coalesce(F.try_element_at(st, j + 2), n + 1) - p).cast("bigint").alias("tf")))
+    return run_start, pairs
+
+
+def with_term_counts(units: DataFrame, keys: Sequence[str], text_col: str = "text",
+                     keep: Sequence[str] = (), out: str = "items") -> DataFrame:
+    """Add ``out ARRAY<STRUCT<term, tf>>`` (distinct terms, sorted) to each row.
+
+    The sorted term array is materialised in its own projection, then run
+    starts are found and their lengths are the counts.  Callers must cut the
+    plan (checkpoint) or explode in the same projection: if the optimizer
+    collapses the projections it inlines the sorted array into the lambdas
+    and the regex and sort would run once per element.
+    """
+    run_start, pairs = _term_count_parts()
+    cols = [*keys, *keep]
+    return (units.select(*cols, F.array_sort(terms(text_col)).alias("_s"))
+            .select(*cols, "_s", run_start.alias("_st"))
+            .select(*cols, pairs.alias(out)))
+
+
+def term_frequencies(units: DataFrame, keys: Sequence[str], text_col: str = "text") -> DataFrame:
+    """``keys..., term, tf`` rows, one per distinct term of each text."""
+    run_start, pairs = _term_count_parts()
     return (units.select(*keys, F.array_sort(terms(text_col)).alias("_s"))
             .select(*keys, "_s", run_start.alias("_st"))
             .select(*keys, F.explode(pairs).alias("_t"))
             .select(*keys, F.col("_t.term").alias("term"), F.col("_t.tf").alias("tf")))
 
 
+def explode_terms(counted: DataFrame, keys: Sequence[str], items: str = "items") -> DataFrame:
+    return (counted.select(*keys, F.explode(items).alias("_t"))
+            .select(*keys, F.col("_t.term").alias("term"), F.col("_t.tf").alias("tf")))
+
+
 def fit_idf(units: DataFrame, tf: DataFrame, text_col: str = "text") -> DataFrame:
     """``term, df, idf``.  ``tf`` must be the term frequencies of ``units``."""
     n_fit = units.filter(~is_blank(text_col)).agg(F.count("*")).scalar()
@@ -61,11 +93,25 @@ def weigh(tf: DataFrame, idf: DataFrame, keys: Sequence[str], weight_col: str =
             .select(*keys, "term", "tf", weight_col))
 
 
-def build_index(units: DataFrame, keys: Sequence[str], text_col: str = "text"):
-    """Fit and transform the same texts: returns ``(postings, idf)``."""
-    tf = term_frequencies(units, keys, text_col)
-    idf = fit_idf(units, tf, text_col)
-    return weigh(tf, idf, keys), idf
+def build_index(units: DataFrame, keys: Sequence[str], text_col: str = "text",
+                keep: Sequence[str] = ()) -> Index:
+    """Fit and transform the same texts in one pass over them.
+
+    The texts with their in-row term counts are checkpointed to the cluster's
+    shared checkpoint folder (lineage cut, survives executor loss); document
+    frequencies, the fitted-text count, postings and text lookups are then
+    all derived from that one materialisation.
+    """
+    counted = with_term_counts(units.withColumn("_fit", ~is_blank(text_col)), keys, text_col,
+                               keep=[*keep, text_col, "_fit"])
+    from answerlake.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(units.sparkSession)
+    counted = counted.checkpoint(eager=True)
+    n_fit = counted.filter(F.col("_fit")).count()
+    tf = explode_terms(counted, keys)
+    idf = (tf.groupBy("term").agg(F.count("*").alias("df"))
+           .withColumn("idf", F.log(F.lit(1.0 + n_fit) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)))
+    return Index(weigh(tf, idf, keys), idf, counted.drop("items", "_fit"), n_fit)
 
 
 def vectorize(texts: DataFrame, idf: DataFrame, keys: Sequence[str], text_col: str = "text",

@@ -117,13 +117,13 @@ def q_token_stats(spark, sf):
 
 @query("tfidf_idf")
 def q_tfidf_idf(spark, sf):
-    _, idf = C.chunk_index(spark, sf)
+    idf = C.chunk_index(spark, sf).idf
     return idf.select("term", big("df").alias("df"), r6("idf").alias("idf"))
 
 
 @query("tfidf_postings")
 def q_tfidf_postings(spark, sf):
-    post, _ = C.chunk_index(spark, sf)
+    post = C.chunk_index(spark, sf).postings
     return post.select(big("doc_id").alias("doc_id"), big("para_idx").alias("para_idx"),
                        big("piece_idx").alias("piece_idx"), "term", big("tf").alias("tf"),
                        r6("weight").alias("weight"))
@@ -132,20 +132,19 @@ def q_tfidf_postings(spark, sf):
 # ------------------------------------------------------------- retrieval ----
 
 def _top1(spark, sf, allow_zero: bool) -> DataFrame:
-    post, idf = C.paragraph_index(spark, sf)
-    qv = C.question_vectors(spark, sf, idf)
-    best = R.top1(R.sparse_scores(qv, post, ["item_id"], C.PARA_KEYS), ["item_id"], C.PARA_KEYS)
+    ix = C.paragraph_index(spark, sf)
+    qv = C.question_vectors(spark, sf, ix.idf)
+    best = C.score_top1(qv, ix.postings, ["item_id"], C.PARA_KEYS)
     qs = C.questions(spark, sf).select("item_id")
     if allow_zero:
         # Literal variant: with no term overlap the first paragraph of the
         # corpus wins with score 0 (unless its text is empty).
-        first = C.paragraphs(spark, sf).agg(F.min(F.struct(*[F.col(k) for k in C.PARA_KEYS]))).scalar()
+        first = ix.units.agg(F.min(F.struct(*[F.col(k) for k in C.PARA_KEYS]))).scalar()
         zero = (qs.join(best.select("item_id"), "item_id", "left_anti")
                 .select("item_id", *[first.getField(k).alias(k) for k in C.PARA_KEYS],
                         F.lit(0.0).alias("score")))
         best = best.unionByName(zero)
-    paras = C.filename(C.paragraphs(spark, sf)).select(*C.PARA_KEYS, "filename",
-                                                        F.col("text").alias("retrieved_text"))
+    paras = C.filename(ix.units).select(*C.PARA_KEYS, "filename", F.col("text").alias("retrieved_text"))
     hits = (best.join(paras, list(C.PARA_KEYS))
             .filter(F.col("retrieved_text") != F.lit("")))
     out = R.with_fallback(qs, hits, ["item_id"])
@@ -164,10 +163,10 @@ def q_retrieve_top1_allow_zero(spark, sf):
     return _top1(spark, sf, allow_zero=True)
 
 
-def threshold_hits(spark, sf) -> DataFrame:
-    post, idf = C.chunk_index(spark, sf)
-    qv = C.question_vectors(spark, sf, idf)
-    return R.above_threshold(R.sparse_scores(qv, post, ["item_id"], C.CHUNK_KEYS), C.THRESHOLD)
+def threshold_hits(spark, sf, ix=None) -> DataFrame:
+    ix = ix or C.chunk_index(spark, sf)
+    qv = C.question_vectors(spark, sf, ix.idf)
+    return C.score_threshold(qv, ix.postings, C.CHUNK_KEYS, C.THRESHOLD)
 
 
 @query("retrieve_threshold")
@@ -182,10 +181,9 @@ def q_retrieve_threshold(spark, sf):
 def q_retrieve_best_per_pack(spark, sf):
     p = _token_paragraphs(spark, sf)
     packs = pack_greedy(p, C.PACK_TOKENS)
-    post, idf = C.paragraph_index(spark, sf)
-    qv = C.question_vectors(spark, sf, idf)
-    scores = R.sparse_scores(qv, post, ["item_id"], C.PARA_KEYS).join(packs, list(C.PARA_KEYS))
-    best = R.best_per_group(scores, ["item_id"], ["doc_id", "pack_id"], ["para_idx"])
+    ix = C.paragraph_index(spark, sf)
+    qv = C.question_vectors(spark, sf, ix.idf)
+    best = C.score_group_best(qv, ix.postings, packs, ["doc_id", "pack_id"], ["para_idx"])
     return best.select(big("item_id").alias("item_id"), big("doc_id").alias("doc_id"),
                        big("pack_id").alias("pack_id"), big("para_idx").alias("para_idx"),
                        r6("score").alias("score"))
@@ -449,8 +447,9 @@ def q_debate_day_first(spark, sf):
 
 def chunk_hits_with_text(spark, sf) -> DataFrame:
     """Threshold hits with their chunk text and file name."""
-    hits = threshold_hits(spark, sf)
-    chunks = C.filename(C.char_chunks(spark, sf)).select(*C.CHUNK_KEYS, "text", "filename")
+    ix = C.chunk_index(spark, sf)
+    hits = threshold_hits(spark, sf, ix)
+    chunks = C.filename(ix.units).select(*C.CHUNK_KEYS, "text", "filename")
     return hits.join(chunks, list(C.CHUNK_KEYS))
 
 
@@ -768,8 +767,8 @@ def q_eval_set_mix(spark, sf):
 @query("eval_multi_context_pairs")
 def q_eval_multi_context_pairs(spark, sf):
     from answerlake.operators.evaluate import rare_term_pairs
-    post, idf = C.chunk_index(spark, sf)
-    p = rare_term_pairs(post, idf, list(C.CHUNK_KEYS))
+    ix = C.chunk_index(spark, sf)
+    p = rare_term_pairs(ix.postings, ix.idf, list(C.CHUNK_KEYS))
     return p.select(*[big(F.col(f"{s}.{k}")).alias(f"{s}_{k}") for s in ("a", "b") for k in C.CHUNK_KEYS],
                     big("n_shared").alias("n_shared"))
 
@@ -794,7 +793,7 @@ def q_index_roundtrip(spark, sf):
     from answerlake.session import shared_path
     from answerlake.sinks.writers import write_index
     from answerlake.sources.tables import read_index
-    post, _ = C.chunk_index(spark, sf)
+    post = C.chunk_index(spark, sf).postings
     path = shared_path(spark, "index")
     write_index(post, path)
     back = read_index(spark, path)
@@ -904,12 +903,21 @@ def q_stream_answer(spark, sf):
     paragraph index inside each micro-batch (stream-static join, top-1)."""
     from answerlake.operators.tfidf import vectorize
     from answerlake.streaming.live import append_batch, run_to_table, stream_table
-    post, idf = C.paragraph_index(spark, sf)
+    from answerlake.session import shared_path
+    from answerlake.sources.tables import read_index
+    from answerlake.operators.scoring import forward_index
+    # The static side is built once and persisted (the serving layout: one
+    # row per paragraph); micro-batches read it instead of rebuilding it.
+    ix = C.paragraph_index(spark, sf)
+    post, idf = ix.postings, ix.idf
+    fwd_path, idf_path = shared_path(spark, "fwd-index"), shared_path(spark, "idf")
+    forward_index(post, C.PARA_KEYS).write.parquet(fwd_path)
+    idf.write.parquet(idf_path)
+    fwd, idf = read_index(spark, fwd_path), read_index(spark, idf_path)
 
     def answer(batch: DataFrame, epoch: int, out: str) -> None:
         qv = vectorize(batch.select("item_id", "text"), idf, ("item_id",))
-        best = R.top1(R.sparse_scores(qv, post, ["item_id"], C.PARA_KEYS), ["item_id"], C.PARA_KEYS)
-        append_batch(best, epoch, out)
+        append_batch(C.score_top1(qv, fwd, ["item_id"], C.PARA_KEYS, forward=True), epoch, out)
 
     out = run_to_table(spark, stream_table(spark, sf, "benchmark"), "answers", batch_fn=answer)
     return out.select(big("item_id").alias("item_id"), big("doc_id").alias("doc_id"),

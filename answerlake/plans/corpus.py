@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from answerlake.operators.chunking import chunk_chars
 from answerlake.operators.paragraphs import normalize_paragraphs, split_paragraphs
-from answerlake.operators.tfidf import build_index, vectorize
+from answerlake.operators.tfidf import Index, build_index, vectorize
 from answerlake.session import spread
 from answerlake.sources.tables import table
 
@@ -54,15 +54,42 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", "text")
 
 
-def paragraph_index(spark: SparkSession, sf_dir: str):
+def paragraph_index(spark: SparkSession, sf_dir: str) -> Index:
     """Endpoint variant: one vector per paragraph (fitted on paragraphs)."""
-    return build_index(paragraphs(spark, sf_dir), PARA_KEYS)
+    return build_index(paragraphs(spark, sf_dir), PARA_KEYS, keep=("source",))
 
 
-def chunk_index(spark: SparkSession, sf_dir: str, size: int = CHUNK_CHARS):
+def chunk_index(spark: SparkSession, sf_dir: str, size: int = CHUNK_CHARS) -> Index:
     """Chat-loop variant: one vector per character chunk."""
-    return build_index(char_chunks(spark, sf_dir, size), CHUNK_KEYS)
+    return build_index(char_chunks(spark, sf_dir, size), CHUNK_KEYS, keep=("source",))
 
 
 def question_vectors(spark: SparkSession, sf_dir: str, idf: DataFrame) -> DataFrame:
     return vectorize(questions(spark, sf_dir), idf, ("item_id",))
+
+
+# ------------------------------------------------------------- scoring ----
+
+def score_top1(qv: DataFrame, index: DataFrame, q_keys, d_keys, forward: bool = False) -> DataFrame:
+    """Best text per question (ties: smallest ``d_keys``)."""
+    from answerlake.operators import retrieval as R
+    from answerlake.operators.scoring import forward_index, score_index
+    fwd = index if forward else forward_index(index, d_keys)
+    local = score_index(qv, fwd, q_keys[0], d_keys, "top1")
+    return R.top1(local, q_keys, d_keys)
+
+
+def score_threshold(qv: DataFrame, postings: DataFrame, d_keys, threshold: float) -> DataFrame:
+    """Every (question, text) scoring strictly above ``threshold``."""
+    from answerlake.operators.scoring import forward_index, score_index
+    return score_index(qv, forward_index(postings, d_keys), "item_id", d_keys, "threshold", threshold=threshold)
+
+
+def score_group_best(qv: DataFrame, postings: DataFrame, groups: DataFrame, group_keys, inner_keys) -> DataFrame:
+    """Best text per (question, group); ``groups`` maps texts to groups."""
+    from answerlake.operators import retrieval as R
+    from answerlake.operators.scoring import forward_index, score_index
+    keys = [*group_keys, *inner_keys]
+    fwd = forward_index(postings, PARA_KEYS).join(groups, list(PARA_KEYS))
+    local = score_index(qv, fwd, "item_id", keys, "group_best", group_keys=group_keys)
+    return R.top1(local, ["item_id", *group_keys], inner_keys)
