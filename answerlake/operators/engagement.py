@@ -106,16 +106,42 @@ def award_once(awards: DataFrame, order_col: str) -> DataFrame:
 
 
 def latest_before(left: DataFrame, right: DataFrame, by: str, left_id: str,
-                  order: Sequence[str] = ("ts", "event_id"), out: str = "matched_id") -> DataFrame:
+                  order: Sequence[str] = ("ts", "event_id"), out: str = "matched_id",
+                  bucket: F.Column | None = None) -> DataFrame:
     """As-of match: for each ``right`` row, the id of the latest ``left`` row of
-    the same ``by`` key at or before it (``NULL`` when none)."""
+    the same ``by`` key at or before it (``NULL`` when none).
+
+    Two levels so that a key with a huge share of the rows is still split:
+    (1) inside each (key, time bucket) a running ``last`` over the bucket's
+    rows; (2) rows with no match in their bucket take the last left row of
+    the latest earlier bucket, found on a per-bucket summary (one row per
+    key and bucket that has left rows).  ``bucket`` defaults to the hour of
+    the first ordering column (which must then be a timestamp).
+    """
+    first = order[0]
+    bkt = bucket if bucket is not None else F.date_trunc("hour", F.col(first))
     cols = [by, *order]
     l = left.select(*cols, F.col(left_id).alias("_lid"), F.lit(0).alias("_side"))
     r = right.select(*cols, F.lit(None).cast("bigint").alias("_lid"), F.lit(1).alias("_side"))
-    w = (Window.partitionBy(by).orderBy(*order, "_side")
+    both = l.unionByName(r).withColumn("_bkt", bkt)
+    w = (Window.partitionBy(by, "_bkt").orderBy(*order, "_side")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    both = l.unionByName(r).withColumn(out, F.last("_lid", ignorenulls=True).over(w))
-    return both.filter(F.col("_side") == 1).drop("_lid", "_side")
+    inner = both.withColumn("_in", F.last("_lid", ignorenulls=True).over(w))
+    rb = inner.filter(F.col("_side") == 1)
+    # Carry-over for rows unmatched inside their bucket: one summary row per
+    # (key, bucket) with left rows holding its last left id, plus one row per
+    # (key, bucket) that needs a carry; a running ``last`` over this bucket
+    # sequence (one row per bucket, not per event) gives the latest earlier
+    # bucket's last left id.  Needs sort before summaries of the same bucket.
+    summary = (l.withColumn("_bkt", bkt).groupBy(by, "_bkt")
+               .agg(F.max_by("_lid", F.struct(*order)).alias("_last")).withColumn("_o", F.lit(1)))
+    need = (rb.filter(F.col("_in").isNull()).select(by, "_bkt").distinct()
+            .select(by, "_bkt", F.lit(None).cast("bigint").alias("_last"), F.lit(0).alias("_o")))
+    wb = Window.partitionBy(by).orderBy("_bkt", "_o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    prev = (summary.unionByName(need).withColumn("_prev", F.last("_last", ignorenulls=True).over(wb))
+            .filter(F.col("_o") == 0).select(by, "_bkt", "_prev"))
+    out_df = rb.join(prev, [by, "_bkt"], "left").withColumn(out, F.coalesce("_in", "_prev"))
+    return out_df.drop("_lid", "_side", "_bkt", "_in", "_prev")
 
 
 def hash_order(seed: str, id_col: str) -> F.Column:

@@ -454,8 +454,8 @@ def chunk_hits_with_text(spark, sf) -> DataFrame:
 
 
 def _context_prompts(spark, sf) -> DataFrame:
-    from answerlake.operators.prompts import assemble_prompts, collect_contexts
-    ctx = collect_contexts(chunk_hits_with_text(spark, sf), "item_id", list(C.CHUNK_KEYS))
+    from answerlake.operators.prompts import assemble_prompts, budgeted_contexts
+    ctx = budgeted_contexts(chunk_hits_with_text(spark, sf), "item_id", list(C.CHUNK_KEYS))
     return assemble_prompts(C.questions(spark, sf), ctx, "item_id")
 
 
@@ -463,7 +463,7 @@ def _context_prompts(spark, sf) -> DataFrame:
 def q_context_prompts(spark, sf):
     p = _context_prompts(spark, sf)
     return p.select(big("item_id").alias("item_id"),
-                    big(F.coalesce(F.size("contexts"), F.lit(0))).alias("n_contexts"),
+                    big(F.coalesce("n_contexts", F.lit(0))).alias("n_contexts"),
                     big("prompt_tokens").alias("prompt_tokens"), big("truncated").alias("truncated"),
                     "prompt", "response")
 
@@ -474,7 +474,8 @@ def q_prompt_budget(spark, sf):
     from answerlake.functions.text import token_count
     from answerlake.operators.prompts import assemble_prompts
     top = _top1(spark, sf, allow_zero=False).filter(F.col("response").isNull())
-    ctx = top.select("item_id", F.array("retrieved_text").alias("contexts"), F.array("filename").alias("filenames"))
+    ctx = top.select("item_id", F.lit(1).alias("n_contexts"), token_count("retrieved_text").alias("context_tokens"),
+                     F.array("retrieved_text").alias("contexts"), F.array("filename").alias("filenames"))
     p = assemble_prompts(C.questions(spark, sf), ctx, "item_id")
     return p.select(big("item_id").alias("item_id"), big("prompt_tokens").alias("prompt_tokens"),
                     big("truncated").alias("truncated"), big(token_count("prompt")).alias("final_tokens"),
@@ -483,15 +484,18 @@ def q_prompt_budget(spark, sf):
 
 @query("contexts_json")
 def q_contexts_json(spark, sf):
-    """contexts/filenames as JSON text at the sink; checked by parsing back."""
-    from answerlake.operators.prompts import collect_contexts
-    ctx = collect_contexts(chunk_hits_with_text(spark, sf), "item_id", list(C.CHUNK_KEYS))
-    j = ctx.select("item_id", F.to_json("contexts").alias("contexts_json"),
-                   F.to_json("filenames").alias("filenames_json"))
-    back = F.from_json("contexts_json", "array<string>")
-    files = F.from_json("filenames_json", "array<string>")
-    return j.select(big("item_id").alias("item_id"), big(F.size(back)).alias("n_contexts"),
-                    F.element_at(back, 1).alias("first_context"), F.element_at(files, -1).alias("last_filename"))
+    """each retrieved context and its file as JSON text (as at the
+    sink), parsed back; per-question checks use partial aggregates only."""
+    hits = chunk_hits_with_text(spark, sf)
+    j = hits.withColumn("_json", F.to_json(F.array("text", "filename")))
+    back = F.from_json("_json", "array<string>")
+    per = j.select("item_id", *C.CHUNK_KEYS, F.element_at(back, 1).alias("_ctx"), F.element_at(back, 2).alias("_file"))
+    pos = F.struct(*[F.col(k) for k in C.CHUNK_KEYS])
+    agg = per.groupBy("item_id").agg(F.count("*").alias("n_contexts"),
+                                     F.min_by("_ctx", pos).alias("first_context"),
+                                     F.max_by("_file", pos).alias("last_filename"))
+    return agg.select(big("item_id").alias("item_id"), big("n_contexts").alias("n_contexts"),
+                      "first_context", "last_filename")
 
 
 # -------------------------------------------------------------- payloads ----

@@ -180,8 +180,11 @@ def test_milestones_once(spark):
 def test_latest_before(spark):
     qs = spark.createDataFrame([(1, 1, 100), (1, 5, 101)], "user_id long, ts long, event_id long")
     vs = spark.createDataFrame([(1, 0, 200), (1, 3, 201), (1, 9, 202)], "user_id long, ts long, event_id long")
-    got = sorted(rows(latest_before(qs, vs, "user_id", "event_id"), "event_id", "matched_id"))
+    got = sorted(rows(latest_before(qs, vs, "user_id", "event_id", bucket=F.floor(F.col("ts") / 4)),
+                      "event_id", "matched_id"))
     assert got == [(200, None), (201, 100), (202, 101)]
+    one = sorted(rows(latest_before(qs, vs, "user_id", "event_id", bucket=F.lit(0)), "event_id", "matched_id"))
+    assert one == got
 
 
 def test_vote_golden_percentages(spark):
