@@ -31,6 +31,14 @@ def collect_contexts(hits: DataFrame, q_key: str, order: Sequence[str], text_col
                       F.transform("_items", lambda x: x.getField("_file")).alias("filenames"))
 
 
+def _allow_group_limit(spark, k: int) -> None:
+    """Spark plans ``rank <= k`` as a partial group limit only up to a
+    threshold (1000 by default); raise it so the head stays skew-safe."""
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    if int(spark.conf.get(key, "1000")) < k:
+        spark.conf.set(key, str(k))
+
+
 def budgeted_contexts(hits: DataFrame, q_key: str, order: Sequence[str], budget: int = PROMPT_BUDGET,
                       text_col: str = "text", file_col: str = "filename") -> DataFrame:
     """Per question: ``n_contexts``, ``context_tokens`` (over all hits) and the
@@ -44,6 +52,7 @@ def budgeted_contexts(hits: DataFrame, q_key: str, order: Sequence[str], budget:
     limit before the shuffle: a question hitting a third of the corpus ships
     at most ``budget + 1`` rows per map partition.
     """
+    _allow_group_limit(hits.sparkSession, budget + 1)
     stats = hits.groupBy(q_key).agg(F.count("*").alias("n_contexts"),
                                     F.sum(token_count(text_col)).alias("context_tokens"))
     w = Window.partitionBy(q_key).orderBy(*order)
