@@ -66,22 +66,37 @@ def pack_greedy(paras: DataFrame, max_tokens: int = 2000, doc_key: str = "doc_id
                 order_col: str = "para_idx", tokens_col: str = "n_tokens") -> DataFrame:
     """Greedy packing with reset, per document.
 
-    Output: ``doc_key, order_col, pack_id`` for every input paragraph.  Packing
-    resets at each document so documents pack in parallel; the scan inside a
-    document is sequential by definition.  Only the two integer columns travel
-    to Python; texts stay in the JVM and are joined back by the caller.
+    Output: ``doc_key, order_col, pack_id`` for every input paragraph.  The
+    rows are hash-partitioned by document and sorted by (document, position);
+    each partition then streams through one Arrow batch function that carries
+    the packing state (document, pack number, fill) across batches, so memory
+    is constant however long a document is, and documents pack in parallel.
+    Only the two integer columns travel to Python.
     """
-    slim = paras.select(doc_key, order_col, tokens_col)
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order_col, kind="stable")
-        ids = _greedy_pack_ids(pdf[tokens_col].to_numpy(), max_tokens)
-        return pd.DataFrame({doc_key: pdf[doc_key].to_numpy(),
-                             order_col: pdf[order_col].to_numpy(),
-                             "pack_id": ids})
+    spark = paras.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slim = (paras.select(doc_key, order_col, tokens_col)
+            .repartition(n, doc_key).sortWithinPartitions(doc_key, order_col))
+
+    def pack(batches):
+        doc, pack_no, cur = None, 0, 0
+        for pdf in batches:
+            docs = pdf[doc_key].to_numpy()
+            toks = pdf[tokens_col].to_numpy()
+            ids = np.empty(len(pdf), dtype=np.int64)
+            for i in range(len(pdf)):
+                d, t = docs[i], int(toks[i])
+                if d != doc:
+                    doc, pack_no, cur = d, 0, t
+                elif cur + t > max_tokens:
+                    pack_no, cur = pack_no + 1, t
+                else:
+                    cur += t
+                ids[i] = pack_no
+            yield pd.DataFrame({doc_key: docs, order_col: pdf[order_col].to_numpy(), "pack_id": ids})
 
     schema = f"{doc_key} long, {order_col} int, pack_id long"
-    return slim.groupBy(doc_key).applyInPandas(pack, schema=schema)
+    return slim.mapInPandas(pack, schema=schema)
 
 
 def pack_prefix(paras: DataFrame, max_tokens: int = 2000, doc_key: str = "doc_id",

@@ -204,7 +204,8 @@ def dense_questions(spark, sf) -> DataFrame:
 def _dense(spark, sf, farthest: bool) -> DataFrame:
     from answerlake.sources.tables import table
     emb = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    d = R.dense_distances(dense_questions(spark, sf), emb, q_key="item_id", q_vec="qvec")
+    d = R.dense_topk_candidates(dense_questions(spark, sf), emb, C.TOP_K, q_key="item_id", q_vec="qvec",
+                                farthest=farthest)
     top = R.dense_topk(d, C.TOP_K, q_key="item_id", farthest=farthest)
     return top.select(big("item_id").alias("item_id"), big("vec_id").alias("vec_id"),
                       big("rank").alias("rank"), r6("distance").alias("distance"))

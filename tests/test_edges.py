@@ -204,3 +204,17 @@ def test_vote_golden_percentages(spark):
 def test_quota_rule():
     assert quotas(10, {"simple": .5, "reasoning": .25, "multi_context": .25}) == \
         {"simple": 5, "reasoning": 3, "multi_context": 2}
+
+
+def test_dense_kernel_equals_pairwise(spark):
+    import random
+    rnd = random.Random(3)
+    q = spark.createDataFrame([(i, [rnd.uniform(-1, 1) for _ in range(8)]) for i in range(5)],
+                              "qid long, qvec array<double>")
+    v = spark.createDataFrame([(j, [rnd.uniform(-1, 1) for _ in range(8)]) for j in range(60)]
+                              + [(60, [0.0] * 8), (61, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    for far in (False, True):
+        a = R.dense_topk(R.dense_distances(q, v), 4, farthest=far)
+        b = R.dense_topk(R.dense_topk_candidates(q, v, 4, farthest=far), 4, farthest=far)
+        key = lambda df: sorted((r.qid, r.vec_id, r.rank) for r in df.collect())
+        assert key(a) == key(b)
