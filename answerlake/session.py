@@ -41,6 +41,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("FATAL")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -79,3 +80,31 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *keys) if keys else df.repartition(cores)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``answerlake`` importable on executors (Python workers unpickle
+    our Arrow/pandas functions by module reference): zip the package once per
+    SparkContext and add it with ``addPyFile``, Spark's code-shipping path."""
+    import zipfile
+
+    import answerlake
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(answerlake.__file__))
+    root = os.path.dirname(pkg)
+    fd, path = tempfile.mkstemp(suffix=".zip", prefix="answerlake-code-")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w") as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
