@@ -435,7 +435,7 @@ def q_candidate_prompts(spark, sf):
 def q_debate_day_first(spark, sf):
     """Declared only: one eligible debate per day, the day resetting at 13:00."""
     e = _events(spark, sf).filter(F.col("kind") == "vote")
-    day = F.window(F.col("ts").cast("timestamp"), "1 day", "1 day", "13 hours").getField("start")
+    day = F.window(F.col("ts"), "1 day", "1 day", "13 hours").getField("start")
     first = e.groupBy("user_id", day.alias("day_start")).agg(
         F.min(F.struct("ts", "event_id")).getField("event_id").alias("first_vote_id"),
         F.count("*").alias("n_votes"))
