@@ -79,6 +79,11 @@ def _dot(a: Column, b: Column) -> Column:
                        F.lit(0.0), lambda acc, x: acc + x)
 
 
+def cosine_distance(a: Column, b: Column) -> Column:
+    """``1 - a.b/(|a||b|)`` of two array columns; NULL for a zero norm."""
+    return F.lit(1.0) - F.try_divide(_dot(a, b), _norm(a) * _norm(b))
+
+
 def checked_broadcast_batches(df: DataFrame, key: str, max_rows: int) -> list[DataFrame]:
     """Split ``df`` into batches of at most ``max_rows`` rows for broadcasting.
 

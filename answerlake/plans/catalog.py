@@ -735,15 +735,15 @@ def q_faithfulness_avg(spark, sf):
 
 @query("relevancy_avg")
 def q_relevancy_avg(spark, sf):
-    """Mean cosine of each label's vectors to the label centroid."""
+    """Mean cosine of each label's vectors to the label centroid (an
+    equi-join on the label: every vector meets only its own centroid)."""
     from answerlake.operators.classify import centroids
     from answerlake.operators.evaluate import answer_relevancy
+    from answerlake.operators.retrieval import cosine_distance
     from answerlake.sources.tables import table
     e = table(spark, sf, "embeddings").filter(F.col("embedding").isNotNull()).select("vec_id", "embedding", "label")
-    cents = centroids(e)
-    d = R.dense_distances(cents.select("label", "centroid"), e.select("vec_id", "embedding", F.col("label").alias("_vl")),
-                          q_key="label", q_vec="centroid")
-    own = d.join(e.select("vec_id", F.col("label").alias("_own")), "vec_id").filter(F.col("label") == F.col("_own"))
+    own = e.join(F.broadcast(centroids(e)), "label") \
+        .select("label", "vec_id", cosine_distance(F.col("centroid"), F.col("embedding")).alias("distance"))
     r = answer_relevancy(own, "label")
     return r.select(big("label").alias("label"), big("n_generated").alias("n_generated"),
                     r6("answer_relevancy").alias("answer_relevancy"))
