@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RANK_DIGITS = 9
-MAX_QUESTION_POSTINGS = 2_000_000
+MAX_QUESTION_POSTINGS = 1_000_000
 
 
 def forward_index(postings: DataFrame, d_keys: Sequence[str]) -> DataFrame:
@@ -124,18 +124,21 @@ def score_index(qvec: DataFrame, forward: DataFrame, q_key: str, d_keys: Sequenc
     q_type = {f.name: f.dataType.simpleString() for f in qvec.schema.fields}[q_key]
     schema = ", ".join([f"{q_key} {q_type}"] + [f"{k} {key_types[k]}" for k in d_keys] + ["score double"])
     slim = qvec.select(q_key, "term", "qweight")
-    n = slim.count()
-    if n <= max_question_postings:
-        batches = [slim]
+    # The size check and the collect are one job: at most bound + 1 rows come
+    # back; only a larger question side is counted and split into batches of
+    # whole questions (hash buckets of the question id).
+    first = slim.limit(max_question_postings + 1).toPandas()
+    if len(first) <= max_question_postings:
+        batches = [first]
     else:
-        # bounded batches of whole questions (hash buckets of the question id)
+        n = slim.count()
         buckets = -(-n // max_question_postings) * 2
         tagged = slim.withColumn("_b", F.pmod(F.xxhash64(q_key), F.lit(buckets)))
         batches = [tagged.filter(F.col("_b") == b).drop("_b") for b in range(buckets)]
     need = [*d_keys, "items"]
     parts = []
     for b in batches:
-        pdf = b.toPandas()
+        pdf = b if isinstance(b, pd.DataFrame) else b.toPandas()
         if pdf.empty:
             continue
         qs = _Questions(pdf, q_key)
