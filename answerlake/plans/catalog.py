@@ -927,3 +927,32 @@ def q_stream_answer(spark, sf):
     out = run_to_table(spark, stream_table(spark, sf, "benchmark"), "answers", batch_fn=answer)
     return out.select(big("item_id").alias("item_id"), big("doc_id").alias("doc_id"),
                       big("para_idx").alias("para_idx"), r6("score").alias("score"))
+
+
+@query("answer_log")
+def q_answer_log(spark, sf):
+    """G1 + G2 + P21 + K7: per question both candidates' responses with their
+    references, then the vote: picked candidate and the picked slot's
+    reference (NULL until voted).  Test roles: the two responses of question
+    ``q`` are the page messages ``2q`` (slot A) and ``2q+1`` (slot B); the
+    vote is a reproducible md5 draw, a quarter of the questions stay unvoted."""
+    from answerlake.functions.payloads import extract_reference
+    from answerlake.operators.engagement import blind_assignment
+    qs = C.questions(spark, sf).select("item_id", F.col("text").alias("question"))
+    msgs = page_messages(spark, sf)
+    text, ref = extract_reference(F.col("message"))
+    resp = msgs.select("page_id", text.alias("response"), ref.alias("reference"))
+    slot = lambda s: resp.select((F.col("page_id") - s).alias("_k"),
+                                 F.col("response").alias(f"response_{'ab'[s]}"),
+                                 F.col("reference").alias(f"reference_{'ab'[s]}"))
+    log = (qs.withColumn("_k", F.col("item_id") * 2)
+           .join(slot(0), "_k", "left")
+           .join(slot(1), "_k", "left").drop("_k"))
+    h = F.md5(F.concat(F.col("item_id").cast("string"), F.lit("vote")))
+    voted_slot = (F.when(F.substring(h, 1, 1).isin(*"0123"), F.lit(None))
+                  .when(F.substring(h, 32, 1).isin(*"01234567"), F.lit("A")).otherwise(F.lit("B")))
+    assign = blind_assignment(qs, "item_id")
+    log = log.withColumn("slot", voted_slot).join(assign, ["item_id", "slot"], "left")
+    picked_ref = F.when(F.col("slot") == "A", F.col("reference_a")).when(F.col("slot") == "B", F.col("reference_b"))
+    return log.select(big("item_id").alias("item_id"), "response_a", "reference_a", "response_b", "reference_b",
+                      F.col("candidate").alias("picked"), picked_ref.alias("picked_reference"))

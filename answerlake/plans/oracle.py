@@ -796,3 +796,26 @@ WITH {TOP1_BASE}
 SELECT CAST(item_id AS BIGINT) AS item_id, CAST(doc_id AS BIGINT) AS doc_id,
        CAST(para_idx AS BIGINT) AS para_idx, round(score, 6) AS score
 FROM best""")
+
+oracle("answer_log", f"""
+WITH {PAGE_MSG},
+resp AS (
+  SELECT page_id, {_strip(f"regexp_replace(message, '{URL_PATTERN}', '')", JS_WS)} AS response,
+         CASE WHEN regexp_extract(message, '{URL_PATTERN}', 0) = '' THEN 'No reference provided'
+              ELSE regexp_extract(message, '{URL_PATTERN}', 0) END AS reference
+  FROM m),
+q AS (
+  SELECT item_id, md5(CAST(item_id AS VARCHAR) || 'vote') AS h,
+         CASE WHEN substr(md5(CAST(item_id AS VARCHAR)), 32, 1) IN ('0','2','4','6','8','a','c','e')
+              THEN 'trump' ELSE 'biden' END AS a_cand
+  FROM benchmark),
+v AS (
+  SELECT *, CASE WHEN substr(h, 1, 1) IN ('0','1','2','3') THEN NULL
+                 WHEN substr(h, 32, 1) IN ('0','1','2','3','4','5','6','7') THEN 'A' ELSE 'B' END AS slot
+  FROM q)
+SELECT CAST(v.item_id AS BIGINT) AS item_id, ra.response AS response_a, ra.reference AS reference_a,
+       rb.response AS response_b, rb.reference AS reference_b,
+       CASE WHEN v.slot = 'A' THEN v.a_cand WHEN v.slot = 'B' THEN
+            CASE WHEN v.a_cand = 'trump' THEN 'biden' ELSE 'trump' END END AS picked,
+       CASE WHEN v.slot = 'A' THEN ra.reference WHEN v.slot = 'B' THEN rb.reference END AS picked_reference
+FROM v LEFT JOIN resp ra ON ra.page_id = 2 * v.item_id LEFT JOIN resp rb ON rb.page_id = 2 * v.item_id + 1""")
