@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from answerlake.operators import retrieval as R
 from answerlake.operators.tfidf import build_index, vectorize
@@ -73,7 +74,7 @@ def classify_with(df: DataFrame, fn: Callable[[pd.Series], pd.Series], text_col:
     Runs through ``mapInPandas`` (Arrow batches); a failing batch yields NULL
     labels instead of failing the job.
     """
-    schema = df.schema.add(out_col, "string")
+    schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

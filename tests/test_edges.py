@@ -218,3 +218,35 @@ def test_dense_kernel_equals_pairwise(spark):
         b = R.dense_topk(R.dense_topk_candidates(q, v, 4, farthest=far), 4, farthest=far)
         key = lambda df: sorted((r.qid, r.vec_id, r.rank) for r in df.collect())
         assert key(a) == key(b)
+
+
+def test_classify_with_hook_and_failure(spark):
+    from answerlake.operators.classify import classify_with
+    df = spark.createDataFrame([(1, "how to fix roads"), (2, "tax cuts")], "id long, text string")
+    ok = classify_with(df, lambda s: s.str.contains("tax").map({True: "Tax Policy", False: "Infrastructure"}))
+    assert sorted(rows(ok, "id", "category")) == [(1, "Infrastructure"), (2, "Tax Policy")]
+
+    def boom(s):
+        raise RuntimeError("model down")
+    assert rows(classify_with(df, boom), "category") == [(None,), (None,)]
+
+
+def test_question_list_and_text_folders(spark, tmp_path):
+    from answerlake.sources.files import read_question_list, scan_text_dir
+    (tmp_path / "q.txt").write_text('"What is it?",\n"Why, though?",\n"Last one"\n', encoding="utf-8")
+    assert rows(read_question_list(spark, str(tmp_path / "q.txt")), "text") == \
+        [("What is it?",), ("Why, though?",), ("Last one",)]
+    d = tmp_path / "corpus"
+    (d / "sub").mkdir(parents=True)
+    (d / "a.txt").write_text("one\n\ntwo", encoding="utf-8")
+    (d / "b.TXT").write_text("upper", encoding="utf-8")
+    (d / "sub" / "c.txt").write_text("deep", encoding="utf-8")
+    flat = rows(scan_text_dir(spark, str(d)), "filename", "text")
+    assert flat == [("a.txt", "one\n\ntwo")]  # case-sensitive suffix, not recursive
+    deep = sorted(rows(scan_text_dir(spark, str(d), recursive=True), "filename"))
+    assert deep == [("a.txt",), ("b.TXT",), ("c.txt",)]
+
+
+def test_csv_out_name():
+    from answerlake.sinks.writers import out_name
+    assert out_name("uncategorizedQuestions_small.csv") == "uncategorizedQuestions_smallOut.csv"
