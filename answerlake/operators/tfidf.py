@@ -25,11 +25,13 @@ from answerlake.functions.text import is_blank, terms
 
 class Index(NamedTuple):
     """A fitted TF-IDF index: postings, vocabulary with IDF, the indexed texts
-    (keys, kept columns, text) and the number of fitted (non-blank) texts."""
+    (keys, kept columns, text), the number of fitted (non-blank) texts and the
+    same postings as one row per text (``forward``, for batch scoring)."""
     postings: DataFrame
     idf: DataFrame
     units: DataFrame
     n_fit: int
+    forward: DataFrame | None = None
 
 
 def _term_count_parts():
@@ -99,19 +101,32 @@ def build_index(units: DataFrame, keys: Sequence[str], text_col: str = "text",
 
     The texts with their in-row term counts are checkpointed to the cluster's
     shared checkpoint folder (lineage cut, survives executor loss); document
-    frequencies, the fitted-text count, postings and text lookups are then
-    all derived from that one materialisation.
+    frequencies, the fitted-text count, the index and text lookups are then
+    all derived from that one materialisation.  The index is built as one
+    row per text (``forward``: terms with tf and L2-normalised weight) by a
+    single aggregation that needs no shuffle while the texts keep their
+    partitioning; ``postings`` is its exploded view.
     """
-    counted = with_term_counts(units.withColumn("_fit", ~is_blank(text_col)), keys, text_col,
-                               keep=[*keep, text_col, "_fit"])
     from answerlake.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(units.sparkSession)
+    counted = with_term_counts(units.withColumn("_fit", ~is_blank(text_col)), keys, text_col,
+                               keep=[*keep, text_col, "_fit"])
     counted = counted.checkpoint(eager=True)
     n_fit = counted.filter(F.col("_fit")).count()
     tf = explode_terms(counted, keys)
     idf = (tf.groupBy("term").agg(F.count("*").alias("df"))
            .withColumn("idf", F.log(F.lit(1.0 + n_fit) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)))
-    return Index(weigh(tf, idf, keys), idf, counted.drop("items", "_fit"), n_fit)
+    w = F.col("tf") * F.col("idf")
+    grouped = (tf.join(idf.select("term", "idf"), "term")
+               .groupBy(*keys)
+               .agg(F.collect_list(F.struct("term", "tf", w.alias("w"))).alias("_it"),
+                    F.sum(w * w).alias("_n2")))
+    forward = grouped.select(*keys, F.transform(
+        "_it", lambda x: F.struct(x.getField("term").alias("term"), x.getField("tf").alias("tf"),
+                                  (x.getField("w") / F.sqrt(F.col("_n2"))).alias("weight"))).alias("items"))
+    postings = (forward.select(*keys, F.explode("items").alias("_p"))
+                .select(*keys, "_p.term", "_p.tf", "_p.weight"))
+    return Index(postings, idf, counted.drop("items", "_fit"), n_fit, forward)
 
 
 def vectorize(texts: DataFrame, idf: DataFrame, keys: Sequence[str], text_col: str = "text",

@@ -134,7 +134,7 @@ def q_tfidf_postings(spark, sf):
 def _top1(spark, sf, allow_zero: bool) -> DataFrame:
     ix = C.paragraph_index(spark, sf)
     qv = C.question_vectors(spark, sf, ix.idf)
-    best = C.score_top1(qv, ix.postings, ["item_id"], C.PARA_KEYS)
+    best = C.score_top1(qv, ix, ["item_id"], C.PARA_KEYS)
     qs = C.questions(spark, sf).select("item_id")
     if allow_zero:
         # Literal variant: with no term overlap the first paragraph of the
@@ -166,7 +166,7 @@ def q_retrieve_top1_allow_zero(spark, sf):
 def threshold_hits(spark, sf, ix=None) -> DataFrame:
     ix = ix or C.chunk_index(spark, sf)
     qv = C.question_vectors(spark, sf, ix.idf)
-    return C.score_threshold(qv, ix.postings, C.CHUNK_KEYS, C.THRESHOLD)
+    return C.score_threshold(qv, ix, C.CHUNK_KEYS, C.THRESHOLD)
 
 
 @query("retrieve_threshold")
@@ -183,7 +183,7 @@ def q_retrieve_best_per_pack(spark, sf):
     packs = pack_greedy(p, C.PACK_TOKENS)
     ix = C.paragraph_index(spark, sf)
     qv = C.question_vectors(spark, sf, ix.idf)
-    best = C.score_group_best(qv, ix.postings, packs, ["doc_id", "pack_id"], ["para_idx"])
+    best = C.score_group_best(qv, ix, packs, ["doc_id", "pack_id"], ["para_idx"])
     return best.select(big("item_id").alias("item_id"), big("doc_id").alias("doc_id"),
                        big("pack_id").alias("pack_id"), big("para_idx").alias("para_idx"),
                        r6("score").alias("score"))
@@ -916,7 +916,7 @@ def q_stream_answer(spark, sf):
     ix = C.paragraph_index(spark, sf)
     post, idf = ix.postings, ix.idf
     fwd_path, idf_path = shared_path(spark, "fwd-index"), shared_path(spark, "idf")
-    forward_index(post, C.PARA_KEYS).write.parquet(fwd_path)
+    ix.forward.write.parquet(fwd_path)
     idf.write.parquet(idf_path)
     fwd, idf = read_index(spark, fwd_path), read_index(spark, idf_path)
 

@@ -70,26 +70,27 @@ def question_vectors(spark: SparkSession, sf_dir: str, idf: DataFrame) -> DataFr
 
 # ------------------------------------------------------------- scoring ----
 
-def score_top1(qv: DataFrame, index: DataFrame, q_keys, d_keys, forward: bool = False) -> DataFrame:
-    """Best text per question (ties: smallest ``d_keys``)."""
+def score_top1(qv: DataFrame, index, q_keys, d_keys, forward: bool = False) -> DataFrame:
+    """Best text per question (ties: smallest ``d_keys``).  ``index`` is an
+    ``Index`` or, with ``forward=True``, a forward-index DataFrame."""
     from answerlake.operators import retrieval as R
-    from answerlake.operators.scoring import forward_index, score_index
-    fwd = index if forward else forward_index(index, d_keys)
+    from answerlake.operators.scoring import score_index
+    fwd = index if forward else index.forward
     local = score_index(qv, fwd, q_keys[0], d_keys, "top1")
     return R.top1(local, q_keys, d_keys)
 
 
-def score_threshold(qv: DataFrame, postings: DataFrame, d_keys, threshold: float) -> DataFrame:
+def score_threshold(qv: DataFrame, index: Index, d_keys, threshold: float) -> DataFrame:
     """Every (question, text) scoring strictly above ``threshold``."""
-    from answerlake.operators.scoring import forward_index, score_index
-    return score_index(qv, forward_index(postings, d_keys), "item_id", d_keys, "threshold", threshold=threshold)
+    from answerlake.operators.scoring import score_index
+    return score_index(qv, index.forward, "item_id", d_keys, "threshold", threshold=threshold)
 
 
-def score_group_best(qv: DataFrame, postings: DataFrame, groups: DataFrame, group_keys, inner_keys) -> DataFrame:
+def score_group_best(qv: DataFrame, index: Index, groups: DataFrame, group_keys, inner_keys) -> DataFrame:
     """Best text per (question, group); ``groups`` maps texts to groups."""
     from answerlake.operators import retrieval as R
-    from answerlake.operators.scoring import forward_index, score_index
+    from answerlake.operators.scoring import score_index
     keys = [*group_keys, *inner_keys]
-    fwd = forward_index(postings, PARA_KEYS).join(groups, list(PARA_KEYS))
+    fwd = index.forward.join(groups, list(PARA_KEYS))
     local = score_index(qv, fwd, "item_id", keys, "group_best", group_keys=group_keys)
     return R.top1(local, ["item_id", *group_keys], inner_keys)
