@@ -62,17 +62,9 @@ def _greedy_pack_ids(n_tokens: np.ndarray, max_tokens: int) -> np.ndarray:
     return out
 
 
-def pack_greedy(paras: DataFrame, max_tokens: int = 2000, doc_key: str = "doc_id",
-                order_col: str = "para_idx", tokens_col: str = "n_tokens") -> DataFrame:
-    """Greedy packing with reset, per document.
-
-    Output: ``doc_key, order_col, pack_id`` for every input paragraph.  The
-    rows are hash-partitioned by document and sorted by (document, position);
-    each partition then streams through one Arrow batch function that carries
-    the packing state (document, pack number, fill) across batches, so memory
-    is constant however long a document is, and documents pack in parallel.
-    Only the two integer columns travel to Python.
-    """
+def _stream_pack(paras: DataFrame, max_tokens: int, doc_key: str, order_col: str, tokens_col: str) -> DataFrame:
+    """Greedy packing of whole documents streamed in (document, position)
+    order with the state carried across Arrow batches (constant memory)."""
     spark = paras.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = (paras.select(doc_key, order_col, tokens_col)
@@ -95,8 +87,112 @@ def pack_greedy(paras: DataFrame, max_tokens: int = 2000, doc_key: str = "doc_id
                 ids[i] = pack_no
             yield pd.DataFrame({doc_key: docs, order_col: pdf[order_col].to_numpy(), "pack_id": ids})
 
-    schema = f"{doc_key} long, {order_col} int, pack_id long"
-    return slim.mapInPandas(pack, schema=schema)
+    return slim.mapInPandas(pack, schema=f"{doc_key} long, {order_col} int, pack_id long")
+
+
+def _transfer(tokens: np.ndarray, max_tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """Greedy packing over a block for every possible entry state at once.
+
+    States: ``0..max`` = fill of the open pack, ``max+1`` = overfull (any next
+    paragraph opens a pack), ``max+2`` = document start (the first paragraph
+    always joins pack 0).  Returns the exit state and the number of packs
+    opened inside the block, per entry state.
+    """
+    cap, start = max_tokens + 1, max_tokens + 2
+    state = np.arange(max_tokens + 3, dtype=np.int64)
+    opened = np.zeros(len(state), dtype=np.int64)
+    for i, t in enumerate(tokens.tolist()):
+        if i % 64 == 0 and np.all(state == state[0]):
+            # every entry state has merged: one scalar walk finishes the block
+            s, extra = int(state[0]), 0
+            for u in tokens[i:].tolist():
+                if s != start and s + u > max_tokens:
+                    extra, s = extra + 1, min(u, cap)
+                else:
+                    s = min(u, cap) if s == start else min(s + u, cap)
+            return np.full(len(state), s), opened + extra
+        is_start = state == start
+        new = ~is_start & (state + t > max_tokens)
+        opened += new
+        state = np.where(new | is_start, min(t, cap), np.minimum(state + t, cap))
+    return state, opened
+
+
+def _block_pack(paras: DataFrame, max_tokens: int, doc_key: str, order_col: str, tokens_col: str,
+                block_rows: int) -> DataFrame:
+    """Exact greedy packing of long documents split into blocks of positions.
+
+    (1) each (document, block) computes its transfer function over all entry
+    states (bounded by ``block_rows`` rows); (2) per document, the block
+    summaries (one row per block) are chained in order to get each block's
+    entry state and pack offset; (3) each block assigns its pack ids.
+    """
+    start = max_tokens + 2
+    blk = paras.select(doc_key, order_col, tokens_col,
+                       F.floor(F.col(order_col) / F.lit(block_rows)).cast("long").alias("_blk"))
+
+    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order_col, kind="stable")
+        exit_state, opened = _transfer(pdf[tokens_col].to_numpy(), max_tokens)
+        return pd.DataFrame({doc_key: [pdf[doc_key].iloc[0]], "_blk": [pdf["_blk"].iloc[0]],
+                             "_exit": [exit_state.tolist()], "_opened": [opened.tolist()]})
+
+    summaries = blk.groupBy(doc_key, "_blk").applyInPandas(
+        summarise, f"{doc_key} long, _blk long, _exit array<long>, _opened array<long>")
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_blk", kind="stable")
+        state, offset, entries, offsets = start, 0, [], []
+        for ex, op in zip(pdf["_exit"], pdf["_opened"]):
+            entries.append(state)
+            offsets.append(offset)
+            offset += int(op[state])
+            state = int(ex[state])
+        return pd.DataFrame({doc_key: pdf[doc_key].to_numpy(), "_blk": pdf["_blk"].to_numpy(),
+                             "_entry": entries, "_offset": offsets})
+
+    entry = summaries.groupBy(doc_key).applyInPandas(
+        chain, f"{doc_key} long, _blk long, _entry long, _offset long")
+
+    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order_col, kind="stable")
+        s, pack_no = int(pdf["_entry"].iloc[0]), int(pdf["_offset"].iloc[0])
+        cap = max_tokens + 1
+        ids = np.empty(len(pdf), dtype=np.int64)
+        for i, t in enumerate(pdf[tokens_col].to_numpy().tolist()):
+            if s == start:
+                s = min(t, cap)
+            elif s + t > max_tokens:
+                pack_no, s = pack_no + 1, min(t, cap)
+            else:
+                s = min(s + t, cap)
+            ids[i] = pack_no
+        return pd.DataFrame({doc_key: pdf[doc_key].to_numpy(), order_col: pdf[order_col].to_numpy(),
+                             "pack_id": ids})
+
+    return blk.join(entry, [doc_key, "_blk"]).groupBy(doc_key, "_blk").applyInPandas(
+        assign, f"{doc_key} long, {order_col} int, pack_id long")
+
+
+def pack_greedy(paras: DataFrame, max_tokens: int = 2000, doc_key: str = "doc_id",
+                order_col: str = "para_idx", tokens_col: str = "n_tokens",
+                block_rows: int = 100_000) -> DataFrame:
+    """Greedy packing with reset, per document.
+
+    Output: ``doc_key, order_col, pack_id`` for every input paragraph.  Only
+    the integer columns travel to Python.  Documents with at most
+    ``block_rows`` paragraphs stream through a sorted partition scan with the
+    packing state carried along (constant memory); longer documents - a
+    document may hold a large share of all paragraphs - are split into blocks
+    of positions that are packed in parallel and chained exactly through
+    per-block transfer functions, so no document is scanned by one task.
+    """
+    sizes = paras.groupBy(doc_key).agg((F.max(order_col) + 1).alias("_n"))
+    tagged = paras.select(doc_key, order_col, tokens_col).join(sizes, doc_key)
+    small = tagged.filter(F.col("_n") <= block_rows).drop("_n")
+    large = tagged.filter(F.col("_n") > block_rows).drop("_n")
+    return (_stream_pack(small, max_tokens, doc_key, order_col, tokens_col)
+            .unionByName(_block_pack(large, max_tokens, doc_key, order_col, tokens_col, block_rows)))
 
 
 def pack_prefix(paras: DataFrame, max_tokens: int = 2000, doc_key: str = "doc_id",

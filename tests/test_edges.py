@@ -250,3 +250,18 @@ def test_question_list_and_text_folders(spark, tmp_path):
 def test_csv_out_name():
     from answerlake.sinks.writers import out_name
     assert out_name("uncategorizedQuestions_small.csv") == "uncategorizedQuestions_smallOut.csv"
+
+
+def test_block_parallel_packing_equals_sequential(spark):
+    import random
+    import numpy as np
+    from answerlake.operators.chunking import _greedy_pack_ids
+    rnd = random.Random(7)
+    docs = {d: [rnd.choice([0, 1, 3, 5, 9, 12, 30]) for _ in range(rnd.randint(1, 60))] for d in range(12)}
+    data = [(d, i, t) for d, ts in docs.items() for i, t in enumerate(ts)]
+    df = spark.createDataFrame(data, "doc_id long, para_idx int, n_tokens long")
+    for block in (1, 4, 7, 1000):
+        got = {(r.doc_id, r.para_idx): r.pack_id for r in pack_greedy(df, 10, block_rows=block).collect()}
+        for d, ts in docs.items():
+            want = list(_greedy_pack_ids(np.array(ts), 10))
+            assert [got[(d, i)] for i in range(len(ts))] == want, (block, d)
