@@ -265,3 +265,14 @@ def test_block_parallel_packing_equals_sequential(spark):
         for d, ts in docs.items():
             want = list(_greedy_pack_ids(np.array(ts), 10))
             assert [got[(d, i)] for i in range(len(ts))] == want, (block, d)
+
+
+def test_append_questions_and_latest(spark, tmp_path):
+    from answerlake.sinks.writers import append_questions
+    path = str(tmp_path / "questions")
+    q = spark.createDataFrame([("first?",), ("second?",)], "text string")
+    assert append_questions(q, path) == 2
+    assert append_questions(q.limit(1), path, session_id=7) == 3
+    back = spark.read.parquet(path)
+    assert sorted(rows(back.groupBy("session_id").count(), "session_id", "count")) == [(0, 2), (7, 1)]
+    assert back.filter(F.col("timestamp").isNull()).count() == 0
