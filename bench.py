@@ -43,12 +43,18 @@ def main() -> None:
                           app_name="answerlake-bench")
 
     results: dict[str, float] = {}
+    failed: dict[str, str] = {}
     for name in names:
         runs = []
-        for _ in range(repeats):
-            t = time.perf_counter()
-            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            runs.append(time.perf_counter() - t)
+        try:
+            for _ in range(repeats):
+                t = time.perf_counter()
+                QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+                runs.append(time.perf_counter() - t)
+        except Exception as e:  # noqa: BLE001 - report and keep measuring the others
+            failed[name] = f"{type(e).__name__}: {str(e)[:200]}"
+            print(f"# {name}: FAILED {failed[name]}", file=sys.stderr, flush=True)
+            continue
         results[name] = round(statistics.median(runs), 3)
         print(f"# {name}: {results[name]}s (runs {[round(r, 2) for r in runs]})", file=sys.stderr, flush=True)
 
@@ -63,6 +69,7 @@ def main() -> None:
         "repeats": repeats,
         "spark": spark.version,
         "shuffle_partitions": int(spark.conf.get("spark.sql.shuffle.partitions")),
+        "failed": failed,
     }))
     spark.stop()
 
