@@ -114,8 +114,11 @@ def build_index(units: DataFrame, keys: Sequence[str], text_col: str = "text",
     counted = counted.checkpoint(eager=True)
     n_fit = counted.filter(F.col("_fit")).count()
     tf = explode_terms(counted, keys)
+    # the vocabulary is read by the question side and by the index join:
+    # materialise it once (it is small next to the postings)
     idf = (tf.groupBy("term").agg(F.count("*").alias("df"))
-           .withColumn("idf", F.log(F.lit(1.0 + n_fit) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)))
+           .withColumn("idf", F.log(F.lit(1.0 + n_fit) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
+           .checkpoint(eager=True))
     w = F.col("tf") * F.col("idf")
     grouped = (tf.join(idf.select("term", "idf"), "term")
                .groupBy(*keys)
