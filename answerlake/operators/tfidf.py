@@ -79,13 +79,6 @@ def explode_terms(counted: DataFrame, keys: Sequence[str], items: str = "items")
             .select(*keys, F.col("_t.term").alias("term"), F.col("_t.tf").alias("tf")))
 
 
-def fit_idf(units: DataFrame, tf: DataFrame, text_col: str = "text") -> DataFrame:
-    """``term, df, idf``.  ``tf`` must be the term frequencies of ``units``."""
-    n_fit = units.filter(~is_blank(text_col)).agg(F.count("*")).scalar()
-    return (tf.groupBy("term").agg(F.count("*").alias("df"))
-            .withColumn("idf", F.log((F.lit(1.0) + n_fit) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)))
-
-
 def weigh(tf: DataFrame, idf: DataFrame, keys: Sequence[str], weight_col: str = "weight") -> DataFrame:
     """Inner join on the vocabulary, ``tf * idf``, L2-normalise per text."""
     w = F.col("tf") * F.col("idf")

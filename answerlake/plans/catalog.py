@@ -255,10 +255,11 @@ def q_vote_pivot(spark, sf):
 
 @query("vote_percent")
 def q_vote_percent(spark, sf):
-    from answerlake.operators.votes import vote_percent, vote_pivot
+    from answerlake.operators.votes import percent_label, vote_percent, vote_pivot
     from answerlake.sources.inline import CANDIDATES
     p = vote_percent(vote_pivot(order_votes(spark, sf)))
-    return p.select("category", *[f"{c}_pct" for c in CANDIDATES])
+    return p.select("category", *[f"{c}_pct" for c in CANDIDATES],
+                    *[percent_label(f"{c}_pct").alias(f"{c}_label") for c in CANDIDATES])
 
 
 @query("top_categories")

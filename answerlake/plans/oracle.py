@@ -302,10 +302,12 @@ WITH {VOTES}
 SELECT category, trump, biden, trump + biden AS total FROM piv""")
 
 oracle("vote_percent", f"""
-WITH {VOTES}
-SELECT category, round_even(100.0 * trump / (trump + biden), 2) AS trump_pct,
-       round_even(100.0 * biden / (trump + biden), 2) AS biden_pct
-FROM piv""")
+WITH {VOTES},
+pct AS (SELECT category, round_even(100.0 * trump / (trump + biden), 2) AS trump_pct,
+               round_even(100.0 * biden / (trump + biden), 2) AS biden_pct FROM piv)
+SELECT category, trump_pct, biden_pct, printf('%.2f%%', trump_pct) AS trump_label,
+       printf('%.2f%%', biden_pct) AS biden_label
+FROM pct""")
 
 oracle("top_categories", f"""
 WITH {VOTES}
