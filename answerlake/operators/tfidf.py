@@ -25,13 +25,15 @@ from answerlake.functions.text import is_blank, terms
 
 class Index(NamedTuple):
     """A fitted TF-IDF index: postings, vocabulary with IDF, the indexed texts
-    (keys, kept columns, text), the number of fitted (non-blank) texts and the
-    same postings as one row per text (``forward``, for batch scoring)."""
+    (keys, kept columns, text), the number of fitted (non-blank) texts, the
+    same postings as one row per text (``forward``, for batch scoring) and the
+    raw term frequencies (``terms``: keys, term, tf)."""
     postings: DataFrame
     idf: DataFrame
     units: DataFrame
     n_fit: int
     forward: DataFrame | None = None
+    terms: DataFrame | None = None
 
 
 def _term_count_parts():
@@ -122,7 +124,7 @@ def build_index(units: DataFrame, keys: Sequence[str], text_col: str = "text",
                                   (x.getField("w") / F.sqrt(F.col("_n2"))).alias("weight"))).alias("items"))
     postings = (forward.select(*keys, F.explode("items").alias("_p"))
                 .select(*keys, "_p.term", "_p.tf", "_p.weight"))
-    return Index(postings, idf, counted.drop("items", "_fit"), n_fit, forward)
+    return Index(postings, idf, counted.drop("items", "_fit"), n_fit, forward, tf)
 
 
 def vectorize(texts: DataFrame, idf: DataFrame, keys: Sequence[str], text_col: str = "text",

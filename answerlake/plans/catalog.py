@@ -774,7 +774,7 @@ def q_eval_set_mix(spark, sf):
 def q_eval_multi_context_pairs(spark, sf):
     from answerlake.operators.evaluate import rare_term_pairs
     ix = C.chunk_index(spark, sf)
-    p = rare_term_pairs(ix.postings, ix.idf, list(C.CHUNK_KEYS))
+    p = rare_term_pairs(ix.terms, ix.idf, list(C.CHUNK_KEYS))
     return p.select(*[big(F.col(f"{s}.{k}")).alias(f"{s}_{k}") for s in ("a", "b") for k in C.CHUNK_KEYS],
                     big("n_shared").alias("n_shared"))
 
