@@ -743,7 +743,8 @@ def q_relevancy_avg(spark, sf):
     from answerlake.operators.retrieval import cosine_distance
     from answerlake.sources.tables import table
     e = table(spark, sf, "embeddings").filter(F.col("embedding").isNotNull()).select("vec_id", "embedding", "label")
-    own = e.join(F.broadcast(centroids(e)), "label") \
+    # one centroid row per label: AQE broadcasts it from its measured size
+    own = e.join(centroids(e), "label") \
         .select("label", "vec_id", cosine_distance(F.col("centroid"), F.col("embedding")).alias("distance"))
     r = answer_relevancy(own, "label")
     return r.select(big("label").alias("label"), big("n_generated").alias("n_generated"),
