@@ -18,8 +18,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from answerlake.session import shared_path
 
 
-def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1) -> DataFrame:
-    """A parquet test table as a file stream (schema taken from the batch read)."""
+def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1000) -> DataFrame:
+    """A parquet test table as a file stream (schema taken from the batch read).
+
+    ``max_files`` bounds each micro-batch (and so the rows any stateful group
+    sees at once) without turning a large folder into one micro-batch per file.
+    """
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
             .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
