@@ -75,20 +75,32 @@ MILESTONE_SCHEMA = "user_id long, kind string, n long, event_id long"
 def count_milestones(rules: dict[str, list[int]], key_cols=("user_id", "kind")):
     """ST3: per (user, kind) running count kept in state; emits the events
     whose running number hits a rule's ``n``.  Events inside a micro-batch
-    are taken in (ts, event_id) order."""
+    are taken in (ts, event_id) order.  Only the first ``max n`` events of a
+    group can award anything, so each chunk of a group's micro-batch is
+    reduced to its smallest (ts, event_id) rows still needed and the rest is
+    only counted: memory stays bounded for a group of any size."""
+    top = max((n for ns in rules.values() for n in ns), default=0)
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         user_id, kind = key
         seen = state.get[0] if state.exists else 0
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
+        need = max(top - seen, 0)
+        keep, total = None, 0
+        for chunk in pdfs:
+            total += len(chunk)
+            if need:
+                both = chunk if keep is None else pd.concat([keep, chunk], ignore_index=True)
+                keep = both.sort_values(["ts", "event_id"], kind="stable").head(need)
+        state.update((int(seen + total),))
         wanted = set(rules.get(kind, []))
-        n = seen + pd.RangeIndex(1, len(batch) + 1)
+        if keep is None or not wanted:
+            return
+        n = seen + pd.RangeIndex(1, len(keep) + 1)
         hit = [i for i, v in enumerate(n) if v in wanted]
-        state.update((int(seen + len(batch)),))
         if hit:
             yield pd.DataFrame({"user_id": [user_id] * len(hit), "kind": [kind] * len(hit),
                                 "n": [int(n[i]) for i in hit],
-                                "event_id": batch["event_id"].to_numpy()[hit]})
+                                "event_id": keep["event_id"].to_numpy()[hit]})
 
     return fn
 
