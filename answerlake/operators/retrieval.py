@@ -1,16 +1,17 @@
 """Similarity retrieval.
 
-Sparse: question postings join index postings on ``term``; only texts that
-share a term with a question are touched.  The question side is small and AQE
-broadcasts it when its materialised size is under the threshold, so the index
-postings stream without a shuffle; otherwise a sort-merge join with skew
-splitting of frequent terms runs.
+Sparse: the named queries score with the Arrow batch kernel in
+``operators/scoring.py``; ``sparse_scores`` here is the plain SQL form
+(question postings join index postings on ``term``, sum per pair), kept as
+the reference path and tested equal to the kernel.
 
 Top-1 is an aggregation (``min`` of a struct ordered by score then position)
 which Spark computes partially before the shuffle, so a question that matches
 most of the corpus does not pile up in one task.  Top-k uses ``row_number``
 with a ``<= k`` filter, which Spark plans as a per-partition group limit
-before the shuffle.
+before the shuffle.  Dense: ``dense_topk_candidates`` scores batches of
+vectors against the size-checked question matrix with one matrix product;
+``dense_distances`` gives the full distance table where one is needed.
 """
 
 from __future__ import annotations
