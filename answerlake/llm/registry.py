@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from answerlake.llm import decontaminate, pii, simhash
+from answerlake.llm import decontaminate, licenses, mixing, pii, quality, simhash
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_pii": pii.op2_pii,
     "op3_simhash": simhash.op3_simhash,
+    "op4_licenses": licenses.op4_licenses,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op8_mix": mixing.op8_mix,
 }
 
 ORACLE = {
     "op5_decontaminate": decontaminate.OP5_SQL,
+    "op8_mix": mixing.OP8_SQL,
 }
