@@ -101,3 +101,8 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def remember(*paths: str) -> None:
+    """Tables written elsewhere that ``release`` is to delete as well."""
+    _TABLES.extend(paths)

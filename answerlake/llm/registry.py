@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from answerlake.llm import decontaminate, licenses, mixing, pii, quality, simhash
+from answerlake.llm import decontaminate, licenses, mixing, pii, quality, simhash, urls, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -11,9 +11,12 @@ QUERIES = {
     "op4_licenses": licenses.op4_licenses,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op8_mix": mixing.op8_mix,
+    "op9_warc": warc.op9_warc,
+    "op10_urls": urls.op10_urls,
 }
 
 ORACLE = {
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op8_mix": mixing.OP8_SQL,
+    "op9_warc": warc.OP9_SQL,
 }
