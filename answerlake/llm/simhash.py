@@ -176,7 +176,7 @@ def plan(classes: DataFrame, max_bits: int = MAX_BITS) -> tuple[list[list[int]],
 def _deal(rows: DataFrame, keys: list[str], groups: Column) -> DataFrame:
     """Each row once for every group of bits in ``groups`` (masks), its key made longer by that group's value."""
     g = F.explode(groups).alias("g")
-    return rows.select(*keys, "fp", "probe", g).select(*keys, "fp", "probe", F.struct("g", F.col("fp").bitwiseAND("g").alias("w")).alias("w"))
+    return rows.select(*keys, "fp", "probe", g).select(*keys, "fp", "probe", F.struct("g", F.col("fp").bitwiseAND(F.col("g")).alias("w")).alias("w"))
 
 
 def links(classes: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT_VALUES) -> DataFrame:
