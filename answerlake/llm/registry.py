@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from answerlake.llm import decontaminate, licenses, mixing, pii, quality, simhash, urls, warc
+from answerlake.llm import classifier, decontaminate, language, licenses, mixing, pii, quality, simhash, urls, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_simhash": simhash.op3_simhash,
     "op4_licenses": licenses.op4_licenses,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_language": language.op6_language,
+    "op7_quality_score": classifier.op7_quality_score,
     "op8_mix": mixing.op8_mix,
     "op9_warc": warc.op9_warc,
     "op10_urls": urls.op10_urls,
