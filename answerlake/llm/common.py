@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -41,12 +42,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete every table ``stored`` wrote so far; call it once the results built on them are written."""
+@contextlib.contextmanager
+def stored_here(names: list[str]) -> Iterator[None]:
+    """Collect the tables that are stored within the block in ``names``."""
+    at = len(_TABLES)
+    try:
+        yield
+    finally:
+        names += _TABLES[at:]
+        del _TABLES[at:]
+
+
+def release(spark: SparkSession, names: list[str] | None = None) -> int:
+    """Delete stored tables, all so far by default; call it once the results built on them are written."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    names = _TABLES if names is None else names
     n = 0
-    while _TABLES:
-        path = jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+    while names:
+        path = jvm.org.apache.hadoop.fs.Path(names.pop())
         n += bool(path.getFileSystem(conf).delete(path, True))
     return n
 

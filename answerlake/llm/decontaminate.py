@@ -258,7 +258,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_column: str = "text
             return [[cut_spans(t, [(x["start"], x["stop"]) for x in s]) if s else t for t, s in zip(texts, spans)]]
         return work
 
-    kept = [c for c in found.columns if c not in ("n_words", "leak_items", "leak_longest")]
+    kept = [c for c in found.columns if c not in (text_column, "n_words", "leak_items", "leak_longest")]
     out = common.add_columns(found, [text_column, "leak_spans"], [T.StructField("leak_text", T.StringType())], make, kept)
     order = [c for c in docs.columns]
     return out.select(*[F.col("leak_text" if c == text_column else f"`{c}`").alias(c) for c in order],

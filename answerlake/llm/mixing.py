@@ -45,9 +45,9 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame
     budget = F.sum("source_size").over(everywhere) * MIX_PERCENT
     rest = F.sum("weight").over(everywhere) - F.coalesce(F.sum("weight").over(before), F.lit(0))
     s = s.withColumn("level", (budget - 100 * F.coalesce(F.sum("cap").over(before), F.lit(0))).cast("double") / (100 * rest))
-    # Capped sources come first; from the first open one on, that one's level holds for all.
+    # Capped sources come first. The first open one's level holds for all open ones; the numbers after it only fall.
     capped = F.col("cap") <= F.col("level") * F.col("weight")
-    s = s.withColumn("open_level", F.min(F.when(~capped, F.col("level"))).over(everywhere))
+    s = s.withColumn("open_level", F.max(F.when(~capped, F.col("level"))).over(everywhere))
     return s.select("source", "source_size", "n", F.least(F.col("cap").cast("double"), F.coalesce(F.col("open_level") * F.col("weight"), F.col("cap").cast("double"))).alias("target"))
 
 
@@ -61,7 +61,9 @@ def mix(docs: DataFrame, source_column: str = "source", text_column: str = "text
     ident = F.col(f"`{id_column}`").cast("string")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{source_column}`").cast("string").alias("source"),
                        size.alias("size"), ident.alias("id"), F.md5(F.coalesce(ident, F.lit(""))).alias("key"))
-    rows = common.stored(rows, "mix-rows")
+    # Written once, so that the row numbers stay what they are; the rows themselves move only in the last join.
+    whole = common.stored(rows.withColumn("uid", F.monotonically_increasing_id()), "mix-rows")
+    rows = whole.select("uid", "source", "size", "id", "key")
     sources = common.stored(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights), "mix-sources")
     plan = sources.select(F.col("source").alias("s_source"), "source_size", "target", F.ceil(F.col("n") / RANGE_ROWS).alias("ranges"))
     placed = rows.join(plan, F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source")
@@ -83,7 +85,8 @@ def mix(docs: DataFrame, source_column: str = "source", text_column: str = "text
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(0)
     cut = F.greatest(F.lit(0), F.least(F.col("size"), budget - epochs * F.col("source_size") - before))
-    return placed.withColumn("taken", (epochs * F.col("size") + cut).cast("long")).select("row.*", "size", "source_size", "target", "taken")
+    taken = common.stored(placed.select("uid", "source_size", "target", (epochs * F.col("size") + cut).cast("long").alias("taken")), "mix-taken")
+    return whole.select("uid", "row", "size").join(taken, "uid").select("row.*", "size", "source_size", "target", "taken")
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,20 +94,24 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
   FROM d GROUP BY source),
-c AS (
-  SELECT *, 2 * source_size AS cap,
-    coalesce(sum(2 * source_size) OVER w, 0) AS cap_before, coalesce(sum(weight) OVER w, 0) AS weight_before,
-    sum(weight) OVER () AS weights, sum(source_size) OVER () AS total
-  FROM s WINDOW w AS (ORDER BY 2 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-l AS (SELECT *, CAST(150 * total - 100 * cap_before AS DOUBLE) / CAST(100 * (weights - weight_before) AS DOUBLE) AS level FROM c),
+r AS (
+  SELECT 0 AS i, source, source_size, weight, false AS capped FROM s
+  UNION ALL
+  SELECT i + 1, source, source_size, weight, capped OR coalesce(2 * source_size <= level * weight, false)
+  FROM (SELECT *, CAST(150 * sum(source_size) OVER () - 200 * coalesce(sum(source_size) FILTER (WHERE capped) OVER (), 0) AS DOUBLE)
+                  / CAST(100 * sum(weight) FILTER (WHERE NOT capped) OVER () AS DOUBLE) AS level FROM r)
+  WHERE i < (SELECT count(*) FROM s)),
+f AS (SELECT * FROM r WHERE i = (SELECT count(*) FROM s)),
 t AS (
-  SELECT source, source_size, least(CAST(cap AS DOUBLE), coalesce((SELECT min(level) FROM l WHERE cap > level * weight) * weight, CAST(cap AS DOUBLE))) AS target
-  FROM l),
+  SELECT source, source_size, CASE WHEN capped THEN CAST(2 * source_size AS DOUBLE)
+    ELSE CAST(150 * sum(source_size) OVER () - 200 * coalesce(sum(source_size) FILTER (WHERE capped) OVER (), 0) AS DOUBLE)
+         / CAST(100 * sum(weight) FILTER (WHERE NOT capped) OVER () AS DOUBLE) * weight END AS target
+  FROM f),
 p AS (
   SELECT doc_id, size, t.source_size, target, CAST(floor(target) AS BIGINT) AS budget,
     coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(CAST(doc_id AS VARCHAR)), CAST(doc_id AS VARCHAR), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before

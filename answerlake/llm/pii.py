@@ -241,20 +241,18 @@ def find_pii(docs: DataFrame, text_column: str = "text", keep: list[str] | None
 
 
 def mask_pii(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """The same rows with every span of the text replaced by its kind; nulls stay null."""
+    """The same rows with every span of the text replaced by its kind, and ``masked``, whether there was one; nulls stay null."""
     common.ready(docs.sparkSession)
 
     def make():
         def work(texts):
-            out = []
-            for text in texts:
-                base, added = spans(text)
-                out.append(masked(text, base + added) if base or added else text)
-            return [out]
+            found = [spans(t) for t in texts]
+            return [[masked(t, b + a) if b or a else t for t, (b, a) in zip(texts, found)], [bool(b or a) for b, a in found]]
         return work
 
-    out = common.add_columns(docs, [text_column], [T.StructField("masked_text", T.StringType())], make)
-    return out.select(*[F.col("masked_text" if c == text_column else f"`{c}`").alias(c) for c in docs.columns])
+    fields = [T.StructField("masked_text", T.StringType()), T.StructField("masked", T.BooleanType())]
+    out = common.add_columns(docs, [text_column], fields, make, [c for c in docs.columns if c != text_column])
+    return out.select(*[F.col("masked_text" if c == text_column else f"`{c}`").alias(c) for c in docs.columns if c.lower() != "masked"], "masked")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
