@@ -1,10 +1,10 @@
 """Engagement: milestones, badges, streaks, counters, quiz scores, sessions
 (W2, G4-G9, A9, A10, O3-O5).
 
-Milestones only ever look at the first 50 events of a (user, kind), so the
-ranking window is filtered ``n <= 50`` and Spark runs it as a group limit
-before the shuffle: a user with a third of all events ships 50 rows per map
-partition, not all of them.
+Milestones only ever look at the first events of a (user, kind), up to the
+largest number any rule names, so the ranking window is filtered by that
+number and Spark runs it as a group limit before the shuffle: a user with a
+third of all events ships that many rows per map partition, not all of them.
 """
 
 from __future__ import annotations
@@ -67,9 +67,10 @@ def nth_events(ev: DataFrame, max_n: int, key: Sequence[str] = ("user_id", "kind
 
 
 def milestones(ev: DataFrame, rules: DataFrame) -> DataFrame:
-    """The n-th event of a kind awards the rule's badge (once)."""
-    max_n = 50
-    nth = nth_events(ev, max_n)
+    """The n-th event of a kind awards the rule's badge (once); ``rules``
+    (kind, n, badge_id) is a small dimension table and sets how far to count."""
+    top = rules.agg(F.max("n").alias("n")).first()["n"]
+    nth = nth_events(ev, top or 0)
     return nth.join(F.broadcast(rules), ["kind", "n"])
 
 
@@ -107,9 +108,10 @@ def award_once(awards: DataFrame, order_col: str) -> DataFrame:
 
 def latest_before(left: DataFrame, right: DataFrame, by: str, left_id: str,
                   order: Sequence[str] = ("ts", "event_id"), out: str = "matched_id",
-                  bucket: F.Column | None = None) -> DataFrame:
+                  bucket: F.Column | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """As-of match: for each ``right`` row, the id of the latest ``left`` row of
-    the same ``by`` key at or before it (``NULL`` when none).
+    the same ``by`` key at or before it (``NULL`` when none).  Columns of
+    ``right`` named in ``carry`` come along.
 
     Two levels so that a key with a huge share of the rows is still split:
     (1) inside each (key, time bucket) a running ``last`` over the bucket's
@@ -121,8 +123,10 @@ def latest_before(left: DataFrame, right: DataFrame, by: str, left_id: str,
     first = order[0]
     bkt = bucket if bucket is not None else F.date_trunc("hour", F.col(first))
     cols = [by, *order]
-    l = left.select(*cols, F.col(left_id).alias("_lid"), F.lit(0).alias("_side"))
-    r = right.select(*cols, F.lit(None).cast("bigint").alias("_lid"), F.lit(1).alias("_side"))
+    types = {f.name: f.dataType for f in right.schema.fields}
+    l = left.select(*cols, F.col(left_id).alias("_lid"), F.lit(0).alias("_side"),
+                    *[F.lit(None).cast(types[c]).alias(c) for c in carry])
+    r = right.select(*cols, F.lit(None).cast("bigint").alias("_lid"), F.lit(1).alias("_side"), *carry)
     both = l.unionByName(r).withColumn("_bkt", bkt)
     w = (Window.partitionBy(by, "_bkt").orderBy(*order, "_side")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))

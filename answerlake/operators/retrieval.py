@@ -149,9 +149,6 @@ def dense_topk_candidates(queries: DataFrame, vectors: DataFrame, k: int, q_key:
     the k-th value) leave the task.  ``dense_topk`` on the result gives the
     exact top-k.  The question side is counted and split into bounded
     batches like a broadcast build side."""
-    import numpy as np
-    import pyarrow as pa
-
     q_type = {f.name: f.dataType.simpleString() for f in queries.schema.fields}[q_key]
     v_type = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}[v_key]
     schema = f"{q_key} {q_type}, {v_key} {v_type}, distance double"
@@ -160,51 +157,59 @@ def dense_topk_candidates(queries: DataFrame, vectors: DataFrame, k: int, q_key:
         pdf = batch.toPandas()
         if pdf.empty:
             continue
-        dim = len(pdf[q_vec].iloc[0])
-        pdf = pdf[pdf[q_vec].map(len) == dim]
-        qids = pdf[q_key].to_numpy()
-        qm = np.stack(pdf[q_vec].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
-        qn = np.sqrt((qm * qm).sum(axis=1))
-
-        def run(batches, qm=qm, qn=qn, qids=qids, dim=dim):
-            for rb in batches:
-                col = rb.column(v_vec)
-                ids = rb.column(v_key).to_numpy(zero_copy_only=False)
-                lens = np.diff(col.offsets.to_numpy())
-                flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                good = lens == dim
-                if not good.all():  # ragged rows have no cosine with the questions
-                    starts = col.offsets.to_numpy()[:-1][good]
-                    flat = np.concatenate([flat[s:s + dim] for s in starts]) if len(starts) else flat[:0]
-                    ids = ids[good]
-                if len(ids) == 0:
-                    continue
-                vm = flat.reshape(len(ids), dim)
-                vn = np.sqrt((vm * vm).sum(axis=1))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    dist = 1.0 - (vm @ qm.T) / np.outer(vn, qn)
-                r = np.round(dist, RANK_DIGITS)
-                valid = (dist > 0) if farthest else ~np.isnan(dist)
-                out_q, out_v, out_d = [], [], []
-                for j in range(len(qids)):
-                    m = valid[:, j]
-                    if not m.any():
-                        continue
-                    rj = r[m, j] if not farthest else -r[m, j]
-                    kth = np.partition(rj, min(k, len(rj)) - 1)[min(k, len(rj)) - 1]
-                    sel = np.flatnonzero(m)[rj <= kth]
-                    out_q.append(np.full(len(sel), qids[j]))
-                    out_v.append(ids[sel])
-                    out_d.append(dist[sel, j])
-                if out_q:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(out_q)), pa.array(np.concatenate(out_v)),
-                         pa.array(np.concatenate(out_d))], names=[q_key, v_key, "distance"])
-
-        parts.append(vectors.select(v_key, v_vec).mapInArrow(run, schema))
+        # a question meets the vectors of its own length; each length is a pass of its own
+        for dim, same in pdf[pdf[q_vec].notna()].groupby(pdf[q_vec].dropna().map(len)):
+            parts.append(_topk_pass(same, vectors, k, int(dim), q_key, q_vec, v_key, v_vec, farthest, schema))
     if not parts:
         return vectors.sparkSession.createDataFrame([], schema)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def _topk_pass(pdf, vectors: DataFrame, k: int, dim: int, q_key: str, q_vec: str, v_key: str, v_vec: str,
+               farthest: bool, schema: str) -> DataFrame:
+    """The batches' ``k`` best of the vectors of length ``dim`` for the questions of that length."""
+    import numpy as np
+    import pyarrow as pa
+    qids = pdf[q_key].to_numpy()
+    qm = np.stack(pdf[q_vec].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
+    qn = np.sqrt((qm * qm).sum(axis=1))
+
+    def run(batches, qm=qm, qn=qn, qids=qids, dim=dim):
+        for rb in batches:
+            col = rb.column(v_vec)
+            ids = rb.column(v_key).to_numpy(zero_copy_only=False)
+            lens = np.diff(col.offsets.to_numpy())
+            flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            good = lens == dim
+            if not good.all():  # ragged rows have no cosine with the questions
+                starts = col.offsets.to_numpy()[:-1][good]
+                flat = np.concatenate([flat[s:s + dim] for s in starts]) if len(starts) else flat[:0]
+                ids = ids[good]
+            if len(ids) == 0:
+                continue
+            vm = flat.reshape(len(ids), dim)
+            vn = np.sqrt((vm * vm).sum(axis=1))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                dist = 1.0 - (vm @ qm.T) / np.outer(vn, qn)
+            r = np.round(dist, RANK_DIGITS)
+            valid = (dist > 0) if farthest else ~np.isnan(dist)
+            out_q, out_v, out_d = [], [], []
+            for j in range(len(qids)):
+                m = valid[:, j]
+                if not m.any():
+                    continue
+                rj = r[m, j] if not farthest else -r[m, j]
+                kth = np.partition(rj, min(k, len(rj)) - 1)[min(k, len(rj)) - 1]
+                sel = np.flatnonzero(m)[rj <= kth]
+                out_q.append(np.full(len(sel), qids[j]))
+                out_v.append(ids[sel])
+                out_d.append(dist[sel, j])
+            if out_q:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(out_q)), pa.array(np.concatenate(out_v)),
+                     pa.array(np.concatenate(out_d))], names=[q_key, v_key, "distance"])
+
+    return vectors.select(v_key, v_vec).mapInArrow(run, schema)

@@ -30,10 +30,11 @@ def vote_pivot(votes: DataFrame, category_col: str = "category", vote_col: str =
 
 def vote_percent(pivot: DataFrame, values: Sequence[str] = tuple(CANDIDATES),
                  total_col: str = "total", suffix: str = "_pct") -> DataFrame:
-    """Row percentages x100, rounded half-even to 2 places."""
+    """Row percentages x100, rounded half-even to 2 places; NULL for a row
+    without any listed vote."""
     out = pivot
     for v in values:
-        out = out.withColumn(v + suffix, F.bround(F.lit(100.0) * F.col(v) / F.col(total_col), 2))
+        out = out.withColumn(v + suffix, F.bround(F.try_divide(F.lit(100.0) * F.col(v), F.col(total_col)), 2))
     return out
 
 

@@ -102,17 +102,12 @@ def q_chunk_tokens_prefix(spark, sf):
 
 @query("token_stats")
 def q_token_stats(spark, sf):
-    from answerlake.operators.tfidf import term_frequencies
-    ch = C.char_chunks(spark, sf)
-    tf = term_frequencies(ch, C.CHUNK_KEYS)
-    per = tf.groupBy(*C.CHUNK_KEYS).agg(big(F.sum("tf")).alias("n_terms_total"),
-                                          F.count("*").alias("n_terms_distinct"))
-    toks = with_token_counts(ch).select(*C.CHUNK_KEYS, "n_tokens")
-    return (toks.join(per, list(C.CHUNK_KEYS), "left")
-            .select(big("doc_id").alias("doc_id"), big("para_idx").alias("para_idx"),
-                    big("piece_idx").alias("piece_idx"), "n_tokens",
-                    big(F.coalesce("n_terms_total", F.lit(0))).alias("n_terms_total"),
-                    big(F.coalesce("n_terms_distinct", F.lit(0))).alias("n_terms_distinct")))
+    from answerlake.functions.text import terms
+    ch = with_token_counts(C.char_chunks(spark, sf))
+    return ch.select(big("doc_id").alias("doc_id"), big("para_idx").alias("para_idx"),
+                     big("piece_idx").alias("piece_idx"), "n_tokens",
+                     big(F.size(terms("text"))).alias("n_terms_total"),
+                     big(F.size(F.array_distinct(terms("text")))).alias("n_terms_distinct"))
 
 
 @query("tfidf_idf")
@@ -144,6 +139,12 @@ def _top1(spark, sf, allow_zero: bool) -> DataFrame:
                 .select("item_id", *[first.getField(k).alias(k) for k in C.PARA_KEYS],
                         F.lit(0.0).alias("score")))
         best = best.unionByName(zero)
+    return top1_answers(qs, best, ix)
+
+
+def top1_answers(qs: DataFrame, best: DataFrame, ix) -> DataFrame:
+    """One answer row per question: its best paragraph with text and file, or
+    the fixed response where there is none."""
     paras = C.filename(ix.units).select(*C.PARA_KEYS, "filename", F.col("text").alias("retrieved_text"))
     hits = (best.join(paras, list(C.PARA_KEYS))
             .filter(F.col("retrieved_text") != F.lit("")))
@@ -327,23 +328,20 @@ def q_vote_streaks(spark, sf):
 
 @query("session_counters")
 def q_session_counters(spark, sf):
-    from answerlake.operators.engagement import quiz_correct
+    from answerlake.operators.engagement import props_k
+    from answerlake.sources.inline import EVENT_KINDS, lit_map
     from answerlake.sources.tables import table
     ev = table(spark, sf, "events")
-    e = _events(spark, sf)
-    corr = quiz_correct(F.col("answer"), F.col("answer_key"))
-    per = e.groupBy("user_id").agg(
-        F.count_if(F.col("kind") == "question").alias("n_questions"),
-        F.count_if(F.col("kind") == "vote").alias("n_votes"),
-        F.count_if(F.col("kind") == "topic_click").alias("n_topic_clicks"),
-        F.count_if((F.col("kind") == "quiz_answer") & corr).alias("n_correct"),
-        F.count_if((F.col("kind") == "quiz_answer") & ~corr).alias("n_incorrect"))
-    errors = ev.groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("n_failed_asks"))
-    return (errors.join(per, "user_id", "left")
-            .select(big("user_id").alias("user_id"),
-                    *[big(F.coalesce(c, F.lit(0))).alias(c) for c in
-                      ["n_questions", "n_votes", "n_topic_clicks", "n_correct", "n_incorrect"]],
-                    big("n_failed_asks").alias("n_failed_asks")))
+    kind = F.element_at(lit_map(EVENT_KINDS), F.col("event_type"))
+    # an answer and its key agree where their parities do
+    right = F.pmod(props_k(), F.lit(2)) == F.pmod(F.floor("value"), F.lit(2))
+    return ev.groupBy(big("user_id").alias("user_id")).agg(
+        F.count_if(kind == "question").alias("n_questions"),
+        F.count_if(kind == "vote").alias("n_votes"),
+        F.count_if(kind == "topic_click").alias("n_topic_clicks"),
+        F.count_if((kind == "quiz_answer") & right).alias("n_correct"),
+        F.count_if((kind == "quiz_answer") & ~right).alias("n_incorrect"),
+        F.count_if(F.col("event_type") == "error").alias("n_failed_asks"))
 
 
 @query("quiz_score")
@@ -365,9 +363,8 @@ def first_votes(spark, sf) -> DataFrame:
     e = _events(spark, sf)
     qs = e.filter(F.col("kind") == "question").select("user_id", "ts", "event_id")
     votes = e.filter(F.col("kind") == "vote").select("user_id", "ts", "event_id", "k")
-    matched = latest_before(qs, votes.select("user_id", "ts", "event_id"), "user_id", "event_id",
-                            out="question_id").filter(F.col("question_id").isNotNull())
-    matched = matched.join(votes.select("event_id", "k"), "event_id")
+    matched = latest_before(qs, votes, "user_id", "event_id", out="question_id",
+                            carry=["k"]).filter(F.col("question_id").isNotNull())
     first = first_per_key(matched, ["question_id"], ["ts", "event_id"])
     slot = F.when(F.pmod(F.col("k"), F.lit(2)) == 0, F.lit("A")).otherwise(F.lit("B"))
     a = slot_a_candidate("question_id")
@@ -641,11 +638,11 @@ def q_response_rows(spark, sf):
     """K4 + P17: response records with the fixed candidate id and vote flag;
     the faithfulness column carries the offline support proxy."""
     from answerlake.operators.evaluate import context_support
-    p = qa_pairs(spark, sf).filter(F.col("response").isNotNull()) \
-        .withColumn("answer_id", F.col("conv_id") * 1000 + F.col("turn"))
-    sup = context_support(p.select("answer_id", F.col("response").alias("answer")),
-                          p.select("answer_id", F.col("query").alias("context")), "answer_id")
-    out = p.join(sup, "answer_id")
+    p = qa_pairs(spark, sf).filter(F.col("response").isNotNull())
+    key = ["conv_id", "turn"]
+    sup = context_support(p.select(*key, F.col("response").alias("answer")),
+                          p.select(*key, F.col("query").alias("context")), key)
+    out = p.join(sup, key)
     return out.select(big("conv_id").alias("query_id"), big("turn").alias("turn"),
                       F.lit(1).cast("bigint").alias("candidate_id"), F.col("response"),
                       F.lit(0).cast("bigint").alias("user_voted"),
@@ -715,11 +712,10 @@ def q_stub_category(spark, sf):
 def q_context_support(spark, sf):
     """Offline proxy: share of answer terms found in the question's context."""
     from answerlake.operators.evaluate import context_support
-    p = qa_pairs(spark, sf).filter(F.col("response").isNotNull() & F.col("context").isNotNull()) \
-        .withColumn("answer_id", F.col("conv_id") * 1000 + F.col("turn"))
-    s = context_support(p.select("answer_id", F.col("response").alias("answer")),
-                        p.select("answer_id", "context"), "answer_id")
-    return s.select(big("answer_id").alias("answer_id"), big("n_terms").alias("n_terms"),
+    p = qa_pairs(spark, sf).filter(F.col("response").isNotNull() & F.col("context").isNotNull())
+    key = ["conv_id", "turn"]
+    s = context_support(p.select(*key, F.col("response").alias("answer")), p.select(*key, "context"), key)
+    return s.select(big("conv_id").alias("conv_id"), big("turn").alias("turn"), big("n_terms").alias("n_terms"),
                     big("n_supported").alias("n_supported"), r6("support").alias("support"))
 
 
@@ -872,44 +868,47 @@ def _vote_candidate(ev: DataFrame) -> DataFrame:
 
 @query("stream_scoreboard")
 def q_stream_scoreboard(spark, sf):
-    from answerlake.streaming.live import overwrite_batch, run_to_table, scoreboard, stream_table
+    from answerlake.streaming.live import latest_epoch, run_to_table, scoreboard, stream_table
     ev = stream_table(spark, sf, "events").filter(F.col("event_type") == "purchase")
-    out = run_to_table(spark, scoreboard(_vote_candidate(ev)), "scoreboard", mode="complete",
-                       batch_fn=overwrite_batch)
-    return out.select("candidate", big("votes").alias("votes"))
+    out = run_to_table(spark, scoreboard(_vote_candidate(ev)), "scoreboard", mode="complete")
+    return latest_epoch(out).select("candidate", big("votes").alias("votes"))
 
 
 @query("stream_first_vote")
 def q_stream_first_vote(spark, sf):
+    """ST2: the first vote of each user on each question number, by event time."""
     from answerlake.operators.engagement import props_k
-    from answerlake.streaming.live import first_per_key_stream, run_to_table, stream_table
+    from answerlake.streaming.live import first_rows, run_to_table, stream_table
+    keys, order = ["user_id", "question_k"], ["ts", "event_id"]
     ev = stream_table(spark, sf, "events").filter(F.col("event_type") == "purchase") \
-        .select("user_id", "ts", props_k().alias("question_k"))
-    out = run_to_table(spark, first_per_key_stream(ev, ["user_id", "question_k"]), "first-vote")
-    return out.select(big("user_id").alias("user_id"), big("question_k").alias("question_k"))
+        .select("user_id", "ts", "event_id", props_k().alias("question_k"))
+    seen = run_to_table(spark, ev, "first-vote", batch_fn=lambda batch: first_rows(batch, keys, order, 1))
+    return first_rows(seen, keys, order, 1).select(
+        big("user_id").alias("user_id"), big("question_k").alias("question_k"), big("event_id").alias("vote_id"))
 
 
 @query("stream_milestones")
 def q_stream_milestones(spark, sf):
-    from answerlake.operators.engagement import engagement_events, milestone_events
-    from answerlake.sources.inline import BADGE_RULES, badge_rules
-    from answerlake.streaming.live import milestones_stream, run_to_table, stream_table
-    rules: dict[str, list[int]] = {}
-    for kind, n, _ in BADGE_RULES:
-        rules.setdefault(kind, []).append(n)
+    from answerlake.operators.engagement import engagement_events, milestone_events, milestones
+    from answerlake.sources.inline import badge_rules
+    from answerlake.streaming.live import first_rows, run_to_table, stream_table
+    rules = badge_rules(spark)
+    top = rules.agg(F.max("n").alias("n")).first()["n"]
     ev = milestone_events(engagement_events(stream_table(spark, sf, "events")))
-    out = run_to_table(spark, milestones_stream(ev, rules), "milestones")
-    named = out.join(F.broadcast(badge_rules(spark)), ["kind", "n"])
-    return named.select(big("user_id").alias("user_id"), big("badge_id").alias("badge_id"),
-                        big("event_id").alias("event_id"))
+    # what a later batch can still need of a batch: its first ``top`` rows of each user and kind
+    seen = run_to_table(spark, ev, "milestones",
+                        batch_fn=lambda batch: first_rows(batch, ["user_id", "kind"], ["ts", "event_id"], top))
+    return milestones(seen, rules).select(big("user_id").alias("user_id"), big("badge_id").alias("badge_id"),
+                                          big("event_id").alias("event_id"))
 
 
 @query("stream_answer")
 def q_stream_answer(spark, sf):
     """ST4: questions arrive as a stream and are answered against the static
-    paragraph index inside each micro-batch (stream-static join, top-1)."""
+    paragraph index inside each micro-batch (stream-static join, top-1, and
+    the fixed answer where nothing is found), as in ``retrieve_top1``."""
     from answerlake.operators.tfidf import vectorize
-    from answerlake.streaming.live import append_batch, run_to_table, stream_table
+    from answerlake.streaming.live import run_to_table, stream_table
     from answerlake.session import shared_path
     from answerlake.sources.tables import read_index
     # The static side is built once and persisted (the serving layout: one
@@ -922,13 +921,12 @@ def q_stream_answer(spark, sf):
     ix.forward.write.parquet(fwd_path)
     fwd, idf = read_index(spark, fwd_path), ix.idf
 
-    def answer(batch: DataFrame, epoch: int, out: str) -> None:
+    def answer(batch: DataFrame) -> DataFrame:
         qv = vectorize(batch.select("item_id", "text"), idf, ("item_id",))
-        append_batch(C.score_top1(qv, fwd, ["item_id"], C.PARA_KEYS, forward=True), epoch, out)
+        best = C.score_top1(qv, fwd, ["item_id"], C.PARA_KEYS, forward=True)
+        return top1_answers(batch.select("item_id"), best, ix)
 
-    out = run_to_table(spark, stream_table(spark, sf, "benchmark"), "answers", batch_fn=answer)
-    return out.select(big("item_id").alias("item_id"), big("doc_id").alias("doc_id"),
-                      big("para_idx").alias("para_idx"), r6("score").alias("score"))
+    return run_to_table(spark, stream_table(spark, sf, "benchmark"), "answers", batch_fn=answer).drop("epoch")
 
 
 @query("answer_log")

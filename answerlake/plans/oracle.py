@@ -697,18 +697,18 @@ SELECT CAST(item_id AS BIGINT) AS item_id, text AS "Questions", 'Test' AS "Categ
 
 oracle("context_support", f"""
 WITH {QA},
-p AS (SELECT conv_id * 1000 + turn AS answer_id, response, context FROM qa
+p AS (SELECT conv_id, turn, response, context FROM qa
       WHERE response IS NOT NULL AND context IS NOT NULL),
-ans_t AS (SELECT DISTINCT answer_id, term FROM (
-            SELECT answer_id, unnest(regexp_extract_all(lower(response), '{TERM_PATTERN}')) AS term FROM p)),
-ctx_t AS (SELECT DISTINCT answer_id, term FROM (
-            SELECT answer_id, unnest(regexp_extract_all(lower(context), '{TERM_PATTERN}')) AS term FROM p)),
-sup AS (SELECT a.answer_id, count(*) AS n_terms, count(c.term) AS n_sup
-        FROM ans_t a LEFT JOIN ctx_t c USING (answer_id, term) GROUP BY ALL)
-SELECT CAST(p.answer_id AS BIGINT) AS answer_id, CAST(coalesce(s.n_terms, 0) AS BIGINT) AS n_terms,
+ans_t AS (SELECT DISTINCT conv_id, turn, term FROM (
+            SELECT conv_id, turn, unnest(regexp_extract_all(lower(response), '{TERM_PATTERN}')) AS term FROM p)),
+ctx_t AS (SELECT DISTINCT conv_id, turn, term FROM (
+            SELECT conv_id, turn, unnest(regexp_extract_all(lower(context), '{TERM_PATTERN}')) AS term FROM p)),
+sup AS (SELECT a.conv_id, a.turn, count(*) AS n_terms, count(c.term) AS n_sup
+        FROM ans_t a LEFT JOIN ctx_t c USING (conv_id, turn, term) GROUP BY ALL)
+SELECT CAST(p.conv_id AS BIGINT) AS conv_id, CAST(p.turn AS BIGINT) AS turn, CAST(coalesce(s.n_terms, 0) AS BIGINT) AS n_terms,
        CAST(coalesce(s.n_sup, 0) AS BIGINT) AS n_supported,
        round(CAST(s.n_sup AS DOUBLE) / s.n_terms, 6) AS support
-FROM p LEFT JOIN sup s USING (answer_id)""")
+FROM p LEFT JOIN sup s USING (conv_id, turn)""")
 
 oracle("faithfulness_avg", """
 SELECT d.source, count(*) AS n_claims, round(avg(CAST(l.quality AS DOUBLE)), 6) AS faithfulness
@@ -787,17 +787,13 @@ SELECT CASE WHEN slot_a THEN a_cand WHEN a_cand = 'trump' THEN 'biden' ELSE 'tru
 FROM v GROUP BY 1""")
 
 oracle("stream_first_vote", """
-SELECT DISTINCT CAST(user_id AS BIGINT) AS user_id,
-       CAST(json_extract_string(props, '$.k') AS BIGINT) AS question_k
-FROM events WHERE event_type = 'purchase'""")
+SELECT CAST(user_id AS BIGINT) AS user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS question_k,
+       CAST(arg_min(event_id, (ts, event_id)) AS BIGINT) AS vote_id
+FROM events WHERE event_type = 'purchase' GROUP BY 1, 2""")
 
 oracle("stream_milestones", ORACLE["milestones"])
 
-oracle("stream_answer", f"""
-WITH {TOP1_BASE}
-SELECT CAST(item_id AS BIGINT) AS item_id, CAST(doc_id AS BIGINT) AS doc_id,
-       CAST(para_idx AS BIGINT) AS para_idx, round(score, 6) AS score
-FROM best""")
+oracle("stream_answer", ORACLE["retrieve_top1"])
 
 oracle("answer_log", f"""
 WITH {PAGE_MSG},

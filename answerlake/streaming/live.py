@@ -1,19 +1,21 @@
 """Structured Streaming operators (ST1-ST6).
 
-Sources are file streams over parquet; results land in shared storage
-(parquet through ``foreachBatch`` or the file sink) with a checkpoint beside
-them, so a restarted query resumes where it stopped.  Nothing is collected
-on the driver: the memory sink is not used.
+Sources are file streams over parquet tables of any number of files.  Each
+micro-batch is reduced and written to a folder of its own below the output,
+``epoch=<n>``, overwriting it: a batch that runs again after a failure replaces
+its rows instead of adding them.  Output and checkpoint paths are the caller's,
+so a restarted query resumes where it stopped.  Results over all batches come
+from merging the reduced batches (first rows per key, latest full count), so
+no row is lost for being late and no key's events meet in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
 
 from answerlake.session import shared_path
 
@@ -25,87 +27,55 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1
     sees at once) without turning a large folder into one micro-batch per file.
     """
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
+    # a pattern for this one name: the table may be a single file or a folder of part files
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def run_to_table(spark: SparkSession, df: DataFrame, name: str, mode: str = "append",
-                 batch_fn: Callable[[DataFrame, int, str], None] | None = None) -> DataFrame:
-    """Run a streaming query to completion (``availableNow``) into shared
-    storage and return the stored result as a batch DataFrame."""
-    out = shared_path(spark, name)
-    ckpt = out + "-checkpoint"
-    w = df.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True).outputMode(mode)
-    if batch_fn is None:
-        q = w.format("parquet").option("path", out).start()
-    else:
-        q = w.foreachBatch(lambda b, epoch: batch_fn(b, epoch, out)).start()
-    q.awaitTermination()
+                 batch_fn: Callable[[DataFrame], DataFrame] = lambda batch: batch, path: str | None = None) -> DataFrame:
+    """Run a streaming query to completion (``availableNow``) and return what
+    its batches wrote, reduced by ``batch_fn``, with their ``epoch``.
+
+    ``path`` is the output folder, with the checkpoint beside it; calling again
+    with the same path resumes after the last finished batch.  Without one a
+    fresh folder is taken.
+    """
+    out = path or shared_path(spark, name)
+    kept: list[T.StructType] = []
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        rows = batch_fn(batch)
+        kept.append(rows.schema)
+        rows.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    query = (df.writeStream.option("checkpointLocation", out.rstrip("/") + "-checkpoint").trigger(availableNow=True)
+             .outputMode(mode).foreachBatch(write).start())
+    query.awaitTermination()
+    if not kept and not _exists(spark, out):
+        # no batch so far: an empty table of the same columns
+        write(spark.createDataFrame([], df.schema), -1)
     return spark.read.parquet(out)
 
 
-def overwrite_batch(batch: DataFrame, epoch: int, out: str) -> None:
-    """foreachBatch body for complete-mode results: replace the table."""
-    batch.write.mode("overwrite").parquet(out)
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def append_batch(batch: DataFrame, epoch: int, out: str) -> None:
-    batch.write.mode("append").parquet(out)
+def latest_epoch(table: DataFrame) -> DataFrame:
+    """Of complete-mode results, the rows of the last batch."""
+    last = table.agg(F.max("epoch").alias("epoch"))
+    return table.join(F.broadcast(last), "epoch", "left_semi").drop("epoch")
 
 
-def with_event_time(df: DataFrame, ts_col: str = "ts") -> DataFrame:
-    """Watermarks need TIMESTAMP (with zone); test tables hold TIMESTAMP_NTZ."""
-    return df.withColumn(ts_col, F.col(ts_col).cast("timestamp"))
+def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+    """ST2/ST3: the first ``n`` rows of each key; a group limit before the
+    shuffle splits a key with very many rows.  Applying it to every batch and
+    again to all batches together gives the same rows as one batch would."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
 def scoreboard(votes: DataFrame, candidate_col: str = "candidate") -> DataFrame:
     """ST1: running vote count per candidate (complete mode)."""
     return votes.groupBy(candidate_col).agg(F.count("*").alias("votes"))
-
-
-def first_per_key_stream(events: DataFrame, keys: list[str], ts_col: str = "ts",
-                         delay: str = "31 days") -> DataFrame:
-    """ST2: first arrival per key within the watermark."""
-    return with_event_time(events, ts_col).withWatermark(ts_col, delay).dropDuplicatesWithinWatermark(keys)
-
-
-MILESTONE_SCHEMA = "user_id long, kind string, n long, event_id long"
-
-
-def count_milestones(rules: dict[str, list[int]], key_cols=("user_id", "kind")):
-    """ST3: per (user, kind) running count kept in state; emits the events
-    whose running number hits a rule's ``n``.  Events inside a micro-batch
-    are taken in (ts, event_id) order.  Only the first ``max n`` events of a
-    group can award anything, so each chunk of a group's micro-batch is
-    reduced to its smallest (ts, event_id) rows still needed and the rest is
-    only counted: memory stays bounded for a group of any size."""
-    top = max((n for ns in rules.values() for n in ns), default=0)
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        user_id, kind = key
-        seen = state.get[0] if state.exists else 0
-        need = max(top - seen, 0)
-        keep, total = None, 0
-        for chunk in pdfs:
-            total += len(chunk)
-            if need:
-                both = chunk if keep is None else pd.concat([keep, chunk], ignore_index=True)
-                keep = both.sort_values(["ts", "event_id"], kind="stable").head(need)
-        state.update((int(seen + total),))
-        wanted = set(rules.get(kind, []))
-        if keep is None or not wanted:
-            return
-        n = seen + pd.RangeIndex(1, len(keep) + 1)
-        hit = [i for i, v in enumerate(n) if v in wanted]
-        if hit:
-            yield pd.DataFrame({"user_id": [user_id] * len(hit), "kind": [kind] * len(hit),
-                                "n": [int(n[i]) for i in hit],
-                                "event_id": keep["event_id"].to_numpy()[hit]})
-
-    return fn
-
-
-def milestones_stream(events: DataFrame, rules: dict[str, list[int]]) -> DataFrame:
-    return (events.groupBy("user_id", "kind")
-            .applyInPandasWithState(count_milestones(rules), MILESTONE_SCHEMA, "seen long", "append",
-                                    GroupStateTimeout.NoTimeout))

@@ -228,7 +228,14 @@ def test_classify_with_hook_and_failure(spark):
 
     def boom(s):
         raise RuntimeError("model down")
-    assert rows(classify_with(df, boom), "category") == [(None,), (None,)]
+    assert rows(classify_with(df, boom), "category", "category_error") == [(None, "model down")] * 2
+
+    def one_bad(s):
+        if s.str.contains("tax").any():
+            raise ValueError("no tax")
+        return s.str.upper()
+    got = sorted(rows(classify_with(df.coalesce(1), one_bad), "id", "category", "category_error"))
+    assert got == [(1, "HOW TO FIX ROADS", None), (2, None, "no tax")]
 
 
 def test_question_list_and_text_folders(spark, tmp_path):
@@ -272,7 +279,8 @@ def test_append_questions_and_latest(spark, tmp_path):
     path = str(tmp_path / "questions")
     q = spark.createDataFrame([("first?",), ("second?",)], "text string")
     assert append_questions(q, path) == 2
-    assert append_questions(q.limit(1), path, session_id=7) == 3
+    assert append_questions(q.limit(1), path, session_id=7) == 1
+    assert append_questions(q.limit(0), path) == 0
     back = spark.read.parquet(path)
     assert sorted(rows(back.groupBy("session_id").count(), "session_id", "count")) == [(0, 2), (7, 1)]
     assert back.filter(F.col("timestamp").isNull()).count() == 0
