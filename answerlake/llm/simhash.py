@@ -142,7 +142,7 @@ def plan(classes: DataFrame, max_bits: int = MAX_BITS) -> tuple[list[list[int]],
         else:
             both[i, j] = x
     if not n:
-        return [list(range(BITS))], [max_bits]
+        return bit_groups(np.zeros((BITS, BITS)), max_bits + 1), [0] * (max_bits + 1)
     mean = both.diagonal() / n
     spread = np.sqrt(np.maximum(mean * (1 - mean), 1e-12))
     together = np.abs((both / n - np.outer(mean, mean)) / np.outer(spread, spread))

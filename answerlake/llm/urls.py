@@ -50,15 +50,13 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 def features(host: Column, path: Column) -> Column:
     """Distinct buckets of all n-grams of the host, marked at both ends, and of the path."""
-    def grams(kind: str, text: Column) -> list[Column]:
-        out = []
-        for n in GRAMS:
-            at = F.sequence(F.lit(1), F.length(text) - (n - 1))
-            part = F.transform(at, lambda i: F.pmod(F.xxhash64(F.lit(kind), text.substr(i, F.lit(n))), F.lit(DIMENSIONS)))  # noqa: B023
-            out.append(F.when(F.length(text) >= n, part).otherwise(F.array().cast("array<bigint>")))
-        return out
+    def grams(kind: str, text: Column) -> Column:
+        def runs(chars: Column, n: int) -> Column:
+            part = F.transform(F.sequence(F.lit(1), F.size(chars) - (n - 1)), lambda i: F.pmod(F.xxhash64(F.lit(kind), F.slice(chars, i, n)), F.lit(DIMENSIONS)))
+            return F.when(F.size(chars) >= n, part).otherwise(F.array().cast("array<bigint>"))
+        return common.let(F.filter(F.split(text, ""), lambda c: c != ""), lambda chars: F.concat(*[runs(chars, n) for n in GRAMS]))
     marked = F.when(host != "", F.concat(F.lit("^"), host, F.lit("$"))).otherwise(F.lit(""))
-    return F.array_distinct(F.concat(*grams("host", marked), *grams("path", path)))
+    return F.array_distinct(F.concat(grams("host", marked), grams("path", path)))
 
 
 def train(labelled: DataFrame, steps: int = STEPS, rate: float = RATE, penalty: float = PENALTY) -> tuple[DataFrame, DataFrame]:
