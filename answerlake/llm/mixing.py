@@ -86,7 +86,8 @@ def mix(docs: DataFrame, source_column: str = "source", text_column: str = "text
     epochs = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(0)
     cut = F.greatest(F.lit(0), F.least(F.col("size"), budget - epochs * F.col("source_size") - before))
     taken = common.stored(placed.select("uid", "source_size", "target", (epochs * F.col("size") + cut).cast("long").alias("taken")), "mix-taken")
-    return whole.select("uid", "row", "size").join(taken, "uid").select("row.*", "size", "source_size", "target", "taken")
+    # The same plan at every size: rows are shuffled once and not sorted, only the numbers are hashed.
+    return whole.select("uid", "row", "size").join(taken.hint("shuffle_hash"), "uid").select("row.*", "size", "source_size", "target", "taken")
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
