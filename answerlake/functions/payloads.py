@@ -51,8 +51,18 @@ CHAT_REQUEST_SCHEMA = T.StructType([
     T.StructField("max_tokens", T.IntegerType()),
     T.StructField("n", T.IntegerType()),
     T.StructField("temperature", T.DoubleType()),
+    T.StructField("top_p", T.DoubleType()),
 ])
 
+#: Model, sampling limits and instruction of each request variant; variants without an instruction
+#: send the user message alone.
+REQUEST_VARIANTS = {
+    "endpoint": {"model": "gpt-4", "max_tokens": 100, "n": 1, "temperature": 0.7},
+    "categorise": {"model": "gpt-4o-mini", "max_tokens": 20, "temperature": 0.0, "top_p": 0.1},
+    "candidate": {"model": "gpt-4o", "max_tokens": 150},
+    "trivia": {"model": "gpt-4o", "max_tokens": 100},
+}
+
 
 def join_contexts(texts: Column) -> Column:
     """``', '.join(list)``."""
@@ -81,6 +91,16 @@ def chat_request(system: Column, user: Column, model: str = DEFAULT_MODEL,
         F.lit(float(temperature)).alias("temperature")))
 
 
+def request_body(variant: str, user: Column, system: Column | None = None) -> Column:
+    """JSON body of one of ``REQUEST_VARIANTS`` around a built prompt; a NULL prompt has no request."""
+    limits = dict(REQUEST_VARIANTS[variant])
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    messages = F.array(*([message("system", system)] if system is not None else []), message("user", user))
+    body = F.to_json(F.struct(F.lit(limits.pop("model")).alias("model"), messages.alias("messages"),
+                              *[F.lit(v).alias(k) for k, v in limits.items()]))
+    return F.when(user.isNotNull(), body)
+
+
 def parse_chat_request(body: Column) -> Column:
     return F.from_json(body, CHAT_REQUEST_SCHEMA)
 

@@ -956,3 +956,127 @@ def q_answer_log(spark, sf):
     picked_ref = F.when(F.col("slot") == "A", F.col("reference_a")).when(F.col("slot") == "B", F.col("reference_b"))
     return log.select(big("item_id").alias("item_id"), "response_a", "reference_a", "response_b", "reference_b",
                       F.col("candidate").alias("picked"), picked_ref.alias("picked_reference"))
+
+
+# ------------------------------------------- records, requests, dense path ----
+
+TRUNCATE_AT = 100
+
+
+@query("truncate_tokens")
+def q_truncate_tokens(spark, sf):
+    """C4: each document cut to its first tokens."""
+    from answerlake.functions.text import token_count, truncate_tokens
+    d = C.documents(spark, sf)
+    cut = truncate_tokens("text", TRUNCATE_AT)
+    return d.select(big("doc_id").alias("doc_id"), big(token_count("text")).alias("n_tokens"), cut.alias("text"))
+
+
+@query("question_rows")
+def q_question_rows(spark, sf):
+    """K3 + F15: two inserts of question rows, read back with the count that each insert reported."""
+    from answerlake.session import shared_path
+    from answerlake.sinks.writers import append_questions
+    qs, path = C.questions(spark, sf), shared_path(spark, "questions")
+    counts = {0: append_questions(qs, path), 1: append_questions(qs.filter(F.col("item_id") % 2 == 0), path, session_id=1)}
+    back = spark.read.parquet(path)
+    inserted = F.when(F.col("session_id") == 0, F.lit(counts[0])).otherwise(F.lit(counts[1]))
+    return back.select(big("session_id").alias("session_id"), "query", big(inserted).alias("inserted"),
+                       F.col("timestamp").isNotNull().alias("has_time"))
+
+
+@query("context_rows")
+def q_context_rows(spark, sf):
+    """Every retrieved text of a question as a row of its own, none left out."""
+    hits = chunk_hits_with_text(spark, sf)
+    return hits.select(big("item_id").alias("item_id"), *[big(k).alias(k) for k in C.CHUNK_KEYS], "text", "filename")
+
+
+def request_bodies(spark, sf) -> DataFrame:
+    """(item_id, variant, body): the built prompts as request bodies."""
+    from answerlake.functions.payloads import request_body
+    from answerlake.operators.engagement import blind_assignment
+    from answerlake.operators.prompts import candidate_prompts
+    from answerlake.sources.inline import SYSTEM_CATEGORISE, SYSTEM_ENDPOINT, templates
+    qs = C.questions(spark, sf)
+    endpoint = _context_prompts(spark, sf).select("item_id", F.lit("endpoint").alias("variant"),
+                                                  request_body("endpoint", F.col("prompt"), F.lit(SYSTEM_ENDPOINT)).alias("body"))
+    label = qs.select("item_id", F.lit("categorise").alias("variant"),
+                      request_body("categorise", F.col("text"), F.lit(SYSTEM_CATEGORISE)).alias("body"))
+    both = candidate_prompts(qs, blind_assignment(qs, "item_id"), templates(spark), "item_id")
+    answer = both.select("item_id", F.concat(F.lit("candidate "), F.col("slot")).alias("variant"), request_body("candidate", F.col("prompt")).alias("body"))
+    return endpoint.unionByName(label).unionByName(answer).filter(F.col("body").isNotNull())
+
+
+@query("request_bodies")
+def q_request_bodies(spark, sf):
+    """endpoint, categoriser and both candidates' requests of every question, parsed back."""
+    from answerlake.functions.payloads import parse_chat_request
+    r = request_bodies(spark, sf).withColumn("r", parse_chat_request(F.col("body")))
+    messages = F.col("r.messages")
+    return r.select(big("item_id").alias("item_id"), "variant", F.col("r.model").alias("model"), big(F.size(messages)).alias("n_messages"),
+                    big(F.length(messages[0]["content"])).alias("first_length"), F.element_at(messages, -1)["content"].alias("user_content"),
+                    big("r.max_tokens").alias("max_tokens"), F.col("r.temperature").alias("temperature"), F.col("r.top_p").alias("top_p"))
+
+
+@query("debate_summary")
+def q_debate_summary(spark, sf):
+    """Every question with the name of the picked candidate (none picked
+    shows as the second name, as on the page), and the winner of all votes."""
+    from answerlake.operators.votes import display_name, winner
+    from answerlake.sources.inline import CANDIDATES, DISPLAY_NAMES
+    a, b = CANDIDATES
+    log = q_answer_log(spark, sf)
+    tally = log.agg(F.count_if(F.col("picked") == a).alias("a"), F.count_if(F.col("picked") == b).alias("b"))
+    best = tally.select(winner(F.col("a"), F.col("b"), DISPLAY_NAMES[a], DISPLAY_NAMES[b])).scalar()
+    qs = C.questions(spark, sf).select("item_id", F.col("text").alias("question"))
+    return qs.join(log.select("item_id", "picked"), "item_id").select(
+        big("item_id").alias("item_id"), "question", display_name(F.col("picked"), literal=True).alias("picked_name"), best.alias("winner"))
+
+
+STUB_LETTERS = "etaoinsr"
+DENSE_BUDGET = 4096
+
+
+def stub_embedding(texts):
+    """Deterministic stand-in for an embedding model: counts of eight letters."""
+    return texts.map(lambda t: [float(t.count(c)) for c in STUB_LETTERS])
+
+
+def embedded_chunks(spark, sf) -> DataFrame:
+    """The dense variant's chunks with vectors from the embedding hook; newlines are spaces to the model."""
+    from answerlake.operators.classify import embed_with
+    ch = C.filename(C.char_chunks(spark, sf, C.DENSE_CHUNK_CHARS)).select(*C.CHUNK_KEYS, F.translate("text", "\n", " ").alias("text"), "filename")
+    return embed_with(ch, stub_embedding)
+
+
+@query("embed_chunks")
+def q_embed_chunks(spark, sf):
+    """V5 + H2: the corpus in chunks of the dense variant, embedded."""
+    e = embedded_chunks(spark, sf)
+    return e.select(*[big(k).alias(k) for k in C.CHUNK_KEYS], F.array_join("embedding", ",").alias("embedding"), "embedding_error")
+
+
+@query("dense_context_prompts")
+def q_dense_context_prompts(spark, sf):
+    """The dense variant end to end: chunks and questions embedded, the
+    nearest chunks with their texts and files, prompt within its budget, and
+    the fixed response where nothing is found."""
+    from answerlake.functions.text import token_count
+    from answerlake.operators.classify import embed_with
+    from answerlake.operators.prompts import assemble_prompts, collect_contexts
+    from answerlake.session import shared_path
+    path = shared_path(spark, "chunk-vectors")
+    ident = F.format_string("%020d/%010d/%010d", *[F.col(k).cast("long") for k in C.CHUNK_KEYS])
+    embedded_chunks(spark, sf).withColumn("vec_id", ident).write.parquet(path)
+    chunks = spark.read.parquet(path)
+    qs = C.questions(spark, sf)
+    asked = embed_with(qs.select("item_id", F.translate("text", "\n", " ").alias("text")), stub_embedding, out_col="qvec").select("item_id", "qvec")
+    near = R.dense_topk(R.dense_topk_candidates(asked, chunks.select("vec_id", "embedding"), C.TOP_K, q_key="item_id", q_vec="qvec"), C.TOP_K, q_key="item_id")
+    # at most TOP_K texts of each question
+    hits = near.join(chunks.select("vec_id", "text", "filename"), "vec_id")
+    lists = collect_contexts(hits, "item_id", ["rank"])
+    sizes = hits.groupBy("item_id").agg(F.count("*").alias("n_contexts"), F.sum(token_count("text")).alias("context_tokens"))
+    p = assemble_prompts(qs, sizes.join(lists, "item_id"), "item_id", budget=DENSE_BUDGET)
+    return p.select(big("item_id").alias("item_id"), big(F.coalesce("n_contexts", F.lit(0))).alias("n_contexts"),
+                    F.array_join("filenames", ",").alias("filenames"), "prompt", "response")

@@ -817,3 +817,69 @@ SELECT CAST(v.item_id AS BIGINT) AS item_id, ra.response AS response_a, ra.refer
             CASE WHEN v.a_cand = 'trump' THEN 'biden' ELSE 'trump' END END AS picked,
        CASE WHEN v.slot = 'A' THEN ra.reference WHEN v.slot = 'B' THEN rb.reference END AS picked_reference
 FROM v LEFT JOIN resp ra ON ra.page_id = 2 * v.item_id LEFT JOIN resp rb ON rb.page_id = 2 * v.item_id + 1""")
+
+# --- records, requests, dense path --------------------------------------------
+
+oracle("truncate_tokens", f"""
+SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(len(regexp_extract_all(text, '{TOKEN_PATTERN}')) AS BIGINT) AS n_tokens,
+       {_truncate('text', '100')} AS text
+FROM documents""")
+
+oracle("question_rows", """
+WITH n AS (SELECT count(*) AS n_all, count(*) FILTER (WHERE item_id % 2 = 0) AS n_even FROM benchmark)
+SELECT CAST(0 AS BIGINT) AS session_id, text AS query, (SELECT n_all FROM n) AS inserted, true AS has_time FROM benchmark
+UNION ALL
+SELECT 1, text, (SELECT n_even FROM n), true FROM benchmark WHERE item_id % 2 = 0""")
+
+oracle("context_rows", f"""
+WITH {CHUNK_HITS}
+SELECT CAST(item_id AS BIGINT) AS item_id, CAST(doc_id AS BIGINT) AS doc_id, CAST(para_idx AS BIGINT) AS para_idx,
+       CAST(piece_idx AS BIGINT) AS piece_idx, text, filename FROM hits""")
+
+from answerlake.sources.inline import SYSTEM_CATEGORISE, SYSTEM_ENDPOINT  # noqa: E402
+
+oracle("request_bodies", f"""
+WITH p AS ({ORACLE["context_prompts"]}), c AS ({ORACLE["candidate_prompts"]})
+SELECT item_id, 'endpoint' AS variant, 'gpt-4' AS model, CAST(2 AS BIGINT) AS n_messages, CAST({len(SYSTEM_ENDPOINT)} AS BIGINT) AS first_length,
+       prompt AS user_content, CAST(100 AS BIGINT) AS max_tokens, CAST(0.7 AS DOUBLE) AS temperature, CAST(NULL AS DOUBLE) AS top_p
+FROM p WHERE prompt IS NOT NULL
+UNION ALL
+SELECT CAST(item_id AS BIGINT), 'categorise', 'gpt-4o-mini', 2, {len(SYSTEM_CATEGORISE)}, text, 20, 0.0, 0.1 FROM benchmark
+UNION ALL
+SELECT item_id, 'candidate ' || slot, 'gpt-4o', 1, length(prompt), prompt, 150, NULL, NULL FROM c""")
+
+oracle("debate_summary", f"""
+WITH l AS ({ORACLE["answer_log"]}),
+t AS (SELECT count(*) FILTER (WHERE picked = 'trump') AS a, count(*) FILTER (WHERE picked = 'biden') AS b FROM l)
+SELECT CAST(q.item_id AS BIGINT) AS item_id, q.text AS question,
+       CASE WHEN l.picked = 'trump' THEN 'Donald Trump' ELSE 'Joe Biden' END AS picked_name,
+       (SELECT CASE WHEN a > b THEN 'Donald Trump' WHEN b > a THEN 'Joe Biden' ELSE 'Tie' END FROM t) AS winner
+FROM benchmark q JOIN l ON l.item_id = q.item_id""")
+
+
+def _letters(expr: str) -> str:
+    return "[" + ", ".join(f"CAST(length({expr}) - length(replace({expr}, '{c}', '')) AS DOUBLE)" for c in "etaoinsr") + "]"
+
+
+DENSE_CHUNKS = CHUNKS.replace(f"/ {CHUNK_CHARS}.0", "/ 300.0").replace(f"* {CHUNK_CHARS} + 1, {CHUNK_CHARS})", "* 300 + 1, 300)")
+DENSE_VECTORS = DENSE_CHUNKS + f""",
+dv AS (SELECT doc_id, para_idx, piece_idx, source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS filename, replace(text, chr(10), ' ') AS text FROM chunks),
+dense AS (SELECT *, {_letters('text')} AS v FROM dv)"""
+
+oracle("embed_chunks", f"""
+WITH {DENSE_VECTORS}
+SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(para_idx AS BIGINT) AS para_idx, CAST(piece_idx AS BIGINT) AS piece_idx,
+       list_aggregate([CAST(x AS VARCHAR) FOR x IN v], 'string_agg', ',') AS embedding, CAST(NULL AS VARCHAR) AS embedding_error
+FROM dense""")
+
+oracle("dense_context_prompts", f"""
+WITH {DENSE_VECTORS},
+asked AS (SELECT item_id, {_letters("replace(text, chr(10), ' ')")} AS q FROM benchmark),
+near AS (
+  SELECT item_id, filename, text, row_number() OVER (PARTITION BY item_id ORDER BY round(
+           1 - list_dot_product(q, v) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(v, v))), 9), doc_id, para_idx, piece_idx) AS rank
+  FROM asked CROSS JOIN dense WHERE list_dot_product(q, q) > 0 AND list_dot_product(v, v) > 0),
+ctx AS (SELECT item_id, count(*) AS n, string_agg(text, ', ' ORDER BY rank) AS context, string_agg(filename, ',' ORDER BY rank) AS files
+        FROM near WHERE rank <= {TOP_K} GROUP BY item_id){prompt_ctes('ctx').replace("2000 - ", "4096 - ").replace("> 2000", "> 4096")}
+SELECT CAST(pr.item_id AS BIGINT) AS item_id, CAST(coalesce(pr.n, 0) AS BIGINT) AS n_contexts, coalesce(ctx.files, 'N/A') AS filenames, prompt, response
+FROM pr LEFT JOIN ctx USING (item_id)""")

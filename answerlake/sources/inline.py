@@ -113,6 +113,12 @@ SYSTEM_CHAT = (
     "information to answer the question. Avoid any mention of specific political parties or candidates. "
     "Keep the answer short, clear, and concise.")
 
+SYSTEM_CATEGORISE = (
+    "You are a political scientist at a national newspaper. \n"
+    "Categorize the next statements to their most relevant political key issue.\n"
+    "If the statement is not similar to any key issue, then categorize it as Other.\n"
+    "The key issues are:\n" + ",\n".join(TAXONOMY))
+
 # --- Fixed values: the sentinel inputs that end the chat loop.
 SENTINELS = ["exit", "quit"]
 
