@@ -2,8 +2,8 @@
 
 Transducers rewrite a text and keep, for every character they put out, the
 source characters it stands for: look-alike characters and foreign digits
-become ASCII, runs of spelled digits become digits, "at" and "dot" in
-addresses become their signs. The detectors run on the plain text (base spans)
+become ASCII, runs of spelled digits become digits, so do letters that stand
+in for digits among digits, "at" and "dot" in addresses become their signs. The detectors run on the plain text (base spans)
 and on the rewritten one; spans found there are mapped back to the source and
 added where no base span covers them.
 
@@ -95,11 +95,11 @@ DIGITS = {
 _WORD = "|".join(sorted(DIGITS, key=len, reverse=True))
 _NUMBER = rf"(?:{_WORD}|[0-9]+)"
 _SPELLED = re.compile(
-    rf"(?:\bplus[ \t]+|\+[ \t]?)?(?<!\w)(?:{_WORD})(?!\w)(?:[ \t,-]{{1,2}}(?:(?:dot|point|punto|punkt)[ \t]+)?{_NUMBER}(?!\w)){{2,}}", re.I)
+    rf"(?:\bplus[ \t]+|\+[ \t]?)?(?<!\w)(?:{_WORD})(?!\w)(?:[ \t,().-]{{1,3}}(?:(?:dot|point|punto|punkt)[ \t]+)?{_NUMBER}(?!\w)){{2,}}", re.I)
 _PART = re.compile(rf"(?<!\w)({_WORD})(?!\w)|([0-9]+)|(\bplus\b|\+)|(dot|point|punto|punkt)", re.I)
 
 _AT = r"(?:[ \t]*[\[({<][ \t]*(?:at|arroba|@)[ \t]*[\])}>][ \t]*|[ \t]+(?:at|arroba)[ \t]+|[ \t]*@[ \t]*)"
-_DOT = r"(?:[ \t]*[\[({<][ \t]*(?:dot|punto|punkt|point|\.)[ \t]*[\])}>][ \t]*|[ \t]+(?:dot|punto|punkt|point)[ \t]+|\.)"
+_DOT = r"(?:[ \t]*[\[({<][ \t]*(?:dot|punto|punkt|point|\.)[ \t]*[\])}>][ \t]*|[ \t]+(?:dot|punto|punkt|point|\.)[ \t]+|\.)"
 _ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+){{0,8}}?{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.I)
 _SIGN = re.compile(rf"({_AT})|({_DOT})", re.I)
 _NUMBERS = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
@@ -187,7 +187,24 @@ def address_signs(m: Mapped) -> Mapped:
     return m
 
 
-TRANSDUCERS: tuple[Callable[[Mapped], Mapped], ...] = (fold_characters, spelled_digits, address_signs)
+#: Letters that stand in for digits among digits (fixed values).
+STAND_INS = {"O": "0", "o": "0", "I": "1", "l": "1", "|": "1", "Z": "2", "S": "5", "B": "8"}
+_MIXED = re.compile(r"(?<![^\W\d_])[0-9OolIZSB|](?:[ ().-]{0,2}[0-9OolIZSB|]){6,}(?![^\W\d_])")
+
+
+def stand_ins(m: Mapped) -> Mapped:
+    """In runs that are mostly digits, letters that look like digits become digits."""
+    if not _DIGIT.search(m.text):
+        return m
+    edits = []
+    for run in _MIXED.finditer(m.text):
+        odd = [i for i in range(*run.span()) if m.text[i] in STAND_INS]
+        if odd and 2 * len(odd) < sum(map(run[0].count, "0123456789")):
+            edits += [(i, i + 1, STAND_INS[m.text[i]]) for i in odd]
+    return m.rewrite(edits) if edits else m
+
+
+TRANSDUCERS: tuple[Callable[[Mapped], Mapped], ...] = (fold_characters, spelled_digits, stand_ins, address_signs)
 
 
 def spans(text: str | None) -> tuple[list[Span], list[Span]]:
