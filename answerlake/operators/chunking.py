@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from answerlake.functions.text import token_count
 
@@ -46,48 +47,53 @@ def with_token_counts(df: DataFrame, text_col: str = "text", out: str = "n_token
     return df.withColumn(out, token_count(text_col))
 
 
-def _greedy_pack_ids(n_tokens: np.ndarray, max_tokens: int) -> np.ndarray:
+def _greedy_pack_ids(n_tokens: np.ndarray, max_tokens: int, fill: int | None = None, pack: int = 0,
+                     with_state: bool = False):
     """Pack number of each paragraph in order; a pack closes when the next one
-    would overflow it (strict ``>``); an oversized paragraph is its own pack."""
-    out = np.empty(len(n_tokens), dtype=np.int64)
-    pack, cur, started = 0, 0, False
-    for i, n in enumerate(n_tokens.tolist()):
-        if started and cur + n > max_tokens:
-            pack += 1
-            cur = n
-        else:
-            cur += n
+    would overflow it (strict ``>``); an oversized paragraph is its own pack.
+
+    ``fill`` is what the open pack ``pack`` holds already, ``None`` before the
+    first paragraph.  One search per pack, not one step per paragraph.
+    ``with_state`` returns the open pack and its fill as well.
+    """
+    t = np.asarray(n_tokens, dtype=np.int64)
+    total = np.concatenate([[0], np.cumsum(t)])
+    out = np.empty(len(t), dtype=np.int64)
+    i, started, held = 0, fill is not None, int(fill or 0)
+    while i < len(t):
+        end = int(np.searchsorted(total, total[i] + max_tokens - held, side="right")) - 1
+        if end > i:  # paragraphs i..end-1 still fit
+            out[i:end], held, i = pack, held + int(total[end] - total[i]), end
+        else:  # paragraph i opens a pack, whatever its size
+            pack += started
+            out[i], held, i = pack, int(t[i]), i + 1
         started = True
-        out[i] = pack
-    return out
+    return (out, pack, held if started else None) if with_state else out
 
 
-def _stream_pack(paras: DataFrame, max_tokens: int, doc_key: str, order_col: str, tokens_col: str) -> DataFrame:
+def _stream_pack(paras: DataFrame, max_tokens: int, doc_key: str, order_col: str, tokens_col: str,
+                 schema: T.StructType) -> DataFrame:
     """Greedy packing of whole documents streamed in (document, position)
     order with the state carried across Arrow batches (constant memory)."""
-    spark = paras.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = (paras.select(doc_key, order_col, tokens_col)
-            .repartition(n, doc_key).sortWithinPartitions(doc_key, order_col))
+            .repartition(doc_key).sortWithinPartitions(doc_key, order_col))
 
     def pack(batches):
-        doc, pack_no, cur = None, 0, 0
+        doc, pack_no, fill = None, 0, None
         for pdf in batches:
             docs = pdf[doc_key].to_numpy()
             toks = pdf[tokens_col].to_numpy()
             ids = np.empty(len(pdf), dtype=np.int64)
-            for i in range(len(pdf)):
-                d, t = docs[i], int(toks[i])
-                if d != doc:
-                    doc, pack_no, cur = d, 0, t
-                elif cur + t > max_tokens:
-                    pack_no, cur = pack_no + 1, t
-                else:
-                    cur += t
-                ids[i] = pack_no
-            yield pd.DataFrame({doc_key: docs, order_col: pdf[order_col].to_numpy(), "pack_id": ids})
+            turns = [0, *(np.flatnonzero(docs[1:] != docs[:-1]) + 1).tolist(), len(pdf)]
+            for lo, hi in zip(turns[:-1], turns[1:]):
+                if lo == hi:
+                    continue
+                if docs[lo] != doc:
+                    doc, pack_no, fill = docs[lo], 0, None
+                ids[lo:hi], pack_no, fill = _greedy_pack_ids(toks[lo:hi], max_tokens, fill, pack_no, with_state=True)
+            yield pdf.assign(pack_id=ids)
 
-    return slim.mapInPandas(pack, schema=f"{doc_key} long, {order_col} int, pack_id long")
+    return slim.mapInPandas(pack, schema=schema)
 
 
 def _transfer(tokens: np.ndarray, max_tokens: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +125,7 @@ def _transfer(tokens: np.ndarray, max_tokens: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _block_pack(paras: DataFrame, max_tokens: int, doc_key: str, order_col: str, tokens_col: str,
-                block_rows: int) -> DataFrame:
+                block_rows: int, schema: T.StructType) -> DataFrame:
     """Exact greedy packing of long documents split into blocks of positions.
 
     (1) each (document, block) computes its transfer function over all entry
@@ -128,6 +134,7 @@ def _block_pack(paras: DataFrame, max_tokens: int, doc_key: str, order_col: str,
     entry state and pack offset; (3) each block assigns its pack ids.
     """
     start = max_tokens + 2
+    key_type = schema[doc_key].dataType.simpleString()
     blk = paras.select(doc_key, order_col, tokens_col,
                        F.floor(F.col(order_col) / F.lit(block_rows)).cast("long").alias("_blk"))
 
@@ -138,7 +145,7 @@ def _block_pack(paras: DataFrame, max_tokens: int, doc_key: str, order_col: str,
                              "_exit": [exit_state.tolist()], "_opened": [opened.tolist()]})
 
     summaries = blk.groupBy(doc_key, "_blk").applyInPandas(
-        summarise, f"{doc_key} long, _blk long, _exit array<long>, _opened array<long>")
+        summarise, f"{doc_key} {key_type}, _blk long, _exit array<long>, _opened array<long>")
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_blk", kind="stable")
@@ -152,26 +159,16 @@ def _block_pack(paras: DataFrame, max_tokens: int, doc_key: str, order_col: str,
                              "_entry": entries, "_offset": offsets})
 
     entry = summaries.groupBy(doc_key).applyInPandas(
-        chain, f"{doc_key} long, _blk long, _entry long, _offset long")
+        chain, f"{doc_key} {key_type}, _blk long, _entry long, _offset long")
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order_col, kind="stable")
-        s, pack_no = int(pdf["_entry"].iloc[0]), int(pdf["_offset"].iloc[0])
-        cap = max_tokens + 1
-        ids = np.empty(len(pdf), dtype=np.int64)
-        for i, t in enumerate(pdf[tokens_col].to_numpy().tolist()):
-            if s == start:
-                s = min(t, cap)
-            elif s + t > max_tokens:
-                pack_no, s = pack_no + 1, min(t, cap)
-            else:
-                s = min(s + t, cap)
-            ids[i] = pack_no
-        return pd.DataFrame({doc_key: pdf[doc_key].to_numpy(), order_col: pdf[order_col].to_numpy(),
-                             "pack_id": ids})
-
-    return blk.join(entry, [doc_key, "_blk"]).groupBy(doc_key, "_blk").applyInPandas(
-        assign, f"{doc_key} long, {order_col} int, pack_id long")
+        entry_state = int(pdf["_entry"].iloc[0])
+        ids = _greedy_pack_ids(pdf[tokens_col].to_numpy(), max_tokens, None if entry_state == start else entry_state,
+                               int(pdf["_offset"].iloc[0]))
+        return pdf[[doc_key, order_col, tokens_col]].assign(pack_id=ids)
+
+    return blk.join(entry, [doc_key, "_blk"]).groupBy(doc_key, "_blk").applyInPandas(assign, schema)
 
 
 def pack_greedy(paras: DataFrame, max_tokens: int = 2000, doc_key: str = "doc_id",
@@ -179,20 +176,25 @@ def pack_greedy(paras: DataFrame, max_tokens: int = 2000, doc_key: str = "doc_id
                 block_rows: int = 100_000) -> DataFrame:
     """Greedy packing with reset, per document.
 
-    Output: ``doc_key, order_col, pack_id`` for every input paragraph.  Only
-    the integer columns travel to Python.  Documents with at most
+    Output: ``doc_key, order_col, tokens_col, pack_id`` for every input
+    paragraph.  Only these narrow columns are written, once, and travel to
+    Python, so the texts are read and counted once.  Documents with at most
     ``block_rows`` paragraphs stream through a sorted partition scan with the
     packing state carried along (constant memory); longer documents - a
     document may hold a large share of all paragraphs - are split into blocks
     of positions that are packed in parallel and chained exactly through
     per-block transfer functions, so no document is scanned by one task.
     """
-    sizes = paras.groupBy(doc_key).agg((F.max(order_col) + 1).alias("_n"))
-    tagged = paras.select(doc_key, order_col, tokens_col).join(sizes, doc_key)
+    from answerlake.session import stored
+    slim = stored(paras.select(doc_key, order_col, tokens_col), "pack-tokens")
+    types = {f.name: f.dataType for f in slim.schema.fields}
+    schema = T.StructType([T.StructField(c, types[c]) for c in (doc_key, order_col, tokens_col)] + [T.StructField("pack_id", T.LongType())])
+    sizes = slim.groupBy(doc_key).agg((F.max(order_col) + 1).alias("_n"))
+    tagged = slim.join(sizes, doc_key)
     small = tagged.filter(F.col("_n") <= block_rows).drop("_n")
     large = tagged.filter(F.col("_n") > block_rows).drop("_n")
-    return (_stream_pack(small, max_tokens, doc_key, order_col, tokens_col)
-            .unionByName(_block_pack(large, max_tokens, doc_key, order_col, tokens_col, block_rows)))
+    return (_stream_pack(small, max_tokens, doc_key, order_col, tokens_col, schema)
+            .unionByName(_block_pack(large, max_tokens, doc_key, order_col, tokens_col, block_rows, schema)))
 
 
 def pack_prefix(paras: DataFrame, max_tokens: int = 2000, doc_key: str = "doc_id",

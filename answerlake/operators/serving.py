@@ -1,0 +1,59 @@
+"""Retrieval from a stored inverted index.
+
+``save_index`` writes the vocabulary, the postings and the texts of a fitted
+index once; question sets are then answered from these tables without fitting
+anything.  Postings lie in ``buckets`` partitions by a hash of their term,
+sorted by term, and each bucket is spread over several files by text, so that
+a very frequent term is read by several tasks.  A question set reads only the
+buckets its terms fall into, joins on the term, and sums in parts.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from answerlake.operators import retrieval as R
+from answerlake.operators.tfidf import Index, vectorize
+
+BUCKETS = 64
+#: Files of one bucket, dealt by text.
+SPREAD = 4
+
+
+def _bucket(buckets: int) -> F.Column:
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+
+
+def save_index(index: Index, path: str, keys: Sequence[str], texts: DataFrame, buckets: int = BUCKETS) -> str:
+    """Write ``vocabulary``, ``postings`` and ``texts`` (keys and what answers show) under ``path``."""
+    index.idf.select("term", "df", "idf").write.mode("overwrite").parquet(f"{path}/vocabulary")
+    postings = index.postings.select(*keys, "term", "weight").withColumn("bucket", _bucket(buckets))
+    deal = F.pmod(F.xxhash64(*keys), F.lit(SPREAD))
+    (postings.repartition("bucket", deal).sortWithinPartitions("bucket", "term")
+     .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
+    texts.write.mode("overwrite").parquet(f"{path}/texts")
+    return path
+
+
+def stored_texts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/texts")
+
+
+def stored_scores(questions: DataFrame, path: str, q_keys: Sequence[str], d_keys: Sequence[str],
+                  text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
+    """Cosine of every question with every stored text that shares a term."""
+    spark = questions.sparkSession
+    vocabulary = spark.read.parquet(f"{path}/vocabulary")
+    qv = vectorize(questions.select(*q_keys, F.col(text_col).alias("text")), vocabulary, tuple(q_keys))
+    # at most ``buckets`` numbers come back; they become a partition filter of the scan
+    needed = [r["b"] for r in qv.select(_bucket(buckets).alias("b")).distinct().collect()]
+    postings = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(needed))
+    return R.sparse_scores(qv, postings, q_keys, d_keys)
+
+
+def serve_top1(questions: DataFrame, path: str, q_keys: Sequence[str], d_keys: Sequence[str], text_col: str = "text") -> DataFrame:
+    """Best stored text of each question that shares a term with any."""
+    return R.top1(stored_scores(questions, path, q_keys, d_keys, text_col), q_keys, d_keys)

@@ -84,10 +84,8 @@ def _token_paragraphs(spark, sf) -> DataFrame:
 
 @query("chunk_tokens_greedy")
 def q_chunk_tokens_greedy(spark, sf):
-    p = _token_paragraphs(spark, sf)
-    packs = pack_greedy(p, C.PACK_TOKENS)
-    joined = p.select("doc_id", "para_idx", "n_tokens").join(packs, ["doc_id", "para_idx"])
-    return pack_stats(joined).select(big("doc_id").alias("doc_id"), big("pack_id").alias("pack_id"),
+    packs = pack_greedy(_token_paragraphs(spark, sf), C.PACK_TOKENS)
+    return pack_stats(packs).select(big("doc_id").alias("doc_id"), big("pack_id").alias("pack_id"),
                                      big("n_paragraphs").alias("n_paragraphs"), "n_tokens")
 
 
@@ -139,13 +137,13 @@ def _top1(spark, sf, allow_zero: bool) -> DataFrame:
                 .select("item_id", *[first.getField(k).alias(k) for k in C.PARA_KEYS],
                         F.lit(0.0).alias("score")))
         best = best.unionByName(zero)
-    return top1_answers(qs, best, ix)
+    paras = C.filename(ix.units).select(*C.PARA_KEYS, "filename", F.col("text").alias("retrieved_text"))
+    return top1_answers(qs, best, paras)
 
 
-def top1_answers(qs: DataFrame, best: DataFrame, ix) -> DataFrame:
+def top1_answers(qs: DataFrame, best: DataFrame, paras: DataFrame) -> DataFrame:
     """One answer row per question: its best paragraph with text and file, or
     the fixed response where there is none."""
-    paras = C.filename(ix.units).select(*C.PARA_KEYS, "filename", F.col("text").alias("retrieved_text"))
     hits = (best.join(paras, list(C.PARA_KEYS))
             .filter(F.col("retrieved_text") != F.lit("")))
     out = R.with_fallback(qs, hits, ["item_id"])
@@ -181,7 +179,7 @@ def q_retrieve_threshold(spark, sf):
 @query("retrieve_best_per_pack")
 def q_retrieve_best_per_pack(spark, sf):
     p = _token_paragraphs(spark, sf)
-    packs = pack_greedy(p, C.PACK_TOKENS)
+    packs = pack_greedy(p, C.PACK_TOKENS).select("doc_id", "para_idx", "pack_id")
     ix = C.paragraph_index(spark, sf)
     qv = C.question_vectors(spark, sf, ix.idf)
     best = C.score_group_best(qv, ix, packs, ["doc_id", "pack_id"], ["para_idx"])
@@ -454,7 +452,10 @@ def chunk_hits_with_text(spark, sf) -> DataFrame:
 
 def _context_prompts(spark, sf) -> DataFrame:
     from answerlake.operators.prompts import assemble_prompts, budgeted_contexts
-    ctx = budgeted_contexts(chunk_hits_with_text(spark, sf), "item_id", list(C.CHUNK_KEYS))
+    # counts and heads both read the hits: score once
+    from answerlake.session import stored
+    hits = stored(chunk_hits_with_text(spark, sf), "context-hits")
+    ctx = budgeted_contexts(hits, "item_id", list(C.CHUNK_KEYS))
     return assemble_prompts(C.questions(spark, sf), ctx, "item_id")
 
 
@@ -767,11 +768,15 @@ def q_eval_set_mix(spark, sf):
                     big("rank").alias("rank"), "evolution")
 
 
+#: The rarity rule of multi-context pairs: terms that occur in at most so many texts.
+EVAL_MAX_DF = 2
+
+
 @query("eval_multi_context_pairs")
 def q_eval_multi_context_pairs(spark, sf):
     from answerlake.operators.evaluate import rare_term_pairs
     ix = C.chunk_index(spark, sf)
-    p = rare_term_pairs(ix.terms, ix.idf, list(C.CHUNK_KEYS))
+    p = rare_term_pairs(ix.terms, ix.idf, list(C.CHUNK_KEYS), max_df=EVAL_MAX_DF)
     return p.select(*[big(F.col(f"{s}.{k}")).alias(f"{s}_{k}") for s in ("a", "b") for k in C.CHUNK_KEYS],
                     big("n_shared").alias("n_shared"))
 
@@ -904,31 +909,47 @@ def q_stream_milestones(spark, sf):
 
 @query("stream_answer")
 def q_stream_answer(spark, sf):
-    """ST4: questions arrive as a stream and are answered against the static
-    paragraph index inside each micro-batch (stream-static join, top-1, and
-    the fixed answer where nothing is found), as in ``retrieve_top1``."""
-    from answerlake.operators.tfidf import vectorize
+    """ST4: questions arrive as a stream and are answered in each micro-batch
+    from the stored paragraph index, of which it reads the buckets of its own
+    terms (top-1, and the fixed answer where nothing is found)."""
+    from answerlake.operators.serving import serve_top1
     from answerlake.streaming.live import run_to_table, stream_table
-    from answerlake.session import shared_path
-    from answerlake.sources.tables import read_index
-    # The static side is built once and persisted (the serving layout: one
-    # row per paragraph); micro-batches read it instead of rebuilding it.
-    ix = C.paragraph_index(spark, sf)
-    # the vocabulary is already checkpointed by the index build; the forward
-    # index (an aggregation over the checkpoint) is written once so that
-    # micro-batches read it instead of recomputing it
-    fwd_path = shared_path(spark, "fwd-index")
-    ix.forward.write.parquet(fwd_path)
-    fwd, idf = read_index(spark, fwd_path), ix.idf
+    path = paragraph_store(spark, sf)
 
     def answer(batch: DataFrame) -> DataFrame:
-        qv = vectorize(batch.select("item_id", "text"), idf, ("item_id",))
-        best = C.score_top1(qv, fwd, ["item_id"], C.PARA_KEYS, forward=True)
-        return top1_answers(batch.select("item_id"), best, ix)
+        best = serve_top1(batch, path, ["item_id"], C.PARA_KEYS)
+        return top1_answers(batch.select("item_id"), best, stored_paragraphs(spark, path))
 
     return run_to_table(spark, stream_table(spark, sf, "benchmark"), "answers", batch_fn=answer).drop("epoch")
 
 
+def paragraph_store(spark, sf) -> str:
+    """The paragraph index, built and written once for any number of question sets."""
+    from answerlake.operators.serving import save_index
+    from answerlake.session import shared_path
+    ix = C.paragraph_index(spark, sf)
+    texts = C.filename(ix.units).select(*C.PARA_KEYS, "filename", F.col("text").alias("retrieved_text"))
+    return save_index(ix, shared_path(spark, "paragraph-store"), C.PARA_KEYS, texts)
+
+
+def stored_paragraphs(spark, path) -> DataFrame:
+    from answerlake.operators.serving import stored_texts
+    return stored_texts(spark, path)
+
+
+def serve_questions(spark, sf, path: str) -> DataFrame:
+    """One answer row per question from a stored index."""
+    from answerlake.operators.serving import serve_top1
+    qs = C.questions(spark, sf)
+    return top1_answers(qs.select("item_id"), serve_top1(qs, path, ["item_id"], C.PARA_KEYS), stored_paragraphs(spark, path))
+
+
+@query("serve_top1")
+def q_serve_top1(spark, sf):
+    """The index is written, then served: only the buckets of the questions' terms are read."""
+    return serve_questions(spark, sf, paragraph_store(spark, sf))
+
+
 @query("answer_log")
 def q_answer_log(spark, sf):
     """G1 + G2 + P21 + K7: per question both candidates' responses with their
@@ -1080,3 +1101,37 @@ def q_dense_context_prompts(spark, sf):
     p = assemble_prompts(qs, sizes.join(lists, "item_id"), "item_id", budget=DENSE_BUDGET)
     return p.select(big("item_id").alias("item_id"), big(F.coalesce("n_contexts", F.lit(0))).alias("n_contexts"),
                     F.array_join("filenames", ",").alias("filenames"), "prompt", "response")
+
+
+@query("eval_multi_context_rows")
+def q_eval_multi_context_rows(spark, sf):
+    """Evaluation rows over two contexts, with both texts and files."""
+    from answerlake.operators.evaluate import rare_term_pairs
+    ix = C.chunk_index(spark, sf)
+    pairs = rare_term_pairs(ix.terms, ix.idf, list(C.CHUNK_KEYS), max_df=EVAL_MAX_DF)
+    texts = C.filename(ix.units).select(F.struct(*C.CHUNK_KEYS).alias("key"), "text", "filename")
+    side = lambda s: texts.select(F.col("key").alias(s), F.col("text").alias(f"text_{s}"), F.col("filename").alias(f"file_{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select(F.lit("multi_context").alias("evolution"), "text_a", "file_a", "text_b", "file_b", big("n_shared").alias("n_shared"))
+
+
+def _letter_counts(c) -> F.Column:
+    return F.array(*[(F.length(c) - F.length(F.replace(c, F.lit(x)))).cast("double") for x in STUB_LETTERS])
+
+
+@query("answer_scores")
+def q_answer_scores(spark, sf):
+    """Faithfulness and relevancy of each answer.  Its sentences are the
+    claims, judged by the offline stand-in, and also stand in for the questions
+    a model would generate from it; vectors come from the stub embedding."""
+    from answerlake.operators.evaluate import answer_relevancy, claim_verdicts, claims, faithfulness
+    key = ["conv_id", "turn"]
+    p = qa_pairs(spark, sf).filter(F.col("response").isNotNull())
+    parts = claims(p.select(*key, F.col("response").alias("answer")), key)
+    context = p.select(*key, F.coalesce("context", F.col("query")).alias("context"))
+    faith = faithfulness(claim_verdicts(parts, context, key), key)
+    near = parts.join(p.select(*key, "query"), key).select(
+        *key, R.cosine_distance(_letter_counts(F.col("query")), _letter_counts(F.col("text"))).alias("distance"))
+    return faith.join(answer_relevancy(near, key), key).select(
+        big("conv_id").alias("conv_id"), big("turn").alias("turn"), big("n_claims").alias("n_claims"),
+        r6("faithfulness").alias("faithfulness"), r6("answer_relevancy").alias("answer_relevancy"))

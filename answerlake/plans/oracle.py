@@ -794,6 +794,7 @@ FROM events WHERE event_type = 'purchase' GROUP BY 1, 2""")
 oracle("stream_milestones", ORACLE["milestones"])
 
 oracle("stream_answer", ORACLE["retrieve_top1"])
+oracle("serve_top1", ORACLE["retrieve_top1"])
 
 oracle("answer_log", f"""
 WITH {PAGE_MSG},
@@ -883,3 +884,29 @@ ctx AS (SELECT item_id, count(*) AS n, string_agg(text, ', ' ORDER BY rank) AS c
         FROM near WHERE rank <= {TOP_K} GROUP BY item_id){prompt_ctes('ctx').replace("2000 - ", "4096 - ").replace("> 2000", "> 4096")}
 SELECT CAST(pr.item_id AS BIGINT) AS item_id, CAST(coalesce(pr.n, 0) AS BIGINT) AS n_contexts, coalesce(ctx.files, 'N/A') AS filenames, prompt, response
 FROM pr LEFT JOIN ctx USING (item_id)""")
+
+oracle("eval_multi_context_rows", f"""
+WITH {CHUNKS},
+k AS (SELECT *, source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS filename FROM chunks),
+p AS ({ORACLE["eval_multi_context_pairs"]})
+SELECT 'multi_context' AS evolution, a.text AS text_a, a.filename AS file_a, b.text AS text_b, b.filename AS file_b, p.n_shared
+FROM p JOIN k a ON (a.doc_id, a.para_idx, a.piece_idx) = (p.a_doc_id, p.a_para_idx, p.a_piece_idx)
+       JOIN k b ON (b.doc_id, b.para_idx, b.piece_idx) = (p.b_doc_id, p.b_para_idx, p.b_piece_idx)""")
+
+oracle("answer_scores", f"""
+WITH {QA},
+p AS (SELECT conv_id, turn, query, response, coalesce(context, query) AS context FROM qa WHERE response IS NOT NULL),
+s0 AS (SELECT conv_id, turn, query, context, regexp_split_to_array(response, '[.!?]') AS parts FROM p),
+s1 AS (SELECT conv_id, turn, query, context, unnest(range(len(parts))) AS claim, unnest(parts) AS raw FROM s0),
+s AS (SELECT conv_id, turn, query, context, claim, {_strip('raw')} AS text FROM s1 WHERE {_strip('raw')} <> ''),
+ct AS (SELECT DISTINCT conv_id, turn, claim, term FROM (
+         SELECT conv_id, turn, claim, unnest(regexp_extract_all(lower(text), '{TERM_PATTERN}')) AS term FROM s)),
+xt AS (SELECT DISTINCT conv_id, turn, term, 1 AS known FROM (
+         SELECT conv_id, turn, unnest(regexp_extract_all(lower(context), '{TERM_PATTERN}')) AS term FROM p)),
+v AS (SELECT conv_id, turn, claim, 2 * count(known) >= count(*) AS supported FROM ct LEFT JOIN xt USING (conv_id, turn, term) GROUP BY ALL),
+d AS (SELECT s.*, coalesce(v.supported, false) AS supported, {_letters('query')} AS q, {_letters('text')} AS t FROM s LEFT JOIN v USING (conv_id, turn, claim))
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, count(*) AS n_claims,
+       round(avg(CAST(supported AS DOUBLE)), 6) AS faithfulness,
+       round(avg(CASE WHEN list_dot_product(q, q) > 0 AND list_dot_product(t, t) > 0
+                      THEN list_dot_product(q, t) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(t, t))) END), 6) AS answer_relevancy
+FROM d GROUP BY ALL""")

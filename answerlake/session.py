@@ -71,6 +71,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/answerlake/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to shared storage and read it back: for a frame with
+    several readers, and to end its lineage."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-spread a scan that produced fewer splits than the cluster has cores.
 

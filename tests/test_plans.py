@@ -29,3 +29,24 @@ def test_scans_read_only_needed_columns(spark):
 def test_top1_aggregates_partially(spark):
     p = plan(QUERIES["latest_question"](spark, SF))
     assert "partial_max_by" in p
+
+
+def test_serving_reads_only_the_buckets_of_the_questions(spark):
+    from answerlake.operators.serving import BUCKETS, stored_scores
+    from answerlake.plans.catalog import C, paragraph_store
+    path = paragraph_store(spark, SF)
+    one = C.questions(spark, SF).filter("item_id = 1")
+    p = plan(stored_scores(one, path, ["item_id"], C.PARA_KEYS))
+    assert "PartitionFilters: [bucket" in p and "MapInArrow" not in p and "CartesianProduct" not in p
+    files = stored_scores(one, path, ["item_id"], C.PARA_KEYS).inputFiles()
+    read = {f.split("bucket=")[1].split("/")[0] for f in files if "bucket=" in f}
+    assert 0 < len(read) < BUCKETS / 2
+
+
+def test_single_pass_plans(spark):
+    import re
+    counters = plan(QUERIES["session_counters"](spark, SF))
+    assert len(re.findall("FileScan", counters)) == 1 and "Join" not in counters
+    centroid = plan(QUERIES["classify_centroid"](spark, SF))
+    assert "NestedLoop" not in centroid and "Join" not in centroid and "Exchange" not in centroid
+    assert "Join" not in plan(QUERIES["token_stats"](spark, SF))
