@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerlake.functions.text import is_blank, normalize, quote_regex
+from answerlake.functions.text import normalize, quote_regex
 
 
 def split_paragraphs(docs: DataFrame, sep: str = "\n\n", text_col: str = "text",
@@ -27,8 +27,3 @@ def split_paragraphs(docs: DataFrame, sep: str = "\n\n", text_col: str = "text",
 def normalize_paragraphs(paras: DataFrame, text_col: str = "text") -> DataFrame:
     """Collapse whitespace runs to one space and lower-case (no trim)."""
     return paras.withColumn(text_col, normalize(text_col))
-
-
-def flag_blank(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Blank texts stay in the index but are left out of the IDF fit."""
-    return df.withColumn("is_blank", is_blank(text_col))

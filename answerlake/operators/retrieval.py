@@ -50,12 +50,6 @@ def top1(scores: DataFrame, q_keys: Sequence[str], d_keys: Sequence[str],
                        F.col(f"_b.{score_col}").alias(score_col))
 
 
-def best_per_group(scores: DataFrame, q_keys: Sequence[str], group_keys: Sequence[str],
-                   d_keys: Sequence[str], score_col: str = "score") -> DataFrame:
-    """Argmax inside each group (pack) per question, first on ties."""
-    return top1(scores, [*q_keys, *group_keys], d_keys, score_col)
-
-
 def above_threshold(scores: DataFrame, threshold: float, score_col: str = "score") -> DataFrame:
     """R3 + P10: every text scoring strictly above ``threshold``."""
     return scores.filter(F.col(score_col) > F.lit(float(threshold)))

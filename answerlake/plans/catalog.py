@@ -1135,3 +1135,26 @@ def q_answer_scores(spark, sf):
     return faith.join(answer_relevancy(near, key), key).select(
         big("conv_id").alias("conv_id"), big("turn").alias("turn"), big("n_claims").alias("n_claims"),
         r6("faithfulness").alias("faithfulness"), r6("answer_relevancy").alias("answer_relevancy"))
+
+
+@query("response_records")
+def q_response_records(spark, sf):
+    """K4 + F10: whole response records - contexts and file names as JSON
+    lists, fixed candidate and vote flag, relevancy left open - appended in two
+    inserts and read back."""
+    from answerlake.session import shared_path
+    from answerlake.sinks.writers import append_rows
+    names = F.when(F.col("context").isNotNull(), F.array(F.concat(F.lit("conversation/"), F.col("conv_id").cast("string"))))
+    none = F.array().cast("array<string>")
+    rows = qa_pairs(spark, sf).filter(F.col("response").isNotNull()).select(
+        big("conv_id").alias("query_id"), big("turn").alias("turn"), F.lit(1).cast("bigint").alias("candidate_id"), "response",
+        F.to_json(F.when(F.col("context").isNotNull(), F.array("context")).otherwise(none)).alias("contexts"),
+        F.to_json(F.coalesce(names, none)).alias("filenames"), F.lit(0).cast("bigint").alias("user_voted"),
+        F.lit(None).cast("double").alias("answer_relevancy"))
+    path = shared_path(spark, "responses")
+    append_rows(rows.filter(F.col("turn") % 4 == 1), path)
+    append_rows(rows.filter(F.col("turn") % 4 != 1), path)
+    back = spark.read.parquet(path)
+    texts = lambda c: F.array_join(F.from_json(c, "array<string>"), "\n")
+    return back.select(*[c for c in back.columns if c not in ("contexts", "filenames")],
+                       texts("contexts").alias("contexts"), texts("filenames").alias("filenames"))

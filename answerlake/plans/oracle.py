@@ -910,3 +910,10 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, count(*
        round(avg(CASE WHEN list_dot_product(q, q) > 0 AND list_dot_product(t, t) > 0
                       THEN list_dot_product(q, t) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(t, t))) END), 6) AS answer_relevancy
 FROM d GROUP BY ALL""")
+
+oracle("response_records", f"""
+WITH {QA}
+SELECT CAST(conv_id AS BIGINT) AS query_id, CAST(turn AS BIGINT) AS turn, CAST(1 AS BIGINT) AS candidate_id, response,
+       CAST(0 AS BIGINT) AS user_voted, CAST(NULL AS DOUBLE) AS answer_relevancy, coalesce(context, '') AS contexts,
+       CASE WHEN context IS NULL THEN '' ELSE 'conversation/' || CAST(conv_id AS VARCHAR) END AS filenames
+FROM qa WHERE response IS NOT NULL""")

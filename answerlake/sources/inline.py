@@ -147,10 +147,6 @@ def templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(CANDIDATE_TEMPLATES.items()), "candidate string, template string")
 
 
-def event_kinds(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(EVENT_KINDS.items()), "event_type string, kind string")
-
-
 def lit_map(mapping: dict) -> F.Column:
     """A literal MAP column (for tiny fixed lookups inside expressions)."""
     return F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
