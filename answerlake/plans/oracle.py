@@ -257,7 +257,7 @@ q AS (SELECT b.item_id, CAST(e.embedding AS DOUBLE[]) AS qv
 v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS ev FROM embeddings),
 d AS (SELECT q.item_id, v.vec_id,
              1.0 - list_dot_product(q.qv, v.ev)
-                   / (sqrt(list_dot_product(q.qv, q.qv)) * sqrt(list_dot_product(v.ev, v.ev))) AS distance
+                   / nullif(sqrt(list_dot_product(q.qv, q.qv)) * sqrt(list_dot_product(v.ev, v.ev)), 0) AS distance
       FROM q CROSS JOIN v)"""
 
 oracle("dense_topk_nearest", f"""
@@ -658,7 +658,7 @@ mm AS (SELECT label, d, avg(x) AS m FROM cells GROUP BY ALL),
 cen AS (SELECT label, list(m ORDER BY d) AS c FROM mm GROUP BY label),
 sims AS (
   SELECT e.vec_id, e.label AS own, cen.label,
-         list_dot_product(e.v, cen.c) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(cen.c, cen.c))) AS score
+         list_dot_product(e.v, cen.c) / nullif(sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(cen.c, cen.c)), 0) AS score
   FROM e CROSS JOIN cen)"""
 
 oracle("classify_centroid", f"""

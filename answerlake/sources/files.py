@@ -47,7 +47,8 @@ def read_question_list(spark: SparkSession, path: str) -> DataFrame:
 
 def read_jdbc_latest(spark: SparkSession, url: str, table: str, id_col: str = "id",
                      properties: dict | None = None) -> DataFrame:
-    """Latest row by id from a database table (sort and limit are pushed
-    down to the database by the JDBC source)."""
-    df = spark.read.jdbc(url, table, properties=properties or {})
-    return df.orderBy(F.col(id_col).desc()).limit(1)
+    """Latest row by id from a database table.  The sort and the limit are
+    part of the query that the database runs, so one row crosses the
+    connection.  (Not run here: there is no database.)"""
+    latest = f"(SELECT * FROM {table} ORDER BY {id_col} DESC LIMIT 1) latest"
+    return spark.read.jdbc(url, latest, properties=properties or {})
