@@ -140,3 +140,39 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(common.documents(spark, sf_dir, "doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
+def _op4_sql() -> str:
+    """The same rows in DuckDB: word runs as text instead of hashes."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({i}, {quoted(a)}, {quoted(b)})" for i, (a, b) in enumerate(TEMPLATES))
+    words = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    runs = " || ' ' || ".join(["w", *(f"lead(w, {k}) OVER x" for k in range(1, GRAM))])
+    phrases = " UNION ALL ".join(
+        f"SELECT r, p, '{label}' AS label FROM g WHERE " + " AND ".join(f"w{k} = '{part}'" for k, part in enumerate(phrase.split())) for phrase, label in PHRASES)
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words.format("coalesce(text, '')")} AS ws FROM documents),
+u AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS p FROM d),
+g AS (SELECT r, p, w AS w0, lead(w, 1) OVER x AS w1, lead(w, 2) OVER x AS w2, {runs} AS g FROM u WINDOW x AS (PARTITION BY r ORDER BY p)),
+t AS (SELECT i, label, {words.format("body")} AS ws FROM (VALUES {rows}) AS v(i, label, body)),
+tu AS (SELECT i, label, len(ws) AS size, len(ws) - {GRAM - 1} AS runs, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS place FROM t),
+tg AS (SELECT * FROM (SELECT i, label, size, runs, place, {runs} AS g FROM tu WINDOW x AS (PARTITION BY i ORDER BY place)) WHERE g IS NOT NULL),
+hits AS (SELECT r, i, label, size, runs, p, place, p - place AS diagonal FROM g JOIN tg USING (g)),
+votes AS (SELECT DISTINCT r, i, diagonal FROM hits),
+turns AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER x <= {NEAR} THEN 0 ELSE 1 END AS turn FROM votes WINDOW x AS (PARTITION BY r, i ORDER BY diagonal)),
+spans AS (SELECT r, i, diagonal, sum(turn) OVER (PARTITION BY r, i ORDER BY diagonal) AS part FROM turns),
+merged AS (
+  SELECT r, i, label, size, CAST(count(DISTINCT place) AS DOUBLE) / runs AS cover, min(p) AS start, max(p) + {GRAM} AS stop
+  FROM hits JOIN spans USING (r, i, diagonal) GROUP BY r, i, label, size, runs, part),
+found AS (SELECT r, label, cover FROM merged WHERE cover >= {MIN_COVER} AND stop - start <= {MAX_STRETCH} * size),
+places AS ({phrases}),
+b AS (SELECT r, count(*) AS n, min(p) AS low, max(p) AS high, string_agg(DISTINCT label, ',' ORDER BY label) AS names FROM places GROUP BY r),
+every AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS names FROM (SELECT r, label FROM places UNION ALL SELECT r, label FROM found) GROUP BY r),
+best AS (SELECT r, max(cover) AS cover FROM found GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(b.n, 0) AS BIGINT) AS n_base, CAST(b.low AS BIGINT) AS first_word, CAST(b.high AS BIGINT) AS last_word,
+  coalesce(b.names, '') AS base_labels, coalesce(every.names, '') AS labels, greatest(coalesce(best.cover, 0.0), CASE WHEN b.n > 0 THEN 1.0 ELSE 0.0 END) AS score
+FROM d LEFT JOIN b USING (r) LEFT JOIN every USING (r) LEFT JOIN best USING (r)
+"""
+
+
+OP4_SQL = _op4_sql()

@@ -93,8 +93,8 @@ def counts(docs: DataFrame, text_column: str = "text", keep: list[str] | None =
     out = docs.select(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)], F.struct(
         words.alias("w"), lines.alias("l"), (F.length(text) - number(f"[{common.BLANK}]")).cast("long").alias("word_chars"),
         number(r"[#*$%&|<>]").alias("n_symbols"), number(rf"[#*$%&|<>]++(?![^{common.BLANK}])").alias("n_symbol_words"),
-        number(r"([#*$%&])\1++|\|\s").alias("n_symbol_runs"), number(r"\p{Lu}").alias("n_upper"), number("!").alias("n_bangs"),
-        number(r"[.!?](?=[\s]|$)").alias("n_ends")).alias("_c"))
+        number(rf"([#*$%&])\1++|\|[{common.BLANK}]").alias("n_symbol_runs"), number(r"\p{Lu}").alias("n_upper"), number("!").alias("n_bangs"),
+        number(rf"[.!?](?:[{common.BLANK}]|$)").alias("n_ends")).alias("_c"))
     flat = ["_c.w.n AS n_words", "_c.word_chars AS word_chars", "_c.n_symbols AS n_symbols", "_c.n_symbol_words AS n_symbol_words",
             "_c.n_symbol_runs AS n_symbol_runs", "_c.l.d AS n_dup_lines",
             "_c.w.r AS n_repeat_words", "_c.l.n AS n_lines", "_c.n_upper AS n_upper", "_c.n_bangs AS n_bangs", "_c.n_ends AS n_ends"]
@@ -169,4 +169,46 @@ def judge(docs: DataFrame, text_column: str = "text", keep: list[str] | None = N
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(common.documents(spark, sf_dir, "doc_id", "text"), keep=["doc_id"])
     return out.select("doc_id", "counts.n_words", "counts.word_chars", "counts.n_symbols", "counts.n_dup_lines", "counts.n_repeat_words",
-                      "base_failed", "kept", "posterior")
+                      "base_failed", "kept")
+
+
+def _op1_sql() -> str:
+    """The same rows in DuckDB: counts from words and lines laid out as rows, EM as a recursion over the pattern table."""
+    m = len(RULES)
+    odds = " + ".join(["ln(prior / (1 - prior))", *(f"v[{j}] * ln(a[{j}] / (1 - a[{j}]))" for j in range(1, m + 1))])
+    right = ", ".join(f"(sum(CASE v[{j}] WHEN 1 THEN n * g WHEN -1 THEN n * (1 - g) ELSE 0 END) + {ACCURACY} * any_value(held))"
+                      f" / (sum(CASE WHEN v[{j}] <> 0 THEN n ELSE 0 END) + any_value(held))" for j in range(1, m + 1))
+    votes = ", ".join(f"CASE WHEN {r.bad} THEN -1 WHEN {r.good} THEN 1 ELSE 0 END" for r in RULES)
+    leads = " || ' ' || ".join(["w", *(f"lead(w, {k}) OVER x" for k in range(1, REPEAT_WINDOW))])
+    return rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+u AS (SELECT r, unnest(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS w, generate_subscripts(regexp_extract_all(t, '[^\x20\x09-\x0D]+'), 1) AS p FROM d),
+g AS (SELECT r, p, {leads} AS g FROM u WINDOW x AS (PARTITION BY r ORDER BY p)),
+again AS (SELECT r, p, count(*) OVER (PARTITION BY r, g) AS times FROM g WHERE g IS NOT NULL),
+cov AS (SELECT r, count(DISTINCT p + o) AS n FROM again, unnest(range({REPEAT_WINDOW})) AS q(o) WHERE times > 1 GROUP BY r),
+l AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
+dup AS (SELECT r, count(*) AS n, count(*) - count(DISTINCT line) AS d FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+c AS (
+  SELECT d.r, doc_id, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS n_words, length(t) - len(regexp_extract_all(t, '[\x20\x09-\x0D]')) AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(dup.d, 0) AS n_dup_lines, coalesce(dup.n, 0) AS n_lines, coalesce(cov.n, 0) AS n_repeat_words,
+    len(regexp_extract_all(t, '[#*$%&|<>]+(?:[\x20\x09-\x0D]|$)')) AS n_symbol_words, len(regexp_extract_all(t, '[*][*]+|[#][#]+|[$][$]+|[%][%]+|[&][&]+|[|][\x20\x09-\x0D]')) AS n_symbol_runs,
+    len(regexp_extract_all(t, '\p{{Lu}}')) AS n_upper, len(regexp_extract_all(t, '!')) AS n_bangs, len(regexp_extract_all(t, '[.!?](?:[\x20\x09-\x0D]|$)')) AS n_ends
+  FROM d LEFT JOIN dup USING (r) LEFT JOIN cov USING (r)),
+v AS (SELECT *, [{votes}] AS v FROM c),
+ps AS (SELECT v, CAST(count(*) AS DOUBLE) AS n FROM v GROUP BY v),
+h AS (SELECT sum(n) * {PRIOR_SHARE} + 1 AS held FROM ps),
+em AS (
+  SELECT 0 AS i, CAST({PRIOR} AS DOUBLE) AS prior, [CAST({ACCURACY} AS DOUBLE) FOR x IN range({m})] AS a
+  UNION ALL
+  SELECT i + 1, (sum(n * g) + {PRIOR} * any_value(held)) / (sum(n) + any_value(held)), [{right}]
+  FROM (SELECT i, v, n, held, 1 / (1 + exp(-({odds}))) AS g FROM em, ps, h WHERE i < {ITERATIONS}) GROUP BY i),
+post AS (SELECT v, 1 / (1 + exp(-({odds}))) AS posterior FROM ps, em WHERE i = {ITERATIONS})
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND posterior >= {THRESHOLD} AS kept
+FROM v JOIN post USING (v)
+"""
+
+
+OP1_SQL = _op1_sql()

@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_quality": quality.OP1_SQL,
+    "op4_licenses": licenses.OP4_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op8_mix": mixing.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
