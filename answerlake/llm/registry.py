@@ -23,4 +23,5 @@ ORACLE = {
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op8_mix": mixing.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
+    "op10_urls": urls.OP10_SQL,
 }

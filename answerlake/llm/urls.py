@@ -36,9 +36,7 @@ ALLOWED_PATHS = ("/articles/2020/spring", "/en/12", "/de/345.html", "/about", "/
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """(url, label): 1 blocked, 0 allowed; a fixed table of about 90 rows."""
-    rows = [(h, p, 1) for i, h in enumerate(BLOCKED_HOSTS) for p in (BLOCKED_PATHS[i % 6], BLOCKED_PATHS[(i + 1) % 6], BLOCKED_PATHS[(i + 3) % 6])]
-    rows += [(h, p, 0) for i, h in enumerate(ALLOWED_HOSTS) for p in (ALLOWED_PATHS[i % 6], ALLOWED_PATHS[(i + 1) % 6], ALLOWED_PATHS[(i + 3) % 6])]
-    table = F.array(*[F.struct(F.lit(f"https://{h}{p}").alias("url"), F.lit(y).alias("label")) for h, p, y in rows])
+    table = F.array(*[F.struct(F.lit(u).alias("url"), F.lit(y).alias("label")) for u, y in _training_rows()])
     return spark.range(1).select(F.explode(table).alias("r")).select("r.*")
 
 
@@ -48,13 +46,18 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
 
 
+def bucket(kind: str, gram: Column) -> Column:
+    """Feature number of an n-gram: 32 bits of the MD5 of its kind and text."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(kind), gram)), 1, 8), 16, 10).cast("long") % DIMENSIONS
+
+
 def features(host: Column, path: Column) -> Column:
     """Distinct buckets of all n-grams of the host, marked at both ends, and of the path."""
     def grams(kind: str, text: Column) -> Column:
         def runs(chars: Column, n: int) -> Column:
-            part = F.transform(F.sequence(F.lit(1), F.size(chars) - (n - 1)), lambda i: F.pmod(F.xxhash64(F.lit(kind), F.slice(chars, i, n)), F.lit(DIMENSIONS)))
+            part = F.transform(F.sequence(F.lit(1), F.size(chars) - (n - 1)), lambda i: bucket(kind, F.array_join(F.slice(chars, i, n), "")))
             return F.when(F.size(chars) >= n, part).otherwise(F.array().cast("array<bigint>"))
-        return common.let(F.filter(F.split(text, ""), lambda c: c != ""), lambda chars: F.concat(*[runs(chars, n) for n in GRAMS]))
+        return common.let(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda chars: F.concat(*[runs(chars, n) for n in GRAMS]))
     marked = F.when(host != "", F.concat(F.lit("^"), host, F.lit("$"))).otherwise(F.lit(""))
     return F.array_distinct(F.concat(grams("host", marked), grams("path", path)))
 
@@ -114,4 +117,53 @@ def judge(pages: DataFrame, url_column: str = "url", labelled: DataFrame | None
 
 
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(common.table(spark, sf_dir, "pages", "page_id", "url"), keep=["page_id"])
+    out = judge(common.table(spark, sf_dir, "pages", "page_id", "url"), keep=["page_id"])
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+def _training_rows() -> list[tuple[str, int]]:
+    out = []
+    for hosts, paths, label in ((BLOCKED_HOSTS, BLOCKED_PATHS, 1), (ALLOWED_HOSTS, ALLOWED_PATHS, 0)):
+        out += [(f"https://{h}{paths[(i + k) % 6]}", label) for i, h in enumerate(hosts) for k in (0, 1, 3)]
+    return out
+
+
+def _op10_sql() -> str:
+    """The same rows in DuckDB: training as a recursion over the labelled urls."""
+    def split(url: str) -> tuple[str, str]:
+        rest = f"regexp_extract(coalesce({url}, ''), '(?s)^.*?://(.*)$', 1)"
+        lower = f"translate(regexp_extract({rest}, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        return lower, f"regexp_extract({rest}, '(?s)^[^/?#]*([^?#]*)', 1)"
+
+    def grams(kind: str, text: str) -> str:
+        one = lambda n: f"[CAST('0x' || md5('{kind}' || substr({text}, i, {n}))[1:8] AS BIGINT) % {DIMENSIONS} FOR i IN range(1, length({text}) - {n} + 2)]"
+        return " || ".join(one(n) for n in GRAMS)
+
+    features_of = f"list_distinct({grams('host', 'marked')} || {grams('path', 'path')})"
+    marked = "CASE WHEN host <> '' THEN '^' || host || '$' ELSE '' END AS marked"
+    rows = ", ".join(f"({i}, '{u}', {y})" for i, (u, y) in enumerate(_training_rows(), 1))
+    (l_host, l_path), (p_host, p_path) = split("u"), split("url")
+    rules = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h + p} {v}'" for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2])))
+    return f"""
+WITH RECURSIVE lab0 AS (SELECT i, y, {l_host} AS host, {l_path} AS path FROM (VALUES {rows}) AS t(i, u, y)),
+lab AS MATERIALIZED (SELECT i, y, {features_of} AS f FROM (SELECT *, {marked} FROM lab0)),
+k AS MATERIALIZED (SELECT a.i, a.y, list(len(list_intersect(a.f, b.f)) / sqrt(CAST(len(a.f) AS DOUBLE) * len(b.f)) ORDER BY b.i) AS row FROM lab a, lab b GROUP BY a.i, a.y),
+gd AS (
+  SELECT 0 AS step, [CAST(0 AS DOUBLE) FOR x IN range({len(_training_rows())})] AS a, CAST(0 AS DOUBLE) AS b
+  UNION ALL
+  SELECT step + 1, list(a[i] * (1 - {RATE * PENALTY!r}) - {RATE!r} * e / n ORDER BY i), any_value(b) - {RATE!r} * sum(e) / any_value(n)
+  FROM (SELECT step, a, b, k.i, {len(_training_rows())} AS n, 1 / (1 + exp(-(list_dot_product(k.row, a) + b))) - y AS e FROM gd, k WHERE step < {STEPS}) GROUP BY step),
+model AS (SELECT a, b FROM gd WHERE step = {STEPS}),
+w AS (SELECT bucket, sum(v) AS weight FROM (SELECT unnest(f) AS bucket, model.a[i] / sqrt(len(f)) AS v FROM lab, model) GROUP BY bucket),
+p AS (SELECT page_id, {p_host} AS host, {p_path} AS path FROM pages),
+ruled AS (SELECT *, CASE {rules} END AS hit FROM p),
+open AS (SELECT host, path, {features_of} AS f FROM (SELECT DISTINCT host, path, {marked} FROM ruled WHERE hit IS NULL)),
+s AS (SELECT host, path, sum(weight) AS total FROM (SELECT host, path, unnest(f) AS bucket FROM open) LEFT JOIN w USING (bucket) GROUP BY host, path)
+SELECT page_id, ruled.host, ruled.path, string_split(hit, ' ')[1] AS rule,
+  CASE WHEN hit IS NOT NULL THEN string_split(hit, ' ')[2]
+       WHEN 1 / (1 + exp(-(coalesce(s.total / sqrt(len(open.f)), 0) + (SELECT b FROM model)))) >= 0.5 THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled LEFT JOIN open ON hit IS NULL AND open.host = ruled.host AND open.path = ruled.path LEFT JOIN s ON s.host = open.host AND s.path = open.path
+"""
+
+
+OP10_SQL = _op10_sql()
