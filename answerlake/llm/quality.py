@@ -8,6 +8,12 @@ document's posterior probability of being good replaces an all-must-pass
 filter. Only DataFrame functions run: the counts are expressions within the
 row, the pattern table has at most 3^rules rows, and the EM is a fold over it.
 
+A large group of documents that trip one rule alone must not turn the model
+over: patterns count distinct texts that pass the base check, a bad vote that
+stands alone says nothing about its rule, and accuracies and the prior stay at
+``FLOOR`` or above. On tables without such a group this keeps the same rows as
+the plain EM, which the SQL states.
+
 Null and empty texts have no words, every count is 0 and they fail the base
 check. Texts of any length are handled whole, within their row. Repeated rows
 are judged alike. An empty table gives an empty result.
@@ -32,6 +38,8 @@ ITERATIONS = 30
 ACCURACY, PRIOR, PRIOR_SHARE = 0.8, 0.8, 0.02
 #: A document stays from this posterior probability on.
 THRESHOLD = 0.5
+#: No rule counts as wrong more often than right, and no table as mostly bad.
+FLOOR = 0.5
 
 
 @dataclass(frozen=True)
@@ -113,33 +121,39 @@ def _logit(state: Column, votes: Column, m: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(m - 1)), F.log(state["prior"] / (1 - state["prior"])), step)
 
 
-def posteriors(patterns: DataFrame, m: int, iterations: int = ITERATIONS) -> DataFrame:
+def posteriors(patterns: DataFrame, m: int, iterations: int = ITERATIONS, guarded: bool = False) -> DataFrame:
     """(votes, posterior, prior, accuracy) for each pattern (votes, n).
 
     ``accuracy[j]`` is how often rule j is right where it votes; abstentions
     say nothing. It starts at ``ACCURACY``, the share of good documents at
     ``PRIOR``; every estimate carries imaginary documents of the starting kind,
     as many as ``PRIOR_SHARE`` of all, so that no rule is trusted without limit.
+    If ``guarded``, lone bad votes are left out of the accuracies, since nothing
+    else in their documents confirms or denies them, and ``FLOOR`` holds.
     """
+    at_least = (lambda c: F.greatest(c, F.lit(FLOOR))) if guarded else (lambda c: c)
     start = F.struct(F.lit(PRIOR).alias("prior"), F.array(*[F.lit(ACCURACY)] * m).alias("accuracy"))
     rules = F.sequence(F.lit(0), F.lit(m - 1))
 
     def step(state: Column, _: Column) -> Column:
-        weighed = F.transform("ps", lambda p: F.struct(p["votes"].alias("v"), (p["n"] / (1 + F.exp(-_logit(state, p["votes"], m)))).alias("g"), p["n"].alias("n")))
+        weighed = F.transform("ps", lambda p: F.struct(
+            p["votes"].alias("v"), (p["n"] / (1 + F.exp(-_logit(state, p["votes"], m)))).alias("g"), p["n"].alias("n"), p["lone"].alias("lone")))
 
         def estimate(ps: Column) -> Column:
             def total(value):
                 return F.aggregate(ps, F.lit(0.0), lambda a, p: a + value(p))
             held = F.col("held")
-            accuracy = F.transform(rules, lambda j: (
-                total(lambda p: F.when(p["v"][j] == 1, p["g"]).when(p["v"][j] == -1, p["n"] - p["g"]).otherwise(0.0)) + ACCURACY * held)
-                / (total(lambda p: F.when(p["v"][j] != 0, p["n"]).otherwise(0.0)) + held))
-            prior = (total(lambda p: p["g"]) + PRIOR * held) / (total(lambda p: p["n"]) + held)
+            accuracy = F.transform(rules, lambda j: at_least((
+                total(lambda p: F.when(p["lone"], 0.0).when(p["v"][j] == 1, p["g"]).when(p["v"][j] == -1, p["n"] - p["g"]).otherwise(0.0)) + ACCURACY * held)
+                / (total(lambda p: F.when(~p["lone"] & (p["v"][j] != 0), p["n"]).otherwise(0.0)) + held)))
+            prior = at_least((total(lambda p: p["g"]) + PRIOR * held) / (total(lambda p: p["n"]) + held))
             return F.struct(prior.alias("prior"), accuracy.alias("accuracy"))
 
         return let(weighed, estimate)
 
-    one = patterns.agg(F.sort_array(F.collect_list(F.struct("votes", F.col("n").cast("double").alias("n")))).alias("ps"),
+    cast = F.filter("votes", lambda v: v != 0)
+    lone = (F.size(cast) == 1) & (F.get(cast, F.lit(0)) == -1) if guarded else F.lit(False)
+    one = patterns.agg(F.sort_array(F.collect_list(F.struct("votes", F.col("n").cast("double").alias("n"), lone.alias("lone")))).alias("ps"),
                        (F.sum("n") * PRIOR_SHARE + 1).alias("held"))
     fitted = one.select("ps", F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), start, step).alias("state"))
     rows = fitted.select(F.explode("ps").alias("p"), "state")
@@ -151,16 +165,20 @@ def judge(docs: DataFrame, text_column: str = "text", keep: list[str] | None = N
     """The kept columns, a struct ``counts``, base_failed, posterior and kept.
 
     Counts and votes are written to the shared folder with the kept columns,
-    so that the texts are read once.
+    so that the texts are read once; a hash of the text tells copies apart.
     """
     common.ready(docs.sparkSession)
     columns = docs.columns if keep is None else keep
-    counted = counts(docs.select(*[F.col(f"`{c}`").alias(f"in_{c}") for c in docs.columns]), f"in_{text_column}", [f"in_{c}" for c in columns])
-    voted = counted.select("*", "_c.*").withColumn("votes", _votes(rules)).select(*[f"`in_{c}`" for c in columns], "_c", "votes")
-    seen = common.stored(voted, "quality-votes")
-    fitted = common.stored(posteriors(seen.groupBy("votes").agg(F.count("*").alias("n")), len(rules)).select("votes", "posterior"), "quality-posteriors")
+    given = docs.select(*[F.col(f"`{c}`").alias(f"in_{c}") for c in docs.columns], F.md5(F.col(f"`{text_column}`")).alias("_text"))
+    counted = counts(given, f"in_{text_column}", [*[f"in_{c}" for c in columns], "_text"])
     failed = (F.col("_c.n_words") < MIN_WORDS) | (100 * F.col("_c.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_c.n_words"))
-    out = seen.join(F.broadcast(fitted), "votes").withColumn("failed", failed)
+    voted = counted.select("*", "_c.*").withColumn("votes", _votes(rules)).select(*[f"`in_{c}`" for c in columns], "_c", "votes", "_text", failed.alias("failed"))
+    seen = common.stored(voted, "quality-votes")
+    # Equal texts have equal votes. Patterns of none but failed texts stay, with a count of 0.
+    texts = seen.groupBy("votes", "_text", "failed").agg(F.lit(1).alias("one"))
+    patterns = texts.groupBy("votes").agg(F.count_if(~F.col("failed")).alias("n"))
+    fitted = common.stored(posteriors(patterns, len(rules), guarded=True).select("votes", "posterior"), "quality-posteriors")
+    out = seen.join(F.broadcast(fitted), "votes")
     new = {"counts", "base_failed", "posterior", "kept"}
     return out.select(*[F.col(f"`in_{c}`").alias(c) for c in columns if c.lower() not in new], F.col("_c").alias("counts"),
                       F.col("failed").alias("base_failed"), "posterior", (~F.col("failed") & (F.col("posterior") >= threshold)).alias("kept"))

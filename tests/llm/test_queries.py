@@ -154,6 +154,35 @@ def test_quality_keeps_good_documents(spark):
     assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.2 * len(bad)
 
 
+def _pages_of_kinds(n_good, n_blank, n_three, n_hot, hot, copies=1):
+    """(doc_id, text): good prose, texts on which all rules abstain, texts with three bad votes, and texts that trip ``hot`` alone."""
+    plain = lambda k, i, n: [f"{k}{i}x{j}word" for j in range(n)]
+    one = {"symbols": lambda i: " ".join("#" + w for w in plain("h", i, 30)), "capitals": lambda i: " ".join(plain("h", i, 30)).replace("word", "WORDS").replace("h", "H"),
+           "shouting": lambda i: " ".join("!" + w if j % 5 == 0 else w for j, w in enumerate(plain("h", i, 30)))}[hot]
+    texts = [". ".join(" ".join(plain(f"g{k}", i, 10)) for k in range(6)) + "." for i in range(n_good)]
+    texts += [" ".join(plain("b", i, 30)) for i in range(n_blank)]
+    texts += [" ".join(w + "##" for w in plain("t", i, 30)) for i in range(n_three)]
+    texts += [one(i) for i in range(n_hot) for _ in range(copies)]
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("hot, n_hot, copies", [("symbols", 100, 1), ("symbols", 450, 1), ("symbols", 1, 450), ("capitals", 450, 1), ("shouting", 450, 1)])
+def test_quality_hot_group_of_one_rule(spark, hot, n_hot, copies):
+    """A tenth, a third or many copies of junk that trips one rule: texts with three bad votes still go, good ones stay."""
+    docs = spark.createDataFrame(_pages_of_kinds(700, 140, 60, n_hot, hot, copies), "doc_id long, text string")
+    rows = quality.judge(docs, keep=["doc_id"]).collect()
+    kinds = [[r["kept"] for r in rows if a <= r["doc_id"] < b] for a, b in ((0, 700), (700, 840), (840, 900), (900, 10_000))]
+    assert all(kinds[0]) and all(kinds[1]) and not any(kinds[2])
+    assert len(rows) == 900 + n_hot * copies and (copies > 1 or n_hot < 450 or not any(kinds[3]))
+
+
+def test_quality_abstaining_tables_stay(spark):
+    """Few good votes, half abstentions and lone bad votes: the prior does not collapse."""
+    patterns = [([0] * 8 + [1], 200), ([0] * 9, 500), ([0] * 8 + [-1], 300)]
+    got = [r["posterior"] for r in quality.posteriors(spark.createDataFrame(patterns, "votes array<int>, n long"), 9, guarded=True).orderBy("votes").collect()]
+    assert got[0] < 0.5 <= got[1] < got[2]
+
+
 def _components(prints, max_bits=3):
     """Brute force: all pairs of distinct fingerprints."""
     values = sorted(set(prints.values()))
