@@ -105,8 +105,6 @@ _SIGN = re.compile(rf"({_AT})|({_DOT})", re.I)
 _NUMBERS = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 _AT_MARKS = ("at]", "at)", "at}", "at>", "at ]", "at )", "@]", "@)", "@ ", " @", "\t@", "@\t", "arroba")
 _DOT_MARKS = ("dot", "[.", "(.", "{.", "<.", "punto", "punkt", "point")
-#: Beyond Latin letters and the common signs of print: only texts with such characters are folded one by one.
-_FOREIGN = re.compile("[\xa0\xad\xb2\xb3\xb7\xb9\u0250-\u2012\u2024\u202f-\u2038\u203f-\u20ab\u20ad-\U0010ffff]")
 
 
 class Mapped:
@@ -146,11 +144,17 @@ def _folds() -> dict[str, str]:
     return folds
 
 
+@functools.cache
+def _foldable() -> re.Pattern[str]:
+    """Any character that folds."""
+    return re.compile("[" + "".join(map(re.escape, sorted(_folds()))) + "]")
+
+
 def fold_characters(m: Mapped) -> Mapped:
-    if m.text.isascii() or not _FOREIGN.search(m.text):
+    if m.text.isascii():
         return m
     folds = _folds()
-    edits = [(i, i + 1, folds[c]) for i, c in enumerate(m.text) if c in folds]
+    edits = [(*c.span(), folds[c[0]]) for c in _foldable().finditer(m.text)]
     return m.rewrite(edits) if edits else m
 
 

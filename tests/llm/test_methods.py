@@ -61,6 +61,19 @@ def test_disguises(text, kind, found):
     assert pii.masked(text, base + added) == text.replace(found, f"[{kind.upper()}]")
 
 
+@pytest.mark.parametrize("text, kind, found", [
+    ("card 4111\u20131111\u20131111\u20131111 ok", "card", "4111\u20131111\u20131111\u20131111"),
+    ("call +1\u2013415\u2013555\u20131234 ok", "phone", "+1\u2013415\u2013555\u20131234"),
+    ("mail \u017fam@example.com ok", "email", "\u017fam@example.com"),
+])
+def test_single_foldable_characters(text, kind, found):
+    test_disguises(text, kind, found)
+
+
+def test_every_fold_is_looked_for():
+    assert all(pii.fold_characters(pii.Mapped.of(c)).text == plain for c, plain in pii._folds().items())
+
+
 @pytest.mark.parametrize("text", [None, "", "we met at noon", "one two buckle my shoe", "the dot at the end", "five six seven", "See B12 or S5 and 100 Zebras", "in 2019. Then 12 of 30 left. One. Two. Three.", "Straße über façade"])
 def test_clean_texts_stay(text):
     assert pii.spans(text) == ([], [])
