@@ -144,35 +144,28 @@ def _folds() -> dict[str, str]:
     return folds
 
 
-@functools.cache
-def _foldable() -> re.Pattern[str]:
-    """Any character that folds."""
-    return re.compile("[" + "".join(map(re.escape, sorted(_folds()))) + "]")
-
-
 def fold_characters(m: Mapped) -> Mapped:
-    if m.text.isascii():
+    if m.text.isascii() or _folds().keys().isdisjoint(set(m.text)):
         return m
     folds = _folds()
-    edits = [(*c.span(), folds[c[0]]) for c in _foldable().finditer(m.text)]
-    return m.rewrite(edits) if edits else m
+    return m.rewrite([(i, i + 1, folds[c]) for i, c in enumerate(m.text) if c in folds])
 
 
-#: What a spelled digit looks like between blanks.
-_TOKENS = frozenset(w + end for w in (*DIGITS, "dot", "point", "punto", "punkt", "plus") for end in ("", ",", ".", ";", ":", ")", "!", "?"))
+_TOKEN = re.compile(r"\w+")
+#: Letters that patterns without case take for i and s.
+_CASELESS = str.maketrans("\u0130\u0131\u017f", "iis")
 
 
 def spelled_digits(m: Mapped) -> Mapped:
-    """Runs of three or more digits, of which two neighbours are spelled, become digits without gaps."""
-    tokens = m.text.lower().replace("-", " ").replace("(", " ").split()
-    if b"\1\1" not in bytes(map(_TOKENS.__contains__, tokens)):
+    """Runs of three or more digits, of which one at least is spelled, become digits without gaps."""
+    if DIGITS.keys().isdisjoint(_TOKEN.findall(m.text.translate(_CASELESS).lower())):
         return m
     edits = []
     for run in _SPELLED.finditer(m.text):
         parts = list(_PART.finditer(m.text, *run.span()))
         for k, p in enumerate(parts):
             end = parts[k + 1].start() if k + 1 < len(parts) else run.end()
-            edits.append((p.start(), end, DIGITS[p[1].lower()] if p[1] else p[2] or ("+" if p[3] else ".")))
+            edits.append((p.start(), end, DIGITS[p[1].translate(_CASELESS).lower()] if p[1] else p[2] or ("+" if p[3] else ".")))
     return m.rewrite(edits) if edits else m
 
 

@@ -70,6 +70,17 @@ def test_single_foldable_characters(text, kind, found):
     test_disguises(text, kind, found)
 
 
+@pytest.mark.parametrize("text, found", [
+    ("call plus four,one,five,five,five,five,one,two,one,two ok", "plus four,one,five,five,five,five,one,two,one,two"),
+    ("call plus four.one.five.five.five.five.one.two.one.two ok", "plus four.one.five.five.five.five.one.two.one.two"),
+    ("call +1 four 1 five 5 five 5 one 2 one 2 ok", "+1 four 1 five 5 five 5 one 2 one 2"),
+    ("call plus s\u0131x,one,five,five,five,five,one,two,one,two ok", "plus s\u0131x,one,five,five,five,five,one,two,one,two"),
+])
+def test_spelled_digits_with_any_separator(text, found):
+    test_disguises(text, "phone", found)
+    assert pii.spans(text + ". One two, and so on.")[1] == pii.spans(text)[1]
+
+
 def test_every_fold_is_looked_for():
     assert all(pii.fold_characters(pii.Mapped.of(c)).text == plain for c, plain in pii._folds().items())
 
