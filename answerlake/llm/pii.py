@@ -100,11 +100,24 @@ _PART = re.compile(rf"(?<!\w)({_WORD})(?!\w)|([0-9]+)|(\bplus\b|\+)|(dot|point|p
 
 _AT = r"(?:[ \t]*[\[({<][ \t]*(?:at|arroba|@)[ \t]*[\])}>][ \t]*|[ \t]+(?:at|arroba)[ \t]+|[ \t]*@[ \t]*)"
 _DOT = r"(?:[ \t]*[\[({<][ \t]*(?:dot|punto|punkt|point|\.)[ \t]*[\])}>][ \t]*|[ \t]+(?:dot|punto|punkt|point|\.)[ \t]+|\.)"
-_ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+){{0,8}}?{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.I)
+#: Signs that show a disguise: all but a plain " at ", and all but a plain dot.
+_CLEAR_AT = r"(?:[ \t]*[\[({<][ \t]*(?:at|arroba|@)[ \t]*[\])}>][ \t]*|[ \t]+arroba[ \t]+|[ \t]*@[ \t]*)"
+_CLEAR_DOT = r"(?:[ \t]*[\[({<][ \t]*(?:dot|punto|punkt|point|\.)[ \t]*[\])}>][ \t]*|[ \t]+(?:dot|punto|punkt|point)[ \t]+)"
+#: A plain " at " needs a clear dot after it: "look at example.com" is no address.
+_ADDRESS = re.compile(
+    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+){{0,8}}?(?:{_CLEAR_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+"
+    rf"|[ \t]+at[ \t]+[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*{_CLEAR_DOT}[A-Za-z0-9-]+(?:(?:{_CLEAR_DOT}|\.)[A-Za-z0-9-]+)*)", re.I)
+#: Or a word before the name that says that mail is meant.
+_MAIL_TO = re.compile(
+    r"(?<![\w-])(?:(?:e-?)?mail|write|contact|reach)(?:[ \t]+to)?:?[ \t]+(?!(?:me|us|him|her|it|them|you)[ \t])"
+    r"[A-Za-z0-9._%+-]+([ \t]+at[ \t]+)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", re.I)
 _SIGN = re.compile(rf"({_AT})|({_DOT})", re.I)
 _NUMBERS = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
-_AT_MARKS = ("at]", "at)", "at}", "at>", "at ]", "at )", "@]", "@)", "@ ", " @", "\t@", "@\t", "arroba")
-_DOT_MARKS = ("dot", "[.", "(.", "{.", "<.", "punto", "punkt", "point")
+#: What any address or number with a sign to rewrite holds.
+_CLEAR_AT_HINT = re.compile(r"[ \t]@|@[ \t]|arroba|[\[({<][ \t]*(?:at|@)", re.I)
+_CLEAR_DOT_HINT = re.compile(r"dot|punto|punkt|point|[\[({<][ \t]*\.", re.I)
+_SPACED_DOT_HINT = re.compile(r"[ \t]\.[ \t]")
+_NUMBER_HINT = re.compile(r"[0-9][ \t]+\.[ \t]+[0-9]")
 
 
 class Mapped:
@@ -171,14 +184,15 @@ def spelled_digits(m: Mapped) -> Mapped:
 
 def address_signs(m: Mapped) -> Mapped:
     """In "name at host dot end" and its bracketed forms, and in "1 dot 2 dot 3 dot 4", the words become signs."""
-    low = m.text.lower()
-    dots = any(x in low for x in _DOT_MARKS)
-    edits = []
-    if dots or any(x in low for x in _AT_MARKS):
+    dots = bool(_CLEAR_DOT_HINT.search(m.text))
+    if dots or _CLEAR_AT_HINT.search(m.text) or ("@" in m.text and _SPACED_DOT_HINT.search(m.text)):
+        edits = []
         for a in _ADDRESS.finditer(m.text):
             edits += [(s.start(), s.end(), "@" if s[1] else ".") for s in _SIGN.finditer(m.text, *a.span()) if s[0] not in (".", "@")]
         m = m.rewrite(edits) if edits else m
-    if dots:
+    edits = [(*a.span(1), "@") for a in _MAIL_TO.finditer(m.text)]
+    m = m.rewrite(edits) if edits else m
+    if dots or _NUMBER_HINT.search(m.text):
         edits = [(s.start(), s.end(), ".") for a in _NUMBERS.finditer(m.text) for s in _SIGN.finditer(m.text, *a.span()) if s[0] != "."]
         m = m.rewrite(edits) if edits else m
     return m

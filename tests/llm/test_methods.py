@@ -81,6 +81,23 @@ def test_spelled_digits_with_any_separator(text, found):
     assert pii.spans(text + ". One two, and so on.")[1] == pii.spans(text)[1]
 
 
+@pytest.mark.parametrize("text, found", [
+    ("write to jane at example.com", ["jane at example.com"]),
+    ("write to jane\tat\tmail.example.com", ["jane\tat\tmail.example.com"]),
+    ("jane { at } example.com", ["jane { at } example.com"]),
+    ("jane < at > example.com", ["jane < at > example.com"]),
+    ("jane@example . com", ["jane@example . com"]),
+    ("jane (at) example[ . ]com", ["jane (at) example[ . ]com"]),
+    ("host 192 . 168 . 0 . 1", ["192 . 168 . 0 . 1"]),
+    ("look at example.com", []),
+    ("write to us at example.com", []),
+    ("we stayed at home . Then we left", []),
+])
+def test_addresses_do_not_depend_on_words_far_away(text, found):
+    for whole in (text, f"{text}\nThe point is another one", f"The dot is here\n{text}"):
+        assert [whole[a:b] for a, b, _ in pii.spans(whole)[1]] == found
+
+
 def test_every_fold_is_looked_for():
     assert all(pii.fold_characters(pii.Mapped.of(c)).text == plain for c, plain in pii._folds().items())
 
