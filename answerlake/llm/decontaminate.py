@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from answerlake.llm import common
 
 WINDOW = 10
-#: Words of one automaton. More items than that go into further automata, which pass over the documents one by one.
+#: Words of one automaton, about. More items than that go into further automata, which are built and pass over the documents one by one.
 BLOCK_WORDS = 2_000_000
 #: A document with a larger share of hit words goes as a whole; from others the hit spans are cut.
 MAX_COVERAGE = 0.5
@@ -170,19 +170,13 @@ class Automaton:
         return [tuple(s) for s in spans], found, longest
 
 
-def _blocks(benchmark: DataFrame, id_column: str, text_column: str, window: int, block_words: int) -> list[Automaton]:
-    """One automaton for each ``block_words`` words of items; items come to the driver as a stream."""
+def _items(benchmark: DataFrame, id_column: str, text_column: str, block_words: int) -> tuple[DataFrame, int]:
+    """Distinct items (i, t, block) in the shared folder and the number of blocks; each has about ``block_words`` words at most."""
     rows = (benchmark.select(F.col(id_column).cast("string").alias("i"), F.col(text_column).alias("t"))
             .filter("i IS NOT NULL AND t IS NOT NULL").distinct())
-    out, block, size = [], [], 0
-    for row in rows.toLocalIterator():
-        item = words(row["t"])
-        if block and size + len(item) > block_words:
-            out.append(Automaton(block, window))
-            block, size = [], 0
-        block.append((row["i"], item))
-        size += len(item)
-    return [*out, Automaton(block, window)]
+    rows = common.stored(rows.withColumn("n", F.regexp_count(common.lower_ascii(F.col("t")), F.lit(common.TERM)).cast("long")), "leak-items")
+    blocks = max(1, -(-(rows.agg(F.sum("n").alias("n")).first()["n"] or 0) // block_words))
+    return rows.select("i", "t", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)).alias("block")), blocks
 
 
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
@@ -205,32 +199,54 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_column: str = "text",
     spark = common.ready(docs.sparkSession)
     fields = [T.StructField("n_words", T.LongType()), T.StructField("leak_spans", SPAN),
               T.StructField("leak_items", T.ArrayType(T.StringType())), T.StructField("leak_longest", T.LongType())]
-    blocks = _blocks(benchmark, id_column, item_column, window, block_words)
-    out, carry = common.without(docs, *(f.name for f in fields)), ["leak_spans", "leak_items", "leak_longest"]
-    for k, automaton in enumerate(blocks):
-        shared = spark.sparkContext.broadcast(automaton)
-        last = k == len(blocks) - 1
-        kept = [c for c in (out.columns if keep is None or not last else [*keep]) if c not in carry]
-
-        def make(shared=shared):
+    items, blocks = _items(benchmark, id_column, item_column, block_words)
+    docs = common.without(docs, *(f.name for f in fields))
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in {f.name for f in fields}]
+
+    def scanned(rows: DataFrame, block: int, columns: list[str]):
+        """``rows`` with the hits of one block, whose automaton only the tasks hold once this is over."""
+        shared = spark.sparkContext.broadcast(Automaton(((r["i"], words(r["t"])) for r in items.filter(F.col("block") == block).toLocalIterator()), window))
+
+        def make():
             scan = shared.value.scan
 
-            def work(texts, spans=None, items=None, longest=None):
+            def work(texts):
                 result = [[], [], [], []]
-                for i, text in enumerate(texts):
+                for text in texts:
                     tokens = words(text)
                     s, names, most = scan(tokens)
-                    if spans is not None:
-                        s = _merged(s + [(x["start"], x["stop"]) for x in spans[i]])
-                        names, most = names | set(items[i]), max(most, longest[i])
                     for column, value in zip(result, (len(tokens), [{"start": a, "stop": b} for a, b in s], sorted(names), most)):
                         column.append(value)
                 return result
 
             return work
 
-        out = common.add_columns(out, [text_column, *(carry if k else [])], fields, make, kept)
-    return out
+        return common.add_columns(rows, [text_column], fields, make, columns), shared
+
+    if blocks == 1:
+        return scanned(docs, 0, kept)[0]
+    # Written once, so that the row numbers stay what they are; of each block only the matches are.
+    row = F.struct(*[F.col(f"`{c}`") for c in kept])
+    whole = common.stored(docs.select(row.alias("row"), F.col(f"`{text_column}`").alias(text_column)).withColumn("uid", F.monotonically_increasing_id()), "leak-rows")
+    matches = None
+    for block in range(blocks):
+        found, shared = scanned(whole.select("uid", text_column), block, ["uid"])
+        part = common.stored(found.filter("leak_longest > 0").drop("n_words"), "leak-block")
+        shared.destroy()
+        matches = part if matches is None else matches.unionByName(part)
+    merged = matches.groupBy("uid").agg(F.flatten(F.collect_list("leak_spans")).alias("s"), F.flatten(F.collect_list("leak_items")).alias("i"),
+                                        F.max("leak_longest").alias("m"))
+
+    def make():
+        def work(texts, spans, items, longest):
+            joined = [_merged([(x["start"], x["stop"]) for x in s or ()]) for s in spans]
+            return [[len(words(t)) for t in texts], [[{"start": a, "stop": b} for a, b in s] for s in joined],
+                    [sorted(set(i or ())) for i in items], [m or 0 for m in longest]]
+        return work
+
+    rows = whole.join(merged.hint("shuffle_hash"), "uid", "left")
+    out = common.add_columns(rows, [text_column, "s", "i", "m"], fields, make, ["row"])
+    return out.select("row.*", *(f.name for f in fields))
 
 
 def hit_words() -> Column:

@@ -157,6 +157,30 @@ def test_blocks_of_items_give_the_same(spark):
     assert key(one) == key(decontaminate.find_leaks(docs, items, keep=["doc_id"], block_words=400))
 
 
+def test_one_automaton_at_a_time(spark, monkeypatch):
+    """Many blocks: the driver holds one automaton, and no stage chains several."""
+    import gc
+    import weakref
+    alive, most, build = weakref.WeakSet(), [], decontaminate.Automaton.__init__
+
+    def counted(self, *a, **b):
+        gc.collect()
+        most.append(len(alive))
+        alive.add(self)
+        build(self, *a, **b)
+
+    monkeypatch.setattr(decontaminate.Automaton, "__init__", counted)
+    docs = spark.createDataFrame([(1, "some words of item one here"), (2, "nothing"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, f"words of item {w} here a{i}") for i, w in enumerate(["one", "two", "three", "four"] * 3)], "item_id long, text string")
+    out = decontaminate.find_leaks(docs, items, window=3, block_words=12, keep=["doc_id"])
+    assert len(most) > 3 and max(most) == 0
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= 2
+    got = {r["doc_id"]: (r["n_words"], [tuple(s) for s in r["leak_spans"]], r["leak_items"], r["leak_longest"]) for r in out.collect()}
+    want = {r["doc_id"]: (r["n_words"], [tuple(s) for s in r["leak_spans"]], r["leak_items"], r["leak_longest"])
+            for r in decontaminate.find_leaks(docs, items, window=3, keep=["doc_id"]).collect()}
+    assert got == want and got[1][2]
+
+
 def test_leaks_are_cut_and_clean_documents_stay(spark):
     item = " ".join(f"q{i}" for i in range(12))
     docs = spark.createDataFrame([(1, f"Before it, {item}. After it there are some more words to keep, all of them."), (2, item), (3, "clean words"), (4, None)], "doc_id long, text string")
