@@ -13,8 +13,9 @@ the same sums with numpy and emits only what the caller asks for:
 * ``group_best``: each batch's best text per (question, group).
 
 The question side is collected after a measured size check (like a broadcast
-build side) and shipped with the task; a larger question set is scored in
-bounded batches, so nothing grows without bound on the driver.
+build side) and shipped with the task; a larger question set stays in the
+tasks and is scored by the join on ``term``, so nothing grows without bound on
+the driver.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 
 RANK_DIGITS = 9
 MAX_QUESTION_POSTINGS = 1_000_000
+#: Pairs of a question's and a text's posting that a task expands at a time, besides those of one text.
+MAX_PAIRS = 4_000_000
 
 
 def forward_index(postings: DataFrame, d_keys: Sequence[str]) -> DataFrame:
@@ -78,14 +81,25 @@ def _scores(batch: pa.RecordBatch, qs: _Questions):
     return key // nq, key % nq, score
 
 
+def _parts(batch: pa.RecordBatch, qs: _Questions) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that expand to ``MAX_PAIRS`` pairs at most, or hold one text."""
+    items = batch.column("items")
+    tix = qs.vocab.get_indexer(items.flatten().field("term").to_numpy(zero_copy_only=False))
+    pairs = np.r_[0, np.cumsum(np.where(tix >= 0, qs.ptr[tix + 1] - qs.ptr[tix], 0))]
+    offsets = items.offsets.to_numpy()
+    ends, at = pairs[offsets - offsets[0]], 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + MAX_PAIRS, "right")) - 1)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def _kernel(qs: _Questions, d_keys: Sequence[str], q_key: str, mode: str,
             threshold: float | None, group_keys: Sequence[str]):
     out_names = [q_key, *d_keys, "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in (part for whole in batches if whole.num_rows for part in _parts(whole, qs)):
             rows, qi, score = _scores(batch, qs)
             if len(rows) == 0:
                 continue
@@ -114,8 +128,8 @@ def score_index(qvec: DataFrame, forward: DataFrame, q_key: str, d_keys: Sequenc
     """Score questions (``q_key, term, qweight``) against a forward index.
 
     Output ``q_key, d_keys..., score`` rows per ``mode`` (see module doc); for
-    ``top1``/``group_best`` these are per-batch winners to be reduced by the
-    caller with a partial-aggregating ``top1``.
+    ``top1``/``group_best`` these are per-batch winners, or all scores past the
+    bound, to be reduced by the caller with a partial-aggregating ``top1``.
     """
     if mode == "group_best" and not group_keys:
         raise ValueError("group_best needs group_keys")
@@ -124,29 +138,14 @@ def score_index(qvec: DataFrame, forward: DataFrame, q_key: str, d_keys: Sequenc
     q_type = {f.name: f.dataType.simpleString() for f in qvec.schema.fields}[q_key]
     schema = ", ".join([f"{q_key} {q_type}"] + [f"{k} {key_types[k]}" for k in d_keys] + ["score double"])
     slim = qvec.select(q_key, "term", "qweight")
-    # The size check and the collect are one job: at most bound + 1 rows come
-    # back; only a larger question side is counted and split into batches of
-    # whole questions (hash buckets of the question id).
-    first = slim.limit(max_question_postings + 1).toPandas()
-    if len(first) <= max_question_postings:
-        batches = [first]
-    else:
-        n = slim.count()
-        buckets = -(-n // max_question_postings) * 2
-        tagged = slim.withColumn("_b", F.pmod(F.xxhash64(q_key), F.lit(buckets)))
-        batches = [tagged.filter(F.col("_b") == b).drop("_b") for b in range(buckets)]
-    need = [*d_keys, "items"]
-    parts = []
-    for b in batches:
-        pdf = b if isinstance(b, pd.DataFrame) else b.toPandas()
-        if pdf.empty:
-            continue
-        qs = _Questions(pdf, q_key)
-        fn = _kernel(qs, list(d_keys), q_key, mode, threshold, list(group_keys))
-        parts.append(forward.select(*need).mapInArrow(fn, schema))
-    if not parts:
+    # The size check and the collect are one job: at most bound + 1 rows come back.
+    pdf = slim.limit(max_question_postings + 1).toPandas()
+    if len(pdf) > max_question_postings:
+        postings = forward.select(*d_keys, F.explode("items").alias("_i")).select(*d_keys, "_i.term", "_i.weight")
+        scores = (slim.join(postings, "term").groupBy(q_key, *d_keys)
+                  .agg(F.sum(F.col("weight") * F.col("qweight")).alias("score")).select(q_key, *d_keys, "score"))
+        return scores.filter(F.col("score") > threshold) if mode == "threshold" else scores
+    if pdf.empty:
         return spark.createDataFrame([], schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    fn = _kernel(_Questions(pdf, q_key), list(d_keys), q_key, mode, threshold, list(group_keys))
+    return forward.select(*d_keys, "items").mapInArrow(fn, schema)
