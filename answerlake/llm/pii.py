@@ -114,8 +114,9 @@ _MAIL_TO = re.compile(
 _SIGN = re.compile(rf"({_AT})|({_DOT})", re.I)
 _NUMBERS = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 #: What any address or number with a sign to rewrite holds.
-_CLEAR_AT_HINT = re.compile(r"[ \t]@|@[ \t]|arroba|[\[({<][ \t]*(?:at|@)", re.I)
-_CLEAR_DOT_HINT = re.compile(r"dot|punto|punkt|point|[\[({<][ \t]*\.", re.I)
+_CLEAR_AT_HINT = re.compile(r"[\[({<][ \t]*(?:at|@)")
+_CLEAR_DOT_HINT = re.compile(r"[\[({<][ \t]*\.")
+_DOT_WORDS, _MAIL_WORDS = ("dot", "punto", "punkt", "point"), ("mail", "write", "contact", "reach")
 _SPACED_DOT_HINT = re.compile(r"[ \t]\.[ \t]")
 _NUMBER_HINT = re.compile(r"[0-9][ \t]+\.[ \t]+[0-9]")
 
@@ -171,7 +172,8 @@ _CASELESS = str.maketrans("\u0130\u0131\u017f", "iis")
 
 def spelled_digits(m: Mapped) -> Mapped:
     """Runs of three or more digits, of which one at least is spelled, become digits without gaps."""
-    if DIGITS.keys().isdisjoint(_TOKEN.findall(m.text.translate(_CASELESS).lower())):
+    plain = m.text if m.text.isascii() else m.text.translate(_CASELESS)
+    if DIGITS.keys().isdisjoint(_TOKEN.findall(plain.lower())):
         return m
     edits = []
     for run in _SPELLED.finditer(m.text):
@@ -184,14 +186,17 @@ def spelled_digits(m: Mapped) -> Mapped:
 
 def address_signs(m: Mapped) -> Mapped:
     """In "name at host dot end" and its bracketed forms, and in "1 dot 2 dot 3 dot 4", the words become signs."""
-    dots = bool(_CLEAR_DOT_HINT.search(m.text))
-    if dots or _CLEAR_AT_HINT.search(m.text) or ("@" in m.text and _SPACED_DOT_HINT.search(m.text)):
+    low = m.text.lower()
+    dots = any(x in low for x in _DOT_WORDS) or bool(_CLEAR_DOT_HINT.search(low))
+    if dots or "arroba" in low or _CLEAR_AT_HINT.search(low) or ("@" in low and (
+            any(x in low for x in (" @", "@ ", "\t@", "@\t")) or _SPACED_DOT_HINT.search(low))):
         edits = []
         for a in _ADDRESS.finditer(m.text):
             edits += [(s.start(), s.end(), "@" if s[1] else ".") for s in _SIGN.finditer(m.text, *a.span()) if s[0] not in (".", "@")]
         m = m.rewrite(edits) if edits else m
-    edits = [(*a.span(1), "@") for a in _MAIL_TO.finditer(m.text)]
-    m = m.rewrite(edits) if edits else m
+    if any(x in low for x in _MAIL_WORDS):
+        edits = [(*a.span(1), "@") for a in _MAIL_TO.finditer(m.text)]
+        m = m.rewrite(edits) if edits else m
     if dots or _NUMBER_HINT.search(m.text):
         edits = [(s.start(), s.end(), ".") for a in _NUMBERS.finditer(m.text) for s in _SIGN.finditer(m.text, *a.span()) if s[0] != "."]
         m = m.rewrite(edits) if edits else m
