@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from answerlake.llm import classifier, decontaminate, language, licenses, mixing, pii, quality, simhash, urls, warc
+from answerlake.llm import classifier, decontaminate, language, licenses, mixing, pii, quality, simhash, substrings, urls, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mix": mixing.op8_mix,
     "op9_warc": warc.op9_warc,
     "op10_urls": urls.op10_urls,
+    "op13_substrings": substrings.op13_substrings,
 }
 
 ORACLE = {
@@ -24,4 +25,5 @@ ORACLE = {
     "op8_mix": mixing.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
     "op10_urls": urls.OP10_SQL,
+    "op13_substrings": substrings.OP13_SQL,
 }

@@ -74,7 +74,7 @@ def test_odd_rows(spark, odd, name):
     assert len(rows) == (7 if name in ("op9_warc", "op10_urls") else len(ODD))
 
 
-@pytest.mark.parametrize("name", ["op1_quality", "op4_licenses", "op8_mix", "op9_warc", "op10_urls"])
+@pytest.mark.parametrize("name", ["op1_quality", "op4_licenses", "op5_decontaminate", "op8_mix", "op9_warc", "op10_urls", "op13_substrings"])
 def test_odd_rows_sql(spark, odd, name):
     ok, message = compare(registry.QUERIES[name](spark, odd), _odd_duck(odd), registry.ORACLE[name])
     assert ok, message
