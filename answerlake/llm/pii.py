@@ -7,12 +7,20 @@ in for digits among digits, "at" and "dot" in addresses become their signs. The
 and on the rewritten one; spans found there are mapped back to the source and
 added where no base span covers them.
 
+Signs written as words or set apart by blanks count only where an address is
+likely: see ``_address_edits`` and ``_number_edits``. "At this point in" or
+"chapter 1 point 2 point 3 point 4" stay as they are.
+
 Nulls and empty texts have no spans. Repeated rows are judged each for itself;
 an empty table gives an empty result. All offsets are code points, end exclusive.
+Ties: spans that start together are listed by kind. Very long texts are read
+whole in time proportional to their length; addresses and numbers have any
+number of parts and separators. The columns added win over clashing ones.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import re
@@ -95,23 +103,19 @@ DIGITS = {
 _WORD = "|".join(sorted(DIGITS, key=len, reverse=True))
 _NUMBER = rf"(?:{_WORD}|[0-9]+)"
 _SPELLED = re.compile(
-    rf"(?:\bplus[ \t]+|\+[ \t]?)?(?<!\w)(?:{_WORD})(?!\w)(?:[ \t,().-]{{1,3}}(?:(?:dot|point|punto|punkt)[ \t]+)?{_NUMBER}(?!\w)){{2,}}", re.I)
+    rf"(?:\bplus[ \t]+|\+[ \t]?)?(?<!\w)(?:{_WORD})(?!\w)(?:[ \t,().-]++(?:(?:dot|point|punto|punkt)[ \t]+)?{_NUMBER}(?!\w)){{2,}}", re.I)
 _PART = re.compile(rf"(?<!\w)({_WORD})(?!\w)|([0-9]+)|(\bplus\b|\+)|(dot|point|punto|punkt)", re.I)
 
 _AT = r"(?:[ \t]*[\[({<][ \t]*(?:at|arroba|@)[ \t]*[\])}>][ \t]*|[ \t]+(?:at|arroba)[ \t]+|[ \t]*@[ \t]*)"
 _DOT = r"(?:[ \t]*[\[({<][ \t]*(?:dot|punto|punkt|point|\.)[ \t]*[\])}>][ \t]*|[ \t]+(?:dot|punto|punkt|point|\.)[ \t]+|\.)"
-#: Signs that show a disguise: all but a plain " at ", and all but a plain dot.
-_CLEAR_AT = r"(?:[ \t]*[\[({<][ \t]*(?:at|arroba|@)[ \t]*[\])}>][ \t]*|[ \t]+arroba[ \t]+|[ \t]*@[ \t]*)"
-_CLEAR_DOT = r"(?:[ \t]*[\[({<][ \t]*(?:dot|punto|punkt|point|\.)[ \t]*[\])}>][ \t]*|[ \t]+(?:dot|punto|punkt|point)[ \t]+)"
-#: A plain " at " needs a clear dot after it: "look at example.com" is no address.
-_ADDRESS = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+){{0,8}}?(?:{_CLEAR_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+"
-    rf"|[ \t]+at[ \t]+[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*{_CLEAR_DOT}[A-Za-z0-9-]+(?:(?:{_CLEAR_DOT}|\.)[A-Za-z0-9-]+)*)", re.I)
-#: Or a word before the name that says that mail is meant.
+#: Parts of addresses and the signs between them, as long as they go on; each chain is read once.
+_CHAIN = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:(?:{_AT}|{_DOT})[A-Za-z0-9_%+-]++)+", re.I)
+_SIGN = re.compile(rf"({_AT})|({_DOT})", re.I)
+_LABEL = re.compile(r"[A-Za-z0-9-]+")
+#: A word before the name that says that mail is meant: a plain " at " before plain dots counts after it.
 _MAIL_TO = re.compile(
     r"(?<![\w-])(?:(?:e-?)?mail|write|contact|reach)(?:[ \t]+to)?:?[ \t]+(?!(?:me|us|him|her|it|them|you)[ \t])"
-    r"[A-Za-z0-9._%+-]+([ \t]+at[ \t]+)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", re.I)
-_SIGN = re.compile(rf"({_AT})|({_DOT})", re.I)
+    r"[A-Za-z0-9._%+-]+([ \t]+at[ \t]+)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.([A-Za-z0-9-]+)", re.I)
 _NUMBERS = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 #: What any address or number with a sign to rewrite holds.
 _CLEAR_AT_HINT = re.compile(r"[\[({<][ \t]*(?:at|@)")
@@ -120,6 +124,19 @@ _DOT_WORDS, _MAIL_WORDS = ("dot", "punto", "punkt", "point"), ("mail", "write",
 _SPACED_DOT_HINT = re.compile(r"[ \t]\.[ \t]")
 _NUMBER_HINT = re.compile(r"[0-9][ \t]+\.[ \t]+[0-9]")
 
+#: Top-level labels that end an address without brackets; country codes that are common words are left out (fixed values).
+TOP_LABELS = frozenset(
+    "com org net edu gov mil int info biz name pro museum coop aero jobs mobi travel tel io co ai app dev tech online site shop blog cloud web xyz club live news email "
+    "ac ae al ar au ba bd bg bh bo br bw by ca ch ci cl cn cr cu cy cz de dk dz ec ee eg es et eu fi fj fr ge gh gl gr gt hk hn hr ht hu id ie il iq ir jm jo jp ke kr kw kz "
+    "lb li lk lt lu lv ly ma mc md mk mm mt mu mx mz na ng ni nl np nz om pa pe pg ph pk pl pr ps pt py qa ro rs ru rw sa sd se sg si sk sn sv sy th tn tr tt tw tz ua ug uk uy uz ve vn "
+    "ye za zm zw".split())
+#: Words before " at " or after it that belong to a sentence, not to an address (fixed values).
+SENTENCE_WORDS = frozenset(
+    "a an the this that these those every each some any no one what which my your his her our their its same last first next point "
+    "i you he she it we they me us him them is was are were be been being am do does did has have had and or but not only just even "
+    "look looks looked looking stop stops stopped stay stayed stand stood start started end ended arrive arrived aim aimed point pointed stare stared laugh laughed "
+    "work works worked working meet met live lives lived good here there up down back out off one two both all".split())
+
 
 class Mapped:
     """A rewritten text; character ``i`` stands for source characters ``start[i]:stop[i]``."""
@@ -184,28 +201,78 @@ def spelled_digits(m: Mapped) -> Mapped:
     return m.rewrite(edits) if edits else m
 
 
+def _bracketed(sign: str) -> bool:
+    return sign.strip()[:1] in ("[", "(", "{", "<")
+
+
+def _address_edits(text: str, chain: re.Match) -> list[tuple[int, int, str]]:
+    """Signs to rewrite in one chain of parts and signs, from the left.
+
+    An address is parts, a sign for "at", and labels. With a bracketed sign any
+    labels count. Without, signs are words or spaced: the last label has to be a
+    known top-level one, and neither side of "at" a word that sentences have
+    there. A plain " at " before plain dots alone is no address.
+    """
+    signs = list(_SIGN.finditer(text, *chain.span()))
+    edges = [chain.start(), *(x for s in signs for x in s.span()), chain.end()]
+    parts = [text[a:b] for a, b in zip(edges[::2], edges[1::2])]
+    ats = [i for i, s in enumerate(signs) if s[1]]
+    edits: list[tuple[int, int, str]] = []
+    begin = 0
+    for n, at in enumerate(ats):
+        stop = ats[n + 1] if n + 1 < len(ats) else len(signs)
+        dots = signs[at + 1:stop]
+        labels = parts[at + 1:stop + 1]
+        good = 0
+        while good < len(labels) and _LABEL.fullmatch(labels[good]):
+            good += 1
+        if any(_bracketed(s[0]) for s in (signs[at], *dots[:max(good - 1, 0)])):
+            last = good - 1
+        else:
+            last = max((k for k in range(1, good) if labels[k].lower() in TOP_LABELS), default=0)
+            words = signs[at][0].strip().lower() == "at"
+            if words and (parts[at].lower() in SENTENCE_WORDS or labels[0].lower() in SENTENCE_WORDS or all(s[0] == "." for s in dots[:last])):
+                last = 0
+        if last > 0:
+            found = [*signs[begin:at], signs[at], *dots[:last]]
+            edits += [(s.start(), s.end(), "@" if s[1] else ".") for s in found if s[0] not in ("@", ".")]
+            begin = at + 1 + last
+        else:
+            begin = at + 1
+    return edits
+
+
+def _number_edits(text: str, run: re.Match) -> list[tuple[int, int, str]]:
+    """Signs of four numbers; without brackets numbers like those of chapters and versions stay as they are."""
+    signs = [s for s in _SIGN.finditer(text, *run.span()) if s[0] != "."]
+    if not any(_bracketed(s[0]) for s in signs):
+        longest = max(map(len, re.findall("[0-9]+", run[0])))
+        dots = all(s[0].strip().lower() in ("dot", "punto", "punkt") for s in signs)
+        if longest < (2 if dots else 3):
+            return []
+    return [(s.start(), s.end(), ".") for s in signs]
+
+
 def address_signs(m: Mapped) -> Mapped:
-    """In "name at host dot end" and its bracketed forms, and in "1 dot 2 dot 3 dot 4", the words become signs."""
+    """In "name at host dot end" and its bracketed forms, and in "1 dot 2 dot 3 dot 40", the words become signs."""
     low = m.text.lower()
     dots = any(x in low for x in _DOT_WORDS) or bool(_CLEAR_DOT_HINT.search(low))
     if dots or "arroba" in low or _CLEAR_AT_HINT.search(low) or ("@" in low and (
             any(x in low for x in (" @", "@ ", "\t@", "@\t")) or _SPACED_DOT_HINT.search(low))):
-        edits = []
-        for a in _ADDRESS.finditer(m.text):
-            edits += [(s.start(), s.end(), "@" if s[1] else ".") for s in _SIGN.finditer(m.text, *a.span()) if s[0] not in (".", "@")]
+        edits = [e for chain in _CHAIN.finditer(m.text) for e in _address_edits(m.text, chain)]
         m = m.rewrite(edits) if edits else m
     if any(x in low for x in _MAIL_WORDS):
-        edits = [(*a.span(1), "@") for a in _MAIL_TO.finditer(m.text)]
+        edits = [(*a.span(1), "@") for a in _MAIL_TO.finditer(m.text) if a[2].lower() in TOP_LABELS]
         m = m.rewrite(edits) if edits else m
     if dots or _NUMBER_HINT.search(m.text):
-        edits = [(s.start(), s.end(), ".") for a in _NUMBERS.finditer(m.text) for s in _SIGN.finditer(m.text, *a.span()) if s[0] != "."]
+        edits = [e for run in _NUMBERS.finditer(m.text) for e in _number_edits(m.text, run)]
         m = m.rewrite(edits) if edits else m
     return m
 
 
 #: Letters that stand in for digits among digits (fixed values).
 STAND_INS = {"O": "0", "o": "0", "I": "1", "l": "1", "|": "1", "Z": "2", "S": "5", "B": "8"}
-_MIXED = re.compile(r"(?<![^\W\d_])[0-9OolIZSB|](?:[ ().-]{0,2}[0-9OolIZSB|]){6,}(?![^\W\d_])")
+_MIXED = re.compile(r"(?<![^\W\d_])[0-9OolIZSB|](?:[ ().-]*+[0-9OolIZSB|]){6,}(?![^\W\d_])")
 
 
 def stand_ins(m: Mapped) -> Mapped:
@@ -232,10 +299,13 @@ def spans(text: str | None) -> tuple[list[Span], list[Span]]:
         mapped = step(mapped)
     if isinstance(mapped.start, range):
         return base, []
+    # Base spans of a kind do not overlap: the last one that starts at or before a span is the only one that can hold it.
+    own = {kind: [(x, y) for x, y, k in base if k == kind] for kind in KINDS}
     added = []
     for a, b, kind in detect(mapped.text):
         a, b = mapped.source(a, b)
-        if not any(x <= a and b <= y for x, y, k in base if k == kind):
+        at = bisect.bisect_right(own[kind], a, key=lambda s: s[0])
+        if not at or own[kind][at - 1][1] < b:
             added.append((a, b, kind))
     return base, added
 

@@ -107,9 +107,57 @@ def test_clean_texts_stay(text):
     assert pii.spans(text) == ([], [])
 
 
+PAGE = """At this point in the report, sales stood at the dot on the chart marked 3 . 2 . 1 . 4, see section 1 point 2 point 3 point 4.
+He was at this point in his life. Look at the dot matrix printer. We stopped at every point along the road.
+Version 1 . 2 . 3 . 4 of it came out in 2019. Prices rose from 1.25 to 12.5 at one point in May; look at point A, then at point B.
+She pointed at a dot in the sky. They met at noon . Then all left. Work at home dot com companies failed at some point on the way.
+The score stood at two dot balls in an over. Mail them at once. Write at least two lines. Follow us @ home . More at 7.
+At each dot in the row, at any point on the line, at no point in time, meet me at the point in the park. An arroba of wheat."""
+
+
+def test_a_page_of_prose_stays():
+    assert pii.spans(PAGE) == ([], [])
+    for line in PAGE.split("\n"):
+        assert pii.spans(f"é {line} №\u200b") == ([], [])
+
+
+@pytest.mark.parametrize("text, kind, found", [
+    ("send it to " + " dot ".join("abcdefghijklmn") + " at example dot com, please", "email", " dot ".join("abcdefghijklmn") + " at example dot com"),
+    ("meet jane at example dot com at noon", "email", "jane at example dot com"),
+    ("jane [at] intranet [dot] corp", "email", "jane [at] intranet [dot] corp"),
+    ("jane (at) mail (dot) example (dot) org", "email", "jane (at) mail (dot) example (dot) org"),
+    ("juan arroba ejemplo punto es", "email", "juan arroba ejemplo punto es"),
+    ("call plus four,     one ...  five -- five five five one two one two", "phone", "plus four,     one ...  five -- five five five one two one two"),
+    ("ring +1 (555)   123 ...  45 l7 now", "phone", "+1 (555)   123 ...  45 l7"),
+    ("192 dot 168 dot 1 dot 20", "ip", "192 dot 168 dot 1 dot 20"),
+    ("10 [.] 0 [.] 0 [.] 1", "ip", "10 [.] 0 [.] 0 [.] 1"),
+    ("at 192 point 168 point 0 point 1 now", "ip", "192 point 168 point 0 point 1"),
+])
+def test_disguises_of_any_length(text, kind, found):
+    assert [(text[a:b], k) for a, b, k in pii.spans(text)[1]] == [(found, kind)]
+
+
 def test_long_hostile_texts_are_linear():
-    for text in ("a" * 300_000 + " @ at dot " + "1" * 300_000 + "@", "one " * 60_000 + "at dot " + "un " * 30_000, "a dot " * 50_000 + "at", "+1 " * 100_000, "1O" * 100_000, "one. " * 60_000):
-        pii.spans(text)
+    """Twice the text takes about twice the time, whatever it is made of."""
+    import time
+    for unit in ("a dot ", "a at ", "x@ ", "one ", "1 . ", "1 ", "+1 ", "1O", "one. ", "a.b", "( ", "a [at] ", "un, ", "a", " "):
+        took = []
+        for n in (20_000, 80_000):
+            text = f"\u00e9 {unit * n} dot point mail @ 1"
+            began = time.process_time()
+            pii.spans(text)
+            took.append(time.process_time() - began)
+        assert took[1] < max(10 * took[0], 2), (unit, took)
+
+
+def test_many_spans_are_compared_by_order():
+    import time
+    text = " ".join(f"user{i}@example.com" for i in range(40_000)) + " j\u0430ne@example.com"
+    pii.spans("\u0430")  # the table of folds is made once
+    began = time.process_time()
+    base, added = pii.spans(text)
+    assert time.process_time() - began < 2 and len(base) == 40_001
+    assert [text[a:b] for a, b, _ in added] == ["j\u0430ne@example.com"]
 
 
 def test_spans_column(spark):
