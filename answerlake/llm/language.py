@@ -10,11 +10,14 @@ words of labelled documents.
 Fitting reads about ``SAMPLE_DOCS`` documents of each language, drawn by a
 hash of their id, whole texts. Predictions read every word of every text.
 
-Null and empty texts, and texts without a letter, are "und" with score 0.
-Letters outside the vocabulary have a small fixed probability in every
-language. Ties go to the language that sorts first. Repeated rows are judged
-alike. Without any labelled document everything is "und". An empty table gives
-an empty result.
+Null and empty texts, and texts without a letter (``str.isalpha``), are "und"
+with score 0. Words are whole runs of letters, however long: the sums are
+rescaled on the way. Letters outside the vocabulary have a small fixed
+probability in every language. Ties go to the language that sorts first.
+Repeated rows are judged alike. Very long texts are read whole, in time
+proportional to their length. Without any labelled document everything is
+"und". The columns added win over clashing ones. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -36,24 +39,21 @@ SAMPLE_DOCS = 1500
 ROUNDS = 3
 #: Probability of a letter that is no piece, and imaginary occurrences of every piece.
 UNKNOWN, SMOOTHING = 1e-7, 0.1
-#: Longer words are cut into parts of this many letters.
-MAX_WORD = 20
 CACHED_WORDS = 250_000
+#: Sums are divided by their own size every so many letters, so that words of any length stay within doubles.
+RESCALE = 16
 MARK = "▁"
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def parts(text: str) -> list[str]:
-    """Lower-cased words, marked at their start; long ones in parts."""
-    out = []
-    for w in _WORD.findall(text.lower()):
-        if len(w) < MAX_WORD:
-            out.append(MARK + w)
-        else:
-            w = MARK + w
-            out += [w[i:i + MAX_WORD] for i in range(0, len(w), MAX_WORD)]
-    return out
+    """Lower-cased runs of letters, marked at their start."""
+    words = _WORD.findall(text.lower())
+    if not all(map(str.isalpha, words)):
+        # The pattern also takes numerals that are no decimal digits.
+        words = [x for w in words for x in "".join(c if c.isalpha() else " " for c in w).split()]
+    return [MARK + w for w in words]
 
 
 def vocabulary(path: str) -> list[str]:
@@ -61,7 +61,7 @@ def vocabulary(path: str) -> list[str]:
     import sentencepiece
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-    return sorted(p for p in pieces if p == p.lower() and len(p) <= MAX_WORD and (p[p.startswith(MARK):].isalpha() or p == MARK))
+    return sorted(p for p in pieces if p == p.lower() and (p[p.startswith(MARK):].isalpha() or p == MARK))
 
 
 class Lattice:
@@ -114,25 +114,56 @@ class Lattice:
         """Probabilities of the pieces; ``p`` ends in a row for letters that are none, and one of zeros."""
         return p[np.where(piece >= 0, piece, len(p) - 2 if b - a == 1 else len(p) - 1)]
 
-    def forward(self, letters: np.ndarray, p: np.ndarray, steps=None) -> list[np.ndarray]:
-        alpha = [np.ones((len(letters), p.shape[1]))] + [np.zeros((len(letters), p.shape[1])) for _ in range(letters.shape[1])]
-        for a, b, piece in steps or self.steps(letters):
-            alpha[b] += alpha[a] * self.weights(a, b, piece, p)
-        return alpha
+    def forward(self, letters: np.ndarray, p: np.ndarray, steps=None) -> tuple[list, list]:
+        """Sums over all segmentations up to each letter, and the logs that each is short of; all of them if ``steps`` are given, else the last."""
+        n, keep = letters.shape[1], steps is not None
+        shape = (len(letters), p.shape[1])
+        alpha: list = [np.ones(shape), *[None] * n]
+        logs: list = [None] * (n + 1)
+        lack, at = np.zeros(shape), -1
+        for a, b, piece in steps if keep else self.steps(letters):
+            if a != at:
+                if not keep and at >= 0:
+                    alpha[at] = logs[at] = None
+                at = a
+                if a and a % RESCALE == 0:
+                    size = alpha[a].copy()
+                    for c in range(a, min(n, a + self.longest) + 1):
+                        if alpha[c] is not None:
+                            alpha[c] = alpha[c] / size
+                    lack = lack + np.log(size)
+                logs[a] = lack
+            add = alpha[a] * self.weights(a, b, piece, p)
+            alpha[b] = add if alpha[b] is None else alpha[b] + add
+        logs[n] = lack
+        return alpha, logs
+
+    def log_sums(self, letters: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Log of the sum over all segmentations of each word."""
+        alpha, logs = self.forward(letters, p)
+        return np.log(alpha[-1]) + logs[-1]
 
     def expected(self, letters: np.ndarray, times: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Expected count of each piece in words seen ``times`` (words x languages)."""
         steps = list(self.steps(letters))
-        alpha, n = self.forward(letters, p, steps), letters.shape[1]
-        beta = [np.zeros_like(alpha[0]) for _ in range(n)] + [np.ones_like(alpha[0])]
+        (alpha, logs), n = self.forward(letters, p, steps), letters.shape[1]
+        total = np.log(alpha[n]) + logs[n]
         counts = np.zeros_like(p)
+        beta: list = [None] * n + [np.ones_like(alpha[0])]
+        lack, at = np.zeros_like(alpha[0]), n
+        # A start's sums are whole once its first step has been met from behind: all steps that end there start before it.
         for a, b, piece in reversed(steps):
+            if a != at and beta[at] is not None and at != n and at % RESCALE == 0:
+                size = beta[at].copy()
+                for c in range(at, min(n, at + self.longest) + 1):
+                    beta[c] = beta[c] / size
+                lack = lack + np.log(size)
+            at = a
             w = self.weights(a, b, piece, p) * beta[b]
-            beta[a] += w
-        for a, b, piece in steps:
-            share = alpha[a] * self.weights(a, b, piece, p) * beta[b] / alpha[n] * times
+            share = alpha[a] * w * np.exp(logs[a] + lack - total) * times
             known = piece >= 0
             np.add.at(counts, piece[known], share[known])
+            beta[a] = w if beta[a] is None else beta[a] + w
         return counts
 
 
@@ -140,7 +171,7 @@ def _by_length(words: list[str]) -> list[list[int]]:
     groups = defaultdict(list)
     for i, w in enumerate(words):
         groups[len(w)].append(i)
-    return [g[k:k + 4096] for _, g in sorted(groups.items()) for k in range(0, len(g), 4096)]
+    return [g[k:k + max(1, min(4096, 65536 // size))] for size, g in sorted(groups.items()) for k in range(0, len(g), max(1, min(4096, 65536 // size)))]
 
 
 def _with_unknown(p: np.ndarray) -> np.ndarray:
@@ -157,7 +188,7 @@ class Model:
         out = np.empty((len(words), len(self.languages)))
         for group in _by_length(words):
             letters = self.lattice.encode([words[i] for i in group])
-            out[group] = np.log(self.lattice.forward(letters, self.p)[-1])
+            out[group] = self.lattice.log_sums(letters, self.p)
         return out
 
     def scorer(self):

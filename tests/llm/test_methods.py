@@ -297,6 +297,37 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(counts[:5, 0], [(2 * a * b * a + ab * a + a * ba) / z, a * b * a / z, ab * a / z, a * ba / z, aba / z])
 
 
+@pytest.mark.parametrize("size", [15, 16, 17, 33, 500, 3000])
+def test_sums_of_words_of_any_length(size):
+    """Far below the smallest double: logs of the sums and expected counts as by a recursion in logs."""
+    pieces = ["a", "b", "ab", "ba", "abba", "c"]
+    rng = np.random.default_rng(size)
+    lattice, p = language.Lattice(pieces), language._with_unknown(rng.dirichlet(np.ones(6), 2).T)
+    word = "".join(rng.choice(list("aaabbbcz"), size))
+    weight = {x: [float(np.log(p[i, g])) for g in (0, 1)] for i, x in enumerate(pieces)}
+    for g in (0, 1):
+        steps = [(a, b, weight.get(word[a:b], [np.log(language.UNKNOWN)] * 2)[g]) for a in range(size) for b in range(a + 1, min(size, a + 4) + 1)
+                 if word[a:b] in weight or b == a + 1]
+        ahead, back = np.full(size + 1, -np.inf), np.full(size + 1, -np.inf)
+        ahead[0] = back[size] = 0
+        for a, b, w in steps:
+            ahead[b] = np.logaddexp(ahead[b], ahead[a] + w)
+        for a, b, w in reversed(steps):
+            back[a] = np.logaddexp(back[a], back[b] + w)
+        assert np.isclose(lattice.log_sums(lattice.encode([word]), p)[0, g], ahead[size], rtol=1e-9)
+        counts = dict.fromkeys(pieces, 0.0)
+        for a, b, w in steps:
+            if word[a:b] in counts:
+                counts[word[a:b]] += float(np.exp(ahead[a] + w + back[b] - ahead[size]))
+        got = lattice.expected(lattice.encode([word]), np.ones((1, 2)), p)[:6, g]
+        assert np.allclose(got, [counts[x] for x in pieces], rtol=1e-6, atol=1e-9)
+
+
+def test_letters_are_what_isalpha_says():
+    assert language.parts("² ½ Ⅷ ³x² 12a_b é٣") == ["▁x", "▁a", "▁b", "▁é"]
+    assert language.parts("ab" * 500) == ["▁" + "ab" * 500]
+
+
 def test_language_held_out_accuracy(spark):
     langs = dict(zip(*(pq.read_table(f"{SF2}/documents.parquet")[c].to_pylist() for c in ("doc_id", "lang"))))
     rows = [r for r in QUERIES["op6_language"](spark, SF2).collect() if r["held_out"] and r["lang_pred"] != "und"]
@@ -306,9 +337,9 @@ def test_language_held_out_accuracy(spark):
 
 def test_language_of_texts_without_letters(spark):
     model = language.Model(["x"], ["a"], np.ones((1, 1)))
-    df = spark.createDataFrame([(1, None), (2, ""), (3, "12 34!"), (4, "漢"), (5, "a" * 100_000)], "doc_id long, text string")
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "12 34!"), (4, "漢"), (5, "a" * 100_000), (6, "² ½")], "doc_id long, text string")
     got = {r["doc_id"]: r["lang_pred"] for r in language.predict(df, model).collect()}
-    assert got == {1: "und", 2: "und", 3: "und", 4: "x", 5: "x"}
+    assert got == {1: "und", 2: "und", 3: "und", 4: "x", 5: "x", 6: "und"}
 
 
 # --- classifier ------------------------------------------------------------------------------------------------------
