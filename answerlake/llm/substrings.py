@@ -206,6 +206,17 @@ def _spans(starts: np.ndarray, window: int) -> Spans:
     return list(zip(starts[np.r_[0, gaps + 1]].tolist(), (starts[np.r_[gaps, len(starts) - 1]] + window).tolist()))
 
 
+def merged(spans: Spans) -> Spans:
+    """Overlapping or touching spans as one."""
+    out: Spans = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def _kept(tokens: list[bytes], spans: Spans) -> list[bytes]:
     out, done = [], 0
     for a, b in spans:
@@ -245,65 +256,72 @@ def remove_repeats(docs: DataFrame, text_column: str = "text", window: int = WIN
     row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row") if columns else F.struct(F.lit(0).alias("none")).alias("row")
     rows = docs.select(row, F.col(f"`{text_column}`").cast("string").alias("text"))
     shared = spark.sparkContext.broadcast(_bitmap(sketch(rows, "text", window, gram, bits), bits))
-    longs, ints = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())
     schema = T.StructType([rows.schema["row"], T.StructField("uid", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()),
-                           T.StructField("result", T.StringType()), T.StructField("known", ints), T.StructField("sent", ints),
-                           T.StructField("h1", longs), T.StructField("h2", longs)])
+                           T.StructField("result", T.StringType())])
     arrow = to_arrow_schema(schema)
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Finished rows with their result; others with their text, starts known to repeat and (start, digest) of one of each group."""
-        bitmap, uid = shared.value, TaskContext.get().partitionId() << 33
+    def estimated(s: Slice) -> np.ndarray:
+        """Starts of the windows whose pieces the sketch has twice or more."""
+        places, number = s.standing()
+        return s.starts[_estimated(s.pieces[places], shared.value, bits)[number]] if len(places) else s.starts
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows without an estimated window with their result, others with their text."""
+        uid = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for part, texts in _slices(batch, "text"):
+                s = Slice(texts, window, gram)
+                at = np.searchsorted(estimated(s), s.first)
+                waits = (at[1:] > at[:-1]).tolist()
+                columns = {"uid": range(uid, uid + len(texts)), "text": [t if w else None for t, w in zip(texts, waits)], "n_words": s.sizes,
+                           "result": [None if w else result(t, tokens, []) for t, tokens, w in zip(texts, s.tokens, waits)]}
+                uid += len(texts)
+                yield pa.RecordBatch.from_arrays([part.column("row"), *(pa.array(columns[f.name], f.type) for f in arrow if f.name != "row")], schema=arrow)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One window of each group with its digest and no stop; and the spans that groups within the slice cover already."""
         for batch in batches:
             for part, texts in _slices(batch, "text"):
                 s = Slice(texts, window, gram)
-                places, number = s.standing()
-                starts = s.starts[_estimated(s.pieces[places], bitmap, bits)[number]] if len(places) else s.starts
-                known, sent, h1, h2 = [np.zeros(0, np.int64)] * 4
-                if len(starts):
-                    one = _rolling(s.hashes, window, _BASES[0])[starts]
-                    two = _rolling(_mix(s.hashes ^ np.uint64(_SEEDS[0])), window, _BASES[1])[starts]
-                    order = np.lexsort((starts, two, one))
-                    one, two, starts = one[order], two[order], starts[order]
-                    same = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
-                    new = np.concatenate([[True], ~same])
-                    known = np.sort(starts[~new | np.concatenate([same, [False]])])
-                    back = np.argsort(starts[new])
-                    sent, h1, h2 = starts[new][back], one[new][back].view(np.int64), two[new][back].view(np.int64)
-                k, p = np.searchsorted(known, s.first), np.searchsorted(sent, s.first)
-                out = {name: [] for name in arrow.names[1:]}
-                for i, text in enumerate(texts):
-                    base, open_ = s.first[i], p[i + 1] > p[i] or k[i + 1] > k[i]
-                    out["uid"].append(uid)
-                    uid += 1
-                    out["text"].append(text if open_ else None)
-                    out["n_words"].append(int(s.sizes[i]))
-                    out["result"].append(None if open_ else result(text, s.tokens[i], []))
-                    out["known"].append(known[k[i]:k[i + 1]] - base if open_ else None)
-                    out["sent"].append(sent[p[i]:p[i + 1]] - base if open_ else None)
-                    out["h1"].append(h1[p[i]:p[i + 1]] if open_ else None)
-                    out["h2"].append(h2[p[i]:p[i + 1]] if open_ else None)
-                yield pa.RecordBatch.from_arrays([part.column("row"), *(pa.array(out[f.name], f.type) for f in arrow if f.name != "row")], schema=arrow)
+                starts = estimated(s)
+                uid = part.column("uid").to_numpy()
+                one = _rolling(s.hashes, window, _BASES[0])[starts]
+                two = _rolling(_mix(s.hashes ^ np.uint64(_SEEDS[0])), window, _BASES[1])[starts]
+                order = np.lexsort((starts, two, one))
+                one, two, starts = one[order], two[order], starts[order]
+                same = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
+                new = np.concatenate([[True], ~same])
+                known = np.sort(starts[~new | np.concatenate([same, [False]])])
+                cut = np.searchsorted(known, s.first)
+                spans = [(u, a, b) for i, u in enumerate(uid.tolist()) if cut[i + 1] > cut[i] for a, b in _spans(known[cut[i]:cut[i + 1]] - s.first[i], window)]
+                starts, one, two = starts[new], one[new].view(np.int64), two[new].view(np.int64)
+                text = np.searchsorted(s.first, starts, "right") - 1
+                u, a, b = (np.array(x, np.int64) for x in (zip(*spans) if spans else ([], [], [])))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(x)) for x in ((one, _mix((u ^ a).view(np.uint64)).view(np.int64)), (two, u), (uid[text], u),
+                                                           ((starts - s.first[text]).astype(np.int32), a.astype(np.int32)), (np.zeros(len(starts), np.int32), b.astype(np.int32)))],
+                    names=["h1", "h2", "uid", "at", "stop"])
 
     # Written once, so that the row numbers stay what they are; finished rows carry no text.
-    judged = common.stored(rows.mapInArrow(windows, schema), "repeat-rows")
-    waiting = judged.filter("known IS NOT NULL")
-    sent = waiting.select("uid", F.explode(F.arrays_zip("sent", "h1", "h2")).alias("w")).select("uid", F.col("w.sent").alias("at"), "w.h1", "w.h2")
-    twice = sent.withColumn("n", F.count("uid").over(W.partitionBy("h1", "h2"))).filter("n > 1")
-    found = twice.groupBy("uid").agg(F.collect_list("at").alias("more")).withColumnRenamed("uid", "r_uid")
-    joined = waiting.select("row", "uid", "text", "n_words", "known").join(found.hint("shuffle_hash"), F.col("uid") == F.col("r_uid"), "left")
+    judged = common.stored(rows.mapInArrow(judge, schema), "repeat-rows")
+    waiting = judged.filter("result IS NULL AND text IS NOT NULL")
+    sent = waiting.select("uid", "text").mapInArrow(send, "h1 long, h2 long, uid long, at int, stop int")
+    twice = sent.withColumn("n", F.count("uid").over(W.partitionBy("h1", "h2"))).filter("n > 1 OR stop > 0")
+    found = twice.groupBy("uid").agg(F.collect_list(F.when(F.col("stop") == 0, F.col("at"))).alias("more"),
+                                     F.collect_list(F.when(F.col("stop") > 0, F.struct("at", "stop"))).alias("known")).withColumnRenamed("uid", "r_uid")
+    joined = waiting.select("row", "uid", "text", "n_words").join(found.hint("shuffle_hash"), F.col("uid") == F.col("r_uid"), "left")
 
     def make():
         def work(texts, known, more):
             tokens = [words(t) for t in texts]
-            spans = [_spans(np.array([*(a or ()), *(b or ())], np.int64), window) for a, b in zip(known, more)]
+            spans = [merged([*((k["at"], k["stop"]) for k in a or ()), *_spans(np.array(b or (), np.int64), window)]) for a, b in zip(known, more)]
             return [[sum(b - a for a, b in s) for s in spans], [[{"start": a, "stop": b} for a, b in s] for s in spans],
                     [result(*x) for x in zip(texts, tokens, spans)]]
         return work
 
     fields = [T.StructField("n_removed", T.LongType()), T.StructField("repeat_spans", SPAN), T.StructField("result", T.StringType())]
     cut = common.add_columns(joined, ["text", "known", "more"], fields, make, ["row", "n_words"])
-    whole = judged.filter("known IS NULL").select("row", "n_words", F.lit(0).cast("long").alias("n_removed"), F.array().cast(SPAN).alias("repeat_spans"), "result")
+    whole = judged.filter("result IS NOT NULL OR text IS NULL").select("row", "n_words", F.lit(0).cast("long").alias("n_removed"), F.array().cast(SPAN).alias("repeat_spans"), "result")
     out = whole.unionByName(cut)
     return out.select(*[F.col("row").getField(c).alias(c) for c in columns], "n_words", "n_removed", "repeat_spans", F.col("result").alias(result_column))
 
