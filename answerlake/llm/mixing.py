@@ -8,11 +8,17 @@ A target above the source's size repeats it: whole epochs first, then the cut.
 
 The prefix sum has three levels, so that no task sorts a whole source: keys
 fall into ranges of about ``RANGE_ROWS`` rows, ranges into spans of ranges.
+A key hashes the id, the text and the number of the row among its full repeats
+in the source. Repeats are numbered part by part, with one offset a part, so
+neither rows without an id nor a third of all rows being one text meet in a
+range, and the set of keys is the same however the rows are divided.
+Sources are one row each in ``targets``, whose window sorts them in one task:
+that bounds them to what a task sorts, tens of millions.
 
 Null texts have size 0 and are taken with 0 words. A null source is a source
-of its own, the last one. Repeated rows count each; equal keys are ordered by
-id and size, so every order of equal rows gives the same result. An empty
-table gives an empty result.
+of its own, the last one. Repeated rows count each, ties among them are
+settled by their numbers. Very long texts are counted and hashed whole. The
+columns added win over clashing ones. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -51,6 +57,20 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame
     return s.select("source", "source_size", "n", F.least(F.col("cap").cast("double"), F.coalesce(F.col("open_level") * F.col("weight"), F.col("cap").cast("double"))).alias("target"))
 
 
+def keyed(rows: DataFrame) -> DataFrame:
+    """Replace ``content`` by ``key``: a hash of it and of the row's number among the repeats in its source."""
+    rows = rows.withColumn("part", F.shiftright("uid", 33))
+    by_content = W.partitionBy("source", "content")
+    counts = rows.groupBy("source", "content", "part").agg(F.count("*").alias("n"))
+    counts = counts.select("*", F.sum("n").over(by_content).alias("all"), F.coalesce(F.sum("n").over(by_content.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    offsets = common.stored(counts.filter(F.col("all") > 1).select(F.col("source").alias("o_source"), F.col("content").alias("o_content"), F.col("part").alias("o_part"), "before"), "mix-repeats")
+    same = F.col("source").eqNullSafe(F.col("o_source")) & (F.col("content") == F.col("o_content")) & (F.col("part") == F.col("o_part"))
+    single = rows.join(offsets, same, "left_anti").withColumn("number", F.lit(0).cast("long"))
+    local = F.row_number().over(W.partitionBy("source", "content", "part").orderBy("uid")) - 1
+    repeats = rows.join(offsets, same).withColumn("number", (F.col("before") + local).cast("long")).drop("before", "o_source", "o_content", "o_part")
+    return single.unionByName(repeats).select("uid", "source", "size", "id", F.md5(F.concat_ws(":", "content", "number")).alias("key"))
+
+
 def mix(docs: DataFrame, source_column: str = "source", text_column: str = "text", id_column: str = "doc_id", keep: list[str] | None = None,
         weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """The kept columns with size, source_size, target and taken (words)."""
@@ -59,11 +79,12 @@ def mix(docs: DataFrame, source_column: str = "source", text_column: str = "text
     columns = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
     size = F.coalesce(F.regexp_count(F.col(f"`{text_column}`"), F.lit(common.WORD)), F.lit(0)).cast("long")
     ident = F.col(f"`{id_column}`").cast("string")
+    content = F.md5(F.concat(F.coalesce(ident, F.lit("")), F.lit("\0"), F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{source_column}`").cast("string").alias("source"),
-                       size.alias("size"), ident.alias("id"), F.md5(F.coalesce(ident, F.lit(""))).alias("key"))
+                       size.alias("size"), ident.alias("id"), content.alias("content"))
     # Written once, so that the row numbers stay what they are; the rows themselves move only in the last join.
     whole = common.stored(rows.withColumn("uid", F.monotonically_increasing_id()), "mix-rows")
-    rows = whole.select("uid", "source", "size", "id", "key")
+    rows = common.stored(keyed(whole.select("uid", "source", "size", "id", "content")), "mix-keys")
     sources = common.stored(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights), "mix-sources")
     plan = sources.select(F.col("source").alias("s_source"), "source_size", "target", F.ceil(F.col("n") / RANGE_ROWS).alias("ranges"))
     placed = rows.join(plan, F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source")
@@ -96,7 +117,9 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, content,
+    row_number() OVER (PARTITION BY source, content) - 1 AS number
+  FROM (SELECT *, md5(coalesce(CAST(doc_id AS VARCHAR), '') || chr(0) || coalesce(text, '')) AS content FROM documents)),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
   FROM d GROUP BY source),
@@ -115,7 +138,7 @@ t AS (
   FROM f),
 p AS (
   SELECT doc_id, size, t.source_size, target, CAST(floor(target) AS BIGINT) AS budget,
-    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(CAST(doc_id AS VARCHAR)), CAST(doc_id AS VARCHAR), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(content || ':' || CAST(number AS VARCHAR)), CAST(doc_id AS VARCHAR), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
   CAST(CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END * size

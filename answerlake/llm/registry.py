@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from answerlake.llm import classifier, decontaminate, language, licenses, mixing, pii, quality, simhash, substrings, urls, warc
+from answerlake.llm import classifier, decontaminate, language, licenses, mixing, pii, prefixes, quality, simhash, spelling, substrings, urls, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_mix": mixing.op8_mix,
     "op9_warc": warc.op9_warc,
     "op10_urls": urls.op10_urls,
+    "op11_spelling": spelling.op11_spelling,
+    "op12_prefixes": prefixes.op12_prefixes,
     "op13_substrings": substrings.op13_substrings,
 }
 
@@ -25,5 +27,7 @@ ORACLE = {
     "op8_mix": mixing.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
     "op10_urls": urls.OP10_SQL,
+    "op11_spelling": spelling.OP11_SQL,
+    "op12_prefixes": prefixes.OP12_SQL,
     "op13_substrings": substrings.OP13_SQL,
 }

@@ -339,9 +339,8 @@ win AS (
   FROM d, unnest(range(1, len(w) - 33)) AS t(p) WHERE len(w) >= 35),
 twice AS (SELECT r, p FROM win WHERE g IN (SELECT g FROM win GROUP BY g HAVING count(*) > 1)),
 cov AS (SELECT DISTINCT r, p + o AS i FROM twice, unnest(range(0, 35)) AS t(o)),
-gone AS (SELECT r, list(i) AS spots FROM cov GROUP BY r)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(spots), 0) AS BIGINT) AS n_removed,
-  sha256(coalesce(list_aggregate(CASE WHEN spots IS NULL THEN w
-    ELSE list_transform(list_filter(list_zip(w, list_transform(range(1, len(w) + 1), lambda i: NOT list_contains(spots, i))), lambda x: x[2]), lambda x: x[1]) END, 'string_agg', ' '), '')) AS kept_sha256
-FROM d LEFT JOIN gone USING (r)
+word AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+kept AS (SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN cov USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
 """

@@ -411,7 +411,8 @@ def test_mix_cuts_at_the_budget(spark, monkeypatch):
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
     import hashlib
     for source in ("a", "b", None):
-        own = sorted((r for r in got if r["source"] == source), key=lambda r: (hashlib.md5(str(r["doc_id"]).encode()).hexdigest(), str(r["doc_id"])))
+        digest = lambda x: hashlib.md5(x.encode()).hexdigest()
+        own = sorted((r for r in got if r["source"] == source), key=lambda r: digest(digest(f"{r['doc_id']}\0{r['text']}") + ":0"))
         budget, total = int(own[0]["target"]), sum(r["size"] for r in own)
         epochs, done = budget // total, 0
         for r in own:
@@ -420,6 +421,17 @@ def test_mix_cuts_at_the_budget(spark, monkeypatch):
         assert sum(r["taken"] for r in own) == budget
 
 
+def test_hot_repeats_are_dealt_out(spark):
+    """A third of all rows without an id, a third one text: no key is shared, and the keys do not depend on the parts."""
+    rows = [(None, "s", f"text {i} " * (i % 5)) for i in range(1000)] + [(7, "s", "same words")] * 1000 + [(i, "st"[i % 2], f"w {i}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    plain = lambda out: sorted((str(r["doc_id"]), r["source"], r["text"], r["taken"]) for r in out.collect())
+    assert plain(mixing.mix(df.repartition(2))) == plain(mixing.mix(df.repartition(7)))
+    content = df.select("source", F.lit(1).alias("size"), F.col("doc_id").alias("id"), F.md5(F.concat_ws("-", "doc_id", "text")).alias("content"))
+    keys = mixing.keyed(common.stored(content.repartition(4).withColumn("uid", F.monotonically_increasing_id()), "hot")).select("key").collect()
+    assert len(keys) == len({k["key"] for k in keys}) == len(rows)
+
+
 # --- archive ---------------------------------------------------------------------------------------------------------
 
 
