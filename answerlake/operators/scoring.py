@@ -44,7 +44,8 @@ class _Questions:
 
     def __init__(self, pdf: pd.DataFrame, q_key: str):
         pdf = pdf.sort_values(["term", q_key], kind="stable")
-        self.qids = np.asarray(pd.unique(pdf[q_key]), dtype=np.int64)
+        #: Ids in their own type; scores go by their positions.
+        self.qids = np.asarray(pd.unique(pdf[q_key]))
         qpos = pd.Index(self.qids)
         self.vocab = pd.Index(pd.unique(pdf["term"]))
         tix = self.vocab.get_indexer(pdf["term"])

@@ -125,20 +125,20 @@ def q_tfidf_postings(spark, sf):
 # ------------------------------------------------------------- retrieval ----
 
 def _top1(spark, sf, allow_zero: bool) -> DataFrame:
-    ix = C.paragraph_index(spark, sf)
-    qv = C.question_vectors(spark, sf, ix.idf)
-    best = C.score_top1(qv, ix, ["item_id"], C.PARA_KEYS)
-    qs = C.questions(spark, sf).select("item_id")
+    from answerlake.operators.pruned import Search
+    ix = C.paragraph_blocks(spark, sf)
+    qs = C.questions(spark, sf)
+    best = Search(ix, qs, ["item_id"]).top1()
+    qs = qs.select("item_id")
     if allow_zero:
         # Literal variant: with no term overlap the first paragraph of the
         # corpus wins with score 0 (unless its text is empty).
-        first = ix.units.agg(F.min(F.struct(*[F.col(k) for k in C.PARA_KEYS]))).scalar()
+        first = ix.texts.agg(F.min(F.struct(*[F.col(k) for k in C.PARA_KEYS]))).scalar()
         zero = (qs.join(best.select("item_id"), "item_id", "left_anti")
                 .select("item_id", *[first.getField(k).alias(k) for k in C.PARA_KEYS],
                         F.lit(0.0).alias("score")))
         best = best.unionByName(zero)
-    paras = C.filename(ix.units).select(*C.PARA_KEYS, "filename", F.col("text").alias("retrieved_text"))
-    return top1_answers(qs, best, paras)
+    return top1_answers(qs, best, stored_paragraphs(ix))
 
 
 def top1_answers(qs: DataFrame, best: DataFrame, paras: DataFrame) -> DataFrame:
@@ -162,10 +162,9 @@ def q_retrieve_top1_allow_zero(spark, sf):
     return _top1(spark, sf, allow_zero=True)
 
 
-def threshold_hits(spark, sf, ix=None) -> DataFrame:
-    ix = ix or C.chunk_index(spark, sf)
-    qv = C.question_vectors(spark, sf, ix.idf)
-    return C.score_threshold(qv, ix, C.CHUNK_KEYS, C.THRESHOLD)
+def threshold_hits(spark, sf) -> DataFrame:
+    from answerlake.operators.pruned import Search
+    return Search(C.chunk_blocks(spark, sf), C.questions(spark, sf), ["item_id"]).above(C.THRESHOLD)
 
 
 @query("retrieve_threshold")
@@ -220,6 +219,27 @@ def q_dense_topk_farthest(spark, sf):
     return _dense(spark, sf, farthest=True)
 
 
+def _dense_pruned(spark, sf, farthest: bool) -> DataFrame:
+    """The same rows from vectors grouped around pivots: only groups whose bounds can matter are met."""
+    from answerlake.operators.pivots import Groups
+    from answerlake.sources.tables import table
+    groups = Groups(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+    asked = dense_questions(spark, sf).select("item_id", "qvec")
+    top = groups.topk(asked, C.TOP_K, q_key="item_id", farthest=farthest)
+    return top.select(big("item_id").alias("item_id"), big("vec_id").alias("vec_id"),
+                      big("rank").alias("rank"), r6("distance").alias("distance"))
+
+
+@query("dense_pruned_nearest")
+def q_dense_pruned_nearest(spark, sf):
+    return _dense_pruned(spark, sf, farthest=False)
+
+
+@query("dense_pruned_farthest")
+def q_dense_pruned_farthest(spark, sf):
+    return _dense_pruned(spark, sf, farthest=True)
+
+
 @query("embed_join_filter")
 def q_embed_join_filter(spark, sf):
     q = dense_questions(spark, sf)
@@ -445,7 +465,7 @@ def q_debate_day_first(spark, sf):
 def chunk_hits_with_text(spark, sf) -> DataFrame:
     """Threshold hits with their chunk text and file name."""
     ix = C.chunk_index(spark, sf)
-    hits = threshold_hits(spark, sf, ix)
+    hits = threshold_hits(spark, sf)
     chunks = C.filename(ix.units).select(*C.CHUNK_KEYS, "text", "filename")
     return hits.join(chunks, list(C.CHUNK_KEYS))
 
@@ -910,44 +930,28 @@ def q_stream_milestones(spark, sf):
 @query("stream_answer")
 def q_stream_answer(spark, sf):
     """ST4: questions arrive as a stream and are answered in each micro-batch
-    from the stored paragraph index, of which it reads the buckets of its own
-    terms (top-1, and the fixed answer where nothing is found)."""
-    from answerlake.operators.serving import serve_top1
+    from the stored paragraph blocks (top-1, and the fixed answer where
+    nothing is found)."""
     from answerlake.streaming.live import run_to_table, stream_table
-    path = paragraph_store(spark, sf)
+    ix = C.paragraph_blocks(spark, sf)
+    return run_to_table(spark, stream_table(spark, sf, "benchmark"), "answers", batch_fn=lambda batch: served(ix, batch)).drop("epoch")
 
-    def answer(batch: DataFrame) -> DataFrame:
-        best = serve_top1(batch, path, ["item_id"], C.PARA_KEYS)
-        return top1_answers(batch.select("item_id"), best, stored_paragraphs(spark, path))
 
-    return run_to_table(spark, stream_table(spark, sf, "benchmark"), "answers", batch_fn=answer).drop("epoch")
-
-
-def paragraph_store(spark, sf) -> str:
-    """The paragraph index, built and written once for any number of question sets."""
-    from answerlake.operators.serving import save_index
-    from answerlake.session import shared_path
-    ix = C.paragraph_index(spark, sf)
-    texts = C.filename(ix.units).select(*C.PARA_KEYS, "filename", F.col("text").alias("retrieved_text"))
-    return save_index(ix, shared_path(spark, "paragraph-store"), C.PARA_KEYS, texts)
+def stored_paragraphs(ix) -> DataFrame:
+    return C.filename(ix.texts).select(*C.PARA_KEYS, "filename", F.col("text").alias("retrieved_text"))
 
 
-def stored_paragraphs(spark, path) -> DataFrame:
-    from answerlake.operators.serving import stored_texts
-    return stored_texts(spark, path)
-
-
-def serve_questions(spark, sf, path: str) -> DataFrame:
-    """One answer row per question from a stored index."""
-    from answerlake.operators.serving import serve_top1
-    qs = C.questions(spark, sf)
-    return top1_answers(qs.select("item_id"), serve_top1(qs, path, ["item_id"], C.PARA_KEYS), stored_paragraphs(spark, path))
+def served(ix, questions: DataFrame) -> DataFrame:
+    """One answer row per question from published blocks."""
+    from answerlake.operators.pruned import Search
+    best = Search(ix, questions, ["item_id"]).top1()
+    return top1_answers(questions.select("item_id"), best, stored_paragraphs(ix))
 
 
 @query("serve_top1")
 def q_serve_top1(spark, sf):
-    """The index is written, then served: only the buckets of the questions' terms are read."""
-    return serve_questions(spark, sf, paragraph_store(spark, sf))
+    """A stored index serves: only blocks whose bounds can matter are scored."""
+    return served(C.paragraph_blocks(spark, sf), C.questions(spark, sf))
 
 
 @query("answer_log")
@@ -1115,6 +1119,57 @@ def q_eval_multi_context_rows(spark, sf):
     return both.select(F.lit("multi_context").alias("evolution"), "text_a", "file_a", "text_b", "file_b", big("n_shared").alias("n_shared"))
 
 
+#: Jaccard coefficient from which two chunks belong together.
+SIMILAR = 0.4
+
+
+def _similar_chunks(spark, sf) -> tuple[DataFrame, DataFrame]:
+    from answerlake.operators.similar import similar_texts
+    terms = C.chunk_index(spark, sf).forward.select(*C.CHUNK_KEYS, F.col("items.term").alias("terms"))
+    return similar_texts(terms, list(C.CHUNK_KEYS), SIMILAR)
+
+
+@query("similar_chunks")
+def q_similar_chunks(spark, sf):
+    """Pairs of chunks with similar term sets, one chunk of each class of equal sets."""
+    pairs, _ = _similar_chunks(spark, sf)
+    return pairs.select(*[big(F.col(f"{s}.{k}")).alias(f"{s}_{k}") for s in ("a", "b") for k in C.CHUNK_KEYS],
+                        "n_shared", r6("similarity").alias("similarity"))
+
+
+@query("similar_classes")
+def q_similar_classes(spark, sf):
+    """The representative of every chunk and the size of its class."""
+    _, members = _similar_chunks(spark, sf)
+    return members.select(*[big(F.col(f"rep.{k}")).alias(f"rep_{k}") for k in C.CHUNK_KEYS], *[big(k).alias(k) for k in C.CHUNK_KEYS], big("size").alias("size"))
+
+
+EVAL_ROWS = 10
+
+
+@query("eval_test_set")
+def q_eval_test_set(spark, sf):
+    """Evaluation rows by quota; a multi_context row holds two similar chunks, the others one."""
+    from answerlake.operators.evaluate import quotas
+    index, n = C.chunk_index(spark, sf), quotas(EVAL_ROWS, EVAL_WEIGHTS)
+    draw = lambda *cols: F.md5(F.concat_ws("|", F.lit(SAMPLE_SEED), *[c.cast("string") for c in cols]))
+    key = F.struct(*[F.col(k) for k in C.CHUNK_KEYS])
+    # Top-n by hash: the limits are the sampling feature.
+    single = (index.units.filter(~is_blank("text")).select(key.alias("a"), draw(*[F.col(k) for k in C.CHUNK_KEYS]).alias("h"))
+              .orderBy("h", "a").limit(n["simple"] + n["reasoning"]))
+    from pyspark.sql import Window
+    place = F.row_number().over(Window.orderBy("h", "a"))
+    single = single.select("a", F.lit(None).cast(single.schema["a"].dataType).alias("b"), place.alias("rank"),
+                           F.when(place <= n["simple"], F.lit("simple")).otherwise(F.lit("reasoning")).alias("evolution"))
+    pairs, _ = _similar_chunks(spark, sf)
+    both = pairs.select("a", "b", draw(*[F.col(f"{s}.{k}") for s in "ab" for k in C.CHUNK_KEYS]).alias("h")).orderBy("h", "a", "b").limit(n["multi_context"])
+    both = both.select("a", "b", (F.row_number().over(Window.orderBy("h", "a", "b")) + n["simple"] + n["reasoning"]).alias("rank"), F.lit("multi_context").alias("evolution"))
+    texts = C.filename(index.units).select(key.alias("key"), "text", "filename")
+    side = lambda s: texts.select(F.col("key").alias(s), F.col("text").alias(f"text_{s}"), F.col("filename").alias(f"file_{s}"))
+    rows = single.unionByName(both).join(side("a"), "a").join(side("b"), "b", "left")
+    return rows.select(big("rank").alias("rank"), "evolution", "text_a", "file_a", "text_b", "file_b")
+
+
 def _letter_counts(c) -> F.Column:
     return F.array(*[(F.length(c) - F.length(F.replace(c, F.lit(x)))).cast("double") for x in STUB_LETTERS])
 

@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from answerlake.operators.chunking import chunk_chars
 from answerlake.operators.paragraphs import normalize_paragraphs, split_paragraphs
-from answerlake.operators.tfidf import Index, build_index, vectorize
-from answerlake.session import spread
+from answerlake.operators import segments
+from answerlake.operators.pruned import Blocks
+from answerlake.operators.tfidf import Index, vectorize
+from answerlake.session import ensure_checkpoint_dir, spread
+from answerlake.sources import storage
 from answerlake.sources.tables import table
 
 PARA_SEP = "\n"
@@ -54,37 +57,50 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", "text")
 
 
-def paragraph_index(spark: SparkSession, sf_dir: str) -> Index:
+#: Changes when stored indexes look different.
+STORE_FORMAT = 1
+
+
+def paragraph_store(spark: SparkSession, sf_dir: str) -> str:
     """Endpoint variant: one vector per paragraph (fitted on paragraphs)."""
-    return build_index(paragraphs(spark, sf_dir), PARA_KEYS, keep=("source",))
+    return _store(spark, sf_dir, "paragraphs", lambda: paragraphs(spark, sf_dir), PARA_KEYS)
 
 
-def chunk_index(spark: SparkSession, sf_dir: str, size: int = CHUNK_CHARS) -> Index:
+def chunk_store(spark: SparkSession, sf_dir: str) -> str:
     """Chat-loop variant: one vector per character chunk."""
-    return build_index(char_chunks(spark, sf_dir, size), CHUNK_KEYS, keep=("source",))
+    return _store(spark, sf_dir, "chunks", lambda: char_chunks(spark, sf_dir, CHUNK_CHARS), CHUNK_KEYS)
 
 
-def question_vectors(spark: SparkSession, sf_dir: str, idf: DataFrame) -> DataFrame:
-    return vectorize(questions(spark, sf_dir), idf, ("item_id",))
+def _store(spark: SparkSession, sf_dir: str, kind: str, units, keys) -> str:
+    """The stored index of the documents as they are now: built by the first query that asks, opened by all others."""
+    source = storage.fingerprint(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/answerlake/index/{kind}-{STORE_FORMAT}-{source}"
+    if segments.manifest(spark, path) is None:
+        segments.append(units(), path, keys, [source], keep=("source",))
+    return path
 
 
-# ------------------------------------------------------------- scoring ----
+def paragraph_index(spark: SparkSession, sf_dir: str) -> Index:
+    return segments.open_index(spark, paragraph_store(spark, sf_dir))
 
-def score_top1(qv: DataFrame, index, q_keys, d_keys, forward: bool = False) -> DataFrame:
-    """Best text per question (ties: smallest ``d_keys``).  ``index`` is an
-    ``Index`` or, with ``forward=True``, a forward-index DataFrame."""
-    from answerlake.operators import retrieval as R
-    from answerlake.operators.scoring import score_index
-    fwd = index if forward else index.forward
-    local = score_index(qv, fwd, q_keys[0], d_keys, "top1")
-    return R.top1(local, q_keys, d_keys)
 
+def chunk_index(spark: SparkSession, sf_dir: str) -> Index:
+    return segments.open_index(spark, chunk_store(spark, sf_dir))
 
-def score_threshold(qv: DataFrame, index: Index, d_keys, threshold: float) -> DataFrame:
-    """Every (question, text) scoring strictly above ``threshold``."""
-    from answerlake.operators.scoring import score_index
-    return score_index(qv, index.forward, "item_id", d_keys, "threshold", threshold=threshold)
 
+def paragraph_blocks(spark: SparkSession, sf_dir: str) -> Blocks:
+    return Blocks(spark, paragraph_store(spark, sf_dir))
+
+
+def chunk_blocks(spark: SparkSession, sf_dir: str) -> Blocks:
+    return Blocks(spark, chunk_store(spark, sf_dir))
+
+
+def question_vectors(spark: SparkSession, sf_dir: str, idf: DataFrame) -> DataFrame:
+    return vectorize(questions(spark, sf_dir), idf, ("item_id",))
+
+
+# ------------------------------------------------------------- scoring ----
 
 def score_group_best(qv: DataFrame, index: Index, groups: DataFrame, group_keys, inner_keys) -> DataFrame:
     """Best text per (question, group); ``groups`` maps texts to groups."""

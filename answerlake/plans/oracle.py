@@ -719,14 +719,8 @@ SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS n, round(
 FROM events GROUP BY 1""")
 
 
-def _mix_case() -> str:
-    from answerlake.operators.evaluate import quotas
-    from answerlake.plans.catalog import EVAL_WEIGHTS
-    parts, upto = [], 0
-    for k, c in quotas(10, EVAL_WEIGHTS).items():
-        upto += c
-        parts.append(f"WHEN rank <= {upto} THEN '{k}'")
-    return "CASE " + " ".join(parts) + " END"
+#: Ten rows over .5 / .25 / .25 by largest remainder.
+MIX_CASE = "CASE WHEN rank <= 5 THEN 'simple' WHEN rank <= 8 THEN 'reasoning' ELSE 'multi_context' END"
 
 
 oracle("eval_set_mix", f"""
@@ -737,7 +731,7 @@ t AS (SELECT doc_id, para_idx FROM paras WHERE {_strip('text')} <> ''
 r AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', 'debate', CAST(doc_id AS VARCHAR),
                                                         CAST(para_idx AS VARCHAR))), doc_id, para_idx) AS rank FROM t)
 SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(para_idx AS BIGINT) AS para_idx, CAST(rank AS BIGINT) AS rank,
-       {_mix_case()} AS evolution
+       {MIX_CASE} AS evolution
 FROM r""")
 
 oracle("eval_multi_context_pairs", f"""
@@ -917,3 +911,53 @@ SELECT CAST(conv_id AS BIGINT) AS query_id, CAST(turn AS BIGINT) AS turn, CAST(1
        CAST(0 AS BIGINT) AS user_voted, CAST(NULL AS DOUBLE) AS answer_relevancy, coalesce(context, '') AS contexts,
        CASE WHEN context IS NULL THEN '' ELSE 'conversation/' || CAST(conv_id AS VARCHAR) END AS filenames
 FROM qa WHERE response IS NOT NULL""")
+
+oracle("dense_pruned_nearest", ORACLE["dense_topk_nearest"])
+oracle("dense_pruned_farthest", ORACLE["dense_topk_farthest"])
+
+SIMILAR_CHUNKS = CHUNKS + f""",
+sets AS (
+  SELECT doc_id, para_idx, piece_idx, list_sort(list_distinct(regexp_extract_all(lower(text), '{TERM_PATTERN}'))) AS s FROM chunks
+  WHERE regexp_matches(lower(text), '{TERM_PATTERN}')),
+cls AS (
+  SELECT s, row_number() OVER () AS id, len(s) AS n, first AS rep, size FROM (
+    SELECT s, min(row(doc_id, para_idx, piece_idx)) AS first, count(*) AS size FROM sets GROUP BY s)),
+each AS (SELECT id, n, unnest(s) AS term FROM cls),
+freq AS (SELECT term, count(*) AS df FROM each GROUP BY term),
+pre AS (
+  SELECT id, n, term FROM (
+    SELECT id, n, term, row_number() OVER (PARTITION BY id ORDER BY df, term) AS place FROM each JOIN freq USING (term))
+  WHERE place <= n - ceil(0.4 * n - 1e-9) + 1),
+cand AS (SELECT DISTINCT a.id AS a, b.id AS b FROM pre a JOIN pre b ON a.term = b.term AND a.id < b.id AND 1.0 * least(a.n, b.n) / greatest(a.n, b.n) >= 0.4 - 1e-9),
+shared AS (
+  SELECT least(x.rep, y.rep) AS a, greatest(x.rep, y.rep) AS b, len(list_intersect(x.s, y.s)) AS k, x.n + y.n AS sizes
+  FROM cand JOIN cls x ON x.id = cand.a JOIN cls y ON y.id = cand.b),
+similar_pairs AS (SELECT a, b, k, 1.0 * k / (sizes - k) AS similarity FROM shared WHERE 1.0 * k / (sizes - k) >= 0.4 - 1e-9)"""
+
+
+def _key(value: str, prefix: str) -> str:
+    """The three parts of a chunk's key as columns."""
+    return ", ".join(f"CAST({value}[{i}] AS BIGINT) AS {prefix}{k}" for i, k in enumerate(CHUNK_KEYS, 1))
+
+
+oracle("similar_chunks", f"""
+WITH {SIMILAR_CHUNKS}
+SELECT {_key('a', 'a_')}, {_key('b', 'b_')}, CAST(k AS BIGINT) AS n_shared, round(similarity, 6) AS similarity FROM similar_pairs""")
+
+oracle("similar_classes", f"""
+WITH {SIMILAR_CHUNKS}
+SELECT {_key('rep', 'rep_')}, CAST(doc_id AS BIGINT) AS doc_id, CAST(para_idx AS BIGINT) AS para_idx, CAST(piece_idx AS BIGINT) AS piece_idx, CAST(size AS BIGINT) AS size
+FROM sets JOIN cls USING (s)""")
+
+oracle("eval_test_set", f"""
+WITH {SIMILAR_CHUNKS},
+named AS (SELECT row(doc_id, para_idx, piece_idx) AS key, text, source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS filename,
+                 md5(concat_ws('|', 'debate', CAST(doc_id AS VARCHAR), CAST(para_idx AS VARCHAR), CAST(piece_idx AS VARCHAR))) AS h FROM chunks),
+one AS (SELECT key AS a, row_number() OVER (ORDER BY h, key) AS rank FROM named WHERE {_strip('text')} <> '' ORDER BY h, key LIMIT 8),
+two AS (
+  SELECT a, b, row_number() OVER (ORDER BY h, a, b) + 8 AS rank FROM (
+    SELECT a, b, md5(concat_ws('|', 'debate', {", ".join(f"CAST({s}[{i}] AS VARCHAR)" for s in "ab" for i in (1, 2, 3))})) AS h FROM similar_pairs)
+  ORDER BY h, a, b LIMIT 2),
+mix AS (SELECT a, NULL AS b, rank FROM one UNION ALL SELECT a, b, rank FROM two)
+SELECT rank, {MIX_CASE} AS evolution, x.text AS text_a, x.filename AS file_a, y.text AS text_b, y.filename AS file_b
+FROM mix JOIN named x ON x.key = mix.a LEFT JOIN named y ON y.key = mix.b""")

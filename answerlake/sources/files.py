@@ -26,10 +26,10 @@ def scan_text_dir(spark: SparkSession, path: str, suffix: str = "*.txt", recursi
 
 
 def read_csv_header(spark: SparkSession, path: str) -> DataFrame:
-    """S3: CSV with a header; values may hold doubled quotes and commas, so the
-    escape character is the quote itself.  A leading BOM is dropped."""
-    return (spark.read.option("header", True).option("quote", '"').option("escape", '"')
-            .option("multiLine", True).option("encoding", "UTF-8").csv(path))
+    """S3: CSV with a header; values may hold doubled quotes, commas and line
+    breaks.  Files are read by byte ranges; a leading BOM is dropped."""
+    from answerlake.sources.split_csv import read_csv_splits
+    return read_csv_splits(spark, path)
 
 
 def read_csv_first_column(spark: SparkSession, path: str, out: str = "question") -> DataFrame:
