@@ -1,25 +1,38 @@
 """Benchmark decontamination: a generalised suffix automaton of the test items.
 
-The normalised items become one automaton of word ids. Each document's words
-stream through it; the state knows the longest piece of any item that ends at
-the current word. Wherever that length reaches the window, the whole matched
-stretch is benchmark text. Items shorter than the window count as one window.
+The normalised items become automata of word ids, one for each block of about
+``BLOCK_WORDS`` words. Document words stream through them; the state knows the
+longest piece of any item that ends at the current word. Wherever that length
+reaches the window, the whole matched stretch is benchmark text. Items shorter
+than the window count as one window.
+
+Automata are built and used inside tasks, as flat integer arrays; neither they
+nor items come to the driver. A filter of the items' neighbouring words, a
+bitmap of 2 ** PAIR_BITS bits (16 MiB) whatever the benchmark, is merged from
+all tasks and broadcast; only stretches of documents all of whose neighbours
+pass it can hold a window, and only these go to the blocks. A fuller filter
+sends more, it loses none. The stretches of a block are dealt into groups of
+about ``GROUP_BYTES``; each group builds its automaton anew.
 
 Nulls and texts without a word have no words: no hits, not contaminated.
 Repeated rows are judged each for itself; items with equal ids count as one
-item; items without a word or id match nothing. An empty table gives an empty
-result; an empty benchmark gives no hits.
+item; items without a word or id match nothing. Ties: an item is listed once
+however often it occurs. Very long texts are scanned whole. The columns added
+win over clashing ones. An empty table gives an empty result; an empty
+benchmark gives no hits.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+from array import array
 from collections import defaultdict
-from collections.abc import Iterable
-from itertools import repeat
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,14 +40,15 @@ from pyspark.sql import types as T
 from answerlake.llm import common
 
 WINDOW = 10
-#: Words of one automaton, about. More items than that go into further automata, which are built and pass over the documents one by one.
-BLOCK_WORDS = 2_000_000
+#: Words of one automaton, about; bytes of the stretches that one group scans, about.
+BLOCK_WORDS, GROUP_BYTES = 500_000, 16 << 20
+#: Bits of the filter of neighbouring words, as a power of two, and bits that are merged at a time.
+PAIR_BITS, _PIECE_BITS = 27, 19
 #: A document with a larger share of hit words goes as a whole; from others the hit spans are cut.
 MAX_COVERAGE = 0.5
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-_BITS = 22
 
 
 def words(text: str | None) -> list[bytes]:
@@ -43,68 +57,75 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Automaton:
-    """Generalised suffix automaton of word sequences, with the items behind each window."""
+    """Generalised suffix automaton of word sequences, with the items behind each window.
+
+    States and edges are numbers in flat arrays; the edges of a state are a
+    linked list, and found by (state, word).
+    """
 
     def __init__(self, items: Iterable[tuple[str, list[bytes]]], window: int = WINDOW):
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
+        self.link, self.length, self.first = array("i", [-1]), array("i", [0]), array("i", [-1])
+        self.word, self.to, self.after = array("i"), array("i"), array("i")
+        self.edge: dict[int, int] = {}
         sequences = []
         for name, item in items:
             if item:
-                ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in item]
+                ids = array("i", [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in item])
                 sequences.append((name, ids))
                 last = 0
                 for c in ids:
                     last = self._extend(last, c)
         self._mark(sequences)
-        self.shortest = min([window, *(len(ids) for _, ids in sequences)])
-        self.pairs = np.zeros(1 << _BITS, bool)
-        for _, ids in sequences:
-            a = np.asarray(ids, np.uint64)
-            self.pairs[self._slot(a[:-1], a[1:])] = True
-
-    @staticmethod
-    def _slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return ((a * np.uint64(0x9E3779B1) + b) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)
-
-    def _state(self, length: int, link: int, edges: dict[int, int]) -> int:
-        self.next.append(edges)
+
+    def _state(self, length: int, link: int) -> int:
         self.link.append(link)
         self.length.append(length)
-        return len(self.next) - 1
+        self.first.append(-1)
+        return len(self.link) - 1
+
+    def _add(self, state: int, c: int, to: int) -> None:
+        self.edge[state << 32 | c] = len(self.to)
+        self.word.append(c)
+        self.to.append(to)
+        self.after.append(self.first[state])
+        self.first[state] = len(self.to) - 1
 
     def _split(self, p: int, c: int) -> int:
         """The state reached from ``p`` by ``c`` that is exactly one word longer than ``p``."""
-        q = self.next[p][c]
+        q = self.to[self.edge[p << 32 | c]]
         if self.length[q] == self.length[p] + 1:
             return q
-        copy = self._state(self.length[p] + 1, self.link[q], dict(self.next[q]))
+        copy = self._state(self.length[p] + 1, self.link[q])
+        e = self.first[q]
+        while e >= 0:
+            self._add(copy, self.word[e], self.to[e])
+            e = self.after[e]
         self.link[q] = copy
-        while p >= 0 and self.next[p].get(c) == q:
-            self.next[p][c] = copy
+        while p >= 0 and (e := self.edge.get(p << 32 | c, -1)) >= 0 and self.to[e] == q:
+            self.to[e] = copy
             p = self.link[p]
         return copy
 
     def _extend(self, last: int, c: int) -> int:
-        if c in self.next[last]:
+        if last << 32 | c in self.edge:
             return self._split(last, c)
-        new, p = self._state(self.length[last] + 1, 0, {}), last
-        while p >= 0 and c not in self.next[p]:
-            self.next[p][c] = new
+        new, p = self._state(self.length[last] + 1, 0), last
+        while p >= 0 and p << 32 | c not in self.edge:
+            self._add(p, c, new)
             p = self.link[p]
         if p >= 0:
             self.link[new] = self._split(p, c)
         return new
 
-    def _mark(self, sequences: list[tuple[str, list[int]]]) -> None:
+    def _mark(self, sequences: list[tuple[str, array]]) -> None:
         """Items of each window state, and short items that end in each state."""
-        size = len(self.next)
-        order = sorted(range(size), key=self.length.__getitem__)
+        lengths = np.frombuffer(self.length, np.int32)
+        order = np.argsort(lengths, kind="stable")[1:].tolist()
         #: The state of the last ``window`` words, where as many are matched.
-        self.cut = [-1] * size
-        for v in order[1:]:
+        self.cut = array("i", [-1]) * len(lengths)
+        for v in order:
             up = self.link[v]
             self.cut[v] = self.cut[up] if self.length[up] >= self.window else v if self.length[v] >= self.window else -1
         self.items: dict[int, set[str]] = defaultdict(set)
@@ -112,74 +133,128 @@ class Automaton:
         for name, ids in sequences:
             v = 0
             for n, c in enumerate(ids, 1):
-                v = self.next[v][c]
+                v = self.to[self.edge[v << 32 | c]]
                 if n >= self.window:
                     self.items[self.cut[v]].add(name)
             if len(ids) < self.window:
                 ends[v].append((len(ids), name))
-        self.short: list[tuple[tuple[int, str], ...]] = [()] * size
-        for v in order[1:]:
-            self.short[v] = (*self.short[self.link[v]], *ends.get(v, ()))
+        #: Items shorter than a window that end in a state, for states that have some.
+        self.short: dict[int, tuple[tuple[int, str], ...]] = {}
+        if ends:
+            for v in order:
+                own = (*self.short.get(self.link[v], ()), *ends.get(v, ()))
+                if own:
+                    self.short[v] = own
 
     def scan(self, text: list[bytes]) -> tuple[list[tuple[int, int]], set[str], int]:
         """Merged spans of hit words, the items with an occurring window, and the longest match."""
-        n = len(text)
-        if n < self.shortest or not self.vocabulary:
-            return [], set(), 0
-        ids = np.fromiter(map(self.vocabulary.get, text, repeat(0)), np.uint64, n)
-        # Only stretches whose neighbouring words are neighbours in some item can hold a window.
-        if self.shortest == 1:
-            near = np.flatnonzero(ids)
-            if not len(near):
-                return [], set(), 0
-            breaks = np.flatnonzero(np.diff(near) > 1)
-            starts, stops = near[np.r_[0, breaks + 1]], near[np.r_[breaks, len(near) - 1]] + 1
-        else:
-            ok = np.zeros(n + 1, np.int8)
-            ok[1:n] = self.pairs[self._slot(ids[:-1], ids[1:])] & (ids[:-1] > 0) & (ids[1:] > 0)
-            turns = np.flatnonzero(np.diff(ok))
-            starts, stops = turns[::2], turns[1::2] + 1
-            long = stops - starts >= self.shortest
-            starts, stops = starts[long], stops[long]
         spans: list[list[int]] = []
         found: set[str] = set()
-        longest = 0
-        for a, b in zip(starts.tolist(), stops.tolist()):
-            v = length = 0
-            for i, c in enumerate(ids[a:b].tolist(), a):
-                edges = self.next
-                while v and c not in edges[v]:
-                    v = self.link[v]
-                    length = self.length[v]
-                if c in edges[v]:
-                    v, length = edges[v][c], length + 1
-                longest = max(longest, length)
-                hit = 0
-                if length >= self.window:
-                    hit = length
-                    found |= self.items[self.cut[v]]
-                for size, name in self.short[v]:
-                    if size <= length:
-                        hit = max(hit, size)
-                        found.add(name)
-                if hit:
-                    start = i - hit + 1
-                    while spans and spans[-1][1] >= start:
-                        start = min(start, spans.pop()[0])
-                    spans.append([start, i + 1])
+        longest = v = length = 0
+        edge, to, link, lengths = self.edge, self.to, self.link, self.length
+        for i, word in enumerate(text):
+            c = self.vocabulary.get(word)
+            if c is None:
+                v = length = 0
+                continue
+            e = edge.get(v << 32 | c)
+            while e is None and v:
+                v = link[v]
+                length = lengths[v]
+                e = edge.get(v << 32 | c)
+            if e is not None:
+                v, length = to[e], length + 1
+            longest = max(longest, length)
+            hit = 0
+            if length >= self.window:
+                hit = length
+                found |= self.items[self.cut[v]]
+            for size, name in self.short.get(v, ()):
+                if size <= length:
+                    hit = max(hit, size)
+                    found.add(name)
+            if hit:
+                start = i - hit + 1
+                while spans and spans[-1][1] >= start:
+                    start = min(start, spans.pop()[0])
+                spans.append([start, i + 1])
         return [tuple(s) for s in spans], found, longest
 
 
-def _items(benchmark: DataFrame, id_column: str, text_column: str, block_words: int) -> tuple[DataFrame, int]:
-    """Distinct items (i, t, block) in the shared folder and the number of blocks; each has about ``block_words`` words at most."""
-    rows = (benchmark.select(F.col(id_column).cast("string").alias("i"), F.col(text_column).alias("t"))
-            .filter("i IS NOT NULL AND t IS NOT NULL").distinct())
-    rows = common.stored(rows.withColumn("n", F.regexp_count(common.lower_ascii(F.col("t")), F.lit(common.TERM)).cast("long")), "leak-items")
-    blocks = max(1, -(-(rows.agg(F.sum("n").alias("n")).first()["n"] or 0) // block_words))
-    return rows.select("i", "t", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)).alias("block")), blocks
+# --- the filter of neighbouring words --------------------------------------------------------------------------------
+
+
+def _hashes(tokens: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
+
+
+def _pair_cells(h: np.ndarray, bits: int) -> np.ndarray:
+    """The cell of every word and its neighbour."""
+    return ((h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)
+
+
+def _single_cells(h: np.ndarray, bits: int) -> np.ndarray:
+    """The cell of a word that is an item by itself."""
+    return (h * np.uint64(0xC4CEB9FE1A85EC53)) >> np.uint64(64 - bits)
+
+
+def _filter(items: DataFrame, bits: int) -> np.ndarray:
+    """The bitmap of all items' cells: tasks send the pieces that they set bits in, which are merged by piece."""
+    piece = min(bits, _PIECE_BITS)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for text in batch.column(0):
+                h = _hashes(words(text.as_py()))
+                for cell in (_single_cells(h, bits) if len(h) == 1 else _pair_cells(h, bits)).tolist() if len(h) else ():
+                    block = held.get(cell >> piece)
+                    if block is None:
+                        block = held[cell >> piece] = np.zeros(1 << piece, bool)
+                    block[cell & ((1 << piece) - 1)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.packbits(b).tobytes() for b in held.values()], pa.binary())], names=["piece", "bits"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        out = np.zeros((1 << piece) >> 3, np.uint8)
+        for part in table.column("bits"):
+            out |= np.frombuffer(part.as_buffer(), np.uint8)
+        return pa.table([table.column("piece").slice(0, 1), pa.array([out.tobytes()], pa.binary())], names=["piece", "bits"])
+
+    out = np.zeros((1 << bits) >> 3, np.uint8)
+    width = (1 << piece) >> 3
+    for row in items.select("t").mapInArrow(cells, "piece int, bits binary").groupBy("piece").applyInArrow(merge, "piece int, bits binary").toLocalIterator():
+        out[row["piece"] * width:(row["piece"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def _passes(bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    return (bitmap[cells >> np.uint64(3)] >> (np.uint64(7) - (cells & np.uint64(7))).astype(np.uint8)) & 1 == 1
+
+
+def stretches(tokens: list[bytes], bitmap: np.ndarray, bits: int, shortest: int, singles: bool) -> list[tuple[int, int]]:
+    """Runs of words that may hold a window: ``shortest`` words at least whose neighbours all pass, or single words."""
+    n = len(tokens)
+    if not n:
+        return []
+    h = _hashes(tokens)
+    inside = _passes(bitmap, _single_cells(h, bits)) if singles else np.zeros(n, bool)
+    if n > 1 and shortest:
+        ok = np.zeros(n + 1, np.int8)
+        ok[1:n] = _passes(bitmap, _pair_cells(h, bits))
+        turns = np.flatnonzero(np.diff(ok))
+        starts, stops = turns[::2], turns[1::2] + 1
+        long = stops - starts >= shortest
+        for a, b in zip(starts[long].tolist(), stops[long].tolist()):
+            inside[a:b] = True
+    turns = np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(np.int8), [0]])))
+    return list(zip(turns[::2].tolist(), turns[1::2].tolist()))
+
+
+# --- documents -------------------------------------------------------------------------------------------------------
 
 
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
+_STRETCH = T.ArrayType(T.StructType([T.StructField("at", T.LongType()), T.StructField("words", T.BinaryType())]))
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -192,61 +267,85 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _matches(stretched: DataFrame, items: DataFrame, total: int, window: int, block_words: int, group_bytes: int) -> DataFrame:
+    """(uid, s, i, m): spans, items and longest match of each row's stretches, by block and group."""
+    blocks = max(1, -(-total // block_words))
+    rows = stretched.select("uid", F.explode("stretches").alias("x")).select("uid", "x.at", "x.words")
+    size = rows.agg(F.sum(F.octet_length("words")).alias("n")).first()["n"] or 0
+    groups = max(1, -(-size // group_bytes))
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    left = items.select(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)).cast("int").alias("block"), every(groups, "part"), "i", "t")
+    right = rows.select(every(blocks, "block"), F.pmod(F.xxhash64("uid", "at"), F.lit(groups)).cast("int").alias("part"), "uid", "at", "words")
+    schema = "uid long, s array<struct<start: long, stop: long>>, i array<string>, m long"
+
+    def match(own: pa.Table, texts: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], [], []]
+        if texts.num_rows and own.num_rows:
+            automaton = Automaton(((i.as_py(), words(t.as_py())) for i, t in zip(own.column("i"), own.column("t"))), window)
+            for uid, at, text in zip(texts.column("uid"), texts.column("at"), texts.column("words")):
+                spans, found, longest = automaton.scan(text.as_py().split(b" "))
+                if longest:
+                    start = at.as_py()
+                    for column, value in zip(out, (uid.as_py(), [{"start": a + start, "stop": b + start} for a, b in spans], sorted(found), longest)):
+                        column.append(value)
+        types = (pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.list_(pa.string()), pa.int64())
+        return pa.table([pa.array(c, t) for c, t in zip(out, types)], names=["uid", "s", "i", "m"])
+
+    return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(match, schema)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", id_column: str = "item_id",
-               item_column: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS,
-               keep: list[str] | None = None) -> DataFrame:
+               item_column: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, group_bytes: int = GROUP_BYTES,
+               pair_bits: int = PAIR_BITS, keep: list[str] | None = None) -> DataFrame:
     """Add n_words, leak_spans (word positions), leak_items (distinct item ids) and leak_longest to every row."""
     spark = common.ready(docs.sparkSession)
     fields = [T.StructField("n_words", T.LongType()), T.StructField("leak_spans", SPAN),
               T.StructField("leak_items", T.ArrayType(T.StringType())), T.StructField("leak_longest", T.LongType())]
-    items, blocks = _items(benchmark, id_column, item_column, block_words)
+    items = benchmark.select(F.col(id_column).cast("string").alias("i"), F.col(item_column).cast("string").alias("t")).filter("i IS NOT NULL AND t IS NOT NULL").distinct()
+    n = F.regexp_count(common.lower_ascii(F.col("t")), F.lit(common.TERM)).cast("long")
+    items = common.stored(items.withColumn("n", n).filter("n > 0"), "leak-items")
+    facts = items.agg(F.sum("n").alias("total"), F.min(F.when(F.col("n") > 1, F.col("n"))).alias("least"), F.count_if(F.col("n") == 1).alias("single")).first()
+    shortest, singles = min(window, facts["least"] or 0), facts["single"] > 0 or window == 1
     docs = common.without(docs, *(f.name for f in fields))
     kept = [c for c in (docs.columns if keep is None else keep) if c not in {f.name for f in fields}]
+    shared = spark.sparkContext.broadcast(_filter(items, pair_bits))
 
-    def scanned(rows: DataFrame, block: int, columns: list[str]):
-        """``rows`` with the hits of one block, whose automaton only the tasks hold once this is over."""
-        shared = spark.sparkContext.broadcast(Automaton(((r["i"], words(r["t"])) for r in items.filter(F.col("block") == block).toLocalIterator()), window))
-
-        def make():
-            scan = shared.value.scan
+    def make():
+        number = [TaskContext.get().partitionId() << 33]
+
+        def work(texts):
+            out = [[], [], []]
+            for text in texts:
+                tokens = words(text)
+                if window == 1:
+                    found = [(0, len(tokens))] if tokens else []
+                else:
+                    found = stretches(tokens, shared.value, pair_bits, shortest, singles)
+                number[0] += 1
+                for column, value in zip(out, (number[0], len(tokens), [{"at": a, "words": b" ".join(tokens[a:b])} for a, b in found] or None)):
+                    column.append(value)
+            return out
+        return work
 
-            def work(texts):
-                result = [[], [], [], []]
-                for text in texts:
-                    tokens = words(text)
-                    s, names, most = scan(tokens)
-                    for column, value in zip(result, (len(tokens), [{"start": a, "stop": b} for a, b in s], sorted(names), most)):
-                        column.append(value)
-                return result
-
-            return work
-
-        return common.add_columns(rows, [text_column], fields, make, columns), shared
-
-    if blocks == 1:
-        return scanned(docs, 0, kept)[0]
-    # Written once, so that the row numbers stay what they are; of each block only the matches are.
-    row = F.struct(*[F.col(f"`{c}`") for c in kept])
-    whole = common.stored(docs.select(row.alias("row"), F.col(f"`{text_column}`").alias(text_column)).withColumn("uid", F.monotonically_increasing_id()), "leak-rows")
-    matches = None
-    for block in range(blocks):
-        found, shared = scanned(whole.select("uid", text_column), block, ["uid"])
-        part = common.stored(found.filter("leak_longest > 0").drop("n_words"), "leak-block")
-        shared.destroy()
-        matches = part if matches is None else matches.unionByName(part)
-    merged = matches.groupBy("uid").agg(F.flatten(F.collect_list("leak_spans")).alias("s"), F.flatten(F.collect_list("leak_items")).alias("i"),
-                                        F.max("leak_longest").alias("m"))
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row") if kept else F.struct(F.lit(0).alias("none")).alias("row")
+    marks = [T.StructField("uid", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("stretches", _STRETCH)]
+    # Written once, so that the row numbers stay what they are; only rows with a stretch go further.
+    whole = common.stored(common.add_columns(docs.select(row, F.col(f"`{text_column}`").cast("string").alias("text")), ["text"], marks, make, ["row"]), "leak-rows")
+    marked = whole.filter("stretches IS NOT NULL")
+    found = _matches(marked.select("uid", "stretches"), items, facts["total"] or 0, window, block_words, group_bytes)
+    by_row = found.groupBy("uid").agg(F.flatten(F.collect_list("s")).alias("s"), F.flatten(F.collect_list("i")).alias("i"), F.max("m").alias("m")).withColumnRenamed("uid", "r_uid")
 
-    def make():
-        def work(texts, spans, items, longest):
+    def join():
+        def work(spans, items, longest):
             joined = [_merged([(x["start"], x["stop"]) for x in s or ()]) for s in spans]
-            return [[len(words(t)) for t in texts], [[{"start": a, "stop": b} for a, b in s] for s in joined],
-                    [sorted(set(i or ())) for i in items], [m or 0 for m in longest]]
+            return [[[{"start": a, "stop": b} for a, b in s] for s in joined], [sorted(set(i or ())) for i in items], [m or 0 for m in longest]]
         return work
 
-    rows = whole.join(merged.hint("shuffle_hash"), "uid", "left")
-    out = common.add_columns(rows, [text_column, "s", "i", "m"], fields, make, ["row"])
-    return out.select("row.*", *(f.name for f in fields))
+    rows = marked.select("row", "uid", "n_words").join(by_row.hint("shuffle_hash"), F.col("uid") == F.col("r_uid"), "left")
+    hit = common.add_columns(rows, ["s", "i", "m"], fields[1:], join, ["row", "n_words"])
+    clean = whole.filter("stretches IS NULL").select("row", "n_words", F.array().cast(SPAN).alias("leak_spans"), F.array().cast("array<string>").alias("leak_items"), F.lit(0).cast("long").alias("leak_longest"))
+    out = clean.unionByName(hit)
+    return out.select(*[F.col("row").getField(c).alias(c) for c in kept], *(f.name for f in fields))
 
 
 def hit_words() -> Column:

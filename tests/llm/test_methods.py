@@ -205,28 +205,34 @@ def test_blocks_of_items_give_the_same(spark):
     assert key(one) == key(decontaminate.find_leaks(docs, items, keep=["doc_id"], block_words=400))
 
 
-def test_one_automaton_at_a_time(spark, monkeypatch):
-    """Many blocks: the driver holds one automaton, and no stage chains several."""
-    import gc
-    import weakref
-    alive, most, build = weakref.WeakSet(), [], decontaminate.Automaton.__init__
-
-    def counted(self, *a, **b):
-        gc.collect()
-        most.append(len(alive))
-        alive.add(self)
-        build(self, *a, **b)
-
-    monkeypatch.setattr(decontaminate.Automaton, "__init__", counted)
-    docs = spark.createDataFrame([(1, "some words of item one here"), (2, "nothing"), (3, None)], "doc_id long, text string")
-    items = spark.createDataFrame([(i, f"words of item {w} here a{i}") for i, w in enumerate(["one", "two", "three", "four"] * 3)], "item_id long, text string")
-    out = decontaminate.find_leaks(docs, items, window=3, block_words=12, keep=["doc_id"])
-    assert len(most) > 3 and max(most) == 0
-    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= 2
-    got = {r["doc_id"]: (r["n_words"], [tuple(s) for s in r["leak_spans"]], r["leak_items"], r["leak_longest"]) for r in out.collect()}
-    want = {r["doc_id"]: (r["n_words"], [tuple(s) for s in r["leak_spans"]], r["leak_items"], r["leak_longest"])
-            for r in decontaminate.find_leaks(docs, items, window=3, keep=["doc_id"]).collect()}
-    assert got == want and got[1][2]
+@pytest.mark.parametrize("block,group,bits", [(400, 16 << 20, 27), (3000, 500, 20), (1 << 30, 200, 12), (900, 900, 4)])
+def test_blocks_groups_and_full_filters_lose_nothing(spark, block, group, bits, monkeypatch):
+    """Down to a filter that lets everything pass; no automaton is built on the driver."""
+    docs, items = common.documents(spark, SF, "doc_id", "text"), common.table(spark, SF, "benchmark")
+    key = lambda df: sorted((r["doc_id"], r["n_words"], tuple(map(tuple, r["leak_spans"])), tuple(r["leak_items"])) for r in df.collect())
+    monkeypatch.setattr(decontaminate.Automaton, "__init__", lambda *a: pytest.fail("built on the driver"))
+    got = decontaminate.find_leaks(docs, items, keep=["doc_id"], block_words=block, group_bytes=group, pair_bits=bits)
+    assert key(got) == key(decontaminate.find_leaks(docs, items, keep=["doc_id"]))
+    assert any(r["leak_spans"] for r in got.collect())
+
+
+def test_short_items_and_single_words(spark):
+    docs = spark.createDataFrame([(1, "see the Zygote, and a red fox there"), (2, "zygote"), (3, "red and fox"), (4, ""), (5, "fox red fox")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "zygote"), (2, "red fox"), (3, "a b c d e f g h i j k l"), (4, "!")], "item_id long, text string")
+    got = {r["doc_id"]: ([tuple(s) for s in r["leak_spans"]], r["leak_items"]) for r in decontaminate.find_leaks(docs, items, keep=["doc_id"]).collect()}
+    assert got == {1: ([(2, 3), (5, 7)], ["1", "2"]), 2: ([(0, 1)], ["1"]), 3: ([], []), 4: ([], []), 5: ([(1, 3)], ["2"])}
+
+
+def test_automaton_arrays_are_small():
+    """A block of the size given stays under a gigabyte."""
+    import tracemalloc
+    rng = random.Random(2)
+    items = [(str(i), [b"w%d" % int(rng.paretovariate(0.5) % 60_000) for _ in range(100)]) for i in range(500)]
+    tracemalloc.start()
+    automaton = decontaminate.Automaton(items)
+    used = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(automaton.link) < 100_000 and used * decontaminate.BLOCK_WORDS / 50_000 < 1 << 30
 
 
 def test_leaks_are_cut_and_clean_documents_stay(spark):
