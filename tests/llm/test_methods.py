@@ -475,6 +475,29 @@ def test_damage_is_found(spark, tmp_path):
         warc.read_payloads(spark, f"{tmp_path}/bad").collect()
 
 
+def test_repeated_rows_have_records_of_their_own(spark, tmp_path):
+    """What the query returns is read from the rebuilt records, revisits by the id that their header names."""
+    df = spark.createDataFrame([(2, "u", "a"), (2, "u", "a"), (1, "u", "a"), (None, "u", "a"), (3, "v", None)], "page_id long, url string, html string")
+    path = warc.write_archive(df.repartition(3), str(tmp_path / "archive"))
+    rows = warc.rebuilt(spark, path).collect()
+    assert len({r["record_id"] for r in rows}) == 5 and spark.read.parquet(f"{path}/headers").columns == ["sha256", "header"]
+    assert sorted((str(r["page_id"]), r["record_type"], r["payload_bytes"], r["refers_to"]) for r in rows) == [
+        ("1", "revisit", 1, 2), ("2", "response", 1, None), ("2", "response", 1, None), ("3", "response", 0, None), ("None", "revisit", 1, 2)]
+
+
+def test_missing_and_changed_records_are_found(spark, tmp_path):
+    df = spark.createDataFrame([(1, "u", "text"), (2, "u", "text")], "page_id long, url string, html string")
+    path = warc.write_archive(df, str(tmp_path / "archive"))
+    headers = spark.read.parquet(f"{path}/headers")
+    payloads = spark.read.parquet(f"{path}/payloads")
+    for name, rows, message in (("gone", headers.filter("header LIKE '%revisit%'"), "nothing to revisit"),
+                                ("short", headers.withColumn("header", F.replace("header", F.lit("Content-Length: 4"), F.lit("Content-Length: 3"))), "differ")):
+        payloads.write.parquet(f"{tmp_path}/{name}/payloads")
+        rows.write.parquet(f"{tmp_path}/{name}/headers")
+        with pytest.raises(Exception, match=message):
+            warc.rebuilt(spark, f"{tmp_path}/{name}").collect()
+
+
 # --- urls ------------------------------------------------------------------------------------------------------------
 
 
