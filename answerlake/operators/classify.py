@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from answerlake.operators import retrieval as R
 from answerlake.operators.tfidf import build_index, vectorize
@@ -58,19 +59,25 @@ def _centroid_blocks(cents: DataFrame, label_col: str, max_bytes: int) -> Iterat
 
 def classify_centroid(vectors: DataFrame, cents: DataFrame, id_col: str = "vec_id",
                       vec_col: str = "embedding", label_col: str = "label",
-                      min_score: float = 0.0, max_bytes: int = CENTROID_BYTES) -> DataFrame:
+                      min_score: float = 0.0, max_bytes: int = CENTROID_BYTES, names: DataFrame | None = None) -> DataFrame:
     """Nearest centroid by cosine; below ``min_score`` (or no score) -> ``Other``.
 
     Each pass holds a block of centroids of at most ``max_bytes`` as one matrix
     per vector length and keeps the best label of every vector, so vectors are
     neither joined nor shuffled.  Ties go to the smallest label.  A vector of a
-    length that no centroid has, or of zero norm, has no score.  Labels are
-    named by the taxonomy; a label beyond it is ``Other``.
+    length that no centroid has, or of zero norm, has no score.  Labels are of
+    any type.  ``names`` is a table (``label_col``, ``category``); without it
+    whole numbers are positions in the taxonomy and other labels name
+    themselves.  A label without a name is ``Other``.
     """
     types = {f.name: f.dataType for f in vectors.schema.fields}
+    label_type = cents.schema[label_col].dataType
+    whole = isinstance(label_type, T.IntegralType)
+    label_type = T.LongType() if whole else label_type
+    label_arrow = to_arrow_type(label_type)
     schema = T.StructType([T.StructField(id_col, types[id_col]), T.StructField(vec_col, types[vec_col]),
-                           T.StructField("_label", T.LongType()), T.StructField("score", T.DoubleType())])
-    out = vectors.select(id_col, vec_col, F.lit(None).cast("long").alias("_label"), F.lit(None).cast("double").alias("score"))
+                           T.StructField("_label", label_type), T.StructField("score", T.DoubleType())])
+    out = vectors.select(id_col, vec_col, F.lit(None).cast(label_type).alias("_label"), F.lit(None).cast("double").alias("score"))
     for labels, rows in _centroid_blocks(cents, label_col, max_bytes):
         shared = vectors.sparkSession.sparkContext.broadcast((labels, rows))
 
@@ -105,13 +112,19 @@ def classify_centroid(vectors: DataFrame, cents: DataFrame, id_col: str = "vec_i
                         old = best_score[row]
                         key = (-ranked[i, j], names[j])
                         if old is None or key < (-round(old, R.RANK_DIGITS), best_label[row]):
-                            best_label[row], best_score[row] = int(names[j]), float(score[i, j])
-                yield pa.RecordBatch.from_arrays([rb.column(0), vec, pa.array(best_label, pa.int64()), pa.array(best_score, pa.float64())],
+                            best_label[row], best_score[row] = (int(names[j]) if whole else names[j]), float(score[i, j])
+                yield pa.RecordBatch.from_arrays([rb.column(0), vec, pa.array(best_label, label_arrow), pa.array(best_score, pa.float64())],
                                                  names=[id_col, vec_col, "_label", "score"])
 
         out = out.mapInArrow(run, schema)
-    # a position past the end of the taxonomy has no name
-    label_name = F.get(F.array(*[F.lit(t) for t in TAXONOMY]), F.col("_label").cast("int"))
+    if names is not None:
+        out = out.join(names.select(F.col(label_col).alias("_named"), F.col("category").alias("_name")), F.col("_label") == F.col("_named"), "left")
+        label_name = F.col("_name")
+    elif whole:
+        # a position past the end of the taxonomy has no name
+        label_name = F.get(F.array(*[F.lit(t) for t in TAXONOMY]), F.col("_label").cast("int"))
+    else:
+        label_name = F.col("_label").cast("string")
     keep = F.col("score").isNotNull() & (F.col("score") >= F.lit(min_score)) & label_name.isNotNull()
     return out.select(id_col, F.when(keep, label_name).otherwise(F.lit(OTHER)).alias("category"), F.col("score"))
 

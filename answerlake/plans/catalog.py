@@ -720,6 +720,48 @@ def q_offtaxonomy_labels(spark, sf):
     return out.select("category", big("n").alias("n"))
 
 
+@query("alias_labels")
+def q_alias_labels(spark, sf):
+    """Off-list labels of the model mapped by an alias table, then counted.  Test role: an
+    off-list label's alias is the taxonomy label at its length."""
+    from answerlake.operators.classify import alias_labels, offtaxonomy
+    from answerlake.sources.inline import TAXONOMY, taxonomy
+    labelled = model_labels(spark, sf)
+    at = (F.length("category") % len(TAXONOMY)).cast("int")
+    aliases = offtaxonomy(labelled, taxonomy(spark)).select(
+        F.concat(F.lit(" "), F.lower("category")).alias("alias"), F.get(F.array(*[F.lit(t) for t in TAXONOMY]), at).alias("label"))
+    out = alias_labels(labelled.select("category"), aliases)
+    return out.groupBy("category").agg(F.count("*").alias("n")).select("category", big("n").alias("n"))
+
+
+def _length_label(texts):
+    """Deterministic stand-in for a classifying model; it fails on some texts."""
+    from answerlake.sources.inline import TAXONOMY
+
+    def one(text: str) -> str:
+        if len(text) % 10 == 0:
+            raise ValueError("no label")
+        return TAXONOMY[len(text) % len(TAXONOMY)]
+    return texts.map(one)
+
+
+@query("classify_hook")
+def q_classify_hook(spark, sf):
+    """H1 + P25: labels of a user's model, NULL and its error where it fails."""
+    from answerlake.operators.classify import classify_with
+    out = classify_with(C.questions(spark, sf), _length_label)
+    return out.select(big("item_id").alias("item_id"), "category", F.col("category_error").alias("error"))
+
+
+@query("token_hook")
+def q_token_hook(spark, sf):
+    """H4: a user's token counter beside the built-in one."""
+    from answerlake.functions.text import token_count
+    from answerlake.operators.classify import token_udf
+    words = token_udf(lambda t: len(t.split(" ")))
+    return C.questions(spark, sf).select(big("item_id").alias("item_id"), words("text").alias("n_own"), big(token_count("text")).alias("n_tokens"))
+
+
 @query("stub_category")
 def q_stub_category(spark, sf):
     from answerlake.operators.classify import stub_category
@@ -878,6 +920,18 @@ def q_scan_txt_dir(spark, sf):
                                        big(F.sum(F.size(F.split("text", "\n")) - 1)).alias("n_lines"))
 
 
+@query("scan_paragraphs")
+def q_scan_paragraphs(spark, sf):
+    """S1 + S2 + P1: documents written as text files in folders, read recursively by byte ranges, part by part."""
+    from answerlake.session import shared_path
+    from answerlake.sources.split_text import read_paragraphs
+    path = shared_path(spark, "corpus")
+    C.documents(spark, sf).select("source", "text").write.partitionBy("source").text(path)
+    parts = read_paragraphs(spark, path, breaks=1, recursive=True).filter("text <> ''")
+    return parts.groupBy(F.regexp_extract("path", r"source=([^/]+)/", 1).alias("source")).agg(
+        big(F.count("*")).alias("n_parts"), big(F.sum(F.length("text"))).alias("n_chars"), big(F.sum(F.ascii("text"))).alias("first_letters"))
+
+
 # ------------------------------------------------------------- streaming ----
 
 def _vote_candidate(ev: DataFrame) -> DataFrame:
@@ -927,6 +981,19 @@ def q_stream_milestones(spark, sf):
                                           big("event_id").alias("event_id"))
 
 
+@query("stream_milestones_state")
+def q_stream_milestones_state(spark, sf):
+    """ST3: the same awards from state that is kept between batches."""
+    from answerlake.operators.engagement import engagement_events, milestone_events, milestones
+    from answerlake.sources.inline import badge_rules
+    from answerlake.streaming.live import stream_table
+    from answerlake.streaming.stateful import first_events
+    rules = badge_rules(spark)
+    top = rules.agg(F.max("n").alias("n")).first()["n"]
+    first = first_events(spark, milestone_events(engagement_events(stream_table(spark, sf, "events"))), top)
+    return milestones(first, rules).select(big("user_id").alias("user_id"), big("badge_id").alias("badge_id"), big("event_id").alias("event_id"))
+
+
 @query("stream_answer")
 def q_stream_answer(spark, sf):
     """ST4: questions arrive as a stream and are answered in each micro-batch
@@ -1044,6 +1111,34 @@ def q_request_bodies(spark, sf):
                     big("r.max_tokens").alias("max_tokens"), F.col("r.temperature").alias("temperature"), F.col("r.top_p").alias("top_p"))
 
 
+def _stub_completion(bodies):
+    """Deterministic stand-in for a chat model: answers with the end of what it was asked."""
+    import json
+
+    def one(body: str) -> str:
+        asked = json.loads(body)["messages"][-1]["content"]
+        return json.dumps({"choices": [{"message": {"role": "assistant", "content": f"  Answer: {asked[-40:]}\n"}}]})
+    return bodies.map(one)
+
+
+@query("completion_records")
+def q_completion_records(spark, sf):
+    """H3 + F7 + F8 + K4: built prompts become request bodies, a model answers them, the answers become records."""
+    from answerlake.functions.payloads import request_body, response_content
+    from answerlake.operators.classify import complete_with
+    from answerlake.session import shared_path
+    from answerlake.sinks.writers import append_rows
+    from answerlake.sources.inline import SYSTEM_ENDPOINT
+    prompts = _context_prompts(spark, sf)
+    asked = prompts.filter("prompt IS NOT NULL").select("item_id", request_body("endpoint", F.col("prompt"), F.lit(SYSTEM_ENDPOINT)).alias("body"))
+    answered = complete_with(asked, _stub_completion, prompt_col="body", out_col="reply")
+    records = answered.select(big("item_id").alias("query_id"), F.lit(1).cast("bigint").alias("candidate_id"), response_content(F.col("reply")).alias("response"),
+                              F.col("reply_error").alias("error"), F.lit(0).cast("bigint").alias("user_voted"))
+    path = shared_path(spark, "completion-records")
+    append_rows(records, path)
+    return spark.read.parquet(path)
+
+
 @query("debate_summary")
 def q_debate_summary(spark, sf):
     """Every question with the name of the picked candidate (none picked

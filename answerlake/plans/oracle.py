@@ -961,3 +961,33 @@ two AS (
 mix AS (SELECT a, NULL AS b, rank FROM one UNION ALL SELECT a, b, rank FROM two)
 SELECT rank, {MIX_CASE} AS evolution, x.text AS text_a, x.filename AS file_a, y.text AS text_b, y.filename AS file_b
 FROM mix JOIN named x ON x.key = mix.a LEFT JOIN named y ON y.key = mix.b""")
+
+oracle("alias_labels", f"""
+WITH w AS (SELECT regexp_extract(text, '\\p{{L}}+', 0) AS w FROM conversations WHERE role = 'assistant'),
+l AS (SELECT upper(substring(w, 1, 1)) || lower(substring(w, 2, 1048576)) AS category FROM w),
+m AS (SELECT CASE WHEN category IN (SELECT unnest({TAX_LIST[:-1]}, 'Other'])) THEN category
+                  ELSE ({TAX_LIST})[length(category) % {len(TAXONOMY)} + 1] END AS category FROM l)
+SELECT category, count(*) AS n FROM m GROUP BY category""")
+
+oracle("classify_hook", f"""
+SELECT CAST(item_id AS BIGINT) AS item_id, CASE WHEN length(text) % 10 <> 0 THEN ({TAX_LIST})[length(text) % {len(TAXONOMY)} + 1] END AS category,
+       CASE WHEN length(text) % 10 = 0 THEN 'no label' END AS error
+FROM benchmark""")
+
+oracle("token_hook", f"""
+SELECT CAST(item_id AS BIGINT) AS item_id, CAST(len(string_split(text, ' ')) AS BIGINT) AS n_own,
+       CAST(len(regexp_extract_all(text, '{TOKEN_PATTERN}')) AS BIGINT) AS n_tokens
+FROM benchmark""")
+
+oracle("completion_records", f"""
+WITH p AS ({ORACLE["context_prompts"]})
+SELECT item_id AS query_id, CAST(1 AS BIGINT) AS candidate_id, {_strip("'  Answer: ' || right(prompt, 40) || chr(10)")} AS response,
+       CAST(NULL AS VARCHAR) AS error, CAST(0 AS BIGINT) AS user_voted
+FROM p WHERE prompt IS NOT NULL""")
+
+oracle("scan_paragraphs", """
+WITH p AS (SELECT source, unnest(string_split(text, chr(10))) AS text FROM documents)
+SELECT source, count(*) AS n_parts, CAST(sum(length(text)) AS BIGINT) AS n_chars, CAST(sum(ascii(text)) AS BIGINT) AS first_letters
+FROM p WHERE text <> '' GROUP BY source""")
+
+oracle("stream_milestones_state", ORACLE["milestones"])

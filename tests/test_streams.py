@@ -27,7 +27,7 @@ def rows(df):
     return sorted((tuple(r) for r in df.select(*sorted(df.columns)).collect()), key=str)
 
 
-@pytest.mark.parametrize("name, twin", [("stream_milestones", "milestones"), ("stream_answer", "retrieve_top1")])
+@pytest.mark.parametrize("name, twin", [("stream_milestones", "milestones"), ("stream_milestones_state", "milestones"), ("stream_answer", "retrieve_top1")])
 def test_stream_equals_batch(spark, parts, name, twin):
     assert rows(QUERIES[name](spark, parts)) == rows(QUERIES[twin](spark, SF))
 
@@ -88,3 +88,34 @@ def test_first_rows_split_over_batches_equal_one_batch(spark):
     batches = [live.first_rows(df.filter(F.col("id") % 4 == k), ["u"], ["ts", "id"], 7) for k in range(4)]
     merged = batches[0].union(batches[1]).union(batches[2]).union(batches[3])
     assert rows(live.first_rows(merged, ["u"], ["ts", "id"], 7)) == rows(whole)
+
+
+def test_state_of_first_events_over_batches_and_a_restart(spark, tmp_path):
+    """Three batches over two runs, late and replayed events, one hot user: the batch result, from bounded state."""
+    import random
+
+    from answerlake.streaming import stateful
+    r = random.Random(4)
+    events = [(1 if r.random() < 0.4 else r.randrange(2, 9), r.choice(["vote", "question"]), r.randrange(10**6), i) for i in range(600)]
+    folder, out = str(tmp_path), str(tmp_path / "out")
+
+    def add(rows):
+        df = spark.createDataFrame(rows, "user_id long, kind string, s long, event_id long")
+        df.select("user_id", "kind", F.timestamp_seconds("s").alias("ts"), "event_id").coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+
+    def run():
+        return stateful.first_events(spark, live.stream_table(spark, folder, "events", max_files=1), 5, path=out)
+
+    add(events[:200])
+    add(events[200:400])
+    run()
+    add(events[400:] + events[:50])  # events of the first batch once more
+    got = {tuple(x) for x in run().select("user_id", "kind", F.unix_seconds("ts"), "event_id").collect()}
+    assert spark.read.parquet(out).select("epoch").distinct().count() == 3
+    by_group = {}
+    for user, kind, at, event in events:
+        by_group.setdefault((user, kind), []).append((at, event))
+    assert got == {(*g, *x) for g, xs in by_group.items() for x in sorted(xs)[:5]}
+    # no group ever put out more than the first five
+    sizes = spark.read.parquet(out).groupBy("user_id", "kind", "part", "epoch").count().agg(F.max("count")).first()[0]
+    assert sizes <= 5 and spark.read.parquet(out).filter("user_id = 1").select("part").distinct().count() > 4
