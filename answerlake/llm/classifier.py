@@ -10,7 +10,10 @@ Null and empty texts have all-zero statistics and a score like any other.
 A document with several labels counts with their mean; labels without a
 document, documents without a label and null labels teach nothing. Without any
 label the score is 0.5. Repeated rows are scored alike, and their labels count
-as often. An empty table gives an empty result.
+as often. Ties: documents of one raw score share a calibrated one. Very long
+texts are measured whole. Standardised statistics are held within 8 deviations
+and raw scores within -1 and 2, so that no single document sways the fit. The
+columns added win over clashing ones. An empty table gives an empty result.
 """
 
 from __future__ import annotations

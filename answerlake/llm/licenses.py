@@ -9,8 +9,9 @@ runs within a length like the template's. Only DataFrame functions run; the
 templates are a fixed table, so their side of the join is broadcast.
 
 Null and empty texts have no words and no labels. Rows with equal id and text
-are one document to the vote and get the same labels each. An empty table
-gives an empty result.
+are one document to the vote and get the same labels each. Ties: labels are
+listed once each, sorted. Very long texts are read whole. The columns added win
+over clashing ones. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -15,8 +15,9 @@ stands alone says nothing about its rule, and accuracies and the prior stay at
 the plain EM, which the SQL states.
 
 Null and empty texts have no words, every count is 0 and they fail the base
-check. Texts of any length are handled whole, within their row. Repeated rows
-are judged alike. An empty table gives an empty result.
+check. Texts of any length, very long ones too, are handled whole, within their
+row. Repeated rows are judged alike. Ties: a posterior at the bound is kept.
+The columns added win over clashing ones. An empty table gives an empty result.
 """
 
 from __future__ import annotations

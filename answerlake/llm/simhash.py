@@ -17,7 +17,9 @@ of max_bits + 1 groups of these agrees as well and joins the key.
 Nulls, empty texts and texts without a word get fingerprint zero, linked like
 any other. Equal fingerprints are one class, so copies never meet in pairs.
 Repeated rows are in one component. A row without doc_id gets its component's
-smallest doc_id, null if there is none. An empty table gives an empty result.
+smallest doc_id, null if there is none. Ties: a bit set in exactly half the
+shingles is 0. Very long texts are hashed whole. The columns added win over
+clashing ones. An empty table gives an empty result.
 """
 
 from __future__ import annotations

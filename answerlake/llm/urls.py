@@ -7,8 +7,10 @@ scored by joining their n-grams, once for each distinct host and path, to the
 weights (at most ``DIMENSIONS`` rows, broadcast). Only DataFrame functions run.
 
 A null url, or one without "://", has empty host and path, fits no rule and is
-judged by the model on no features. Urls of any length are judged whole.
-Repeated rows are judged alike; an empty table gives an empty result.
+judged by the model on no features. Urls of any length, very long ones too, are
+judged whole. Ties: of rules of one length the first listed wins, a probability
+of exactly one half blocks. The columns added win over clashing ones. Repeated
+rows are judged alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
