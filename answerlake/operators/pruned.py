@@ -36,6 +36,8 @@ FINE, COARSE = 4, 8
 SEEDS = 2
 #: Bytes of a bucket's postings, about, and files of a bucket.
 BUCKET_BYTES, SPREAD = 32 << 20, 4
+#: Distinct terms of a question set that are broadcast, at most (a few megabytes).
+BROADCAST_TERMS = 100_000
 #: Bounds are compared with this much room for sums in another order; ranks round to 9 digits.
 ROOM = 1e-8
 
@@ -108,9 +110,15 @@ class Search:
         terms = index.question_terms(questions, q_keys, text_col)
         needed = index.buckets_of(terms)
         self.terms = terms.drop("bucket")
-        self.blocks = index.table(index.blocks_at, needed)
+        own = self.terms.select("term").distinct()
+        # A term list that is counted small goes to the blocks, instead of the blocks to it.
+        few = own.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+        own = F.broadcast(own) if few else own
+        #: Blocks and bounds of the questions' terms alone, read once for all steps.
+        self.blocks = stored(index.table(index.blocks_at, needed).join(own, "term", "left_semi"), "question-blocks")
         #: (q, coarse, most): what a question can score at most in each coarse range.
-        self.coarse = stored(_bound(self.terms.join(index.table(index.bounds_at, needed), "term"), "coarse"), "coarse-bounds")
+        bounds = index.table(index.bounds_at, needed).join(own, "term", "left_semi")
+        self.coarse = stored(_bound(self.terms.join(bounds, "term"), "coarse"), "coarse-bounds")
 
     def _fine(self, ranges: DataFrame, least: F.Column) -> DataFrame:
         """Fine ranges within (q, coarse, least) whose bound reaches ``least``."""

@@ -125,20 +125,18 @@ def q_tfidf_postings(spark, sf):
 # ------------------------------------------------------------- retrieval ----
 
 def _top1(spark, sf, allow_zero: bool) -> DataFrame:
-    from answerlake.operators.pruned import Search
-    ix = C.paragraph_blocks(spark, sf)
-    qs = C.questions(spark, sf)
-    best = Search(ix, qs, ["item_id"]).top1()
-    qs = qs.select("item_id")
+    ix = C.paragraph_index(spark, sf)
+    best = C.score_top1(C.question_vectors(spark, sf, ix.idf), ix, ["item_id"], C.PARA_KEYS)
+    qs = C.questions(spark, sf).select("item_id")
     if allow_zero:
         # Literal variant: with no term overlap the first paragraph of the
         # corpus wins with score 0 (unless its text is empty).
-        first = ix.texts.agg(F.min(F.struct(*[F.col(k) for k in C.PARA_KEYS]))).scalar()
+        first = ix.units.agg(F.min(F.struct(*[F.col(k) for k in C.PARA_KEYS]))).scalar()
         zero = (qs.join(best.select("item_id"), "item_id", "left_anti")
                 .select("item_id", *[first.getField(k).alias(k) for k in C.PARA_KEYS],
                         F.lit(0.0).alias("score")))
         best = best.unionByName(zero)
-    return top1_answers(qs, best, stored_paragraphs(ix))
+    return top1_answers(qs, best, stored_paragraphs(ix.units))
 
 
 def top1_answers(qs: DataFrame, best: DataFrame, paras: DataFrame) -> DataFrame:
@@ -162,9 +160,9 @@ def q_retrieve_top1_allow_zero(spark, sf):
     return _top1(spark, sf, allow_zero=True)
 
 
-def threshold_hits(spark, sf) -> DataFrame:
-    from answerlake.operators.pruned import Search
-    return Search(C.chunk_blocks(spark, sf), C.questions(spark, sf), ["item_id"]).above(C.THRESHOLD)
+def threshold_hits(spark, sf, ix=None) -> DataFrame:
+    ix = ix or C.chunk_index(spark, sf)
+    return C.score_threshold(C.question_vectors(spark, sf, ix.idf), ix, C.CHUNK_KEYS, C.THRESHOLD)
 
 
 @query("retrieve_threshold")
@@ -175,6 +173,16 @@ def q_retrieve_threshold(spark, sf):
                        r6("score").alias("score"))
 
 
+@query("pruned_threshold")
+def q_pruned_threshold(spark, sf):
+    """The same rows from posting blocks: only those whose bounds reach the threshold are scored."""
+    from answerlake.operators.pruned import Search
+    hits = Search(C.chunk_blocks(spark, sf), C.questions(spark, sf), ["item_id"]).above(C.THRESHOLD)
+    return hits.select(big("item_id").alias("item_id"), big("doc_id").alias("doc_id"),
+                       big("para_idx").alias("para_idx"), big("piece_idx").alias("piece_idx"),
+                       r6("score").alias("score"))
+
+
 @query("retrieve_best_per_pack")
 def q_retrieve_best_per_pack(spark, sf):
     p = _token_paragraphs(spark, sf)
@@ -465,7 +473,7 @@ def q_debate_day_first(spark, sf):
 def chunk_hits_with_text(spark, sf) -> DataFrame:
     """Threshold hits with their chunk text and file name."""
     ix = C.chunk_index(spark, sf)
-    hits = threshold_hits(spark, sf)
+    hits = threshold_hits(spark, sf, ix)
     chunks = C.filename(ix.units).select(*C.CHUNK_KEYS, "text", "filename")
     return hits.join(chunks, list(C.CHUNK_KEYS))
 
@@ -1004,15 +1012,15 @@ def q_stream_answer(spark, sf):
     return run_to_table(spark, stream_table(spark, sf, "benchmark"), "answers", batch_fn=lambda batch: served(ix, batch)).drop("epoch")
 
 
-def stored_paragraphs(ix) -> DataFrame:
-    return C.filename(ix.texts).select(*C.PARA_KEYS, "filename", F.col("text").alias("retrieved_text"))
+def stored_paragraphs(texts: DataFrame) -> DataFrame:
+    return C.filename(texts).select(*C.PARA_KEYS, "filename", F.col("text").alias("retrieved_text"))
 
 
 def served(ix, questions: DataFrame) -> DataFrame:
     """One answer row per question from published blocks."""
     from answerlake.operators.pruned import Search
     best = Search(ix, questions, ["item_id"]).top1()
-    return top1_answers(questions.select("item_id"), best, stored_paragraphs(ix))
+    return top1_answers(questions.select("item_id"), best, stored_paragraphs(ix.texts))
 
 
 @query("serve_top1")

@@ -102,6 +102,19 @@ def question_vectors(spark: SparkSession, sf_dir: str, idf: DataFrame) -> DataFr
 
 # ------------------------------------------------------------- scoring ----
 
+def score_top1(qv: DataFrame, index: Index, q_keys, d_keys) -> DataFrame:
+    """Best text per question (ties: smallest ``d_keys``)."""
+    from answerlake.operators import retrieval as R
+    from answerlake.operators.scoring import score_index
+    return R.top1(score_index(qv, index.forward, q_keys[0], d_keys, "top1"), q_keys, d_keys)
+
+
+def score_threshold(qv: DataFrame, index: Index, d_keys, threshold: float) -> DataFrame:
+    """Every (question, text) scoring strictly above ``threshold``."""
+    from answerlake.operators.scoring import score_index
+    return score_index(qv, index.forward, "item_id", d_keys, "threshold", threshold=threshold)
+
+
 def score_group_best(qv: DataFrame, index: Index, groups: DataFrame, group_keys, inner_keys) -> DataFrame:
     """Best text per (question, group); ``groups`` maps texts to groups."""
     from answerlake.operators import retrieval as R

@@ -991,3 +991,5 @@ SELECT source, count(*) AS n_parts, CAST(sum(length(text)) AS BIGINT) AS n_chars
 FROM p WHERE text <> '' GROUP BY source""")
 
 oracle("stream_milestones_state", ORACLE["milestones"])
+
+oracle("pruned_threshold", ORACLE["retrieve_threshold"])
