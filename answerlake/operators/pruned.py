@@ -7,8 +7,9 @@ within a coarse range is kept apart.  No text of a range can score more with a
 question than the sum of question weight times bound over their shared terms.
 
 For top-1 each question first scores the texts of its most promising coarse
-ranges, which gives a score to beat; then only coarse ranges, and in them only
-fine ranges, whose bounds reach it are scored.  For a threshold the threshold
+ranges, which gives a score to beat, then the most promising fine ranges within
+the coarse ones whose bounds reach it, which raises it; then only fine ranges
+whose bounds reach that are scored.  For a threshold the threshold
 is what bounds have to reach.  Results are those of scoring everything.
 
 Everything is joins on terms and ranges and partial sums: neither questions nor
@@ -32,8 +33,8 @@ from answerlake.sources import storage
 
 #: Texts of a fine and of a coarse range, as powers of two.
 FINE, COARSE = 4, 8
-#: Coarse ranges that a question scores first.
-SEEDS = 2
+#: Coarse ranges that a question scores first, and fine ranges that it scores next.
+SEEDS, NEXT = 2, 8
 #: Bytes of a bucket's postings, about, and files of a bucket.
 BUCKET_BYTES, SPREAD = 32 << 20, 4
 #: Distinct terms of a question set that are broadcast, at most (a few megabytes).
@@ -121,23 +122,34 @@ class Search:
         self.coarse = stored(_bound(self.terms.join(bounds, "term"), "coarse"), "coarse-bounds")
 
     def _fine(self, ranges: DataFrame, least: F.Column) -> DataFrame:
-        """Fine ranges within (q, coarse, least) whose bound reaches ``least``."""
+        """(q, fine, most, least): fine ranges within (q, coarse, least) whose bound reaches ``least``."""
         rows = ranges.join(self.terms, "q").join(self.blocks.select("term", "coarse", "fine", "bound"), ["term", "coarse"])
         bounds = rows.groupBy("q", "fine", least.alias("least")).agg(F.sum(F.col("qweight") * F.col("bound")).alias("most"))
-        return bounds.filter(F.col("most") >= F.col("least") - ROOM).select("q", "fine")
+        return bounds.filter(F.col("most") >= F.col("least") - ROOM)
+
+    def _best(self, ranges: DataFrame, what: str, n: int) -> DataFrame:
+        """The ``n`` ranges of each question with the largest bounds."""
+        rank = F.row_number().over(W.partitionBy("q").orderBy(F.col("most").desc(), what))
+        return stored(ranges.withColumn("rank", rank).filter(F.col("rank") <= n).select("q", what), f"best-{what}")
 
     def needed_for_top1(self) -> tuple[DataFrame, DataFrame]:
-        """Scores of the first ranges, and the other fine ranges that can hold something as good."""
-        rank = F.row_number().over(W.partitionBy("q").orderBy(F.col("most").desc(), "coarse"))
-        first = stored(self.coarse.withColumn("rank", rank).filter(F.col("rank") <= SEEDS).select("q", "coarse"), "first-ranges")
-        seeds = stored(_scores(first, self.terms, self.blocks, "coarse"), "first-scores")
-        beat = seeds.groupBy("q").agg(F.max("score").alias("least"))
+        """Scores of the most promising ranges, and the other fine ranges that can hold something as good."""
+        first = self._best(self.coarse, "coarse", SEEDS)
+        scores = stored(_scores(first, self.terms, self.blocks, "coarse"), "first-scores")
+        beat = scores.groupBy("q").agg(F.max("score").alias("least"))
         open_ = self.coarse.join(beat, "q").filter(F.col("most") >= F.col("least") - ROOM).join(first, ["q", "coarse"], "left_anti")
-        return seeds, stored(self._fine(open_.select("q", "coarse", "least"), F.col("least")), "fine-ranges")
+        fine = stored(self._fine(open_.select("q", "coarse", "least"), F.col("least")), "fine-bounds")
+        second = self._best(fine, "fine", NEXT)
+        scores = stored(scores.unionByName(_scores(second, self.terms, self.blocks, "fine")), "next-scores")
+        beat = scores.groupBy("q").agg(F.max("score").alias("best"))
+        rest = fine.join(beat, "q").filter(F.col("most") >= F.col("best") - ROOM).join(second, ["q", "fine"], "left_anti")
+        self.scored = [(first, "coarse"), (second, "fine")]
+        return scores, stored(rest.select("q", "fine"), "fine-ranges")
 
     def needed_for_threshold(self, threshold: float) -> DataFrame:
         open_ = self.coarse.filter(F.col("most") >= threshold - ROOM)
-        return stored(self._fine(open_.select("q", "coarse"), F.lit(float(threshold))), "fine-ranges")
+        self.scored = []
+        return stored(self._fine(open_.select("q", "coarse"), F.lit(float(threshold))).select("q", "fine"), "fine-ranges")
 
     def _keyed(self, scores: DataFrame) -> DataFrame:
         places = self.index.places.select(*self.index.keys, F.col("place").alias("p"))
@@ -156,13 +168,11 @@ class Search:
         fine = self.needed_for_threshold(threshold)
         return self._keyed(_scores(fine, self.terms, self.blocks, "fine").filter(F.col("score") > F.lit(float(threshold))))
 
-    def blocks_read(self, fine: DataFrame, first: bool = False) -> tuple[int, int]:
-        """Blocks that scoring reads, and all blocks of the questions' terms."""
-        terms = self.terms.select("term").distinct()
-        of_terms = self.blocks.select("term", "coarse", "fine").join(terms, "term")
-        read = fine.join(self.terms, "q").join(of_terms, ["term", "fine"]).select("term", "fine")
-        if first:
-            rank = F.row_number().over(W.partitionBy("q").orderBy(F.col("most").desc(), "coarse"))
-            seeds = self.coarse.withColumn("rank", rank).filter(F.col("rank") <= SEEDS).select("q", "coarse")
-            read = read.unionByName(seeds.join(self.terms, "q").join(of_terms, ["term", "coarse"]).select("term", "fine"))
-        return read.distinct().count(), of_terms.count()
+    def blocks_read(self, fine: DataFrame) -> tuple[int, int]:
+        """Blocks that scoring reads, those scored before ``fine`` included, and all blocks of the questions' terms."""
+        own = self.blocks.select("term", "coarse", "fine")
+        read = [ranges.join(self.terms, "q").join(own, ["term", what]).select("term", "fine") for ranges, what in [(fine, "fine"), *self.scored]]
+        whole = read[0]
+        for part in read[1:]:
+            whole = whole.unionByName(part)
+        return whole.distinct().count(), own.count()

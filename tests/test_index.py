@@ -122,7 +122,7 @@ def test_one_build_per_input(spark, monkeypatch, tmp_path):
 
 @pytest.mark.parametrize("fine,coarse,seeds,bucket", [(4, 8, 2, 32 << 20), (0, 1, 1, 2000), (1, 3, 3, 500)])
 def test_pruned_is_scoring_everything(spark, monkeypatch, fine, coarse, seeds, bucket):
-    for name, value in (("FINE", fine), ("COARSE", coarse), ("SEEDS", seeds), ("BUCKET_BYTES", bucket)):
+    for name, value in (("FINE", fine), ("COARSE", coarse), ("SEEDS", seeds), ("NEXT", 2 * seeds), ("BUCKET_BYTES", bucket)):
         monkeypatch.setattr(pruned, name, value)
     path = shared_path(spark, "segments")
     units = texts(spark, fine, range(60))
@@ -144,7 +144,7 @@ def test_fewer_than_half_of_the_blocks_are_read(spark):
     sf = "/root/testdata/sf0.1"
     search = pruned.Search(C.paragraph_blocks(spark, sf), C.questions(spark, sf), ["item_id"])
     _, fine = search.needed_for_top1()
-    read, there = search.blocks_read(fine, first=True)
+    read, there = search.blocks_read(fine)
     assert 0 < read < there / 2, (read, there)
     search = pruned.Search(C.chunk_blocks(spark, sf), C.questions(spark, sf), ["item_id"])
     read, there = search.blocks_read(search.needed_for_threshold(C.THRESHOLD))
@@ -159,6 +159,7 @@ def test_few_questions_read_few_buckets(spark, monkeypatch):
     assert index.buckets > 16
     one = C.questions(spark, "/root/testdata/sf0.001").filter("item_id = 1").select("item_id", F.substring("text", 1, 60).alias("text"))
     search = pruned.Search(index, one, ["item_id"])
-    plan = search.blocks._jdf.queryExecution().executedPlan().toString()
+    plan = index.table(index.blocks_at, index.buckets_of(search.terms.withColumn("bucket", index.bucket())))._jdf.queryExecution().executedPlan().toString()
     scan = plan.split("PartitionFilters: [bucket", 1)[1].split("]", 1)[0]
     assert 0 < len(scan.split("IN (", 1)[1].split(",")) < index.buckets / 2
+    assert search.top1().count() == 1
