@@ -163,3 +163,16 @@ def test_few_questions_read_few_buckets(spark, monkeypatch):
     scan = plan.split("PartitionFilters: [bucket", 1)[1].split("]", 1)[0]
     assert 0 < len(scan.split("IN (", 1)[1].split(",")) < index.buckets / 2
     assert search.top1().count() == 1
+
+
+def test_terms_of_a_block_meet_the_vocabulary_once(spark):
+    """Weighing joins the distinct terms of blocks, not postings; equal and null keys and null texts as in one full build."""
+    path = shared_path(spark, "segments")
+    rows = [(f"d{i % 40}" if i % 7 else None, i % 3 or None, "src", f"the of alpha{i} beta{i % 5} the" if i % 11 else None) for i in range(200)]
+    units = spark.createDataFrame(rows, "doc string, idx int, source string, text string")
+    m = segments.append(units, path, KEYS, ["one"], keep=("source",))
+    index, full = segments.open_index(spark, path), build_index(units, KEYS, keep=("source",))
+    key = lambda r: (str(r["doc"]), str(r["idx"]), r["term"], r["tf"], round(r["weight"], 12))
+    assert sorted(map(key, index.postings.collect())) == sorted(map(key, full.postings.collect()))
+    plan = segments._weighted(spark, path, m, index.idf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroups" in plan and "collect_list" not in plan
