@@ -100,3 +100,12 @@ def test_text_labels_and_text_ids(spark):
     asked = spark.createDataFrame([("first", "x", 1.0), ("second", "y", 1.0)], "qid string, term string, qweight double")
     scores = score_index(asked, forward, "qid", ["uid"], "threshold", threshold=0.0)
     assert sorted(map(tuple, scores.collect())) == [("first", "t1", 1.0), ("second", "t2", 0.5)]
+
+
+def test_unlike_classes_of_a_frequent_term_leave_no_pair(spark):
+    """Parities reject them where the keys meet, so the join itself puts out similar classes alone."""
+    texts = [(i, ["often", *[f"w{i}x{j}" for j in range(3)]]) for i in range(300)] + [(900, ["a", "b", "c", "d"]), (901, ["a", "b", "c", "e"])]
+    sets = similar.classes(spark.createDataFrame(texts, "id int, terms array<string>"), ["id"])
+    found = similar.similar_classes(sets.select("class", "set"), 0.6)
+    assert [(r["n_shared"], r["similarity"]) for r in found.collect()] == [(3, 0.6)]
+    assert "bit_count" in found._jdf.queryExecution().optimizedPlan().toString()
