@@ -25,6 +25,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,6 +124,30 @@ def _kernel(qs: _Questions, d_keys: Sequence[str], q_key: str, mode: str,
     return run
 
 
+def with_asked_terms(forward: DataFrame, qvec: DataFrame, d_keys: Sequence[str],
+                     max_question_postings: int = MAX_QUESTION_POSTINGS) -> DataFrame:
+    """A forward index with those items alone whose terms some question has: all that scoring uses, before it goes
+    through a join.  Past the bound on questions it is returned as it is."""
+    asked = qvec.select("term").distinct().limit(max_question_postings + 1).toArrow().column("term").combine_chunks()
+    if len(asked) > max_question_postings:
+        return forward
+    slim = forward.select(*d_keys, "items")
+    names = slim.columns
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = batch.column("items")
+            flat = items.flatten()
+            known = pc.is_in(flat.field("term"), value_set=asked).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(items).to_numpy(zero_copy_only=False))[known]
+            ends = np.r_[0, np.cumsum(np.bincount(row, minlength=batch.num_rows))]
+            left = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.filter(pa.array(known)))
+            whole = pa.RecordBatch.from_arrays([*batch.columns[:-1], left], names=names)
+            yield whole.filter(pa.array(np.diff(ends) > 0))
+
+    return slim.mapInArrow(keep, slim.schema)
+
+
 def score_index(qvec: DataFrame, forward: DataFrame, q_key: str, d_keys: Sequence[str], mode: str,
                 threshold: float | None = None, group_keys: Sequence[str] = (),
                 max_question_postings: int = MAX_QUESTION_POSTINGS) -> DataFrame:

@@ -44,3 +44,11 @@ def test_pairs_are_bounded(sides, most, monkeypatch):
         out.append((rows + at, i, score))
         at += part.num_rows
     assert at == batch.num_rows and all(np.allclose(np.concatenate(c), w) for c, w in zip(zip(*out), whole))
+
+
+def test_only_asked_terms_go_through_the_join_with_groups(spark):
+    forward = spark.createDataFrame([("t1", [("x", 1.0), ("z", 2.0)]), ("t2", [("y", 0.5)]), (None, [("z", 1.0)])], "uid string, items array<struct<term: string, weight: double>>")
+    asked = spark.createDataFrame([("q", "x", 1.0), ("r", "z", 1.0)], "qid string, term string, qweight double")
+    got = {r["uid"]: [tuple(i) for i in r["items"]] for r in scoring.with_asked_terms(forward, asked, ["uid"]).collect()}
+    assert got == {"t1": [("x", 1.0), ("z", 2.0)], None: [("z", 1.0)]}
+    assert scoring.with_asked_terms(forward, asked, ["uid"], max_question_postings=1).count() == 3
