@@ -46,7 +46,7 @@ def test_csv_by_ranges_is_the_csv_module(spark, small_splits, tmp_path, size):
 
 def test_one_large_file_is_read_by_several_tasks(spark, small_splits, tmp_path):
     """200 MB in one file, values with line breaks; a record over each edge."""
-    line = '"{i}","' + "some words, a ""quoted"" one\nand a second line " * 40 + '"\n'
+    line = '"{i}","' + 'some words, a ""quoted"" one\nand a second line ' * 40 + '"\n'
     with open(tmp_path / "big.csv", "w") as out:
         out.write("id,text\n")
         for at in range(0, 100_000, 1000):
