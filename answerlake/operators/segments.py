@@ -36,6 +36,8 @@ from answerlake.sources import storage
 
 #: Stored bytes of term counts, about, that a task weighs at a time.
 BLOCK_BYTES = 4 << 20
+#: Bits of a text's number within its block.
+BLOCK_BITS = 32
 #: Compression of what is stored.
 PACKED = "zstd"
 
@@ -153,11 +155,12 @@ def vocabulary(spark: SparkSession, path: str, m: Manifest) -> DataFrame:
 
 
 def _weighted(spark: SparkSession, path: str, m: Manifest, idf: DataFrame) -> DataFrame:
-    """One row a text: items with term, tf and the L2-normalised weight, sorted by term.
+    """One row a text: items with term, tf and the L2-normalised weight, sorted by term; its length before that as ``norm``.
 
     Texts are dealt to blocks by their keys.  Each distinct term of a block,
     not each posting, meets the vocabulary, so a term that all texts have is
     one row a block there; a block then weighs its texts with its own terms.
+    ``place`` numbers texts: within a block those with about as many terms are neighbours.
     """
     size = sum(storage.folder_bytes(spark, f"{path}/segments/{s['id']}/forward") for s in m.segments)
     blocks = max(spark.sparkContext.defaultParallelism, -(-size // BLOCK_BYTES))
@@ -166,7 +169,7 @@ def _weighted(spark: SparkSession, path: str, m: Manifest, idf: DataFrame) -> Da
     forward = live(spark, path, m, "forward").select(*m.keys, "items", F.pmod(F.xxhash64(*m.keys), F.lit(blocks)).alias("block")).filter(F.size("items") > 0)
     own = forward.select("block", F.explode("items.term").alias("term")).distinct().join(idf.select("term", "idf"), "term").select(F.col("block").alias("part"), "term", "idf")
     item = T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("weight", T.DoubleType())])
-    schema = T.StructType([*[forward.schema[k] for k in m.keys], T.StructField("items", T.ArrayType(item))])
+    schema = T.StructType([*[forward.schema[k] for k in m.keys], T.StructField("items", T.ArrayType(item)), T.StructField("place", T.LongType()), T.StructField("norm", T.DoubleType())])
     sent = forward.select(*m.keys, F.array_join("items.term", " ").alias("terms"), numbers.alias("tfs"), "block")
     return sent.groupBy("block").cogroup(own.groupBy("part")).applyInArrow(_weigh(m.keys), schema)
 
@@ -190,14 +193,21 @@ def _weigh(keys: Sequence[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
         code = pc.fill_null(pc.index_in(terms.flatten(), value_set=term), -1).to_numpy(zero_copy_only=False)
         known = code >= 0
         parent, tf, code = parent[known], tf[known], code[known]
+        order = np.argsort(np.bincount(parent, minlength=n), kind="stable")
+        rank = np.empty(n, np.int64)
+        rank[order] = np.arange(n)
+        parent, first = rank[parent], first[order]
         at = np.lexsort((tf, code, parent))
         parent, tf, code = parent[at], tf[at], code[at]
         w = tf * idf[code]
-        weight = w / np.sqrt(np.bincount(parent, w * w, minlength=n))[parent]
+        norm = np.sqrt(np.bincount(parent, w * w, minlength=n))
+        weight = w / norm[parent]
         ends = np.r_[0, np.cumsum(np.bincount(parent, minlength=n))]
         out = pa.StructArray.from_arrays([term.take(pa.array(code)), pa.array(tf), pa.array(weight)], names=["term", "tf", "weight"])
         rows = texts.select(list(keys)).take(pa.array(first))
-        return rows.append_column("items", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), out))
+        place = np.arange(n) + ((texts.column("block")[0].as_py() << BLOCK_BITS) if n else 0)
+        rows = rows.append_column("items", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), out))
+        return rows.append_column("place", pa.array(place, pa.int64())).append_column("norm", pa.array(norm, pa.float64()))
 
     return weigh
 
