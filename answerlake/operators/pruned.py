@@ -126,7 +126,10 @@ def _gather(coarse_bits: int, most: int) -> Callable[[Iterator[pa.RecordBatch]],
         start = _starts(place >> coarse_bits, code)
         ends = pa.array(np.r_[start, len(code)], pa.int32())
         tf, weight = (flat.field(f).to_numpy(zero_copy_only=False)[order] for f in ("tf", "weight"))
-        bound = np.nextafter(np.maximum.reduceat(weight, start).astype(np.float32), np.float32(np.inf))  # not below any weight
+        # A text that was given twice has a term twice, and scores with both.
+        text = _starts(place, code)
+        most_in = np.maximum.reduceat(np.add.reduceat(weight, text), np.searchsorted(text, start))
+        bound = np.nextafter(most_in.astype(np.float32), np.float32(np.inf))  # not below any text's weight
         at = (place & ((1 << coarse_bits) - 1)).astype(np.int16)
         return pa.RecordBatch.from_arrays(
             [term.dictionary.take(pa.array(code[start])), pa.array(place[start] >> coarse_bits), pa.array(bound),
@@ -230,6 +233,8 @@ def _shard_kernel(asked: _Asked, fine_bits: int, coarse_bits: int, what: str, le
             weight, term = tf * asked.idf[term[row]] / norm, term[row]
             order = np.lexsort((place, term, place >> fine_bits))
             place, weight, term = place[order], weight[order], term[order]
+            text = _starts(place, term)  # a text that was given twice has a term twice
+            place, weight, term = place[text], np.add.reduceat(weight, text), term[text]
             first = _starts(place >> fine_bits, term)
             size, fine, term = np.diff(np.r_[first, len(place)]), place[first] >> fine_bits, term[first]
             bound = np.maximum.reduceat(weight, first)

@@ -209,3 +209,21 @@ def test_pairs_of_questions_and_ranges_do_not_pass_a_shuffle(spark):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     # a search reads its result back: texts meet the few best keys, which are stored
     assert "Aggregate" not in search.top1()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_given_twice_score_with_both(spark, monkeypatch):
+    """Rows with equal keys are one text that has its terms more than once: bounds count them all."""
+    for name, value in (("FINE", 0), ("COARSE", 1), ("SEEDS", 1), ("NEXT", 1)):
+        monkeypatch.setattr(pruned, name, value)
+    path = shared_path(spark, "segments")
+    units = texts(spark, 6, range(40))
+    units = units.unionByName(units.filter("crc32(doc) % 3 = 0")).unionByName(units.filter("crc32(doc) % 9 = 0"))
+    segments.append(units, path, KEYS, ["all"], keep=("source",))
+    questions = spark.createDataFrame([(1, "alpha beta gamma"), (2, "the of"), (3, "delta gamma7 alpha3"), (4, "beta1 beta2 beta3 the")], "qid int, text string")
+    rows = lambda df: sorted((r["qid"], r["doc"], r["idx"], round(r["score"], 9)) for r in df.collect())
+    index = pruned.Blocks(spark, path)
+    everything = R.sparse_scores(vectorize(questions, index.idf, ("qid",)), segments.open_index(spark, path).postings, ["qid"], KEYS)
+    search = pruned.Search(index, questions, ["qid"])
+    assert rows(search.top1()) == rows(R.top1(everything, ["qid"], KEYS))
+    for threshold in (0.3, 0.5, 0.8):
+        assert rows(search.above(threshold)) == rows(everything.filter(F.col("score") > threshold))
