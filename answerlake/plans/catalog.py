@@ -1243,7 +1243,7 @@ def q_similar_chunks(spark, sf):
 @query("similar_classes")
 def q_similar_classes(spark, sf):
     """The representative of every chunk and the size of its class."""
-    _, members = _similar_chunks(spark, sf)
+    members = _similar_chunks(spark, sf).members
     return members.select(*[big(F.col(f"rep.{k}")).alias(f"rep_{k}") for k in C.CHUNK_KEYS], *[big(k).alias(k) for k in C.CHUNK_KEYS], big("size").alias("size"))
 
 
