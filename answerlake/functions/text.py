@@ -57,7 +57,8 @@ def js_trim(col) -> Column:
 
 
 def is_blank(col) -> Column:
-    return py_strip(col) == F.lit("")
+    """Whether ``py_strip`` leaves nothing; the search ends at the first other character."""
+    return ~_c(col).rlike(f"[^{PY_WS}]")
 
 
 def terms(col) -> Column:

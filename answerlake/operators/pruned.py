@@ -65,22 +65,23 @@ class Blocks:
         self.idf, self.texts, self.keys = index.idf, index.units, m.keys
         at = f"{path}/views/{m.version:08d}"
         #: Texts with their numbers and lengths.
-        self.places = index.forward.select(*self.keys, "place", "norm")
-        # The weighted rows hold a posting in more bytes than the blocks do.
-        self.buckets = max(1, -(-storage.folder_bytes(spark, f"{at}/weighted") // BUCKET_BYTES))
+        self.places = index.weighted.select(*self.keys, "place", "norm")
+        # What is stored of the weights takes about half the bytes of a bucket's postings.
+        self.buckets = max(1, -(-2 * storage.folder_bytes(spark, f"{at}/weighted") // BUCKET_BYTES))
         self.blocks_at = f"{at}/blocks"
         if not storage.exists(spark, f"{self.blocks_at}/_SUCCESS"):
-            blocks = self._blocks(index.forward).write.mode("overwrite").option("compression", segments.PACKED)
+            blocks = self._blocks(index.weighted).write.mode("overwrite").option("compression", segments.PACKED)
             blocks.partitionBy("bucket").parquet(self.blocks_at)
 
     def bucket(self) -> F.Column:
         return F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
 
-    def _blocks(self, forward: DataFrame) -> DataFrame:
+    def _blocks(self, weighted: DataFrame) -> DataFrame:
         """(bucket, term, coarse, bound, at, tf): where in the range the term's texts are, and how often they have it."""
-        rows = forward.select("place", "items").mapInArrow(_gather(COARSE, MAX_POSTINGS), "term string, coarse long, bound float, at array<smallint>, tf array<int>")
-        rows = rows.withColumn("bucket", self.bucket())
-        return rows.repartition("bucket", F.pmod(F.xxhash64("coarse"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term", "coarse")
+        buckets = F.transform("items.term", lambda t: F.pmod(F.xxhash64(t), F.lit(self.buckets)).cast("int"))
+        # Blocks travel packed: a row of its own takes several times a block's bytes.
+        rows = weighted.select("place", "norm", "items", buckets.alias("buckets")).mapInArrow(_gather(COARSE, MAX_POSTINGS, self.buckets * SPREAD), "part int, blocks binary")
+        return rows.groupBy("part").applyInArrow(_unpack, "bucket int, term string, coarse long, bound float, at array<smallint>, tf array<int>")
 
     def question_terms(self, questions: DataFrame, q_keys: Sequence[str], text_col: str) -> DataFrame:
         """(q, term, qweight): ``q`` is a struct of the question's keys."""
@@ -112,28 +113,57 @@ def _sums(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return keys, at, np.bincount(at, value, minlength=len(keys))
 
 
-def _gather(coarse_bits: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Blocks of the postings of neighbouring texts; a range that goes over the end of a batch has two blocks a term."""
+_BLOCK = pa.schema([("bucket", pa.int32()), ("term", pa.string()), ("coarse", pa.int64()), ("bound", pa.float32()), ("at", pa.list_(pa.int16())), ("tf", pa.list_(pa.int32()))])
+
+
+def _pack(blocks: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _BLOCK, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(blocks)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(packed: pa.Table) -> pa.Table:
+    """The blocks of a part, those of a term one after the other."""
+    blocks = pa.concat_tables([pa.ipc.open_stream(p.as_buffer()).read_all() for p in packed.column("blocks")])
+    return blocks.take(pc.sort_indices(blocks.select(["term", "coarse"]), sort_keys=[("term", "ascending"), ("coarse", "ascending")]))
+
+
+def _gather(coarse_bits: int, most: int, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of the postings of neighbouring texts, packed by part, a bucket's share of ranges; a range that goes over the end of a batch has two blocks a term."""
     def blocks(batch: pa.RecordBatch) -> pa.RecordBatch:
         items = batch.column("items")
         flat = items.flatten()
         term = flat.field("term").dictionary_encode()
         code = term.indices.to_numpy(zero_copy_only=False)
-        place = np.repeat(batch.column("place").to_numpy(), pc.list_value_length(items).to_numpy(zero_copy_only=False))
+        size = pc.list_value_length(items).to_numpy(zero_copy_only=False)
+        place, norm = (np.repeat(batch.column(c).to_numpy(), size) for c in ("place", "norm"))
+        bucket = np.empty(len(term.dictionary), np.int32)
+        bucket[code] = batch.column("buckets").flatten().to_numpy(zero_copy_only=False)
+        tf, idf = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("tf", "idf"))
+        weight = tf * idf / norm
         # Blocks of a term one after the other: they pack well on their way.
         order = np.lexsort((place, code))
         code, place = code[order], place[order]
         start = _starts(place >> coarse_bits, code)
         ends = pa.array(np.r_[start, len(code)], pa.int32())
-        tf, weight = (flat.field(f).to_numpy(zero_copy_only=False)[order] for f in ("tf", "weight"))
+        tf, weight = tf[order], weight[order]
         # A text that was given twice has a term twice, and scores with both.
         text = _starts(place, code)
         most_in = np.maximum.reduceat(np.add.reduceat(weight, text), np.searchsorted(text, start))
         bound = np.nextafter(most_in.astype(np.float32), np.float32(np.inf))  # not below any text's weight
         at = (place & ((1 << coarse_bits) - 1)).astype(np.int16)
-        return pa.RecordBatch.from_arrays(
-            [term.dictionary.take(pa.array(code[start])), pa.array(place[start] >> coarse_bits), pa.array(bound),
-             pa.ListArray.from_arrays(ends, pa.array(at)), pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int32)))], names=["term", "coarse", "bound", "at", "tf"])
+        coarse, bucket = place[start] >> coarse_bits, bucket[code[start]]
+        whole = pa.RecordBatch.from_arrays(
+            [pa.array(bucket), term.dictionary.take(pa.array(code[start])), pa.array(coarse), pa.array(bound),
+             pa.ListArray.from_arrays(ends, pa.array(at)), pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int32)))], schema=_BLOCK)
+        spread = parts // SPREAD
+        part = bucket + spread * ((coarse + (coarse >> (segments.BLOCK_BITS - coarse_bits))) % SPREAD)
+        order = np.argsort(part, kind="stable")
+        whole, part = whole.take(pa.array(order)), part[order]
+        edges = np.r_[_starts(part), len(part)]
+        packed = [_pack(whole.slice(lo, hi - lo)) for lo, hi in zip(edges[:-1], edges[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]].astype(np.int32)), pa.array(packed, pa.binary())], names=["part", "blocks"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

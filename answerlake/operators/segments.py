@@ -21,21 +21,22 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Sequence
+from functools import cached_property
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from answerlake.functions.text import is_blank
-from answerlake.operators.tfidf import Index, with_term_counts
+from answerlake.operators.tfidf import with_term_counts
 from answerlake.sources import storage
 
 #: Stored bytes of term counts, about, that a task weighs at a time.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 #: Bits of a text's number within its block.
 BLOCK_BITS = 32
 #: Compression of what is stored.
@@ -155,7 +156,7 @@ def vocabulary(spark: SparkSession, path: str, m: Manifest) -> DataFrame:
 
 
 def _weighted(spark: SparkSession, path: str, m: Manifest, idf: DataFrame) -> DataFrame:
-    """One row a text: items with term, tf and the L2-normalised weight, sorted by term; its length before that as ``norm``.
+    """One row a text: items with term, tf and idf, sorted by term; the length of its weights as ``norm``.
 
     Texts are dealt to blocks by their keys.  Each distinct term of a block,
     not each posting, meets the vocabulary, so a term that all texts have is
@@ -168,7 +169,7 @@ def _weighted(spark: SparkSession, path: str, m: Manifest, idf: DataFrame) -> Da
     numbers = F.array_join(F.col("items.tf").cast("array<string>"), " ")
     forward = live(spark, path, m, "forward").select(*m.keys, "items", F.pmod(F.xxhash64(*m.keys), F.lit(blocks)).alias("block")).filter(F.size("items") > 0)
     own = forward.select("block", F.explode("items.term").alias("term")).distinct().join(idf.select("term", "idf"), "term").select(F.col("block").alias("part"), "term", "idf")
-    item = T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("weight", T.DoubleType())])
+    item = T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("idf", T.DoubleType())])
     schema = T.StructType([*[forward.schema[k] for k in m.keys], T.StructField("items", T.ArrayType(item)), T.StructField("place", T.LongType()), T.StructField("norm", T.DoubleType())])
     sent = forward.select(*m.keys, F.array_join("items.term", " ").alias("terms"), numbers.alias("tfs"), "block")
     return sent.groupBy("block").cogroup(own.groupBy("part")).applyInArrow(_weigh(m.keys), schema)
@@ -201,9 +202,8 @@ def _weigh(keys: Sequence[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
         parent, tf, code = parent[at], tf[at], code[at]
         w = tf * idf[code]
         norm = np.sqrt(np.bincount(parent, w * w, minlength=n))
-        weight = w / norm[parent]
         ends = np.r_[0, np.cumsum(np.bincount(parent, minlength=n))]
-        out = pa.StructArray.from_arrays([term.take(pa.array(code)), pa.array(tf), pa.array(weight)], names=["term", "tf", "weight"])
+        out = pa.StructArray.from_arrays([term.take(pa.array(code)), pa.array(tf), pa.array(idf[code])], names=["term", "tf", "idf"])
         rows = texts.select(list(keys)).take(pa.array(first))
         place = np.arange(n) + ((texts.column("block")[0].as_py() << BLOCK_BITS) if n else 0)
         rows = rows.append_column("items", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), out))
@@ -212,14 +212,39 @@ def _weigh(keys: Sequence[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return weigh
 
 
-def open_index(spark: SparkSession, path: str) -> Index:
-    """The newest version as an ``Index``; vocabulary and weights are written by the first that opens it."""
-    m = manifest(spark, path)
-    idf = view(spark, path, m, "vocabulary", lambda: vocabulary(spark, path, m))
-    forward = view(spark, path, m, "weighted", lambda: _weighted(spark, path, m, idf))
-    postings = forward.select(*m.keys, F.explode("items").alias("p")).select(*m.keys, "p.term", "p.tf", "p.weight")
-    terms = postings.select(*m.keys, "term", "tf")
-    return Index(postings, idf, live(spark, path, m, "texts"), sum(s["n_fit"] for s in m.segments), forward, terms)
+class StoredIndex:
+    """One version with the parts of an ``Index``; the vocabulary is written by the first that opens it, weights by the first that asks."""
+
+    def __init__(self, spark: SparkSession, path: str, m: Manifest):
+        self._at = spark, path, m
+        self.idf = view(spark, path, m, "vocabulary", lambda: vocabulary(spark, path, m))
+        self.units, self.n_fit = live(spark, path, m, "texts"), sum(s["n_fit"] for s in m.segments)
+        counted = live(spark, path, m, "forward")
+        self.terms = counted.select(*m.keys, F.explode("items").alias("p")).select(*m.keys, "p.term", "p.tf")
+
+    @cached_property
+    def weighted(self) -> DataFrame:
+        """What is stored of the weights: few different idf pack far better than as many weights as postings."""
+        spark, path, m = self._at
+        return view(spark, path, m, "weighted", lambda: _weighted(spark, path, m, self.idf))
+
+    @cached_property
+    def forward(self) -> DataFrame:
+        def weigh(i: Column) -> Column:
+            return F.struct(i["term"].alias("term"), i["tf"].alias("tf"), (i["tf"] * i["idf"] / F.col("norm")).alias("weight"))
+
+        return self.weighted.withColumn("items", F.transform("items", weigh))
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        keys = self._at[2].keys
+        each = self.weighted.select(*keys, "norm", F.explode("items").alias("p"))
+        return each.select(*keys, "p.term", "p.tf", (F.col("p.tf") * F.col("p.idf") / F.col("norm")).alias("weight"))
+
+
+def open_index(spark: SparkSession, path: str) -> StoredIndex:
+    """The newest version as an index."""
+    return StoredIndex(spark, path, manifest(spark, path))
 
 
 def compact(spark: SparkSession, path: str) -> Manifest:

@@ -58,7 +58,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Changes when stored indexes look different.
-STORE_FORMAT = 2
+STORE_FORMAT = 3
 
 
 def paragraph_store(spark: SparkSession, sf_dir: str) -> str:
