@@ -97,9 +97,47 @@ def _parts(batch: pa.RecordBatch, qs: _Questions) -> Iterator[pa.RecordBatch]:
 
 
 def _kernel(qs: _Questions, d_keys: Sequence[str], q_key: str, mode: str,
-            threshold: float | None, group_keys: Sequence[str]):
+            threshold: float | None, group_keys: Sequence[str], whole_groups: bool = False):
     out_names = [q_key, *d_keys, "score"]
 
+    def codes(cols: list[np.ndarray]) -> list[np.ndarray]:
+        return [pd.factorize(c, use_na_sentinel=False)[0] for c in cols]
+
+    def best(qi: np.ndarray, keys: dict[str, np.ndarray], score: np.ndarray) -> np.ndarray:
+        """The best row of each question and group, first by rounded score, then by the text keys."""
+        part = [qi, *codes([keys[g] for g in group_keys])]
+        order = np.lexsort([keys[k] for k in reversed(d_keys)] + [-np.round(score, RANK_DIGITS)] + list(reversed(part)))
+        grp = np.stack([p[order] for p in part], axis=1)
+        is_first = np.ones(len(order), dtype=bool)
+        is_first[1:] = np.any(grp[1:] != grp[:-1], axis=1)
+        return order[is_first]
+
+    def run_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts lie sorted by group: only the last group of a slice can go on in the next."""
+        held, held_of = None, None
+        for batch in (part for whole in batches if whole.num_rows for part in _parts(whole, qs)):
+            rows, qi, score = _scores(batch, qs)
+            last = tuple(batch.column(g)[batch.num_rows - 1].as_py() for g in group_keys)
+            keys = {k: batch.column(k).take(pa.array(rows)) for k in d_keys}
+            found = pa.table({"_q": pa.array(qi), **keys, "score": pa.array(score)})
+            if held is not None:
+                found = pa.concat_tables([held, found])
+            num = {k: found.column(k).to_numpy() for k in d_keys}
+            found = found.take(pa.array(best(found.column("_q").to_numpy(), num, found.column("score").to_numpy())))
+            ends = np.ones(found.num_rows, bool)
+            for g, v in zip(group_keys, last):
+                col = found.column(g)
+                ends &= (pc.is_null(col) if v is None else pc.fill_null(pc.equal(col, pa.scalar(v, col.type)), False)).to_numpy()
+            held, done = found.filter(pa.array(ends)), found.filter(pa.array(~ends))
+            yield from named(done)
+        if held is not None:
+            yield from named(held)
+
+    def named(found: pa.Table) -> Iterator[pa.RecordBatch]:
+        out = [pa.array(qs.qids[found.column("_q").to_numpy()]), *(found.column(k).combine_chunks() for k in [*d_keys, "score"])]
+        if found.num_rows:
+            yield pa.RecordBatch.from_arrays(out, names=out_names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches if whole.num_rows for part in _parts(whole, qs)):
             rows, qi, score = _scores(batch, qs)
@@ -109,19 +147,28 @@ def _kernel(qs: _Questions, d_keys: Sequence[str], q_key: str, mode: str,
             if mode == "threshold":
                 sel = score > threshold
             else:
-                # best first: question, [group], rounded score desc, then text keys asc
-                part = [qi] + [keys[g] for g in group_keys]
-                order = np.lexsort([keys[k] for k in reversed(d_keys)]
-                                   + [-np.round(score, RANK_DIGITS)] + list(reversed(part)))
-                grp = np.stack([p[order] for p in part], axis=1)
-                is_first = np.ones(len(order), dtype=bool)
-                is_first[1:] = np.any(grp[1:] != grp[:-1], axis=1)
-                sel = order[is_first]
+                sel = best(qi, keys, score)
             cols = [pa.array(qs.qids[qi[sel]])] + [pa.array(keys[k][sel]) for k in d_keys] \
                 + [pa.array(score[sel])]
             yield pa.RecordBatch.from_arrays(cols, names=out_names)
 
-    return run
+    return run_whole if whole_groups else run
+
+
+def best_in_groups(qvec: DataFrame, forward: DataFrame, q_key: str, group_keys: Sequence[str], inner_keys: Sequence[str],
+                   max_question_postings: int = MAX_QUESTION_POSTINGS) -> DataFrame:
+    """The best text of each question and group: a group's texts are brought together before they are scored, so
+    that the scores of each are compared where they are found and no losing one is shuffled."""
+    from answerlake.operators.retrieval import top1
+    spark = forward.sparkSession
+    keys = [*group_keys, *inner_keys]
+    if qvec.limit(max_question_postings + 1).count() > max_question_postings:
+        return top1(score_index(qvec, forward, q_key, keys, "group_best", group_keys=group_keys, max_question_postings=max_question_postings), [q_key, *group_keys], inner_keys)
+    # A number of one's own: texts expand to many scores, so sizes before do not tell how many tasks are wanted.
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    slim = forward.select(*keys, F.transform("items", lambda i: F.struct(i["term"].alias("term"), i["weight"].alias("weight"))).alias("items"))
+    together = slim.repartition(n, *group_keys).sortWithinPartitions(*group_keys)
+    return score_index(qvec, together, q_key, keys, "group_best", group_keys=group_keys, max_question_postings=max_question_postings, whole_groups=True)
 
 
 def with_asked_terms(forward: DataFrame, qvec: DataFrame, d_keys: Sequence[str],
@@ -150,12 +197,14 @@ def with_asked_terms(forward: DataFrame, qvec: DataFrame, d_keys: Sequence[str],
 
 def score_index(qvec: DataFrame, forward: DataFrame, q_key: str, d_keys: Sequence[str], mode: str,
                 threshold: float | None = None, group_keys: Sequence[str] = (),
-                max_question_postings: int = MAX_QUESTION_POSTINGS) -> DataFrame:
+                max_question_postings: int = MAX_QUESTION_POSTINGS, whole_groups: bool = False) -> DataFrame:
     """Score questions (``q_key, term, qweight``) against a forward index.
 
     Output ``q_key, d_keys..., score`` rows per ``mode`` (see module doc); for
     ``top1``/``group_best`` these are per-batch winners, or all scores past the
     bound, to be reduced by the caller with a partial-aggregating ``top1``.
+    ``whole_groups``: every partition holds whole groups, sorted by group, and
+    the winners are the last ones.
     """
     if mode == "group_best" and not group_keys:
         raise ValueError("group_best needs group_keys")
@@ -173,5 +222,5 @@ def score_index(qvec: DataFrame, forward: DataFrame, q_key: str, d_keys: Sequenc
         return scores.filter(F.col("score") > threshold) if mode == "threshold" else scores
     if pdf.empty:
         return spark.createDataFrame([], schema)
-    fn = _kernel(_Questions(pdf, q_key), list(d_keys), q_key, mode, threshold, list(group_keys))
+    fn = _kernel(_Questions(pdf, q_key), list(d_keys), q_key, mode, threshold, list(group_keys), whole_groups)
     return forward.select(*d_keys, "items").mapInArrow(fn, schema)

@@ -117,9 +117,6 @@ def score_threshold(qv: DataFrame, index: Index, d_keys, threshold: float) -> Da
 
 def score_group_best(qv: DataFrame, index: Index, groups: DataFrame, group_keys, inner_keys) -> DataFrame:
     """Best text per (question, group); ``groups`` maps texts to groups."""
-    from answerlake.operators import retrieval as R
-    from answerlake.operators.scoring import score_index, with_asked_terms
-    keys = [*group_keys, *inner_keys]
+    from answerlake.operators.scoring import best_in_groups, with_asked_terms
     fwd = with_asked_terms(index.forward, qv, PARA_KEYS).join(groups, list(PARA_KEYS))
-    local = score_index(qv, fwd, "item_id", keys, "group_best", group_keys=group_keys)
-    return R.top1(local, ["item_id", *group_keys], inner_keys)
+    return best_in_groups(qv, fwd, "item_id", group_keys, inner_keys)
